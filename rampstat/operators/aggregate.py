@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rampstat.operators.percentiles import PCTS, floor_rank_percentiles, percentiles_from_histogram
+from rampstat.operators.percentiles import PCTS, disc_or_approx, percentile_aggs
+from rampstat.operators.ranking import running_sums
 from rampstat.functions.rates import report_round
 from rampstat.schema import MIN_ELAPSED_S
 
@@ -19,6 +20,27 @@ AVG_DIGITS = 6
 PCT_COLS = ["p50_latency_ms", "p95_latency_ms", "p99_latency_ms"]
 
 
+def _profile_select(group_cols):
+    return [*group_cols,
+            F.col("total_requests").cast("long").alias("total_requests"),
+            F.col("successful").cast("long").alias("successful"),
+            (F.col("total_requests") - F.col("successful")).cast("long").alias("failed"),
+            report_round(F.col("_sum") / F.col("total_requests"), AVG_DIGITS).alias("avg_latency_ms"),
+            *PCT_COLS]
+
+
+def profile_from_histogram(hist: DataFrame, group_cols: list[str],
+                           value_col: str = "latency_ms") -> DataFrame:
+    """Counts, successes, mean and floor-rank percentiles per group from a
+    (group, value, c, _ok) histogram - one running-count pass, one group-by."""
+    cum = running_sums(hist, group_cols, [value_col], {"_cum": "c"}, with_totals=True)
+    prof = cum.groupBy(*group_cols).agg(
+        F.sum("c").alias("total_requests"), F.sum("_ok").alias("successful"),
+        F.sum(F.col(value_col) * F.col("c")).alias("_sum"),
+        *percentile_aggs(PCTS, PCT_COLS, value_col))
+    return prof.select(*_profile_select(group_cols))
+
+
 def latency_profile(requests: DataFrame, group_cols: list[str], method: str = "histogram",
                     value_col: str = "latency_ms") -> DataFrame:
     """Per group: total_requests, successful, failed, avg_latency_ms (rounded
@@ -27,25 +49,12 @@ def latency_profile(requests: DataFrame, group_cols: list[str], method: str = "h
     if method == "histogram":
         hist = requests.groupBy(*group_cols, value_col).agg(
             F.count("*").alias("c"), F.sum(ok).alias("_ok"))
-        stats = hist.groupBy(*group_cols).agg(
-            F.sum("c").alias("total_requests"), F.sum("_ok").alias("successful"),
-            F.sum(F.col(value_col) * F.col("c")).alias("_sum"))
-        pct = percentiles_from_histogram(hist, group_cols, value_col, PCTS, PCT_COLS)
-    else:
-        stats = requests.groupBy(*group_cols).agg(
-            F.count("*").alias("total_requests"), F.sum(ok).alias("successful"),
-            F.sum(value_col).alias("_sum"))
-        pct = floor_rank_percentiles(requests, group_cols, value_col, PCTS, method, PCT_COLS)
-    s = stats.select(
-        *group_cols,
-        F.col("total_requests").cast("long").alias("total_requests"),
-        F.col("successful").cast("long").alias("successful"),
-        (F.col("total_requests") - F.col("successful")).cast("long").alias("failed"),
-        report_round(F.col("_sum") / F.col("total_requests"), AVG_DIGITS).alias("avg_latency_ms"))
-    p = pct.select(*[F.col(g).alias(f"_k_{g}") for g in group_cols], *PCT_COLS)
-    cond = [s[g].eqNullSafe(p[f"_k_{g}"]) for g in group_cols]
-    return s.join(p, cond, "left").select(*[s[g] for g in group_cols], "total_requests",
-                                          "successful", "failed", "avg_latency_ms", *PCT_COLS)
+        return profile_from_histogram(hist, group_cols, value_col)
+    prof = requests.groupBy(*group_cols).agg(
+        F.count("*").alias("total_requests"), F.sum(ok).alias("successful"),
+        F.sum(value_col).alias("_sum"),
+        *[disc_or_approx(value_col, p, method).alias(n) for p, n in zip(PCTS, PCT_COLS)])
+    return prof.select(*_profile_select(group_cols))
 
 
 def stage_metrics(requests: DataFrame, schedule: DataFrame, run_col: str = "run_id",
@@ -141,19 +150,7 @@ def multi_grain_rollup(requests: DataFrame, run_col: str = "run_id") -> DataFram
                              "latency_ms", "c", "_ok"))
     hist = parts[0].unionByName(parts[1]).unionByName(parts[2])
     keys = ["grain", run_col, "stage_index", "model"]
-    stats = hist.groupBy(*keys).agg(F.sum("c").alias("total_requests"),
-                                    F.sum("_ok").alias("successful"),
-                                    F.sum(F.col("latency_ms") * F.col("c")).alias("_sum"))
-    pct = percentiles_from_histogram(hist, keys, "latency_ms", PCTS, PCT_COLS)
-    p = pct.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *PCT_COLS)
-    cond = [stats[k].eqNullSafe(p[f"_k_{k}"]) for k in keys]
-    j = stats.join(p, cond, "left")
-    return j.select(*[stats[k] for k in keys],
-                    F.col("total_requests").cast("long").alias("total_requests"),
-                    F.col("successful").cast("long").alias("successful"),
-                    (F.col("total_requests") - F.col("successful")).cast("long").alias("failed"),
-                    report_round(F.col("_sum") / F.col("total_requests"), AVG_DIGITS)
-                    .alias("avg_latency_ms"), *PCT_COLS)
+    return profile_from_histogram(hist, keys, "latency_ms")
 
 
 def scale_info(stages: DataFrame, run_col: str = "run_id") -> DataFrame:

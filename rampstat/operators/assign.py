@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rampstat.operators.joins import broadcast_if_small
 from rampstat.operators.ranking import row_number_in_group
 
 
@@ -23,33 +24,55 @@ def _epoch_s(col):
     return F.unix_micros(col).cast("double") / F.lit(1e6)
 
 
+def run_slots(schedule: DataFrame, runs: DataFrame, run_col: str = "run_id") -> DataFrame:
+    """One row per run: start (epoch s), bucket width (the run's shortest
+    stage) and, per time bucket, the stages overlapping it (one, or two where
+    a bucket straddles a boundary of unequal stages). Its size is the run's
+    stage count, independent of the request volume."""
+    width = schedule.groupBy(run_col).agg(F.min("duration").alias("_w"))
+    per_bucket = (schedule.join(width, run_col)
+                  .select(run_col, "_w", F.struct(
+                      F.col("t0_offset_s").alias("t0"), F.col("t1_offset_s").alias("t1"),
+                      "stage_index", "target_rps", "active_users").alias("_s"),
+                      F.explode(F.sequence(
+                          F.floor(F.col("t0_offset_s") / F.col("_w")),
+                          F.greatest(F.ceil(F.col("t1_offset_s") / F.col("_w")) - 1,
+                                     F.floor(F.col("t0_offset_s") / F.col("_w"))))).alias("_b"))
+                  .groupBy(run_col, "_w", "_b").agg(F.collect_list("_s").alias("_cands")))
+    slots = per_bucket.groupBy(run_col, "_w").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_b", "_cands"))),
+                    lambda e: e["_cands"]).alias("_slots"))
+    starts = runs.select(run_col, _epoch_s(F.col("started_at")).alias("_t_start"))
+    return slots.join(starts, run_col)
+
+
 def assign_stage(requests: DataFrame, schedule: DataFrame, runs: DataFrame,
                  run_col: str = "run_id", ts_col: str = "ts") -> DataFrame:
     """D3: attach ``stage_index, active_users, target_rps`` of the stage whose
-    slot holds each request. ``schedule`` has ``t0_offset_s, t1_offset_s``
-    relative to the run's ``started_at`` (from ``runs``). Requests outside
-    every slot keep null stage columns (they are never dropped)."""
-    width = schedule.groupBy(run_col).agg(F.min("duration").alias("_w"))
-    starts = runs.select(run_col, _epoch_s(F.col("started_at")).alias("_t_start"))
-    slots = (schedule.join(width, run_col)
-             .select(run_col, "stage_index", "target_rps", "active_users",
-                     "t0_offset_s", "t1_offset_s",
-                     F.explode(F.sequence(
-                         F.floor(F.col("t0_offset_s") / F.col("_w")),
-                         F.greatest(F.ceil(F.col("t1_offset_s") / F.col("_w")) - 1,
-                                    F.floor(F.col("t0_offset_s") / F.col("_w"))))).alias("_bucket"),
-                     "_w"))
-    req = (requests.join(starts, run_col, "left")
-           .withColumn("_off", _epoch_s(F.col(ts_col)) - F.col("_t_start")))
-    # per-run bucket width travels with the request through a join on run
-    req = req.join(width, run_col, "left").withColumn("_bucket", F.floor(F.col("_off") / F.col("_w")))
-    s = slots.select(F.col(run_col).alias("_s_run"), F.col("_bucket").alias("_s_bucket"),
-                     F.col("stage_index"), F.col("target_rps"), F.col("active_users"),
-                     F.col("t0_offset_s").alias("_t0"), F.col("t1_offset_s").alias("_t1"))
-    cond = ((req[run_col] == s["_s_run"]) & (req["_bucket"] == s["_s_bucket"])
-            & (req["_off"] >= s["_t0"]) & (req["_off"] < s["_t1"]))
-    out = req.join(s, cond, "left")
-    return out.drop("_s_run", "_s_bucket", "_t0", "_t1", "_bucket", "_w", "_off", "_t_start")
+    slot ``[t0, t1)`` holds each request. ``schedule`` has ``t0_offset_s,
+    t1_offset_s`` relative to the run's ``started_at`` (from ``runs``).
+
+    A single equi-join on the run against ``run_slots`` (one row per run,
+    broadcast when a count proves it small - a dominant run then never
+    concentrates in one shuffle partition); the request's time bucket indexes
+    the run's slot array and the range is re-checked on the (at most two)
+    candidates. Requests outside every slot keep null stage columns."""
+    rs = broadcast_if_small(run_slots(schedule, runs, run_col), weight=F.size("_slots"))
+    j = requests.join(rs, run_col, "left")
+    off = _epoch_s(F.col(ts_col)) - F.col("_t_start")
+    bucket = F.floor(off / F.col("_w"))
+    cands = F.when(bucket >= 0, F.try_element_at(F.col("_slots"), (bucket + 1).cast("int")))
+    c1 = F.try_element_at(cands, F.lit(1))
+    c2 = F.try_element_at(cands, F.lit(2))
+
+    def inside(c):
+        return (c["t0"] <= off) & (off < c["t1"])
+    hit = F.when(inside(c1), c1).when(inside(c2), c2)
+    j = j.withColumn("_hit", hit)
+    return j.select(*requests.columns,
+                    F.col("_hit.stage_index").cast("int").alias("stage_index"),
+                    F.col("_hit.target_rps").alias("target_rps"),
+                    F.col("_hit.active_users").cast("int").alias("active_users"))
 
 
 def assign_stage_fixed(requests: DataFrame, schedule: DataFrame, start_ts: str,

@@ -42,21 +42,23 @@ def histogram(df: DataFrame, group_cols: list[str], value_col: str,
     return df.groupBy(*group_cols, value_col).agg(*aggs)
 
 
+def percentile_aggs(pcts, names, value_col: str, cum: str = "_cum", n: str = "_cum_total"):
+    """Aggregates picking, per group, the first value whose running count
+    exceeds the floor rank ``n*P div 100`` (exact integer arithmetic)."""
+    return [F.min(F.when(F.col(cum) > F.expr(f"{n} * {int(p)} div 100"), F.col(value_col))).alias(name)
+            for p, name in zip(pcts, names)]
+
+
 def percentiles_from_histogram(hist: DataFrame, group_cols: list[str], value_col: str,
                                pcts=PCTS, names: list[str] | None = None,
                                num_partitions: int | None = None) -> DataFrame:
-    """Floor-rank percentiles from a (group, value, c) histogram."""
+    """Floor-rank percentiles from a (group, value, c) histogram: one
+    range-partitioned running count (carrying group totals), then one
+    partially aggregated group-by."""
     names = names or [pct_name(p, value_col) for p in pcts]
-    cum = running_sums(hist, group_cols, [value_col], {"_cum": "c"}, num_partitions)
-    totals = hist.groupBy(*group_cols).agg(F.sum("c").alias("_n"))
-    t = totals.select(*[F.col(g).alias(f"_g_{g}") for g in group_cols], "_n")
-    cond = [cum[g].eqNullSafe(t[f"_g_{g}"]) for g in group_cols]
-    j = cum.join(t, cond, "inner")
-    aggs = []
-    for p, name in zip(pcts, names):
-        rank = F.expr(f"_n * {int(p)} div 100")
-        aggs.append(F.min(F.when(F.col("_cum") > rank, F.col(value_col))).alias(name))
-    return j.groupBy(*[cum[g] for g in group_cols]).agg(*aggs)
+    cum = running_sums(hist, group_cols, [value_col], {"_cum": "c"}, num_partitions,
+                       with_totals=True)
+    return cum.groupBy(*group_cols).agg(*percentile_aggs(pcts, names, value_col))
 
 
 def floor_rank_percentiles(df: DataFrame, group_cols: list[str], value_col: str = "latency_ms",
@@ -83,3 +85,11 @@ def disc_expr(value_col: str, p: int) -> Column:
     else:
         q = repr((100 - p) / 100)
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value_col} DESC)").cast("double")
+
+
+def disc_or_approx(value_col: str, p: int, method: str) -> Column:
+    if method == "disc":
+        return disc_expr(value_col, p)
+    if method == "approx":
+        return F.percentile_approx(value_col, p / 100.0).cast("double")
+    raise ValueError(f"unknown percentile method {method!r}")

@@ -12,9 +12,11 @@ task; one run may hold a third of a 100 TB log. Instead we
    window over that table only (its size is partitions + groups);
 4. add the offsets back (equi-join on partition id and group keys).
 
-Both uses of step 2 read the same range exchange (Spark reuses it), so the
-partition ids agree. Order keys must make the order total within a group
-(e.g. ``ts, event_id``); ties would be broken arbitrarily otherwise.
+Step 2 is written once with a reliable ``checkpoint()`` (the session's
+shared checkpoint directory): the row pass and the totals pass read the same
+files, so partition ids always agree - even if Spark re-plans, re-samples the
+range bounds or loses an executor - and the lineage is cut there. Order keys
+must make the order total within a group (e.g. ``ts, event_id``).
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rampstat.session import checkpoint_dir
+
 _PID = "__pid"
 _KIND = "__kind"  # 0 = data row, 1 = per-(partition, group) total row
 
@@ -38,10 +42,13 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                 values: dict[str, Column | str], num_partitions: int | None = None) -> DataFrame:
+                 values: dict[str, Column | str], num_partitions: int | None = None,
+                 with_totals: bool = False) -> DataFrame:
     """Return ``df`` plus one column per entry of ``values``: the running sum
     (ROWS UNBOUNDED PRECEDING .. CURRENT ROW) of that value within the group,
-    in the order of ``order_cols``. Values are summed as BIGINT."""
+    in the order of ``order_cols``. Values are summed as BIGINT. With
+    ``with_totals`` each row also gets ``<name>_total``, the group's total
+    (taken from the small per-partition totals table, no extra pass)."""
     names = list(values)
     tmp = [f"__v{i}" for i in range(len(names))]
     staged = df.select("*", *[
@@ -100,21 +107,25 @@ def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str],
             tot[_KIND] = 1
             yield tot
 
-    local = ranged.mapInPandas(local_cumsum, out_schema)
+    checkpoint_dir(df.sparkSession)
+    local = ranged.mapInPandas(local_cumsum, out_schema).checkpoint(eager=True)
 
     totals = local.where(F.col(_KIND) == 1).select(_PID, *group_cols, *tmp)
     w = (Window.partitionBy(*group_cols).orderBy(_PID)
          .rowsBetween(Window.unboundedPreceding, -1))
+    wall = Window.partitionBy(*group_cols)
     offsets = totals.select(_PID, *group_cols, *[
-        F.coalesce(F.sum(t).over(w), F.lit(0)).alias(f"{t}_off") for t in tmp])
+        F.coalesce(F.sum(t).over(w), F.lit(0)).alias(f"{t}_off") for t in tmp], *[
+        F.sum(t).over(wall).alias(f"{t}_tot") for t in tmp])
     rows = local.where(F.col(_KIND) == 0).drop(_KIND)
     o = offsets.select(*[F.col(c).alias(f"__o_{c}") for c in [_PID, *group_cols]],
-                       *[f"{t}_off" for t in tmp])
+                       *[f"{t}_off" for t in tmp], *[f"{t}_tot" for t in tmp])
     cond = [rows[c].eqNullSafe(o[f"__o_{c}"]) for c in [_PID, *group_cols]]
     joined = rows.join(o, on=cond, how="left")
     result = joined.select(
         *[rows[c] for c in df.columns],
-        *[(rows[t] + F.coalesce(o[f"{t}_off"], F.lit(0))).alias(n) for t, n in zip(tmp, names)])
+        *[(rows[t] + F.coalesce(o[f"{t}_off"], F.lit(0))).alias(n) for t, n in zip(tmp, names)],
+        *([o[f"{t}_tot"].alias(f"{n}_total") for t, n in zip(tmp, names)] if with_totals else []))
     return result
 
 

@@ -28,13 +28,22 @@ class EventRuns:
         self.raw = fx.raw_outcomes(self.events)
         self.runs = fx.event_runs(self.events)
         self.schedule = build_schedule(self.runs)
+        self._memo: dict = {}
 
     def requests(self, with_seq: bool = True) -> DataFrame:
+        key = ("requests", with_seq)
+        if key not in self._memo:
+            self._memo[key] = self._requests(with_seq)
+        return self._memo[key]
+
+    def _requests(self, with_seq: bool) -> DataFrame:
         """Normalised request rows with stage, users, target
         rate, 1-based sequence number and ``prompt_id`` (the stage as text)."""
-        norm = normalize_requests(self.raw)
-        staged = assign_stage(norm, self.schedule, self.runs)
-        staged = staged.withColumn("prompt_id", F.col("stage_index").cast("string"))
+        if ("staged",) not in self._memo:
+            norm = normalize_requests(self.raw)
+            staged = assign_stage(norm, self.schedule, self.runs)
+            self._memo[("staged",)] = staged.withColumn("prompt_id", F.col("stage_index").cast("string"))
+        staged = self._memo[("staged",)]
         if with_seq:
             staged = with_sequence(staged)
         else:
