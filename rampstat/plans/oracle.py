@@ -578,3 +578,30 @@ SELECT run_id, window_start, window_end, CAST(COUNT(*) AS BIGINT) AS total_reque
        round_even(AVG(latency_ms), 6) AS avg_latency_ms
 FROM w, bounds WHERE window_end <= bounds.wm
 GROUP BY run_id, window_start, window_end""")
+
+ORACLE["stream_latest_snapshot"] = _q("""
+SELECT run_id, arg_max(stage_index, (ts, event_id)) AS stage_index, MAX(ts) AS last_ts,
+       arg_max(target_rps, (ts, event_id)) AS target_rps, arg_max(active_users, (ts, event_id)) AS active_users,
+       CAST(COUNT(*) AS BIGINT) AS total_metrics
+FROM req GROUP BY run_id""")
+
+ORACLE["stage_report"] = _q("""
+SELECT run_id, stage_index, elapsed_seconds, round_even(target_rps, 4) AS target_rps,
+       round_even(achieved_rps, 4) AS achieved_rps, active_users, total_requests, successful, failed,
+       avg_latency_ms, p50_latency_ms, p95_latency_ms, p99_latency_ms, error_rate
+FROM sm""")
+
+ORACLE["config_json"] = _c(f""",
+descs AS (SELECT * FROM (VALUES {_DESC_VALUES}) t(suite_id, label, detail)),
+ml AS (SELECT run_id, list({{'model': model, 'percentage': percentage}} ORDER BY model_pos) AS models
+       FROM cfg_models GROUP BY run_id)
+SELECT c.run_id, CAST(to_json({{
+  'endpoint': {{'base_url': c.base_url, 'api_path': c.api_path}},
+  'tokens': c.token_count,
+  'rate': {{'unit': c.rate_unit, 'initial': c.initial_rate, 'max': c.max_rate,
+            'scaling_factor': c.scaling_factor, 'time_increment': c.time_increment}},
+  'users': {{'min': c.min_users, 'max': c.max_users, 'increment': c.users_increment}},
+  'models': COALESCE(ml.models, []),
+  'benchmark': {{'suite': c.benchmark_suite, 'description': COALESCE(d.label, 'Unknown')}},
+  'timeout': c.timeout}}) AS VARCHAR) AS config_json
+FROM cfg c LEFT JOIN ml ON ml.run_id = c.run_id LEFT JOIN descs d ON d.suite_id = c.benchmark_suite""")

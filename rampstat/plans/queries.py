@@ -295,6 +295,24 @@ def q_stream_progress(spark, sf_dir):
     return stream_progress_table(spark, sf_dir)
 
 
+def q_stream_latest_snapshot(spark, sf_dir):
+    from rampstat.streaming.live import stream_latest_table
+    return with_ntz(stream_latest_table(spark, sf_dir), ("last_ts",))
+
+
+def q_config_json(spark, sf_dir):
+    """Configuration summary JSON per run (with the suite description)."""
+    from rampstat.functions.config_json import config_json
+    cfg = cat.suite_lookup(_configs(spark, sf_dir), cat.descriptions(spark), "benchmark_suite")
+    return cfg.select("run_id", config_json(F.col("suite_label")).alias("config_json"))
+
+
+def q_stage_report(spark, sf_dir):
+    """The stage sheet in the run's unit (RPS here)."""
+    from rampstat.sources.request_log import stage_report
+    return stage_report(_stage_metrics(_runs(spark, sf_dir)), "rps")
+
+
 def q_stream_stage_final(spark, sf_dir):
     from rampstat.streaming.live import stream_stage_final_table
     return with_ntz(stream_stage_final_table(spark, sf_dir), ("window_start", "window_end"))
@@ -345,5 +363,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "credential_rejects": q_credential_rejects,
     "stream_progress": q_stream_progress,
     "stream_stage_final": q_stream_stage_final,
+    "stream_latest_snapshot": q_stream_latest_snapshot,
+    "config_json": q_config_json,
+    "stage_report": q_stage_report,
     "approx_percentiles": q_approx_percentiles,
 }

@@ -58,6 +58,18 @@ def live_counters(requests: DataFrame) -> DataFrame:
         F.avg("latency_ms").alias("_avg"))
 
 
+def latest_state(requests: DataFrame, order_cols=("ts", "event_id")) -> DataFrame:
+    """The latest progress state per run - last write wins by arrival
+    order (``max_by``, a streaming-safe aggregate) - plus the request total."""
+    key = F.struct(*order_cols)
+    return requests.groupBy("run_id").agg(
+        F.max_by(F.struct("stage_index", "ts", "target_rps", "active_users"), key).alias("_l"),
+        F.count("*").cast("long").alias("total_metrics"),
+    ).select("run_id", F.col("_l.stage_index").alias("stage_index"), F.col("_l.ts").alias("last_ts"),
+             F.col("_l.target_rps").alias("target_rps"), F.col("_l.active_users").alias("active_users"),
+             "total_metrics")
+
+
 def stage_windows(requests: DataFrame, stage_seconds: int, start_offset: str,
                   watermark: str = "1 hour") -> DataFrame:
     """Tumbling windows of the stage length aligned to the run start
@@ -116,6 +128,17 @@ def stream_progress_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "target_rps", "active_users", report_round(F.col("_avg"), 6).alias("avg_latency_ms"))
 
 
+def stream_latest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 over the events file as a stream (complete mode, one row per run)."""
+    prepare(spark)
+    runs, schedule = _event_runs(spark, sf_dir)
+    stream = read_event_stream(spark, sf_dir, glob="events.parquet")
+    latest = latest_state(live_requests(stream, runs, schedule))
+    out, ck = _scratch(spark, "stream-latest"), _scratch(spark, "stream-latest-ckpt")
+    run_available_now(latest, "complete", out, ck)
+    return spark.read.parquet(out)
+
+
 def stream_stage_final_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed stage windows appended by the stream."""
     prepare(spark)
