@@ -50,3 +50,25 @@ def label_or_default(label="raw_label", index="token_index", prefix: str = "user
 
 def null_to_empty(col="error_type") -> Column:
     return F.coalesce(_c(col), F.lit(""))
+
+
+# SQL text of the same rules, for plans built from expression strings.
+def classify_status_sql(code: str = "raw_code", exception: str = "raw_exception") -> str:
+    return (f"CASE WHEN {exception} = 'timeout' THEN 'timeout' WHEN {exception} IS NOT NULL THEN 'error' "
+            f"WHEN {code} BETWEEN 200 AND 399 THEN 'success' ELSE 'failure' END")
+
+
+def status_code_sql(code: str = "raw_code", exception: str = "raw_exception") -> str:
+    return f"CASE WHEN {exception} IS NULL THEN CAST({code} AS INT) END"
+
+
+def latency_sql(latency: str = "raw_latency", exception: str = "raw_exception") -> str:
+    return f"CASE WHEN {exception} IS NULL THEN CAST({latency} AS DOUBLE) ELSE 0.0D END"
+
+
+def error_type_sql(exception: str = "raw_exception") -> str:
+    return f"CASE WHEN {exception} IS NOT NULL THEN {exception} END"
+
+
+def label_or_default_sql(label: str = "raw_label", index: str = "token_index", prefix: str = "user-") -> str:
+    return f"coalesce(nullif({label}, ''), concat('{prefix}', CAST({index} AS STRING)))"

@@ -30,22 +30,24 @@ def run_slots(schedule: DataFrame, runs: DataFrame, run_col: str = "run_id") ->
     a bucket straddles a boundary of unequal stages). Its size is the run's
     stage count, independent of the request volume."""
     width = schedule.groupBy(run_col).agg(F.min("duration").alias("_w"))
-    per_bucket = (schedule.join(width, run_col)
-                  .select(run_col, "_w", F.struct(
-                      F.col("t0_offset_s").alias("t0"), F.col("t1_offset_s").alias("t1"),
-                      "stage_index", "target_rps", "active_users").alias("_s"),
-                      F.explode(F.sequence(
-                          F.floor(F.col("t0_offset_s") / F.col("_w")),
-                          F.greatest(F.ceil(F.col("t1_offset_s") / F.col("_w")) - 1,
-                                     F.floor(F.col("t0_offset_s") / F.col("_w"))))).alias("_b"))
-                  .groupBy(run_col, "_w", "_b").agg(F.collect_list("_s").alias("_cands")))
+    per_bucket = (schedule.join(width, run_col).selectExpr(
+        run_col, "_w",
+        "named_struct('t0', t0_offset_s, 't1', t1_offset_s, 'stage_index', stage_index, "
+        "'target_rps', target_rps, 'active_users', active_users) AS _s",
+        "explode(sequence(CAST(floor(t0_offset_s / _w) AS BIGINT), "
+        "greatest(CAST(ceil(t1_offset_s / _w) AS BIGINT) - 1, CAST(floor(t0_offset_s / _w) AS BIGINT)))) AS _b")
+        .groupBy(run_col, "_w", "_b").agg(F.collect_list("_s").alias("_cands")))
     slots = per_bucket.groupBy(run_col, "_w").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_b", "_cands"))),
-                    lambda e: e["_cands"]).alias("_slots"))
-    starts = runs.select(run_col, _epoch_s(F.col("started_at")).alias("_t_start"))
+        F.expr("transform(array_sort(collect_list(struct(_b, _cands))), e -> e._cands)").alias("_slots"))
+    starts = runs.selectExpr(run_col, "CAST(unix_micros(started_at) AS DOUBLE) / 1e6D AS _t_start")
     return slots.join(starts, run_col)
 
 
+_HIT_SQL = """
+CASE WHEN c1.t0 <= _off AND _off < c1.t1 THEN c1
+     WHEN c2.t0 <= _off AND _off < c2.t1 THEN c2 END"""
+
+
 def assign_stage(requests: DataFrame, schedule: DataFrame, runs: DataFrame,
                  run_col: str = "run_id", ts_col: str = "ts") -> DataFrame:
     """D3: attach ``stage_index, active_users, target_rps`` of the stage whose
@@ -59,20 +61,15 @@ def assign_stage(requests: DataFrame, schedule: DataFrame, runs: DataFrame,
     candidates. Requests outside every slot keep null stage columns."""
     rs = broadcast_if_small(run_slots(schedule, runs, run_col), weight=F.size("_slots"))
     j = requests.join(rs, run_col, "left")
-    off = _epoch_s(F.col(ts_col)) - F.col("_t_start")
-    bucket = F.floor(off / F.col("_w"))
-    cands = F.when(bucket >= 0, F.try_element_at(F.col("_slots"), (bucket + 1).cast("int")))
-    c1 = F.try_element_at(cands, F.lit(1))
-    c2 = F.try_element_at(cands, F.lit(2))
-
-    def inside(c):
-        return (c["t0"] <= off) & (off < c["t1"])
-    hit = F.when(inside(c1), c1).when(inside(c2), c2)
-    j = j.withColumn("_hit", hit)
-    return j.select(*requests.columns,
-                    F.col("_hit.stage_index").cast("int").alias("stage_index"),
-                    F.col("_hit.target_rps").alias("target_rps"),
-                    F.col("_hit.active_users").cast("int").alias("active_users"))
+    j = j.selectExpr("*", f"CAST(unix_micros({ts_col}) AS DOUBLE) / 1e6D - _t_start AS _off")
+    j = j.selectExpr("*", "CASE WHEN floor(_off / _w) >= 0 THEN "
+                          "try_element_at(_slots, CAST(floor(_off / _w) + 1 AS INT)) END AS _cands")
+    j = j.selectExpr("*", "try_element_at(_cands, 1) AS c1", "try_element_at(_cands, 2) AS c2")
+    j = j.selectExpr(*[f"`{c}`" for c in requests.columns], f"{_HIT_SQL} AS _hit")
+    return j.selectExpr(*[f"`{c}`" for c in requests.columns],
+                        "CAST(_hit.stage_index AS INT) AS stage_index",
+                        "_hit.target_rps AS target_rps",
+                        "CAST(_hit.active_users AS INT) AS active_users")
 
 
 def assign_stage_fixed(requests: DataFrame, schedule: DataFrame, start_ts: str,

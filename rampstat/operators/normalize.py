@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from rampstat.functions.outcome import (
-    classify_status, error_type_of, label_or_default, latency_of, status_code_of,
+    classify_status_sql, error_type_sql, label_or_default_sql, latency_sql, status_code_sql,
 )
 
 
@@ -15,11 +14,11 @@ def normalize_requests(raw: DataFrame) -> DataFrame:
     ``status, status_code, latency_ms, error_type, token_label``."""
     keep = [c for c in raw.columns
             if c not in ("raw_code", "raw_exception", "raw_latency", "raw_label")]
-    return raw.select(
+    return raw.selectExpr(
         *keep,
-        label_or_default("raw_label", "token_index").alias("token_label"),
-        classify_status("raw_code", "raw_exception").alias("status"),
-        status_code_of("raw_code", "raw_exception").alias("status_code"),
-        latency_of("raw_latency", "raw_exception").alias("latency_ms"),
-        error_type_of("raw_exception").alias("error_type"),
+        f"{label_or_default_sql()} AS token_label",
+        f"{classify_status_sql()} AS status",
+        f"{status_code_sql()} AS status_code",
+        f"{latency_sql()} AS latency_ms",
+        f"{error_type_sql()} AS error_type",
     )

@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 
 
 
-def _stage_bound(initial, max_rate, factor):
-    """Upper bound on the number of stages of one configuration."""
-    grows = (factor > 1.0) & (initial > 0.0) & (initial < max_rate)
-    return F.when(grows, (F.ceil(F.log(max_rate / initial) / F.log(factor)) + F.lit(2)).cast("int")
-                  ).otherwise(F.lit(1))
+_BOUND_SQL = ("CASE WHEN scaling_factor > 1.0D AND initial_rate > 0.0D AND initial_rate < max_rate "
+              "THEN CAST(ceil(ln(max_rate / initial_rate) / ln(scaling_factor)) + 2 AS INT) ELSE 1 END")
+# acc holds the uncapped rate of every stage; append while the last stage is
+# below the cap and multiplying still grows the rate.
+_FOLD_SQL = (f"slice(aggregate(sequence(1, {_BOUND_SQL}), array(initial_rate), "
+             "(acc, i) -> CASE WHEN element_at(acc, -1) < max_rate "
+             "AND element_at(acc, -1) * scaling_factor > element_at(acc, -1) "
+             "THEN concat(acc, array(element_at(acc, -1) * scaling_factor)) ELSE acc END), "
+             f"1, {_BOUND_SQL})")
 
 
 def build_schedule(configs: DataFrame, run_col: str = "run_id") -> DataFrame:
@@ -27,30 +31,18 @@ def build_schedule(configs: DataFrame, run_col: str = "run_id") -> DataFrame:
     duration, t0_offset_s, t1_offset_s). Expects the configuration columns
     ``initial_rate, max_rate, min_users, max_users, users_increment,
     scaling_factor, time_increment`` (rates in canonical RPS)."""
-    init, mx, fac = F.col("initial_rate"), F.col("max_rate"), F.col("scaling_factor")
-    bound = _stage_bound(init, mx, fac)
-    # acc holds the uncapped rate of every stage; append while the last stage
-    # is below the cap and multiplying still grows the rate.
-    rates = F.aggregate(
-        F.sequence(F.lit(1), bound),
-        F.array(init),
-        lambda acc, _i: F.when(
-            (F.element_at(acc, -1) < mx) & (F.element_at(acc, -1) * fac > F.element_at(acc, -1)),
-            F.concat(acc, F.array(F.element_at(acc, -1) * fac))).otherwise(acc))
-    staged = configs.select(
-        F.col(run_col), "min_users", "max_users", "users_increment", "max_rate", "time_increment",
-        F.posexplode(F.slice(rates, 1, bound)).alias("stage_index", "raw_rate"))
-    i = F.col("stage_index")
-    return staged.select(
-        F.col(run_col),
-        i.cast("int").alias("stage_index"),
-        F.least(F.col("raw_rate"), F.col("max_rate")).alias("target_rps"),
-        F.least(F.col("min_users") + i * F.col("users_increment"), F.col("max_users"))
-        .cast("int").alias("active_users"),
-        F.col("time_increment").alias("duration"),
+    staged = configs.selectExpr(
+        run_col, "min_users", "max_users", "users_increment", "max_rate", "time_increment",
+        f"posexplode({_FOLD_SQL}) AS (stage_index, raw_rate)")
+    return staged.selectExpr(
+        run_col,
+        "CAST(stage_index AS INT) AS stage_index",
+        "least(raw_rate, max_rate) AS target_rps",
+        "CAST(least(min_users + stage_index * users_increment, max_users) AS INT) AS active_users",
+        "time_increment AS duration",
         # seconds of earlier stages (durations are constant within a run)
-        (i.cast("double") * F.col("time_increment")).alias("t0_offset_s"),
-        ((i + 1).cast("double") * F.col("time_increment")).alias("t1_offset_s"),
+        "CAST(stage_index AS DOUBLE) * time_increment AS t0_offset_s",
+        "CAST(stage_index + 1 AS DOUBLE) * time_increment AS t1_offset_s",
     )
 
 

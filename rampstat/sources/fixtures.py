@@ -52,134 +52,118 @@ def input_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
+_SUITES_SQL = "array(" + ", ".join(f"'{x}'" for x in SUITES) + ")"
+
+
+def suite_of_sql(index_sql: str) -> str:
+    """0-based suite position (SQL) -> suite id (SQL)."""
+    return f"element_at({_SUITES_SQL}, CAST(({index_sql}) + 1 AS INT))"
+
+
 def suite_of(index: Column) -> Column:
     """0-based suite position -> suite id."""
     return F.element_at(F.array(*[F.lit(s) for s in SUITES]), (index + F.lit(1)).cast("int"))
 
 
-def raw_outcomes(events: DataFrame) -> DataFrame:
-    """Raw outcomes (input of the normaliser): one row per event."""
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    is_err = F.col("event_type") == "error"
-    code = (F.when(is_err & (k % 3).isin(0, 1), F.lit(None))
-            .when(is_err & (k % 3 == 2) & (k % 2 == 0), F.lit(500))
-            .when(is_err & (k % 3 == 2), F.lit(429))
-            .when((F.col("event_type") == "signup") & (k % 10 == 0), F.lit(302))
-            .otherwise(F.lit(200)).cast("int"))
-    exc = (F.when(is_err & (k % 3 == 0), F.lit("timeout"))
-           .when(is_err & (k % 3 == 1), F.lit("ConnectError")))
-    model = F.concat(F.lit("model_"), (F.col("user_id") % 3).cast("string"))
-    pct = F.when(F.col("user_id") % 3 == 0, F.lit(70.0)).when(
-        F.col("user_id") % 3 == 1, F.lit(30.0)).otherwise(F.lit(0.0))
-    return events.select(
-        (F.col("user_id") % N_RUNS).alias("run_id"),
-        F.col("event_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        model.alias("model"),
-        pct.alias("model_percentage"),
-        F.col("user_id").alias("token_index"),
-        F.when(F.col("user_id") % 10 == 0, F.lit("")).otherwise(
-            F.concat(F.lit("acct-"), F.col("user_id").cast("string"))).alias("raw_label"),
-        suite_of(F.col("event_id") % 7).alias("suite_id"),
-        code.alias("raw_code"),
-        exc.alias("raw_exception"),
-        F.col("value").alias("raw_latency"),
-    )
+# Expressions are SQL text: each column is parsed once by the JVM instead of
+# being assembled call by call from Python.
+_RAW_SQL = [
+    f"user_id % {N_RUNS} AS run_id",
+    "event_id",
+    "CAST(ts AS TIMESTAMP) AS ts",
+    "concat('model_', CAST(user_id % 3 AS STRING)) AS model",
+    "CASE user_id % 3 WHEN 0 THEN 70.0D WHEN 1 THEN 30.0D ELSE 0.0D END AS model_percentage",
+    "user_id AS token_index",
+    "CASE WHEN user_id % 10 = 0 THEN '' ELSE concat('acct-', CAST(user_id AS STRING)) END AS raw_label",
+    f"{suite_of_sql('event_id % 7')} AS suite_id",
+    """CAST(CASE WHEN event_type = 'error' AND _k % 3 IN (0, 1) THEN NULL
+               WHEN event_type = 'error' AND _k % 3 = 2 AND _k % 2 = 0 THEN 500
+               WHEN event_type = 'error' AND _k % 3 = 2 THEN 429
+               WHEN event_type = 'signup' AND _k % 10 = 0 THEN 302
+               ELSE 200 END AS INT) AS raw_code""",
+    """CASE WHEN event_type = 'error' AND _k % 3 = 0 THEN 'timeout'
+            WHEN event_type = 'error' AND _k % 3 = 1 THEN 'ConnectError' END AS raw_exception""",
+    "value AS raw_latency",
+]
 
 
-def _models_literal() -> Column:
-    return F.array(*[F.struct(F.lit(m).alias("model"), F.lit(p).alias("percentage"))
-                     for m, p in EVENT_RUN_MODELS])
+def raw_outcomes(events: DataFrame) -> DataFrame:
+    """Raw outcomes (input of the normaliser): one row per event."""
+    return (events.selectExpr("*", "CAST(get_json_object(props, '$.k') AS BIGINT) AS _k")
+            .selectExpr(*_RAW_SQL))
 
 
 def event_runs(events: DataFrame) -> DataFrame:
     """Configuration of the runs found in ``events`` (one row per run)."""
-    runs = events.select((F.col("user_id") % N_RUNS).alias("run_id")).distinct()
+    runs = events.selectExpr(f"user_id % {N_RUNS} AS run_id").distinct()
     mn, mx, inc = EVENT_RUN_USERS
-    return runs.select(
+    models = "array(" + ", ".join(
+        f"named_struct('model', '{m}', 'percentage', {p!r}D)" for m, p in EVENT_RUN_MODELS) + ")"
+    return runs.selectExpr(
         "run_id",
-        F.lit("http://inference.local/").alias("base_url"),
-        F.lit("/v1/chat/completions").alias("api_path"),
-        F.lit("rps").alias("rate_unit"),
-        F.lit(EVENT_RUN_INITIAL_RPS).alias("initial_rate"),
-        F.lit(EVENT_RUN_MAX_RPS).alias("max_rate"),
-        F.lit(mn).alias("min_users"),
-        F.lit(mx).alias("max_users"),
-        F.lit(inc).alias("users_increment"),
-        F.lit(EVENT_RUN_FACTOR).alias("scaling_factor"),
-        F.lit(EVENT_RUN_STAGE_S).alias("time_increment"),
-        F.lit(False).alias("is_public"),
-        _models_literal().alias("models"),
-        F.to_timestamp(F.lit(EVENT_RUN_START)).alias("started_at"),
+        "'http://inference.local/' AS base_url",
+        "'/v1/chat/completions' AS api_path",
+        "'rps' AS rate_unit",
+        f"{EVENT_RUN_INITIAL_RPS!r}D AS initial_rate",
+        f"{EVENT_RUN_MAX_RPS!r}D AS max_rate",
+        f"{mn} AS min_users", f"{mx} AS max_users", f"{inc} AS users_increment",
+        f"{EVENT_RUN_FACTOR!r}D AS scaling_factor",
+        f"{EVENT_RUN_STAGE_S!r}D AS time_increment",
+        "false AS is_public",
+        f"{models} AS models",
+        f"TIMESTAMP '{EVENT_RUN_START}' AS started_at",
     )
 
 
 def run_tokens(raw: DataFrame) -> DataFrame:
     """Credential list of each event run: its distinct users, by user id.
-    Returns (run_id, token_pos 0-based, token, label)."""
+    Returns (run_id, token_pos 0-based, token, label). One row per (run,
+    user): the window per run is bounded by the user count."""
     users = raw.select("run_id", "token_index", "raw_label").distinct()
-    # one row per (run, user): a window per run is bounded by the user count
-    pos = F.row_number().over(Window.partitionBy("run_id").orderBy("token_index")) - 1
-    return users.select(
+    return users.selectExpr(
         "run_id",
-        pos.cast("long").alias("token_pos"),
-        F.concat(F.lit("sk-"), F.col("token_index").cast("string")).alias("token"),
-        F.col("raw_label").alias("label"),
-    )
+        "CAST(row_number() OVER (PARTITION BY run_id ORDER BY token_index) - 1 AS BIGINT) AS token_pos",
+        "concat('sk-', CAST(token_index AS STRING)) AS token",
+        "raw_label AS label")
 
 
 def run_configs(customer: DataFrame) -> DataFrame:
     """One run configuration per customer row (c = c_custkey)."""
-    c = F.col("c_custkey")
-    unit = F.when(c % 2 == 1, F.lit("rpm")).otherwise(F.lit("rps"))
-    init_disp = (c % 20).cast("double")
-    max_disp = ((c % 100) - 5).cast("double")
-    n_tokens = (c % 9).cast("int")
-    n_models = (c % 4).cast("int")
-    tokens = F.when(n_tokens > 0, F.transform(
-        F.sequence(F.lit(1), n_tokens),
-        lambda i: F.struct(
-            F.concat(F.lit("sk-"), c.cast("string"), F.lit("-"), i.cast("string")).alias("token"),
-            F.when((c + i) % 5 == 0, F.lit("")).otherwise(
-                F.concat(F.lit("key-"), i.cast("string"))).alias("label")))
-    ).otherwise(F.array().cast("array<struct<token:string,label:string>>"))
-    models = F.when(n_models > 0, F.transform(
-        F.sequence(F.lit(1), n_models),
-        lambda i: F.struct(
-            F.when((c + i) % 11 == 0, F.lit("")).otherwise(
-                F.concat(F.lit("model_"), i.cast("string"))).alias("model"),
-            F.when((c + i) % 17 == 0, F.lit(150.0)).when((c + i) % 2 == 0, F.lit(100.0))
-            .when((c + i) % 3 == 0, F.lit(50.0)).otherwise(F.lit(0.0)).alias("percentage")))
-    ).otherwise(F.array().cast("array<struct<model:string,percentage:double>>"))
-    return customer.select(
-        c.alias("run_id"),
-        F.concat(F.lit("http://host-"), (c % 3).cast("string"), F.lit(".local"),
-                 F.when(c % 2 == 0, F.lit("/")).otherwise(F.lit(""))).alias("base_url"),
-        F.when(c % 3 == 0, F.lit("/v1/chat/completions/")).otherwise(
-            F.lit("v1/chat/completions")).alias("api_path"),
-        tokens.alias("tokens"),
-        models.alias("models"),
-        unit.alias("rate_unit"),
-        init_disp.alias("initial_display"),
-        max_disp.alias("max_display"),
-        F.when(unit == "rpm", init_disp / F.lit(60.0)).otherwise(init_disp).alias("initial_rate"),
-        F.when(unit == "rpm", max_disp / F.lit(60.0)).otherwise(max_disp).alias("max_rate"),
-        (F.col("c_nationkey") % 6).cast("int").alias("min_users"),
-        (c % 12).cast("int").alias("max_users"),
-        (c % 4).cast("int").alias("users_increment"),
-        (F.lit(1.0) + (c % 5).cast("double") * F.lit(0.5)).alias("scaling_factor"),
-        ((c % 7) * 10).cast("double").alias("time_increment"),
-        suite_of(c % 7).alias("benchmark_suite"),
-        F.lit(60.0).alias("timeout"),
-        (F.col("c_mktsegment") == "BUILDING").alias("is_public"),
+    c = "c_custkey"
+    return customer.selectExpr(
+        f"{c} AS run_id",
+        f"concat('http://host-', CAST({c} % 3 AS STRING), '.local', CASE WHEN {c} % 2 = 0 THEN '/' ELSE '' END)"
+        " AS base_url",
+        f"CASE WHEN {c} % 3 = 0 THEN '/v1/chat/completions/' ELSE 'v1/chat/completions' END AS api_path",
+        f"""CASE WHEN {c} % 9 > 0 THEN transform(sequence(1, CAST({c} % 9 AS INT)), i -> named_struct(
+                'token', concat('sk-', CAST({c} AS STRING), '-', CAST(i AS STRING)),
+                'label', CASE WHEN ({c} + i) % 5 = 0 THEN '' ELSE concat('key-', CAST(i AS STRING)) END))
+            ELSE CAST(array() AS array<struct<token:string,label:string>>) END AS tokens""",
+        f"""CASE WHEN {c} % 4 > 0 THEN transform(sequence(1, CAST({c} % 4 AS INT)), i -> named_struct(
+                'model', CASE WHEN ({c} + i) % 11 = 0 THEN '' ELSE concat('model_', CAST(i AS STRING)) END,
+                'percentage', CASE WHEN ({c} + i) % 17 = 0 THEN 150.0D WHEN ({c} + i) % 2 = 0 THEN 100.0D
+                                   WHEN ({c} + i) % 3 = 0 THEN 50.0D ELSE 0.0D END))
+            ELSE CAST(array() AS array<struct<model:string,percentage:double>>) END AS models""",
+        f"CASE WHEN {c} % 2 = 1 THEN 'rpm' ELSE 'rps' END AS rate_unit",
+        f"CAST({c} % 20 AS DOUBLE) AS initial_display",
+        f"CAST(({c} % 100) - 5 AS DOUBLE) AS max_display",
+        f"CASE WHEN {c} % 2 = 1 THEN CAST({c} % 20 AS DOUBLE) / 60.0D ELSE CAST({c} % 20 AS DOUBLE) END"
+        " AS initial_rate",
+        f"CASE WHEN {c} % 2 = 1 THEN CAST(({c} % 100) - 5 AS DOUBLE) / 60.0D"
+        f" ELSE CAST(({c} % 100) - 5 AS DOUBLE) END AS max_rate",
+        "CAST(c_nationkey % 6 AS INT) AS min_users",
+        f"CAST({c} % 12 AS INT) AS max_users",
+        f"CAST({c} % 4 AS INT) AS users_increment",
+        f"1.0D + CAST({c} % 5 AS DOUBLE) * 0.5D AS scaling_factor",
+        f"CAST(({c} % 7) * 10 AS DOUBLE) AS time_increment",
+        f"{suite_of_sql(f'{c} % 7')} AS benchmark_suite",
+        "60.0D AS timeout",
+        "c_mktsegment = 'BUILDING' AS is_public",
     )
 
 
 def prompts_from_benchmark(benchmark: DataFrame) -> DataFrame:
     """Prompt catalogue rows (suite_id, prompt_index 0-based, text): item i goes
     to suite ``i % 6`` at position ``i div 6``; the seventh suite is empty."""
-    return benchmark.select(
-        suite_of(F.col("item_id") % 6).alias("suite_id"),
-        F.expr("item_id div 6").alias("prompt_index"),
-        F.col("text"),
-    )
+    return benchmark.selectExpr(f"{suite_of_sql('item_id % 6')} AS suite_id",
+                                "item_id div 6 AS prompt_index", "text")
