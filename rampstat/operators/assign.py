@@ -99,7 +99,7 @@ def active_models(models_col: str = "models"):
 
 def assign_round_robin(requests: DataFrame, runs: DataFrame, run_col: str = "run_id") -> DataFrame:
     """model = active[seq % n_active]."""
-    rm = runs.select(run_col, active_models().alias("_active"))
+    rm = broadcast_if_small(runs.select(run_col, active_models().alias("_active")))
     j = requests.join(rm, run_col, "left")
     n = F.size("_active")
     pick = F.when(n > 0, F.element_at("_active", (F.pmod(F.col("seq"), n) + 1).cast("int")))
@@ -152,12 +152,12 @@ def assign_credential(requests: DataFrame, tokens: DataFrame, run_col: str = "ru
     """credential = tokens[seq % n]; label blank -> ``user-{idx}``; a run
     without credentials uses index 0 and label ``public``.
     ``tokens`` is (run_id, token_pos 0-based, token, label)."""
-    n = tokens.groupBy(run_col).agg(F.count("*").alias("_n"))
+    n = broadcast_if_small(tokens.groupBy(run_col).agg(F.count("*").alias("_n")))
     req = requests.join(n, run_col, "left").withColumn(
         "token_idx", F.when(F.col("_n") > 0, F.pmod(F.col("seq"), F.col("_n"))).otherwise(F.lit(0))
         .cast("long"))
-    t = tokens.select(F.col(run_col).alias("_r"), F.col("token_pos").alias("_p"),
-                      F.col("label").alias("_label"), F.col("token").alias("_token"))
+    t = broadcast_if_small(tokens.select(F.col(run_col).alias("_r"), F.col("token_pos").alias("_p"),
+                                         F.col("label").alias("_label"), F.col("token").alias("_token")))
     cond = (req[run_col] == t["_r"]) & (req["token_idx"] == t["_p"])
     j = req.join(t, cond, "left")
     label = F.when(F.coalesce(F.col("_n"), F.lit(0)) == 0, F.lit("public")).otherwise(
@@ -170,12 +170,12 @@ def assign_credential(requests: DataFrame, tokens: DataFrame, run_col: str = "ru
 def assign_prompt(requests: DataFrame, prompts: DataFrame, suite_col: str = "suite_id") -> DataFrame:
     """prompt = prompts_of_suite[seq % n]; a suite without prompts gives
     an empty text. ``prompts`` is (suite_id, prompt_index 0-based, text)."""
-    n = prompts.groupBy("suite_id").agg(F.count("*").alias("_n"))
+    n = broadcast_if_small(prompts.groupBy("suite_id").agg(F.count("*").alias("_n")))
     req = requests.join(n.withColumnRenamed("suite_id", suite_col), suite_col, "left").withColumn(
         "prompt_index", F.when(F.col("_n") > 0, F.pmod(F.col("seq"), F.col("_n"))).otherwise(F.lit(0))
         .cast("long"))
-    p = prompts.select(F.col("suite_id").alias("_s"), F.col("prompt_index").alias("_i"),
-                       F.col("text").alias("prompt_text"))
+    p = broadcast_if_small(prompts.select(F.col("suite_id").alias("_s"), F.col("prompt_index").alias("_i"),
+                                          F.col("text").alias("prompt_text")))
     cond = (req[suite_col] == p["_s"]) & (req["prompt_index"] == p["_i"])
     j = req.join(p, cond, "left")
     return j.select(*requests.columns, "prompt_index",

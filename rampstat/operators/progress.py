@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rampstat.functions.rates import (
     at_least_elapsed, planned_interval_s, progress_fraction, rate_delta, stage_number,
 )
+from rampstat.operators.joins import broadcast_if_small
 from rampstat.operators.ranking import running_sums
 
 US_PER_S = 1000000.0
@@ -46,10 +47,11 @@ def running_progress(requests: DataFrame, schedule: DataFrame, runs: DataFrame,
     total = schedule.groupBy(run_col).agg(F.count("*").alias("total_stages"))
     sch = schedule.select(run_col, "stage_index", "t0_offset_s", "duration")
     starts = runs.select(run_col, "started_at")
-    j = (rs.join(prev, [run_col, "stage_index"], "left")
-         .join(sch, [run_col, "stage_index"], "left")
-         .join(total, run_col, "left")
-         .join(starts, run_col, "left"))
+    # one row per (run, stage): broadcast after a count proves it small
+    stage_info = broadcast_if_small(
+        prev.join(sch, [run_col, "stage_index"], "left").join(total, run_col, "left")
+        .join(starts, run_col, "left"))
+    j = rs.join(stage_info, [run_col, "stage_index"], "left")
     st_us = _stage_start_us(F.col("started_at"), F.col("t0_offset_s"))
     elapsed = ((F.unix_micros(F.col("ts")) - st_us).cast("double") / _us())
     j = j.withColumn("stage_elapsed_s", elapsed)

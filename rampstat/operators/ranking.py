@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rampstat.operators.joins import broadcast_if_small
 from rampstat.session import checkpoint_dir
 
 _PID = "__pid"
@@ -120,6 +121,9 @@ def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str],
     rows = local.where(F.col(_KIND) == 0).drop(_KIND)
     o = offsets.select(*[F.col(c).alias(f"__o_{c}") for c in [_PID, *group_cols]],
                        *[f"{t}_off" for t in tmp], *[f"{t}_tot" for t in tmp])
+    # at most (partitions + groups) rows: broadcast after a count proves it,
+    # so the rows are never shuffled again
+    o = broadcast_if_small(o)
     cond = [rows[c].eqNullSafe(o[f"__o_{c}"]) for c in [_PID, *group_cols]]
     joined = rows.join(o, on=cond, how="left")
     result = joined.select(

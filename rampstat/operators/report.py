@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rampstat.functions.outcome import null_to_empty
 from rampstat.functions.rates import column_suffix, report_round, rps_to_display
 from rampstat.functions.text import off_scale_note
+from rampstat.operators.joins import broadcast_if_small
 
 RAW_COLUMNS = ["stage", "model", "token_idx", "token_label", "active_users", "target", "achieved",
                "status", "status_code", "latency_ms", "error_type", "suite_id", "prompt_id"]
@@ -24,8 +25,8 @@ def raw_report(requests: DataFrame, stages: DataFrame, unit: str = "rps",
     The stage side is one row per (run, stage) - far smaller than the log;
     the planner broadcasts it when its runtime size allows."""
     sfx = column_suffix(unit)
-    ach = stages.select(F.col(run_col).alias("_r"), F.col("stage_index").alias("_s"),
-                        F.col("achieved_rps").alias("_ach"))
+    ach = broadcast_if_small(stages.select(F.col(run_col).alias("_r"), F.col("stage_index").alias("_s"),
+                                           F.col("achieved_rps").alias("_ach")))
     cond = (requests[run_col] == ach["_r"]) & (requests["stage_index"] == ach["_s"])
     j = requests.join(ach, cond, "left")
     return j.select(
