@@ -67,7 +67,10 @@ def stage_metrics(requests: DataFrame, schedule: DataFrame, run_col: str = "run_
     sch = schedule.select(run_col, "stage_index", "target_rps", "active_users",
                           F.col("duration").alias("elapsed_seconds"))
     if elapsed is not None:
-        sch = sch.drop("elapsed_seconds").join(elapsed, [run_col, "stage_index"], "left")
+        # stages without requests keep their planned duration
+        sch = (sch.withColumnRenamed("elapsed_seconds", "_planned")
+               .join(elapsed, [run_col, "stage_index"], "left")
+               .withColumn("elapsed_seconds", F.coalesce("elapsed_seconds", "_planned")).drop("_planned"))
     j = sch.join(prof, [run_col, "stage_index"], "left")
     n = F.coalesce(F.col("total_requests"), F.lit(0)).cast("long")
     el = F.greatest(F.col("elapsed_seconds").cast("double"), F.lit(MIN_ELAPSED_S))
@@ -86,6 +89,14 @@ def stage_metrics(requests: DataFrame, schedule: DataFrame, run_col: str = "run_
     )
 
 
+def observed_elapsed(requests: DataFrame, run_col: str = "run_id") -> DataFrame:
+    """E5 option: a stage's elapsed seconds measured from its own requests
+    (last minus first timestamp, floored at 1 ms) instead of the plan."""
+    return requests.where(F.col("stage_index").isNotNull()).groupBy(run_col, "stage_index").agg(
+        F.expr("greatest(CAST(unix_micros(max(ts)) - unix_micros(min(ts)) AS DOUBLE) / 1e6D, 0.001D)")
+        .alias("elapsed_seconds"))
+
+
 def model_summary(requests: DataFrame, run_col: str = "run_id", method: str = "histogram",
                   order_cols: tuple[str, ...] = ("ts", "event_id"), use_seq: bool = False) -> DataFrame:
     """E3 + G4: per (run, model) totals, success rate, mean and percentiles,

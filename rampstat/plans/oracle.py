@@ -605,3 +605,24 @@ SELECT c.run_id, CAST(to_json({{
   'benchmark': {{'suite': c.benchmark_suite, 'description': COALESCE(d.label, 'Unknown')}},
   'timeout': c.timeout}}) AS VARCHAR) AS config_json
 FROM cfg c LEFT JOIN ml ON ml.run_id = c.run_id LEFT JOIN descs d ON d.suite_id = c.benchmark_suite""")
+
+ORACLE["stage_metrics_observed"] = _q(""",
+el AS (
+  SELECT run_id, stage_index,
+         GREATEST(CAST(epoch_us(MAX(ts)) - epoch_us(MIN(ts)) AS DOUBLE) / CAST(1e6 AS DOUBLE),
+                  CAST(0.001 AS DOUBLE)) AS el
+  FROM req WHERE stage_index IS NOT NULL GROUP BY run_id, stage_index)
+SELECT s.run_id, s.stage_index, COALESCE(e.el, s.duration) AS elapsed_seconds, s.target_rps,
+       CASE WHEN COALESCE(a.n, 0) > 0
+            THEN CAST(a.n AS DOUBLE) / GREATEST(COALESCE(e.el, s.duration), CAST(0.001 AS DOUBLE))
+            ELSE CAST(0.0 AS DOUBLE) END AS achieved_rps,
+       s.active_users, CAST(COALESCE(a.n, 0) AS BIGINT) AS total_requests,
+       CAST(COALESCE(a.ok, 0) AS BIGINT) AS successful, CAST(COALESCE(a.n - a.ok, 0) AS BIGINT) AS failed,
+       COALESCE(round_even(a.avg_l, 6), CAST(0.0 AS DOUBLE)) AS avg_latency_ms,
+       COALESCE(a.p50, CAST(0.0 AS DOUBLE)) AS p50_latency_ms,
+       COALESCE(a.p95, CAST(0.0 AS DOUBLE)) AS p95_latency_ms,
+       COALESCE(a.p99, CAST(0.0 AS DOUBLE)) AS p99_latency_ms,
+       CASE WHEN COALESCE(a.n, 0) > 0 THEN CAST(a.n - a.ok AS DOUBLE) / CAST(a.n AS DOUBLE)
+            ELSE CAST(0.0 AS DOUBLE) END AS error_rate
+FROM sched s LEFT JOIN agg a ON a.run_id = s.run_id AND a.stage_index = s.stage_index
+LEFT JOIN el e ON e.run_id = s.run_id AND e.stage_index = s.stage_index""")

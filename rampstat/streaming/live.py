@@ -55,6 +55,7 @@ def live_counters(requests: DataFrame) -> DataFrame:
         (F.count("*") - F.sum(ok)).cast("long").alias("stage_failed"),
         F.max("target_rps").alias("target_rps"),
         F.max("active_users").alias("active_users"),
+        F.max("ts").alias("last_ts"),
         F.avg("latency_ms").alias("_avg"))
 
 
@@ -88,6 +89,38 @@ def stage_windows(requests: DataFrame, stage_seconds: int, start_offset: str,
                     report_round(F.col("_avg"), 6).alias("avg_latency_ms")))
 
 
+def start_live_progress(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
+                        runs: DataFrame, schedule: DataFrame, trigger: str | None = "2 seconds",
+                        glob: str = "*.parquet"):
+    """Start the live progress query.
+
+    Every trigger (2 s by default, like the dashboard refresh) folds new
+    request files into the per-stage counters; ``foreachBatch`` then writes
+    two tables under ``out_dir``: ``counters`` (one row per run and stage)
+    and ``latest`` (one row per run: the stage with the newest request - last
+    write wins - and the age of that request at the batch's processing
+    time). ``trigger=None`` processes what is available and stops (tests).
+    The query resumes from ``checkpoint`` after a restart or a stop."""
+    stream = read_event_stream(spark, source_dir, glob=glob)
+    counters = live_counters(live_requests(stream, runs, schedule))
+
+    def publish(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/counters")
+        latest = batch.groupBy("run_id").agg(
+            F.max_by(F.struct("stage_index", "stage_count", "stage_successful", "stage_failed",
+                              "target_rps", "active_users", "last_ts"),
+                     F.struct("last_ts", "stage_index")).alias("s"))
+        latest.select("run_id", "s.*",
+                      (F.unix_micros(F.current_timestamp()) - F.unix_micros("s.last_ts"))
+                      .cast("double").__truediv__(1e6).alias("age_s")) \
+            .write.mode("overwrite").parquet(f"{out_dir}/latest")
+
+    w = counters.writeStream.outputMode("complete").option("checkpointLocation", checkpoint) \
+        .foreachBatch(publish)
+    w = w.trigger(availableNow=True) if trigger is None else w.trigger(processingTime=trigger)
+    return w.start()
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

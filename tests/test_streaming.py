@@ -10,6 +10,7 @@ from rampstat.plans.pipeline import EventRuns
 from rampstat.sources import fixtures as fx
 from rampstat.streaming.live import (
     live_counters, live_requests, read_event_stream, run_available_now, stage_windows,
+    start_live_progress,
 )
 from tests.conftest import SF001
 
@@ -18,8 +19,12 @@ def _split_events(spark, n_files=4):
     """events rewritten as several time-ordered files in a fresh folder."""
     d = tempfile.mkdtemp(prefix="events-stream-", dir="/tmp")
     ev = spark.read.parquet(f"{SF001}/events.parquet")
-    ev.repartitionByRange(n_files, "ts").write.parquet(os.path.join(d, "batch"))
     src = os.path.join(d, "batch")
+    ev.repartitionByRange(n_files, "ts").sortWithinPartitions("ts").write.parquet(src)
+    # the file source reads files in modification-time order: make it time order
+    parts = sorted(f for f in os.listdir(src) if f.endswith(".parquet"))
+    for i, f in enumerate(parts):
+        os.utime(os.path.join(src, f), (1_700_000_000 + i, 1_700_000_000 + i))
     return src
 
 
@@ -55,3 +60,15 @@ def test_stage_windows_append_closed_stages(spark):
     # restart from the checkpoint: nothing new, nothing duplicated
     run_available_now(wins, "append", out, ck)
     assert spark.read.parquet(out).count() == 4 * 9
+
+
+def test_live_progress_publishes_counters_and_latest(spark):
+    src = _split_events(spark)
+    er = EventRuns(spark, SF001)
+    out = tempfile.mkdtemp(prefix="live-", dir="/tmp")
+    ck = tempfile.mkdtemp(prefix="ck-", dir="/tmp")
+    q = start_live_progress(spark, src, out, ck, er.runs, er.schedule, trigger=None)
+    q.awaitTermination(300)
+    latest = spark.read.parquet(f"{out}/latest").collect()
+    assert len(latest) == 4 and all(r.stage_index == 9 and r.age_s > 0 for r in latest)
+    assert spark.read.parquet(f"{out}/counters").count() == 40
