@@ -16,7 +16,7 @@ from rampstat.functions.rates import (
     at_least_elapsed, planned_interval_s, progress_fraction, rate_delta, stage_number,
 )
 from rampstat.operators.joins import broadcast_if_small
-from rampstat.operators.ranking import running_sums
+from rampstat.operators.ranking import row_number_in_group, running_sums
 
 US_PER_S = 1000000.0
 
@@ -36,10 +36,12 @@ def running_progress(requests: DataFrame, schedule: DataFrame, runs: DataFrame,
     the run's running total, the stage's elapsed seconds and achieved rate,
     run elapsed ms (F4 + B18), progress fraction (B19) and rate delta (B20).
     ``placeholder`` adds the all-zero row each run starts with (seq 0)."""
-    r = requests.where(F.col("stage_index").isNotNull())
-    ok = (F.col("status") == "success").cast("long")
+    # only the columns progress needs travel through the running-sum pass
+    r = requests.where(F.col("stage_index").isNotNull()).select(
+        run_col, "stage_index", *order_cols, "target_rps", "active_users",
+        (F.col("status") == "success").cast("long").alias("_ok"))
     rs = running_sums(r, [run_col, "stage_index"], list(order_cols),
-                      {"stage_count": F.lit(1), "stage_successful": ok})
+                      {"stage_count": F.lit(1), "stage_successful": "_ok"})
     per_stage = r.groupBy(run_col, "stage_index").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(run_col).orderBy("stage_index").rowsBetween(Window.unboundedPreceding, -1)
     prev = per_stage.select(run_col, "stage_index",
@@ -95,7 +97,7 @@ def pacing_gaps(requests: DataFrame, run_col: str = "run_id", order_cols=("ts",
     The previous request is found by an equi-join on the in-stage position
     (unique keys - the join is evenly spread, even for a dominant run)."""
     r = requests.where(F.col("stage_index").isNotNull())
-    pos = running_sums(r, [run_col, "stage_index"], list(order_cols), {"_pos": F.lit(1)})
+    pos = row_number_in_group(r, [run_col, "stage_index"], list(order_cols), name="_pos")
     cur = pos.select(run_col, "seq", "stage_index", "ts", "target_rps", "_pos")
     prv = pos.select(F.col(run_col).alias("_r"), F.col("stage_index").alias("_s"),
                      (F.col("_pos") + 1).alias("_p"), F.col("ts").alias("_prev_ts"))

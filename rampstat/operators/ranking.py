@@ -136,6 +136,27 @@ def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str],
 def row_number_in_group(df: DataFrame, group_cols: list[str], order_cols: list[str],
                         name: str = "seq", num_partitions: int | None = None) -> DataFrame:
     """1-based position of each row within its group (F5) - ``row_number()``
-    semantics, computed without a single-task window."""
-    out = running_sums(df, group_cols, order_cols, {name: F.lit(1)}, num_partitions)
-    return out
+    semantics without a single-task window, and without Python: after the
+    range shuffle and the sort, ``monotonically_increasing_id()`` numbers the
+    rows of each partition in order (partition id in the upper bits); the
+    ranged rows are checkpointed once, and per-(partition, group) first
+    positions and counts give each group's offsets."""
+    keys = group_cols + order_cols
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    ranged = (df.repartitionByRange(_partitions(df, num_partitions), *keys)
+              .sortWithinPartitions(*keys)
+              .withColumn("__mid", F.monotonically_increasing_id())
+              .checkpoint(eager=True))
+    pid = F.shiftright(F.col("__mid"), 33)
+    starts = ranged.groupBy(pid.alias(_PID), *group_cols).agg(
+        F.min("__mid").alias("__first"), F.count("*").alias("__n"))
+    w = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = broadcast_if_small(starts.select(
+        *[F.col(c).alias(f"__o_{c}") for c in [_PID, *group_cols]], "__first",
+        F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off")))
+    rows = ranged.withColumn(_PID, pid)
+    cond = [rows[c].eqNullSafe(offsets[f"__o_{c}"]) for c in [_PID, *group_cols]]
+    j = rows.join(offsets, cond, "left")
+    return j.select(*[rows[c] for c in df.columns],
+                    (F.col("__off") + F.col("__mid") - F.col("__first") + 1).cast("long").alias(name))
