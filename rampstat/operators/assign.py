@@ -25,29 +25,34 @@ def _epoch_s(col):
 
 
 def run_slots(schedule: DataFrame, runs: DataFrame, run_col: str = "run_id") -> DataFrame:
-    """One row per run: start (epoch s), bucket width (the run's shortest
-    stage) and, per time bucket, the stages overlapping it (one, or two where
-    a bucket straddles a boundary of unequal stages). Its size is the run's
-    stage count, independent of the request volume."""
+    """One row per run: start (epoch s), bucket width ``_w`` (the run's
+    shortest stage) and flat arrays over (bucket, candidate): bucket ``b``
+    keeps its at most two overlapping stages at positions ``2b+1`` and
+    ``2b+2`` of ``_t0s, _t1s, _stages, _targets, _users`` (null when a
+    bucket has one stage). Primitive arrays keep the per-request lookup
+    cheap. Size: the run's stage count, independent of the request volume."""
     width = schedule.groupBy(run_col).agg(F.min("duration").alias("_w"))
     per_bucket = (schedule.join(width, run_col).selectExpr(
-        run_col, "_w",
-        "named_struct('t0', t0_offset_s, 't1', t1_offset_s, 'stage_index', stage_index, "
-        "'target_rps', target_rps, 'active_users', active_users) AS _s",
+        run_col, "_w", "t0_offset_s", "t1_offset_s", "stage_index", "target_rps", "active_users",
         "explode(sequence(CAST(floor(t0_offset_s / _w) AS BIGINT), "
         "greatest(CAST(ceil(t1_offset_s / _w) AS BIGINT) - 1, CAST(floor(t0_offset_s / _w) AS BIGINT)))) AS _b")
-        .groupBy(run_col, "_w", "_b").agg(F.collect_list("_s").alias("_cands")))
-    slots = per_bucket.groupBy(run_col, "_w").agg(
-        F.expr("transform(array_sort(collect_list(struct(_b, _cands))), e -> e._cands)").alias("_slots"))
+        .groupBy(run_col, "_w", "_b").agg(
+            F.expr("array_sort(collect_list(struct(t0_offset_s AS t0, t1_offset_s AS t1, stage_index, "
+                   "target_rps, active_users)))").alias("_c")))
+    pairs = per_bucket.selectExpr(
+        run_col, "_w", "_b",
+        "array(_c[0], try_element_at(_c, 2)) AS _pair")
+    flat = pairs.groupBy(run_col, "_w").agg(
+        F.expr("flatten(transform(array_sort(collect_list(struct(_b, _pair))), e -> e._pair))").alias("_p"))
+    slots = flat.selectExpr(
+        run_col, "_w",
+        "transform(_p, c -> c.t0) AS _t0s", "transform(_p, c -> c.t1) AS _t1s",
+        "transform(_p, c -> c.stage_index) AS _stages", "transform(_p, c -> c.target_rps) AS _targets",
+        "transform(_p, c -> c.active_users) AS _users")
     starts = runs.selectExpr(run_col, "CAST(unix_micros(started_at) AS DOUBLE) / 1e6D AS _t_start")
     return slots.join(starts, run_col)
 
 
-_HIT_SQL = """
-CASE WHEN c1.t0 <= _off AND _off < c1.t1 THEN c1
-     WHEN c2.t0 <= _off AND _off < c2.t1 THEN c2 END"""
-
-
 def assign_stage(requests: DataFrame, schedule: DataFrame, runs: DataFrame,
                  run_col: str = "run_id", ts_col: str = "ts") -> DataFrame:
     """D3: attach ``stage_index, active_users, target_rps`` of the stage whose
@@ -57,19 +62,22 @@ def assign_stage(requests: DataFrame, schedule: DataFrame, runs: DataFrame,
     A single equi-join on the run against ``run_slots`` (one row per run,
     broadcast when a count proves it small - a dominant run then never
     concentrates in one shuffle partition); the request's time bucket indexes
-    the run's slot array and the range is re-checked on the (at most two)
+    the run's slot arrays and the range is re-checked on the (at most two)
     candidates. Requests outside every slot keep null stage columns."""
-    rs = broadcast_if_small(run_slots(schedule, runs, run_col), weight=F.size("_slots"))
+    rs = broadcast_if_small(run_slots(schedule, runs, run_col), weight=F.size("_stages"))
     j = requests.join(rs, run_col, "left")
-    j = j.selectExpr("*", f"CAST(unix_micros({ts_col}) AS DOUBLE) / 1e6D - _t_start AS _off")
-    j = j.selectExpr("*", "CASE WHEN floor(_off / _w) >= 0 THEN "
-                          "try_element_at(_slots, CAST(floor(_off / _w) + 1 AS INT)) END AS _cands")
-    j = j.selectExpr("*", "try_element_at(_cands, 1) AS c1", "try_element_at(_cands, 2) AS c2")
-    j = j.selectExpr(*[f"`{c}`" for c in requests.columns], f"{_HIT_SQL} AS _hit")
+    off = f"(CAST(unix_micros({ts_col}) AS DOUBLE) / 1e6D - _t_start)"
+    b = f"floor({off} / _w)"
+    i1, i2 = f"CAST(2 * {b} + 1 AS INT)", f"CAST(2 * {b} + 2 AS INT)"
+
+    def inside(i):
+        return (f"(try_element_at(_t0s, {i}) <= {off} AND {off} < try_element_at(_t1s, {i}))")
+    k = f"CASE WHEN {b} >= 0 AND {inside(i1)} THEN {i1} WHEN {b} >= 0 AND {inside(i2)} THEN {i2} END"
+    j = j.selectExpr(*[f"`{c}`" for c in requests.columns], "_stages", "_targets", "_users", f"{k} AS _k")
     return j.selectExpr(*[f"`{c}`" for c in requests.columns],
-                        "CAST(_hit.stage_index AS INT) AS stage_index",
-                        "_hit.target_rps AS target_rps",
-                        "CAST(_hit.active_users AS INT) AS active_users")
+                        "CAST(try_element_at(_stages, _k) AS INT) AS stage_index",
+                        "try_element_at(_targets, _k) AS target_rps",
+                        "CAST(try_element_at(_users, _k) AS INT) AS active_users")
 
 
 def assign_stage_fixed(requests: DataFrame, schedule: DataFrame, start_ts: str,
