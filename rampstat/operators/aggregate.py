@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rampstat.operators.percentiles import PCTS, disc_or_approx, percentile_aggs
+from rampstat.operators.joins import broadcast_if_small
 from rampstat.operators.ranking import running_sums
 from rampstat.functions.rates import report_round
 from rampstat.schema import MIN_ELAPSED_S
@@ -113,7 +114,8 @@ def model_summary(requests: DataFrame, run_col: str = "run_id", method: str = "h
     else:
         key = F.struct(*order_cols)
         firsts = requests.groupBy(run_col, "model").agg(F.min(key).alias("_first"))
-        f = firsts.select(F.col(run_col).alias("_r"), F.col("model").alias("_m"), "_first")
+        f = broadcast_if_small(
+            firsts.select(F.col(run_col).alias("_r"), F.col("model").alias("_m"), "_first"))
         keyed = requests.select(F.col(run_col), key.alias("_k"))
         first = (keyed.join(f, keyed[run_col] == f["_r"])
                  .where(F.col("_k") <= F.col("_first"))

@@ -80,19 +80,6 @@ def assign_stage(requests: DataFrame, schedule: DataFrame, runs: DataFrame,
                         "CAST(try_element_at(_users, _k) AS INT) AS active_users")
 
 
-def assign_stage_fixed(requests: DataFrame, schedule: DataFrame, start_ts: str,
-                       duration_s: float, run_col: str = "run_id", ts_col: str = "ts") -> DataFrame:
-    """D3 when every run shares one start and one constant stage duration:
-    the stage is a computed key, then an equi-join."""
-    off = F.unix_micros(F.col(ts_col)) - F.unix_micros(F.to_timestamp(F.lit(start_ts)))
-    dur = int(round(duration_s * 1e6))
-    idx = F.when(off >= 0, F.floor(off / F.lit(dur))).cast("int")
-    req = requests.withColumn("stage_index", idx)
-    sch = schedule.select(run_col, "stage_index", "target_rps", "active_users")
-    return req.join(sch, [run_col, "stage_index"], "left").withColumn(
-        "stage_index", F.when(F.col("target_rps").isNotNull(), F.col("stage_index")).cast("int"))
-
-
 def with_sequence(requests: DataFrame, run_col: str = "run_id",
                   order_cols: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """1-based request number within the run in arrival order."""

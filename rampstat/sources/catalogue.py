@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rampstat.functions.text import parse_prompt_id, prompt_id
@@ -82,10 +82,12 @@ def suite_counts(suites_df: DataFrame, prompts: DataFrame) -> DataFrame:
     """E11 prompts per suite (and whether it has any) + E10 distinctness of
     labels and details over the dimension."""
     cnt = prompts.groupBy("suite_id").agg(F.count("*").cast("long").alias("n_prompts"))
-    distinct = suites_df.agg(
-        (F.countDistinct("label") == F.count("label")).alias("labels_distinct"),
-        (F.countDistinct("detail") == F.count("detail")).alias("details_distinct"))
-    j = suites_df.join(cnt, "suite_id", "left").crossJoin(distinct)  # one-row side
+    # the dimension has a fixed handful of rows: a window over all of it is bounded
+    whole = Window.partitionBy()
+    j = suites_df.join(cnt, "suite_id", "left").select(
+        "*",
+        (F.size(F.collect_set("label").over(whole)) == F.count("label").over(whole)).alias("labels_distinct"),
+        (F.size(F.collect_set("detail").over(whole)) == F.count("detail").over(whole)).alias("details_distinct"))
     return j.select("suite_order", "suite_id", "label", "detail",
                     F.coalesce(F.col("n_prompts"), F.lit(0)).cast("long").alias("n_prompts"),
                     (F.coalesce(F.col("n_prompts"), F.lit(0)) > 0).alias("has_prompts"),

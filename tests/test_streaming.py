@@ -72,3 +72,32 @@ def test_live_progress_publishes_counters_and_latest(spark):
     latest = spark.read.parquet(f"{out}/latest").collect()
     assert len(latest) == 4 and all(r.stage_index == 9 and r.age_s > 0 for r in latest)
     assert spark.read.parquet(f"{out}/counters").count() == 40
+
+
+def test_late_rows_after_the_watermark_do_not_reopen_a_stage(spark):
+    import datetime as dt
+    d = tempfile.mkdtemp(prefix="late-", dir="/tmp")
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    a = ev.where("ts < TIMESTAMP'2024-01-05 00:00:00'")
+    b = ev.where("ts >= TIMESTAMP'2024-01-20 00:00:00' AND ts < TIMESTAMP'2024-01-21 00:00:00'")
+    filler = ev.where("ts >= TIMESTAMP'2024-01-21 00:00:00' AND ts < TIMESTAMP'2024-01-22 00:00:00'")
+    late = ev.where("ts >= TIMESTAMP'2024-01-05 00:00:00' AND ts < TIMESTAMP'2024-01-07 00:00:00'")
+    # rows are late against the watermark of the previous batch: the filler
+    # batch closes stage [Jan 4, Jan 7) before the late file arrives
+    for i, part in enumerate([a, b, filler, late]):
+        out = os.path.join(d, f"f{i}")
+        part.coalesce(1).write.parquet(out)
+        f = next(x for x in os.listdir(out) if x.endswith(".parquet"))
+        os.rename(os.path.join(out, f), os.path.join(d, f"events-{i}.parquet"))
+        os.utime(os.path.join(d, f"events-{i}.parquet"), (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = read_event_stream(spark, d, glob="events-*.parquet")
+    wins = stage_windows(normalize_requests(fx.raw_outcomes(stream)), 259200, "1 day")
+    out = tempfile.mkdtemp(prefix="out-", dir="/tmp")
+    ck = tempfile.mkdtemp(prefix="ck-", dir="/tmp")
+    run_available_now(wins, "append", out, ck)
+    res = spark.read.parquet(out)
+    stage1 = res.where(F.col("window_start") == dt.datetime(2024, 1, 4)).groupBy().sum("total_requests").first()[0]
+    early = a.where("ts >= TIMESTAMP'2024-01-04 00:00:00'").count()
+    # the late file's rows (Jan 5-6) arrived after the watermark passed the stage: dropped
+    assert stage1 == early
+    assert res.groupBy("run_id", "window_start").count().where("count > 1").count() == 0
