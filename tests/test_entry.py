@@ -60,3 +60,10 @@ def test_scan_is_pruned(spark):
     scans = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and "events" in ln]
     # the summary needs ts/user/type/value/props of events, never more
     assert scans and all("ReadSchema" in ln for ln in scans)
+
+
+def test_raw_report_joins_stages_by_broadcast(spark):
+    df = E.queries()["raw_report"](spark, SF001)
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
