@@ -12,10 +12,11 @@ task; one run may hold a third of a 100 TB log. Instead we
    window over that table only (its size is partitions + groups);
 4. add the offsets back (equi-join on partition id and group keys).
 
-Step 2 is written once with a reliable ``checkpoint()`` (the session's
-shared checkpoint directory): the row pass and the totals pass read the same
-files, so partition ids always agree - even if Spark re-plans, re-samples the
-range bounds or loses an executor - and the lineage is cut there. Order keys
+Step 2 is written once as a Parquet table in the session's shared checkpoint
+directory (``materialize``): the row pass and the totals pass read the same
+files, so partition ids (kept as a column) always agree - even if Spark
+re-plans, re-samples the range bounds or loses an executor - and the lineage
+is cut there. Order keys
 must make the order total within a group (e.g. ``ts, event_id``).
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rampstat.operators.joins import broadcast_if_small
-from rampstat.session import checkpoint_dir
+from rampstat.session import materialize
 
 _PID = "__pid"
 _KIND = "__kind"  # 0 = data row, 1 = per-(partition, group) total row
@@ -108,8 +109,7 @@ def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str],
             tot[_KIND] = 1
             yield tot
 
-    checkpoint_dir(df.sparkSession)
-    local = ranged.mapInPandas(local_cumsum, out_schema).checkpoint(eager=True)
+    local = materialize(ranged.mapInPandas(local_cumsum, out_schema), "running-sums")
 
     totals = local.where(F.col(_KIND) == 1).select(_PID, *group_cols, *tmp)
     w = (Window.partitionBy(*group_cols).orderBy(_PID)
@@ -139,15 +139,12 @@ def row_number_in_group(df: DataFrame, group_cols: list[str], order_cols: list[s
     semantics without a single-task window, and without Python: after the
     range shuffle and the sort, ``monotonically_increasing_id()`` numbers the
     rows of each partition in order (partition id in the upper bits); the
-    ranged rows are checkpointed once, and per-(partition, group) first
-    positions and counts give each group's offsets."""
+    ranged rows are written once (``materialize``), and per-(partition,
+    group) first positions and counts give each group's offsets."""
     keys = group_cols + order_cols
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    ranged = (df.repartitionByRange(_partitions(df, num_partitions), *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("__mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    ranged = materialize(df.repartitionByRange(_partitions(df, num_partitions), *keys)
+                         .sortWithinPartitions(*keys)
+                         .withColumn("__mid", F.monotonically_increasing_id()), "row-numbers")
     pid = F.shiftright(F.col("__mid"), 33)
     starts = ranged.groupBy(pid.alias(_PID), *group_cols).agg(
         F.min("__mid").alias("__first"), F.count("*").alias("__n"))

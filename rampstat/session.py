@@ -64,3 +64,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="rampstat-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` once as a Parquet table under the shared
+    checkpoint directory and reading it back (one pass, columnar; unlike an
+    unpersisted RDD checkpoint the plan is not run twice). Callers keep any
+    partition identity they need as a column."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
