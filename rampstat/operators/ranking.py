@@ -12,9 +12,10 @@ task; one run may hold a third of a 100 TB log. Instead we
    window over that table only (its size is partitions + groups);
 4. add the offsets back (equi-join on partition id and group keys).
 
-Step 2 is written once as a Parquet table in the session's shared checkpoint
-directory (``materialize``): the row pass and the totals pass read the same
-files, so partition ids (kept as a column) always agree - even if Spark
+Step 2 is written once with a reliable checkpoint in the session's shared
+checkpoint directory (``materialize``: persist, checkpoint, release - the
+pass runs once): the row pass and the totals pass read the same files, so
+partition ids (kept as a column) always agree - even if Spark
 re-plans, re-samples the range bounds or loses an executor - and the lineage
 is cut there. Order keys
 must make the order total within a group (e.g. ``ts, event_id``).

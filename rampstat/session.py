@@ -67,12 +67,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df, name: str = "stage"):
-    """Cut lineage by writing ``df`` once as a Parquet table under the shared
-    checkpoint directory and reading it back (one pass, columnar; unlike an
-    unpersisted RDD checkpoint the plan is not run twice). Callers keep any
-    partition identity they need as a column."""
-    import uuid
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Cut lineage with a reliable checkpoint in the session's shared
+    checkpoint directory. The plan is persisted first so the pass runs once
+    (the checkpoint writer reads the cached blocks instead of recomputing),
+    and released right after. ``name`` labels the step for readers."""
+    from pyspark import StorageLevel
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
