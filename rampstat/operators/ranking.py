@@ -38,10 +38,14 @@ _PID = "__pid"
 _KIND = "__kind"  # 0 = data row, 1 = per-(partition, group) total row
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
+def _range_partition(df: DataFrame, keys: list[str], num_partitions: int | None) -> DataFrame:
+    """Range-partition by ``keys``. Without an explicit count Spark uses
+    ``spark.sql.shuffle.partitions`` and AQE may coalesce adjacent ranges to
+    fit the data size - coalesced partitions stay contiguous, so partition
+    ids keep the range order."""
     if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartitionByRange(int(num_partitions), *keys)
+    return df.repartitionByRange(*keys)
 
 
 def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str],
@@ -58,8 +62,7 @@ def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str],
         F.coalesce((F.col(v) if isinstance(v, str) else v).cast("long"), F.lit(0)).alias(t)
         for v, t in zip(values.values(), tmp)])
     keys = group_cols + order_cols
-    ranged = (staged.repartitionByRange(_partitions(df, num_partitions), *keys)
-              .sortWithinPartitions(*keys))
+    ranged = _range_partition(staged, keys, num_partitions).sortWithinPartitions(*keys)
 
     # total rows carry nulls in the payload columns: every field is nullable
     out_schema = T.StructType(
@@ -143,7 +146,7 @@ def row_number_in_group(df: DataFrame, group_cols: list[str], order_cols: list[s
     ranged rows are written once (``materialize``), and per-(partition,
     group) first positions and counts give each group's offsets."""
     keys = group_cols + order_cols
-    ranged = materialize(df.repartitionByRange(_partitions(df, num_partitions), *keys)
+    ranged = materialize(_range_partition(df, keys, num_partitions)
                          .sortWithinPartitions(*keys)
                          .withColumn("__mid", F.monotonically_increasing_id()), "row-numbers")
     pid = F.shiftright(F.col("__mid"), 33)

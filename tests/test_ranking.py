@@ -40,3 +40,19 @@ def test_null_group_keys(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (1, 3)], "g int, x int")
     out = {(r.g, r.x): r.c for r in running_sums(df, ["g"], ["x"], {"c": F.lit(1)}).collect()}
     assert out == {(None, 1): 1, (None, 2): 2, (1, 3): 1}
+
+
+def test_aqe_coalesced_ranges_stay_in_order(spark):
+    # many shuffle partitions on small data: AQE coalesces adjacent ranges
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = spark.range(0, 30000).select((F.col("id") % 5).alias("g"),
+                                          (F.xxhash64("id") % 700).alias("x"), "id")
+        w = Window.partitionBy("g").orderBy("x", "id").rowsBetween(Window.unboundedPreceding, 0)
+        ref = sorted(map(tuple, df.select("*", F.count("*").over(w).alias("c")).collect()))
+        out = running_sums(df, ["g"], ["x", "id"], {"c": F.lit(1)})
+        assert sorted(map(tuple, out.collect())) == ref
+        rn = row_number_in_group(df, ["g"], ["x", "id"], name="c")
+        assert sorted(map(tuple, rn.collect())) == ref
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
