@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rampstat.llm import line_dedup
+from rampstat.llm import line_dedup, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
 }
 
 ORACLE = {
