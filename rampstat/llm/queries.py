@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from rampstat.llm import line_dedup, packing
+from rampstat.llm import line_dedup, packing, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op3_warc_salvage": warc.op3_warc_salvage,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
 }
 
 ORACLE = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op3_warc_salvage": warc.ORACLE,
 }
