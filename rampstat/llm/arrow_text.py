@@ -25,10 +25,17 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         yield batch.slice(start)
 
 
+def whole(texts: pa.Array) -> pa.Array:
+    """The texts (null: empty) as an array with buffers of its own: some string
+    kernels misread an array that begins inside a larger buffer."""
+    t = pc.fill_null(texts, "").cast(pa.large_string())
+    return pa.concat_arrays([t, pa.array([], t.type)])
+
+
 def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """White-space words (``[^\\x20\\x09-\\x0D]+``) of each text: the row each word
     is in, the distinct words, and each word's place among them."""
-    t = pc.fill_null(texts, "").cast(pa.large_string())
+    t = whole(texts)
     split = pc.ascii_split_whitespace(pc.ascii_lower(t) if lower else t)
     flat = pc.list_flatten(split)
     row = pc.list_parent_indices(split).to_numpy(zero_copy_only=False)

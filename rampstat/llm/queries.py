@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rampstat.llm import line_dedup, packing, warc
+from rampstat.llm import line_dedup, packing, quality, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_warc_salvage": warc.op3_warc_salvage,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLE = {
