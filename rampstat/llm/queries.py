@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rampstat.llm import license_scan, line_dedup, packing, quality, warc
+from rampstat.llm import license_scan, line_dedup, packing, quality, sharding, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_warc_salvage": warc.op3_warc_salvage,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_extendible_sharding": sharding.op5_extendible_sharding,
     "op8_license_scan": license_scan.op8_license_scan,
     "op10_quality_rules": quality.op10_quality_rules,
 }
@@ -15,5 +16,6 @@ QUERIES = {
 ORACLE = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op3_warc_salvage": warc.ORACLE,
+    "op5_extendible_sharding": sharding.ORACLE,
     "op8_license_scan": license_scan.ORACLE,
 }
