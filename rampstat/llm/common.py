@@ -91,10 +91,19 @@ def digest(c: Column) -> Column:
 
 
 def ascii_lower(c: Column) -> Column:
-    """Lower-cases A-Z alone. ``lower`` does that on texts of ASCII only, and
-    is much faster there than ``translate``."""
-    plain = F.octet_length(c) == F.char_length(c)
-    return F.when(plain, F.lower(c)).otherwise(F.translate(c, string.ascii_uppercase, string.ascii_lowercase))
+    """Lower-cases A-Z alone. ``lower`` does just that wherever every other
+    character is ASCII, a lower-case letter or a letter without case; the rest
+    takes one ``replace`` for each letter, still far faster than ``translate``."""
+    plain = (F.octet_length(c) == F.char_length(c)) | ~F.rlike(c, F.lit(r"[^\x00-\x7F\p{Ll}\p{Lo}]"))
+    slow = c
+    for x in string.ascii_uppercase:
+        slow = F.replace(slow, F.lit(x), F.lit(x.lower()))
+    return F.when(plain, F.lower(c)).otherwise(slow)
+
+
+def hash128(c: Column) -> list[Column]:
+    """Two longs that stand for a text in joins and groups; never null."""
+    return [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2")]
 
 
 def broadcast_below(df: DataFrame, rows: int) -> DataFrame:

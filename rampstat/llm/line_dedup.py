@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampstat.llm.common import SPACE, ascii_lower, digest, given_id, known_id, table, text_of
+from rampstat.llm.common import SPACE, ascii_lower, digest, given_id, hash128, known_id, table, text_of
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -35,10 +35,10 @@ def line_flags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = docs.select(known_id(F.col(id_col)).alias("did"), text_of(F.col(text_col)).alias("t")).select(
         "did", digest(F.col("t")).alias("tid"), F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
     key = F.btrim("line", F.lit(SPACE))
-    lines = lines.select("did", "tid", "pos", F.when(F.char_length(key) >= min_chars, digest(ascii_lower(key))).alias("h"))
-    holders = lines.where("h IS NOT NULL").groupBy("h", "did").agg(F.lit(1).alias("one"))
-    common = holders.groupBy("h").agg(F.sum("one").alias("n"), F.min("did").alias("keeper")).where(F.col("n") >= min_docs)
-    hit = lines.where("h IS NOT NULL").join(common.select("h", "keeper"), "h").where("did <> keeper")
+    lines = lines.where(F.char_length(key) >= min_chars).select("did", "tid", "pos", *hash128(ascii_lower(key)))
+    holders = lines.groupBy("h1", "h2", "did").agg(F.lit(1).alias("one"))
+    common = holders.groupBy("h1", "h2").agg(F.sum("one").alias("n"), F.min("did").alias("keeper")).where(F.col("n") >= min_docs)
+    hit = lines.join(common.drop("n"), ["h1", "h2"]).where("did <> keeper")
     # a document's dropped positions: bounded by its own lines
     return hit.groupBy("did", "tid").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
