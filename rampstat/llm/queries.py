@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rampstat.llm import license_scan, line_dedup, near_dedup, packing, quality, sharding, warc
+from rampstat.llm import decontamination, license_scan, line_dedup, near_dedup, packing, quality, sharding, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
     "op3_warc_salvage": warc.op3_warc_salvage,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_extendible_sharding": sharding.op5_extendible_sharding,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op2_benchmark_decontamination": decontamination.ORACLE,
     "op3_warc_salvage": warc.ORACLE,
     "op5_extendible_sharding": sharding.ORACLE,
     "op8_license_scan": license_scan.ORACLE,
