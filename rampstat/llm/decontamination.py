@@ -134,6 +134,15 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
                                              F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+          item_text_col: str = "text") -> DataFrame:
+    """The rows without any occurrence of a window, all their columns as they are."""
+    found = save(find(docs, items, WINDOW, 0, id_col, text_col, item_col, item_text_col)[0].select(*ROW).distinct(), "dirty")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = docs.select(row, known_id(F.col(id_col)).alias("did"), F.hash(text_of(F.col(text_col).cast("string"))).alias("th"))
+    return named.join(broadcast_below(found, BROADCAST_ROWS), ROW, "left_anti").select("row.*")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return done.select(given_id(F.col("did")).alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

@@ -204,6 +204,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     return out.withColumn("kept", F.col("did") == F.col("component_id"))
 
 
+def keep_first(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of the document with the smallest id of each component, all their
+    columns as they are (of rows that share an id, all or none)."""
+    kept = near_duplicates(docs, percent, id_col, text_col).where("kept").select("did").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, known_id(F.col(id_col)).alias("did")).join(kept, "did", "left_semi").select("row.*")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = near_duplicates(table(spark, sf_dir, "documents"))
     return done.select(given_id(F.col("did")).alias("doc_id"), "n_shingles", given_id(F.col("component_id")).alias("component_id"), "kept")

@@ -252,44 +252,50 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
 
 
 def verdicts(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``did`` (null id as NO_ID), the counts, ``base_failed``, ``probability``
-    (of good quality) and ``kept``, beside ``row``, a struct of the row's own columns."""
+    """Per row: ``did`` (null id as NO_ID), the counts, ``probability`` (of good
+    quality), ``base_failed`` and ``kept``."""
     ship(docs.sparkSession)
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), known_id(F.col(id_col)).alias("did"),
-                    F.col(text_col).cast("string").alias("t"))
-    row_type = d.schema["row"].dataType.simpleString()
-    scored = d.mapInArrow(judge(model, True), f"row {row_type}, did long, {COUNTS}, probability double")
-    return with_verdict(scored)
 
-
-def judge(model: Model | None, with_row: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
-                texts = part.column("t")
-                row, u, ix = words(texts, lower=False)
-                own = [pa.array(x.astype(np.int64)) for x in counts(texts, row, ix)]
-                if model is None:
-                    p = pa.nulls(part.num_rows, pa.float64())
-                else:
-                    row, u, ix = words(texts)
-                    p = pa.array(model.probability(score(model, features(texts, row, u, ix))).astype(np.float64))
-                lead = [part.column("row"), part.column("did")] if with_row else [part.column("did")]
-                yield pa.RecordBatch.from_arrays([*lead, *own, p], [*["row"] * with_row, "did", *[x.split()[0] for x in COUNTS.split(", ")], "probability"])
+                own = judged(part.column("t"), model)
+                yield pa.RecordBatch.from_arrays([part.column("did"), *own.values()], ["did", *own])
+
+    d = docs.select(known_id(F.col(id_col)).alias("did"), F.col(text_col).cast("string").alias("t"))
+    return d.mapInArrow(run, f"did long, {COUNTS}, probability double, base_failed boolean, kept boolean")
+
+
+def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows whose text is kept, all their columns as they are."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(judged(part.column(text_col), model)["kept"])
 
-    return run
+    return docs.mapInArrow(run, docs.schema)
 
 
-def with_verdict(scored: DataFrame) -> DataFrame:
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn(
-        "kept", ~failed & F.coalesce(F.col("probability") >= KEEP_PROBABILITY, F.lit(True)))
+def judged(texts: pa.Array, model: Model | None) -> dict[str, pa.Array]:
+    """Counts, probability and verdicts of each text."""
+    row, u, ix = words(texts, lower=False)
+    own = [x.astype(np.int64) for x in counts(texts, row, ix)]
+    n_words, n_repeat_words = own[0], own[-1]
+    failed = (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+    kept, p = ~failed, pa.nulls(len(texts), pa.float64())
+    if model is not None:
+        row, u, ix = words(texts)
+        p = model.probability(score(model, features(texts, row, u, ix))).astype(np.float64)
+        kept = kept & (p >= KEEP_PROBABILITY)
+        p = pa.array(p)
+    names = [x.split()[0] for x in COUNTS.split(", ")]
+    return dict(zip(names, map(pa.array, own), strict=True)) | {"probability": p, "base_failed": pa.array(failed), "kept": pa.array(kept)}
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    d = docs.select(known_id(F.col("doc_id")).alias("did"), F.col("text").alias("t"))
-    scored = with_verdict(d.mapInArrow(judge(model, False), f"did long, {COUNTS}, probability double"))
-    return scored.select(given_id(F.col("did")).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                         "n_repeat_words", "base_failed", "kept", "probability")
+    done = verdicts(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return done.select(given_id(F.col("did")).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                       "n_repeat_words", "base_failed", "kept", "probability")
