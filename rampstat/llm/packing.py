@@ -7,8 +7,8 @@ are dealt at random into groups of about ``GROUP_BINS`` sequences' worth of toke
 order, and improved by local search: a piece of the emptiest bin moves to, or one
 or two pieces are exchanged one-for-one, two-for-one or one-for-two with, an
 underfull bin, whenever the sum of squared fills rises; bins that end empty go.
-What lies in underfull bins is dealt again into fewer groups, until one group
-is left, so grouping costs next to no sequences.
+What lies in bins that still have much room is dealt again into fewer groups,
+until one group is left, so grouping costs next to no sequences.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed
 each by itself; a null id stays null; an empty table gives no rows. Very long
@@ -17,7 +17,9 @@ texts are tokenised whole and cut only at multiples of ``max_len``.
 
 from __future__ import annotations
 
-import string
+import json
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -35,27 +37,51 @@ MAX_LEN = 4096
 END_ID = 1
 #: Sequences' worth of tokens in a group that one task packs.
 GROUP_BINS = 1500
+#: A bin with this part of a sequence free, or more, is packed again.
+LOOSE = 16
 #: Words whose ids a Python worker keeps; beyond that it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 LONGEST_CACHED = 64
+#: Bytes of text that are tokenised at a time: more, and more words repeat.
+TOKEN_SLICE = 6 << 20
 
 PIECE = "did long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Words of printable ASCII and Latin-1 letters: lower-casing them is the same
+#: everywhere and they compose with nothing, so they can be cut into runs here.
+PLAIN = re.compile("[\\x21-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+RUN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: The steps of the tokenizer for which RUN does what its own steps do.
+STEPS_KNOWN = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordIds:
     """Token ids of white-space words. For tokenizers that drop white space, a
     text's ids are those of its words one after the other, and most words
-    repeat, so each is encoded once. Missing words are encoded in one call, set
-    apart by a special token that no ordinary word can produce."""
+    repeat, so each is encoded once. Plain words are cut into the tokenizer's
+    runs here and encoded many in one call, a run ending at a token that ends
+    words; the others are set apart by a special token and take every step."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items() if t.special}
         self.mark, self.mark_id = max(special.items(), key=lambda x: x[1])
         self.opens = self.mark[:2]
-        self.lowers = all(self.tok.normalizer.normalize_str(c) == c.lower() for c in string.ascii_uppercase) if self.tok.normalizer else False
+        spec = json.loads(self.tok.to_str())
+        steps = [[x["type"] for x in (spec[k] or {}).get(part, [])] for k, part in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        suffix = spec["model"].get("end_of_word_suffix")
+        if (steps[0], steps[1]) != STEPS_KNOWN or not suffix or spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] != {"Regex": SPLIT}:
+            raise ValueError(f"{path}: words can't be encoded apart for this tokenizer")
+        self.runs = Tokenizer.from_str(self.tok.to_str())
+        self.runs.normalizer = None
+        self.runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(False, use_regex=False)])
+        self.ends_word = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -65,62 +91,75 @@ class WordIds:
         self.hits = np.zeros(CACHE_WORDS, np.int32)
 
     def shrink(self) -> None:
-        """Forget the words that came in one slice only."""
+        """Forget the words that came in one slice only, or all if most came again."""
         ends = np.array(self.ends, np.int64)
         kept = {w: i for w, i in self.place.items() if self.hits[i] > 1}
-        if len(kept) > CACHE_WORDS // 2:
-            kept = {}
-        at = np.fromiter(kept.values(), np.int64, len(kept))
+        at = np.unique(np.fromiter(kept.values(), np.int64, len(kept)))
+        if len(at) > CACHE_WORDS // 2:
+            at, kept = at[:0], {}
         size = ends[at + 1] - ends[at]
         to = np.cumsum(size)
         flat = self.ids[np.repeat(ends[at] - (to - size), size) + np.arange(to[-1] if len(to) else 0)]
+        now = dict(zip(at.tolist(), range(len(at)), strict=True))
         self.clear()
-        self.place = {w: i for i, w in enumerate(kept)}
+        self.place = {w: now[i] for w, i in kept.items()}
         self.ids = np.concatenate([flat, self.ids])
         self.ends = [0, *to.tolist()]
-        self.hits[:len(kept)] = 1
-
-    def encode(self, plain: list[str], odd: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words one after the other, and how many each has; ``odd``
-        words might hold a special token and are encoded one by one."""
-        flat, sizes = [], []
-        for i in range(0, len(plain), 20_000):
-            part = self.mark.join(plain[i:i + 20_000]) + self.mark
-            ids = np.array(self.tok.encode_batch_fast([part], add_special_tokens=False)[0].ids, np.uint32)
-            mark = ids == self.mark_id
-            flat.append(ids[~mark])
-            sizes.append(np.diff(np.flatnonzero(mark), prepend=-1) - 1)
+        self.hits[:len(at)] = 1
+
+    def encode_plain(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [[w] if w.isalpha() else RUN.findall(w) for w in plain]
+        texts = [" ".join([" ".join(x) for x in parts[i:i + 250]]) for i in range(0, len(parts), 250)]
+        got = self.runs.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in got])
+        ends = np.flatnonzero(self.ends_word[ids])[np.cumsum([len(x) for x in parts]) - 1] + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def encode_others(self, others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tok.encode_batch_fast([self.mark.join(others) + self.mark], add_special_tokens=False)[0].ids, np.uint32)
+        mark = ids == self.mark_id
+        return ids[~mark], np.diff(np.flatnonzero(mark), prepend=-1) - 1
+
+    def is_plain(self, w: str) -> bool:
+        return (w.isprintable() if w.isascii() else PLAIN.fullmatch(w) is not None) and self.opens not in w
+
+    def encode(self, plain: list[str], rest: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in the order of their ids, the ids one after the other, and
+        how many each word has. A word that may hold a special token goes alone."""
+        odd = [w for w in rest if self.opens in w]
+        others = [w for w in rest if self.opens not in w]
+        done = [self.encode_plain(plain)] if plain else []
+        done += [self.encode_others(others[i:i + 10_000]) for i in range(0, len(others), 10_000)]
         for w in odd:
             ids = np.array(self.tok.encode(w, add_special_tokens=False).ids, np.uint32)
-            flat.append(ids)
-            sizes.append(np.array([len(ids)]))
-        return np.concatenate(flat), np.concatenate(sizes)
+            done.append((ids, np.array([len(ids)])))
+        return plain + others + odd, np.concatenate([x for x, _ in done]), np.concatenate([n for _, n in done])
 
     def lookup(self, u: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each word's ids within ``self.ids``."""
-        # A-Z may be lowered before the tokenizer does it only where no other
-        # character follows that could compose with a letter
-        u = [w.lower() if w.isascii() and self.opens not in w else w for w in u] if self.lowers else u
-        new = [w for w in dict.fromkeys(u) if w not in self.place]
-        if len(self.ends) + len(new) > CACHE_WORDS:
+        if len(self.ends) + len(u) > CACHE_WORDS:
             self.shrink()
-            new = [w for w in dict.fromkeys(u) if w not in self.place]
-            self.hits = np.zeros(max(CACHE_WORDS, len(self.ends) + len(new)), np.int32)
+        place = self.place
+        missing = [w for w in u if w not in place]
+        # lower-casing a plain word before the tokenizer does changes nothing
+        lowered = [w.lower() if self.is_plain(w) else w for w in missing]
+        new = [w for w in dict.fromkeys(lowered) if w not in place]
         if new:
-            plain, odd = [w for w in new if self.opens not in w], [w for w in new if self.opens in w]
-            new = plain + odd
-            add, sizes = self.encode(plain, odd)
+            plain = [w for w in new if self.is_plain(w)]
+            new, add, sizes = self.encode(plain, [w for w in new if not self.is_plain(w)] if len(plain) < len(new) else [])
             have, known = self.ends[-1], len(self.ends) - 1
             if have + len(add) > len(self.ids):
                 self.ids = np.concatenate([self.ids[:have], np.empty(max(len(add), have), np.uint32)])
             self.ids[have:have + len(add)] = add
-            self.place.update((w, known + i) for i, w in enumerate(new))
+            place.update(zip(new, range(known, known + len(new)), strict=True))
             self.ends.extend((have + np.cumsum(sizes)).tolist())
-        at = np.array([self.place[w] for w in u], np.int64)
+            if len(self.hits) < len(self.ends):
+                self.hits = np.concatenate([self.hits, np.zeros(len(self.ends), np.int32)])
+        place.update([(w, place[x]) for w, x in zip(missing, lowered, strict=True) if w is not x and w != x])
+        at = np.array([place[w] for w in u], np.int64)
         self.hits[at] += 1
-        for w in new:
-            if len(w) > LONGEST_CACHED:
-                del self.place[w]
+        for w in {w for w in (*new, *missing) if len(w) > LONGEST_CACHED}:
+            del place[w]
         ends = np.array(self.ends, np.int64)
         return ends[at], ends[at + 1]
 
@@ -147,7 +186,7 @@ def piece_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", TOKEN_SLICE):
                 flat, at = token_ids(part.column("t"), path)
                 out: list[list] = [[] for _ in range(6 if keep_ids else 5)]
                 for i, d in enumerate(part.column("did").to_pylist()):
@@ -189,8 +228,17 @@ def best_fit(lengths: np.ndarray, cap: int) -> list[list[int]]:
     return bins
 
 
+#: Emptiest bins that the search tries to empty before it gives up.
+TARGETS = 20
+#: Of a bin with more pieces, pairs are formed of so many of the largest; a bin of
+#: many small pieces is filled by moves anyway.
+PAIRED = 40
+
+
 def pair_sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    i, j = np.triu_indices(len(x), 1)
+    top = np.argsort(-x, kind="stable")[:PAIRED]
+    i, j = np.triu_indices(len(top), 1)
+    i, j = top[i], top[j]
     s = x[i] + x[j]
     order = np.argsort(s, kind="stable")
     return s[order], i[order], j[order]
@@ -227,11 +275,11 @@ def best_exchange(t: np.ndarray, a: np.ndarray, room: int) -> tuple[int, list[in
 def local_search(bins: list[list[int]], lengths: np.ndarray, cap: int) -> list[list[int]]:
     """Empty bins by moves and exchanges; every step raises the sum of squared
     fills. Ends when the free space is less than a bin (no fewer bins can hold
-    the items) or no exchange with any underfull bin raises it."""
+    the items) or when none of the ``TARGETS`` emptiest bins can give anything away."""
     bins = [list(b) for b in bins]
     free = [cap - int(lengths[b].sum()) for b in bins]
     stuck: set[int] = set()
-    while sum(free[b] for b in range(len(bins)) if bins[b]) >= cap:
+    while len(stuck) < TARGETS and sum(free[b] for b in range(len(bins)) if bins[b]) >= cap:
         under = sorted((b for b in range(len(bins)) if bins[b] and free[b]), key=lambda b: free[b])
         target = next((b for b in reversed(under) if b not in stuck), None)
         if target is None:
@@ -294,9 +342,9 @@ def pack_pieces(pieces: DataFrame, cap: int = MAX_LEN, group_bins: int = GROUP_B
         packed = save(dealt.groupBy("g").applyInPandas(packer(cap, turn), schema), "packed")
         if groups == 1:
             return done.unionByName(packed.drop("room"))
-        # bins with room go through again with those of other groups
-        done = done.unionByName(packed.where("room = 0").drop("room"))
-        left, before = packed.where("room > 0").select(cols), groups
+        # bins with much room go through again with those of other groups
+        done = done.unionByName(packed.where(F.col("room") < cap // LOOSE).drop("room"))
+        left, before = packed.where(F.col("room") >= cap // LOOSE).select(cols), groups
     return done
 
 
