@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rampstat.llm import class_lm, decontamination, license_scan, line_dedup, near_dedup, packing, quality, sharding, warc
+from rampstat.llm import class_lm, decontamination, license_scan, line_dedup, near_dedup, packing, passages, quality, sharding, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_extendible_sharding": sharding.op5_extendible_sharding,
     "op6_brown_class_lm": class_lm.op6_brown_class_lm,
+    "op7_repeated_passages": passages.op7_repeated_passages,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
