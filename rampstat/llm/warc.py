@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from rampstat.llm.common import NO_ID, known_id, save, scratch_path, ship, table
 
 ARCHIVE_BYTES = 32 << 20
+#: Tasks that archives are dealt to, at most.
+MOST_TASKS = 1 << 15
 MIN_REVISIT = 0
 #: Bytes read at a time, and the most that a header block may take.
 CHUNK = 1 << 20
@@ -301,8 +303,9 @@ def read_archives(index: DataFrame, folder: str, keep_payload: bool = True) -> D
                 if rows:
                     yield batch_of(rows)
 
-    # archives are dealt out singly: as many partitions as the session shuffles into
-    return index.select("archive").repartition("archive").mapInArrow(run, RECORD)
+    # a number of partitions of their own: by size alone, names would all be put in one task
+    tasks = max(1, min(index.count(), MOST_TASKS))
+    return index.select("archive").repartition(tasks, "archive").mapInArrow(run, RECORD)
 
 
 def record_row(head: dict[str, str], block: bytes, keep_payload: bool) -> tuple:
