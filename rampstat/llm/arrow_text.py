@@ -45,6 +45,8 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np
     if empty >= 0:  # around leading and trailing white space
         there = ix != empty
         row, ix = row[there], ix[there]
+        ix = ix - (ix > empty)
+        u = pa.concat_arrays([u.slice(0, empty), u.slice(empty + 1)])
     return row.astype(np.int64), u, ix.astype(np.int64)
 
 

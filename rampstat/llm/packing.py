@@ -121,7 +121,7 @@ class WordIds:
         return ids[~mark], np.diff(np.flatnonzero(mark), prepend=-1) - 1
 
     def is_plain(self, w: str) -> bool:
-        return (w.isprintable() if w.isascii() else PLAIN.fullmatch(w) is not None) and self.opens not in w
+        return w != "" and (w.isprintable() if w.isascii() else PLAIN.fullmatch(w) is not None) and self.opens not in w
 
     def encode(self, plain: list[str], rest: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The words in the order of their ids, the ids one after the other, and
