@@ -34,10 +34,8 @@ def parse_prompt_id(pid="prompt_id") -> Column:
     """B12: 'suite-N' -> struct(suite, index 0-based). No dash -> index 0;
     a non-number after the dash gives a null index (the caller rejects it)."""
     parts = F.split(_c(pid), "-", 2)
-    idx = F.when(F.size(parts) > 1,
-                 F.expr("try_subtract(try_cast(element_at(split({0}, '-', 2), 2) AS INT), 1)"
-                        .format(pid if isinstance(pid, str) else "prompt_id"))
-                 ).otherwise(F.lit(0))
+    number = F.get(parts, F.lit(1)).try_cast("int")
+    idx = F.when(F.size(parts) > 1, F.try_subtract(number, F.lit(1))).otherwise(F.lit(0))
     return F.struct(parts.getItem(0).alias("suite"), idx.alias("index"))
 
 

@@ -43,10 +43,20 @@ def profile_from_histogram(hist: DataFrame, group_cols: list[str],
 
 
 def latency_profile(requests: DataFrame, group_cols: list[str], method: str = "histogram",
-                    value_col: str = "latency_ms") -> DataFrame:
+                    value_col: str = "latency_ms", success_only: bool = False) -> DataFrame:
     """Per group: total_requests, successful, failed, avg_latency_ms (rounded
-    to 6 digits), p50/p95/p99 (floor rank). Failed = every non-success."""
+    to 6 digits), p50/p95/p99 (floor rank). Failed = every non-success.
+    ``success_only``: mean and percentiles are of the successful requests
+    (0.0 where there are none); by default those of all, failures as 0.0."""
     ok = (F.col("status") == "success").cast("long")
+    if success_only:
+        counts = requests.groupBy(*group_cols).agg(F.count("*").alias("n_all"), F.sum(ok).alias("n_ok"))
+        good = latency_profile(requests.where(F.col("status") == "success"), group_cols, method, value_col)
+        on = [counts[c].eqNullSafe(good[c]) for c in group_cols]
+        return counts.join(good, on, "left").select(
+            *[counts[c] for c in group_cols], F.col("n_all").cast("long").alias("total_requests"), F.col("n_ok").cast("long").alias("successful"),
+            (F.col("n_all") - F.col("n_ok")).cast("long").alias("failed"),
+            *[F.coalesce(good[c], F.lit(0.0)).alias(c) for c in ["avg_latency_ms", *PCT_COLS]])
     if method == "histogram":
         hist = requests.groupBy(*group_cols, value_col).agg(
             F.count("*").alias("c"), F.sum(ok).alias("_ok"))
@@ -59,12 +69,13 @@ def latency_profile(requests: DataFrame, group_cols: list[str], method: str = "h
 
 
 def stage_metrics(requests: DataFrame, schedule: DataFrame, run_col: str = "run_id",
-                  method: str = "histogram", elapsed: DataFrame | None = None) -> DataFrame:
+                  method: str = "histogram", elapsed: DataFrame | None = None,
+                  success_only: bool = False) -> DataFrame:
     """E1 + D2: one row per planned stage. Stages without requests give
     zeros but keep target rate and users. Elapsed = the planned stage
     duration (E5), or ``elapsed`` (run_id, stage_index, elapsed_seconds)."""
     prof = latency_profile(requests.where(F.col("stage_index").isNotNull()),
-                           [run_col, "stage_index"], method)
+                           [run_col, "stage_index"], method, success_only=success_only)
     sch = schedule.select(run_col, "stage_index", "target_rps", "active_users",
                           F.col("duration").alias("elapsed_seconds"))
     if elapsed is not None:

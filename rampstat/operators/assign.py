@@ -3,9 +3,9 @@ D9-D11, C4, F5).
 
 Request -> stage is a range condition (``t0 <= ts < t1``). A plain range join
 plans as a nested loop, so each stage is keyed by the time buckets it covers
-(bucket width = the run's shortest stage) and the request joins on
-(run, bucket) - an equi-join - before the range is re-checked. With constant
-stage durations every stage is exactly one bucket.
+(bucket width = the run's mean stage length) and the request joins on the run -
+an equi-join - and looks its bucket up before the range is checked. All times
+are whole microseconds.
 
 Round-robin picks (model, credential, prompt) are ``list[seq % n]`` with the
 1-based request sequence number: the first request of a run takes element 1.
@@ -13,43 +13,30 @@ Round-robin picks (model, credential, prompt) are ``list[seq % n]`` with the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rampstat.operators.joins import broadcast_if_small
 from rampstat.operators.ranking import row_number_in_group
 
 
-def _epoch_s(col):
-    return F.unix_micros(col).cast("double") / F.lit(1e6)
-
-
 def run_slots(schedule: DataFrame, runs: DataFrame, run_col: str = "run_id") -> DataFrame:
-    """One row per run: start (epoch s), bucket width ``_w`` (the run's
-    shortest stage) and flat arrays over (bucket, candidate): bucket ``b``
-    keeps its at most two overlapping stages at positions ``2b+1`` and
-    ``2b+2`` of ``_t0s, _t1s, _stages, _targets, _users`` (null when a
-    bucket has one stage). Primitive arrays keep the per-request lookup
-    cheap. Size: the run's stage count, independent of the request volume."""
-    width = schedule.groupBy(run_col).agg(F.min("duration").alias("_w"))
-    per_bucket = (schedule.join(width, run_col).selectExpr(
-        run_col, "_w", "t0_offset_s", "t1_offset_s", "stage_index", "target_rps", "active_users",
-        "explode(sequence(CAST(floor(t0_offset_s / _w) AS BIGINT), "
-        "greatest(CAST(ceil(t1_offset_s / _w) AS BIGINT) - 1, CAST(floor(t0_offset_s / _w) AS BIGINT)))) AS _b")
-        .groupBy(run_col, "_w", "_b").agg(
-            F.expr("array_sort(collect_list(struct(t0_offset_s AS t0, t1_offset_s AS t1, stage_index, "
-                   "target_rps, active_users)))").alias("_c")))
-    pairs = per_bucket.selectExpr(
-        run_col, "_w", "_b",
-        "array(_c[0], try_element_at(_c, 2)) AS _pair")
-    flat = pairs.groupBy(run_col, "_w").agg(
-        F.expr("flatten(transform(array_sort(collect_list(struct(_b, _pair))), e -> e._pair))").alias("_p"))
-    slots = flat.selectExpr(
-        run_col, "_w",
-        "transform(_p, c -> c.t0) AS _t0s", "transform(_p, c -> c.t1) AS _t1s",
-        "transform(_p, c -> c.stage_index) AS _stages", "transform(_p, c -> c.target_rps) AS _targets",
-        "transform(_p, c -> c.active_users) AS _users")
-    starts = runs.selectExpr(run_col, "CAST(unix_micros(started_at) AS DOUBLE) / 1e6D AS _t_start")
+    """One row per run: start, bucket width ``_w`` (the run's mean stage length) and
+    ``_slots``: for each bucket all stages that overlap it. Times are whole
+    microseconds, so a request exactly at a boundary falls into the stage that
+    begins there. Size: a few entries per stage, whatever the request volume."""
+    s = schedule.selectExpr(run_col, "stage_index", "target_rps", "active_users",
+                            "CAST(round(t0_offset_s * 1e6D) AS BIGINT) AS t0", "CAST(round(t1_offset_s * 1e6D) AS BIGINT) AS t1"
+                            ).where("t1 > t0")
+    width = s.groupBy(run_col).agg(F.expr("greatest(max(t1) div count(*), 1)").alias("_w"), F.max("t1").alias("_end"))
+    every = width.selectExpr(run_col, "_w", "explode(sequence(0L, (_end - 1) div _w)) AS _b")
+    held = (s.join(width, run_col)
+            .selectExpr(run_col, "explode(sequence(t0 div _w, (t1 - 1) div _w)) AS _b",
+                        "struct(t0, t1, stage_index, target_rps, active_users) AS _s")
+            .groupBy(run_col, "_b").agg(F.array_sort(F.collect_list("_s")).alias("_c")))
+    slots = (every.join(held, [run_col, "_b"], "left").groupBy(run_col, "_w")
+             .agg(F.expr("transform(array_sort(collect_list(struct(_b, _c))), e -> e._c)").alias("_slots")))
+    starts = runs.selectExpr(run_col, "unix_micros(started_at) AS _t_start")
     return slots.join(starts, run_col)
 
 
@@ -60,24 +47,29 @@ def assign_stage(requests: DataFrame, schedule: DataFrame, runs: DataFrame,
     t1_offset_s`` relative to the run's ``started_at`` (from ``runs``).
 
     A single equi-join on the run against ``run_slots`` (one row per run,
-    broadcast when a count proves it small - a dominant run then never
+    broadcast when its measured size is small - a dominant run then never
     concentrates in one shuffle partition); the request's time bucket indexes
-    the run's slot arrays and the range is re-checked on the (at most two)
-    candidates. Requests outside every slot keep null stage columns."""
-    rs = broadcast_if_small(run_slots(schedule, runs, run_col), weight=F.size("_stages"))
+    the run's slots and the range is checked on every stage that overlaps the
+    bucket. Requests outside every slot keep null stage columns; of overlapping
+    stages the earliest one counts."""
+    rs = broadcast_if_small(run_slots(schedule, runs, run_col))
     j = requests.join(rs, run_col, "left")
-    off = f"(CAST(unix_micros({ts_col}) AS DOUBLE) / 1e6D - _t_start)"
-    b = f"floor({off} / _w)"
-    i1, i2 = f"CAST(2 * {b} + 1 AS INT)", f"CAST(2 * {b} + 2 AS INT)"
-
-    def inside(i):
-        return (f"(try_element_at(_t0s, {i}) <= {off} AND {off} < try_element_at(_t1s, {i}))")
-    k = f"CASE WHEN {b} >= 0 AND {inside(i1)} THEN {i1} WHEN {b} >= 0 AND {inside(i2)} THEN {i2} END"
-    j = j.selectExpr(*[f"`{c}`" for c in requests.columns], "_stages", "_targets", "_users", f"{k} AS _k")
+    j = j.withColumn("_off", F.expr(f"unix_micros({ts_col}) - _t_start"))
+    j = j.withColumn("_k", F.expr("CASE WHEN _off >= 0 THEN get(filter(get(_slots, CAST(_off div _w AS INT)), "
+                                  "c -> c.t0 <= _off AND _off < c.t1), 0) END"))
     return j.selectExpr(*[f"`{c}`" for c in requests.columns],
-                        "CAST(try_element_at(_stages, _k) AS INT) AS stage_index",
-                        "try_element_at(_targets, _k) AS target_rps",
-                        "CAST(try_element_at(_users, _k) AS INT) AS active_users")
+                        "CAST(_k.stage_index AS INT) AS stage_index", "_k.target_rps AS target_rps",
+                        "CAST(_k.active_users AS INT) AS active_users")
+
+
+def cap_users(schedule: DataFrame, runs: DataFrame, tokens: DataFrame, run_col: str = "run_id") -> DataFrame:
+    """A private run with credentials has no more users at a time than those.
+    ``runs`` has ``is_public``; ``tokens`` one row per run and credential."""
+    n = tokens.groupBy(run_col).agg(F.count("*").alias("_n"))
+    limits = broadcast_if_small(runs.where(~F.col("is_public")).select(run_col).join(n, run_col))
+    j = schedule.join(limits, run_col, "left")
+    users = F.least(F.col("active_users"), F.col("_n")).cast("int")  # no credentials: null, which least() skips
+    return j.select(*[users.alias(c) if c == "active_users" else F.col(c) for c in schedule.columns])
 
 
 def with_sequence(requests: DataFrame, run_col: str = "run_id",
@@ -102,45 +94,40 @@ def assign_round_robin(requests: DataFrame, runs: DataFrame, run_col: str = "run
                     pick["percentage"].alias("assigned_percentage"))
 
 
-def weighted_slots(runs: DataFrame, run_col: str = "run_id") -> DataFrame:
-    """100-slot lookup per run; slot s goes to the model whose
-    cumulative percentage band [lo, hi) contains s."""
-    m = runs.select(run_col, F.posexplode("models").alias("_pos", "_m")).select(
-        run_col, "_pos", F.col("_m.model").alias("model"), F.col("_m.percentage").alias("percentage"))
-    m = m.where(F.col("percentage") > 0)
-    w = Window.partitionBy(run_col).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    band = m.withColumn("_hi", F.sum("percentage").over(w)).withColumn(
-        "_lo", F.col("_hi") - F.col("percentage"))
-    slots = band.select(run_col, "model", "percentage", "_lo", "_hi",
-                        F.explode(F.sequence(F.lit(0), F.lit(99))).alias("slot"))
-    return slots.where((F.col("slot") >= F.col("_lo")) & (F.col("slot") < F.col("_hi"))).select(
-        run_col, "slot", "model", "percentage")
+def weighted_bands(runs: DataFrame, run_col: str = "run_id") -> DataFrame:
+    """One row per run: ``_bands``, the models with a share and where their
+    bands of the cycle end, and ``_cycle``, its length. Whole percentages give a
+    cycle as long as their sum (100 for a full split); with fractions the unit is a
+    hundredth of a percent. The cycle always covers every band and nothing else."""
+    active = "filter(models, m -> m.percentage > 0)"
+    unit = f"IF(exists({active}, m -> m.percentage <> rint(m.percentage)), 100D, 1D)"
+    ends = ("aggregate(_active, CAST(array() AS array<struct<hi: bigint, model: string, percentage: double>>), (acc, m) -> concat(acc, array("
+            "named_struct('hi', coalesce(element_at(acc, -1).hi, 0L) + CAST(round(m.percentage * _unit) AS BIGINT), "
+            "'model', m.model, 'percentage', m.percentage))))")
+    ends = ends.replace("coalesce(element_at(acc, -1).hi, 0L)", "coalesce(try_element_at(acc, -1).hi, 0L)")
+    return (runs.selectExpr(run_col, f"{active} AS _active", f"{unit} AS _unit")
+            .selectExpr(run_col, f"{ends} AS _bands").selectExpr(run_col, "_bands", "try_element_at(_bands, -1).hi AS _cycle"))
 
 
 def assign_weighted(requests: DataFrame, runs: DataFrame, run_col: str = "run_id") -> DataFrame:
-    """Weighted split by ``seq % 100``; slots beyond the total
-    percentage stay unassigned (null model)."""
-    slots = weighted_slots(runs, run_col).select(
-        F.col(run_col).alias("_r"), F.col("slot").alias("_slot"),
-        F.col("model").alias("assigned_model"), F.col("percentage").alias("assigned_percentage"))
-    req = requests.withColumn("_slot_of", F.pmod(F.col("seq"), F.lit(100)).cast("int"))
-    cond = (req[run_col] == slots["_r"]) & (req["_slot_of"] == slots["_slot"])
-    return req.join(slots, cond, "left").select(*requests.columns, "assigned_model",
-                                               "assigned_percentage")
+    """Weighted split by ``seq`` modulo the run's cycle, looked up in its bands; a
+    run without any share leaves the model null."""
+    j = requests.join(broadcast_if_small(weighted_bands(runs, run_col)), run_col, "left")
+    pick = F.expr("get(filter(_bands, b -> pmod(seq, _cycle) < b.hi), 0)")
+    return j.select(*requests.columns, pick.alias("_p")).select(
+        *requests.columns, F.col("_p.model").alias("assigned_model"), F.col("_p.percentage").alias("assigned_percentage"))
 
 
 def assign_duplicate(requests: DataFrame, runs: DataFrame, run_col: str = "run_id") -> DataFrame:
     """Every request goes to each model at 100 %; runs without such a
-    model fall back to the round-robin pick."""
-    full = runs.select(run_col, F.filter("models", lambda m: m["percentage"] == 100).alias("_full"))
-    j = requests.join(full, run_col, "left")
-    dup = j.where(F.size("_full") > 0).select(
-        *requests.columns, F.explode("_full").alias("_m")).select(
-        *requests.columns, F.col("_m.model").alias("assigned_model"),
-        F.col("_m.percentage").alias("assigned_percentage"))
-    rest = assign_round_robin(
-        j.where(F.coalesce(F.size("_full"), F.lit(0)) <= 0).select(*requests.columns), runs, run_col)
-    return dup.unionByName(rest)
+    model fall back to the round-robin pick. One join of the log to one row per run."""
+    per_run = broadcast_if_small(runs.select(
+        run_col, F.filter("models", lambda m: m["percentage"] == 100).alias("_full"), active_models().alias("_active")))
+    j = requests.join(per_run, run_col, "left")
+    one = F.array(F.expr("get(_active, CAST(pmod(seq, size(_active)) AS INT))"))
+    picks = F.when(F.size("_full") > 0, F.col("_full")).when(F.size("_active") > 0, one)
+    return j.select(*requests.columns, F.explode_outer(picks).alias("_m")).select(
+        *requests.columns, F.col("_m.model").alias("assigned_model"), F.col("_m.percentage").alias("assigned_percentage"))
 
 
 def assign_credential(requests: DataFrame, tokens: DataFrame, run_col: str = "run_id") -> DataFrame:

@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Broadcast limit for dimension-like sides (rows, or weighted entries).
-MAX_BROADCAST_ENTRIES = 2_000_000
+from rampstat.session import materialize
 
+#: Bytes (as JSON text, which is never less than the row) up to which a side is broadcast.
+MAX_BROADCAST_BYTES = 64 << 20
 
-def broadcast_if_small(df: DataFrame, weight: Column | None = None,
-                       limit: int = MAX_BROADCAST_ENTRIES, cache: bool = True) -> DataFrame:
-    """Mark ``df`` for broadcast when a count proves it small (``weight``:
-    per-row entry count, e.g. the size of an array column); otherwise leave
-    the join to the planner (shuffle join; AQE splits skewed partitions).
 
-    The check is one aggregate job over the small side only; with ``cache``
-    the side is cached by that job, so the join (and later queries over the
-    same plan in this session) read it from memory. Lost cache blocks are
-    recomputed from lineage."""
-    if cache:
-        df = df.cache()
-    if weight is None:
-        n = df.count()
-    else:
-        n = df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    return F.broadcast(df) if n <= limit else df
+def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Write the side once (it is computed once for the check and the join) and
+    mark it for broadcast when its measured bytes are within ``limit``; else the
+    planner joins it by shuffle, and AQE splits skewed partitions. The result is the
+    same either way."""
+    side = materialize(df, "side")
+    size = side.select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).agg(F.sum("b")).first()[0] or 0
+    return F.broadcast(side) if size <= limit else side

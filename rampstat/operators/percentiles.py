@@ -9,10 +9,9 @@ Forms (all exact except ``approx``):
   ``running_sums`` (range-partitioned, no group ever sits in one task), and
   pick the first value whose running count exceeds the rank. Integer rank
   arithmetic ``n*P div 100`` is exact for any n.
-* ``disc``: ``percentile_disc(1-p) WITHIN GROUP (ORDER BY x DESC)`` in one
-  aggregate. Exact for groups up to ~300k rows (float rank arithmetic), and
-  its per-group state holds every distinct value, so use it for bounded
-  groups (streaming micro-batches, small runs).
+* ``disc``: numbers the rows of each group in value order
+  (``row_number_in_group``, range-partitioned) and picks the row at the rank:
+  integer arithmetic too, exact at every size.
 * ``approx``: ``percentile_approx``; standard rank and inexact.
 """
 
@@ -21,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rampstat.operators.ranking import running_sums
+from rampstat.operators.joins import broadcast_if_small
+from rampstat.operators.ranking import row_number_in_group, running_sums
 
 PCTS = (50, 95, 99)
 # 1 - P/100 written as exact decimal literals for the DESC form.
@@ -69,8 +69,14 @@ def floor_rank_percentiles(df: DataFrame, group_cols: list[str], value_col: str
         return percentiles_from_histogram(histogram(df, group_cols, value_col), group_cols,
                                           value_col, pcts, names)
     if method == "disc":
-        return df.groupBy(*group_cols).agg(*[disc_expr(value_col, p).alias(n)
-                                             for p, n in zip(pcts, names)])
+        rows = df.select(*group_cols, value_col)
+        placed = row_number_in_group(rows, group_cols, [value_col], name="_pos")
+        sizes = broadcast_if_small(rows.groupBy(*group_cols).agg(F.count("*").alias("_n")))
+        on = [placed[c].eqNullSafe(sizes[c]) for c in group_cols]
+        j = placed.join(sizes, on).select(*[placed[c] for c in group_cols], value_col, "_pos", "_n")
+        return j.groupBy(*group_cols).agg(*[
+            F.max(F.when(F.col("_pos") - 1 == F.expr(f"_n * {int(p)} div 100"), F.col(value_col))).alias(n)
+            for p, n in zip(pcts, names)])
     if method == "approx":
         return df.groupBy(*group_cols).agg(*[
             F.percentile_approx(value_col, p / 100.0).cast("double").alias(n)
@@ -79,7 +85,9 @@ def floor_rank_percentiles(df: DataFrame, group_cols: list[str], value_col: str
 
 
 def disc_expr(value_col: str, p: int) -> Column:
-    """Floor-rank percentile as one aggregate expression (bounded groups)."""
+    """Floor-rank percentile as one aggregate expression: its state holds a group's
+    distinct values and its rank is a float, so for bounded groups (a micro-batch,
+    a small run) of up to about 300,000 rows."""
     if p in _COMPLEMENT:
         q = _COMPLEMENT[p]
     else:
@@ -93,3 +101,23 @@ def disc_or_approx(value_col: str, p: int, method: str) -> Column:
     if method == "approx":
         return F.percentile_approx(value_col, p / 100.0).cast("double")
     raise ValueError(f"unknown percentile method {method!r}")
+
+
+#: ``percentile_approx`` keeps this many values: its rank is off by n / ACCURACY at most.
+ACCURACY = 10000
+
+
+def approx_rank_error(df: DataFrame, group_cols: list[str], value_col: str = "latency_ms", pcts=PCTS) -> DataFrame:
+    """Per group: ``n``, and for each percentile whether the approximate value's rank
+    is within n / ACCURACY (and one) of the floor rank - the bound it promises."""
+    approx = df.groupBy(*group_cols).agg(F.count("*").alias("n"), *[
+        F.percentile_approx(value_col, p / 100.0, ACCURACY).alias(f"_v{p}") for p in pcts])
+    a = broadcast_if_small(approx)
+    j = df.select(*group_cols, value_col).join(a, [df[c].eqNullSafe(a[c]) for c in group_cols])
+    ranks = j.groupBy(*[a[c] for c in group_cols], "n").agg(*[
+        e for p in pcts for e in (F.sum((df[value_col] < F.col(f"_v{p}")).cast("long")).alias(f"_lo{p}"),
+                                  F.sum((df[value_col] <= F.col(f"_v{p}")).cast("long")).alias(f"_hi{p}"))])
+    slack = F.col("n") / ACCURACY + 1
+    return ranks.select(*group_cols, "n", *[
+        ((F.col(f"_lo{p}") <= F.expr(f"n * {p} div 100") + slack) & (F.col(f"_hi{p}") >= F.expr(f"n * {p} div 100") - slack)).alias(f"p{p}_within")
+        for p in pcts])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rampstat.schema import (
-    FACTOR_RANGE, MAX_MODELS, MAX_USERS_CAP, RATE_RANGE, STAGE_SECONDS_RANGE, TIMEOUT_RANGE,
+    FACTOR_RANGE, MAX_MODELS, MAX_USERS_CAP, RATE_RANGE, ROWS_RANGE, STAGE_SECONDS_RANGE, TIMEOUT_RANGE,
 )
 
 _MSG = "struct<rule:string,message:string>"
@@ -47,7 +47,7 @@ def model_rules(models="models") -> Column:
     percentage outside 0-100; two or more entries at exactly 100 %."""
     ms = F.col(models)
     per_entry = F.filter(F.transform(ms, lambda m: F.when(
-        m["model"].isNull() | (F.trim(m["model"]) == ""),
+        m["model"].isNull() | m["model"].rlike(r"^\s*$"),
         F.struct(F.lit("blank_model_name").alias("rule"),
                  F.lit("All models must have a non-empty name.").alias("message"))
     ).when(
@@ -99,7 +99,8 @@ def audit_run_config(configs: DataFrame, run_col: str = "run_id") -> DataFrame:
 
 def audit_ranges(configs: DataFrame, run_col: str = "run_id") -> DataFrame:
     """Settings outside the ranges the configuration form allows.
-    Expects ``initial_display, max_display`` (slider values)."""
+    Expects ``initial_display, max_display`` (slider values); ``num_rows`` (rows
+    shown of the raw table) is checked where the configurations have it."""
     lo_r, hi_r = RATE_RANGE
     lo_f, hi_f = FACTOR_RANGE
     lo_s, hi_s = STAGE_SECONDS_RANGE
@@ -121,6 +122,7 @@ def audit_ranges(configs: DataFrame, run_col: str = "run_id") -> DataFrame:
                                                  | (m["percentage"] > 100)))),
         out(~F.col("timeout").between(lo_t, hi_t), "timeout_range", F.col("timeout")),
         out((n_tok > 0) & (F.col("max_users") > cap), "users_over_token_cap", F.col("max_users")),
+        *([out(~F.col("num_rows").between(*ROWS_RANGE), "rows_range", F.col("num_rows"))] if "num_rows" in configs.columns else []),
     ), lambda x: x.isNotNull())
     return configs.select(run_col, F.explode(checks).alias("c")).select(
         run_col, F.col("c.rule").alias("rule"), F.col("c.value").alias("value"))
@@ -136,10 +138,11 @@ def configs_without_credentials(configs: DataFrame, credentials: DataFrame,
 
 
 def run_status(schedule: DataFrame, requests: DataFrame, blocked: DataFrame,
-               run_col: str = "run_id") -> DataFrame:
-    """C11: ``error`` for runs blocked by C10; ``completed`` when the last
-    planned stage has requests; otherwise ``running`` (stopped early, partial
-    rows kept)."""
+               run_col: str = "run_id", ends: DataFrame | None = None) -> DataFrame:
+    """C11: ``error`` for runs blocked by C10. ``ends`` tells how runs ended
+    (run, ``end_status``: completed, running or error, ``end_message``) and decides
+    where it has a row; without one, a run is ``completed`` when its last planned
+    stage has requests and ``running`` otherwise (stopped early, partial rows kept)."""
     planned = schedule.groupBy(run_col).agg(F.count("*").cast("long").alias("planned_stages"),
                                             F.max("stage_index").alias("_last"))
     seen = requests.where(F.col("stage_index").isNotNull()).groupBy(run_col).agg(
@@ -147,11 +150,16 @@ def run_status(schedule: DataFrame, requests: DataFrame, blocked: DataFrame,
         F.max("stage_index").alias("_seen_last"))
     b = blocked.select(run_col, F.lit(True).alias("_blocked"))
     j = planned.join(seen, run_col, "left").join(b, run_col, "left")
+    if ends is None:
+        j = j.withColumns({"end_status": F.lit(None).cast("string"), "end_message": F.lit(None).cast("string")})
+    else:
+        j = j.join(ends.select(run_col, "end_status", "end_message"), run_col, "left")
     status = (F.when(F.col("_blocked"), F.lit("error"))
+              .when(F.col("end_status").isNotNull(), F.col("end_status"))
               .when(F.col("_seen_last") == F.col("_last"), F.lit("completed"))
               .otherwise(F.lit("running")))
     msg = F.when(F.col("_blocked"), F.lit("no credential configured for a private endpoint")) \
-        .otherwise(F.lit(""))
+        .when(F.col("end_status") == "error", F.coalesce("end_message", F.lit(""))).otherwise(F.lit(""))
     return j.select(run_col, "planned_stages",
                     F.coalesce(F.col("observed_stages"), F.lit(0)).cast("long").alias("observed_stages"),
                     status.alias("run_status"), msg.alias("error_message"))

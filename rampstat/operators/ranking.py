@@ -6,18 +6,17 @@ task; one run may hold a third of a 100 TB log. Instead we
 1. range-partition by (group keys, order keys) - Spark samples the keys, so
    partitions are balanced even when one group dominates;
 2. sort within each partition and, in one vectorised pass per partition
-   (``mapInPandas``), compute the running sums *local* to the partition and
+   (``mapInArrow``, so nulls and BIGINTs stay what they are), compute the running sums *local* to the partition and
    one total row per (partition, group);
 3. turn the small table of totals into per-(partition, group) offsets with a
    window over that table only (its size is partitions + groups);
 4. add the offsets back (equi-join on partition id and group keys).
 
-Step 2 is written once with a reliable checkpoint in the session's shared
-checkpoint directory (``materialize``: persist, checkpoint, release - the
-pass runs once): the row pass and the totals pass read the same files, so
-partition ids (kept as a column) always agree - even if Spark
-re-plans, re-samples the range bounds or loses an executor - and the lineage
-is cut there. Order keys
+Step 2 is written once as a table in the session's shared checkpoint directory
+(``materialize``): the row pass and the totals pass read the same files, so
+partition ids (kept as a column) always agree - even if Spark re-plans,
+re-samples the range bounds or loses an executor - and the lineage is cut
+there. Order keys
 must make the order total within a group (e.g. ``ts, event_id``).
 """
 
@@ -26,7 +25,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,15 +48,40 @@ def _range_partition(df: DataFrame, keys: list[str], num_partitions: int | None)
     return df.repartitionByRange(*keys)
 
 
+def _same_as_before(a: pa.Array) -> np.ndarray:
+    """For each value but the first: equal to the one before, as groups are (null
+    equals null, NaN equals NaN)."""
+    x, y = a.slice(1), a.slice(0, len(a) - 1)
+    same = pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(pc.is_null(x), pc.is_null(y)))
+    if pa.types.is_floating(a.type):
+        same = pc.or_(same, pc.and_(pc.fill_null(pc.is_nan(x), False), pc.fill_null(pc.is_nan(y), False)))
+    return same.to_numpy(zero_copy_only=False)
+
+
+def _same_key(x: tuple, y: tuple) -> bool:
+    return all(a == b or (a != a and b != b) for a, b in zip(x, y))
+
+
+def _tagged(batch: pa.RecordBatch, pid: int, kind: int) -> pa.RecordBatch:
+    n = batch.num_rows
+    return pa.RecordBatch.from_arrays(
+        [*batch.columns, pa.array(np.full(n, pid, np.int32)), pa.array(np.full(n, kind, np.int32))],
+        names=[*batch.schema.names, _PID, _KIND])
+
+
 def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str],
                  values: dict[str, Column | str], num_partitions: int | None = None,
                  with_totals: bool = False) -> DataFrame:
     """Return ``df`` plus one column per entry of ``values``: the running sum
     (ROWS UNBOUNDED PRECEDING .. CURRENT ROW) of that value within the group,
-    in the order of ``order_cols``. Values are summed as BIGINT. With
+    in the order of ``order_cols``. Values must be whole numbers and are summed
+    as BIGINT (a fractional column is refused, not cut). With
     ``with_totals`` each row also gets ``<name>_total``, the group's total
     (taken from the small per-partition totals table, no extra pass)."""
     names = list(values)
+    kinds = df.select(*[(F.col(v) if isinstance(v, str) else v).alias(n) for n, v in values.items()]).dtypes
+    if any(k not in ("tinyint", "smallint", "int", "bigint") for _, k in kinds):
+        raise TypeError(f"running sums are of whole numbers: {kinds}")
     tmp = [f"__v{i}" for i in range(len(names))]
     staged = df.select("*", *[
         F.coalesce((F.col(v) if isinstance(v, str) else v).cast("long"), F.lit(0)).alias(t)
@@ -69,51 +94,49 @@ def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str],
         [T.StructField(f.name, f.dataType, True) for f in staged.schema.fields]
         + [T.StructField(_PID, T.IntegerType()), T.StructField(_KIND, T.IntegerType())])
     gcols = list(group_cols)
-    field_names = [f.name for f in staged.schema.fields]
 
-    def local_cumsum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def local_cumsum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
         carry_key = None
         carry = np.zeros(len(tmp), dtype=np.int64)
-        parts: list[pd.DataFrame] = []
-        for pdf in batches:
-            if pdf.empty:
+        ends_of: list[pa.RecordBatch] = []  # the last row of each group of each batch
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            keyframe = pdf[gcols]
             # a new group starts where any group column changes (data is sorted)
-            change = np.zeros(len(pdf), dtype=bool)
+            change = np.zeros(n, dtype=bool)
             for c in gcols:
-                col = keyframe[c]
-                prev = col.shift(1)
-                change |= (~((col == prev) | (col.isna() & prev.isna()))).to_numpy()
+                change[1:] |= ~_same_as_before(batch.column(c))
+            first = tuple(batch.column(c)[0].as_py() for c in gcols)
+            goes_on = carry_key is not None and _same_key(first, carry_key)
             change[0] = True
+            starts = np.flatnonzero(change)
             gid = np.cumsum(change) - 1
-            vals = pdf[tmp].to_numpy(dtype=np.int64)
-            csum = pd.DataFrame(vals).groupby(gid).cumsum().to_numpy()
-            first_key = tuple(keyframe.iloc[0].tolist())
-            if carry_key is not None and first_key == carry_key:
-                csum[gid == 0] += carry
-            pdf[tmp] = csum
-            ends = np.r_[np.flatnonzero(change)[1:], len(pdf)] - 1
-            parts.append(pdf.iloc[ends][gcols + tmp])
-            carry_key = tuple(keyframe.iloc[-1].tolist())
-            carry = csum[-1].copy()
-            pdf[_PID] = pid
-            pdf[_KIND] = 0
-            yield pdf
-        if parts:
-            # last cumulative value per group = the group's partition total
-            tot = pd.concat(parts, ignore_index=True).drop_duplicates(subset=gcols, keep="last")
-            for name in field_names:
-                if name not in tot.columns:
-                    tot[name] = None
-            tot = tot[field_names]
-            tot[_PID] = pid
-            tot[_KIND] = 1
-            yield tot
-
-    local = materialize(ranged.mapInPandas(local_cumsum, out_schema), "running-sums")
+            sums = []
+            for k, t in enumerate(tmp):  # BIGINT without nulls: stays int64
+                v = batch.column(t).to_numpy(zero_copy_only=False)
+                total = np.cumsum(v)
+                base = total[starts] - v[starts]
+                base[0] -= carry[k] if goes_on else 0
+                sums.append(total - base[gid])
+            done = batch
+            for t, x in zip(tmp, sums):
+                done = done.set_column(done.schema.get_field_index(t), t, pa.array(x, pa.int64()))
+            ends = np.r_[starts[1:], n] - 1
+            if goes_on:
+                ends_of[-1] = ends_of[-1].slice(0, ends_of[-1].num_rows - 1)
+            ends_of.append(done.take(pa.array(ends)))
+            carry_key = tuple(batch.column(c)[n - 1].as_py() for c in gcols)
+            carry = np.array([x[-1] for x in sums], dtype=np.int64)
+            yield _tagged(done, pid, 0)
+        for last in ends_of:
+            cols = [last.column(f) if f in gcols or f in tmp else pa.nulls(last.num_rows, last.schema.field(f).type)
+                    for f in last.schema.names]
+            yield _tagged(pa.RecordBatch.from_arrays(cols, names=last.schema.names), pid, 1)
+
+    local = materialize(ranged.mapInArrow(local_cumsum, out_schema), "running-sums")
 
     totals = local.where(F.col(_KIND) == 1).select(_PID, *group_cols, *tmp)
     w = (Window.partitionBy(*group_cols).orderBy(_PID)
@@ -125,7 +148,7 @@ def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str],
     rows = local.where(F.col(_KIND) == 0).drop(_KIND)
     o = offsets.select(*[F.col(c).alias(f"__o_{c}") for c in [_PID, *group_cols]],
                        *[f"{t}_off" for t in tmp], *[f"{t}_tot" for t in tmp])
-    # at most (partitions + groups) rows: broadcast after a count proves it,
+    # at most (partitions + groups) rows: broadcast after its size was measured,
     # so the rows are never shuffled again
     o = broadcast_if_small(o)
     cond = [rows[c].eqNullSafe(o[f"__o_{c}"]) for c in [_PID, *group_cols]]

@@ -173,6 +173,9 @@ SELECT run_id, stage_index, CAST(n AS BIGINT) AS n, p50 AS p50_latency_ms, p95 A
 FROM agg""")
 ORACLE["percentiles_histogram"] = _PCT
 ORACLE["percentiles_disc"] = _PCT
+ORACLE["approx_percentiles"] = _q("""
+SELECT run_id, stage_index, CAST(COUNT(*) AS BIGINT) AS n, TRUE AS p50_within, TRUE AS p95_within, TRUE AS p99_within
+FROM req WHERE stage_index IS NOT NULL GROUP BY run_id, stage_index""")
 
 ORACLE["model_summary"] = _q(f""",
 ms AS (

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -61,19 +62,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             configured = None
     if not configured:
-        configured = tempfile.mkdtemp(prefix="rampstat-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        # only a local session may make its own folder: executors of a cluster
+        # would each write to their own disk
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        configured = tempfile.mkdtemp(prefix="rampstat-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def materialize(df, name: str = "stage"):
-    """Cut lineage with a reliable checkpoint in the session's shared
-    checkpoint directory. The plan is persisted first so the pass runs once
-    (the checkpoint writer reads the cached blocks instead of recomputing),
-    and released right after. ``name`` labels the step for readers."""
-    from pyspark import StorageLevel
-    checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+    """Compute ``df`` once: written as a Parquet table in the session's shared
+    checkpoint directory and read back, so the lineage is cut, lost executors
+    cost nothing, and the rows are stored once. ``release`` deletes the tables."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rampstat/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` has written for this session (call it
+    when their results have been used); returns how many."""
+    own = [path for s, path in _WRITTEN if s is spark]
+    _WRITTEN[:] = [x for x in _WRITTEN if x[0] is not spark]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in own:
+        at = hadoop.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(own)

@@ -28,28 +28,9 @@ EVENT_RUN_MODELS = [("model_0", 70.0), ("model_1", 30.0), ("model_2", 0.0)]
 N_RUNS = 4
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Read one driver table. ``spread``: when the scan yields fewer input
-    partitions than the cluster has cores (a small file with one row group),
-    spread the rows round-robin so the first stage is not a single task. On
-    large inputs the scan already has enough partitions and nothing is added."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if spread and input_bytes(spark, path) <= SMALL_INPUT_BYTES:
-        df = df.repartition(spark.sparkContext.defaultParallelism)
-    return df
-
-
-# Inputs up to this size are read by a handful of tasks at most.
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-
-
-def input_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of the files under ``path`` (one metadata call)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's tables."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 _SUITES_SQL = "array(" + ", ".join(f"'{x}'" for x in SUITES) + ")"

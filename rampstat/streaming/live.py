@@ -33,12 +33,14 @@ EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type
 
 
 def read_event_stream(spark: SparkSession, directory: str, glob: str = "events*.parquet",
-                      max_files_per_trigger: int = 1) -> DataFrame:
-    """File stream of raw events (explicit schema, one file per trigger)."""
-    return (spark.readStream.schema(EVENTS_SCHEMA)
-            .option("pathGlobFilter", glob)
-            .option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(directory))
+                      max_files_per_trigger: int | None = 1) -> DataFrame:
+    """File stream of raw events with an explicit schema. A limit of files only
+    bounds a batch; None takes all new files at each trigger, so that a live
+    query catches up with a backlog."""
+    reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(directory)
 
 
 def live_requests(stream: DataFrame, runs: DataFrame, schedule: DataFrame) -> DataFrame:
@@ -96,24 +98,29 @@ def start_live_progress(spark: SparkSession, source_dir: str, out_dir: str, chec
 
     Every trigger (2 s by default, like the dashboard refresh) folds new
     request files into the per-stage counters; ``foreachBatch`` then writes
-    two tables under ``out_dir``: ``counters`` (one row per run and stage)
-    and ``latest`` (one row per run: the stage with the newest request - last
+    two tables under ``out_dir``, a new folder each per batch (``latest_result``
+    reads the newest whole one): ``counters`` (one row per run and stage) and
+    ``latest`` (one row per run: the stage with the newest request - last
     write wins - and the age of that request at the batch's processing
     time). ``trigger=None`` processes what is available and stops (tests).
     The query resumes from ``checkpoint`` after a restart or a stop."""
-    stream = read_event_stream(spark, source_dir, glob=glob)
+    stream = read_event_stream(spark, source_dir, glob, None)
     counters = live_counters(live_requests(stream, runs, schedule))
 
-    def publish(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/counters")
-        latest = batch.groupBy("run_id").agg(
-            F.max_by(F.struct("stage_index", "stage_count", "stage_successful", "stage_failed",
-                              "target_rps", "active_users", "last_ts"),
-                     F.struct("last_ts", "stage_index")).alias("s"))
-        latest.select("run_id", "s.*",
-                      (F.unix_micros(F.current_timestamp()) - F.unix_micros("s.last_ts"))
-                      .cast("double").__truediv__(1e6).alias("age_s")) \
-            .write.mode("overwrite").parquet(f"{out_dir}/latest")
+    whole, newest = publisher(f"{out_dir}/counters"), publisher(f"{out_dir}/latest")
+
+    def publish(batch: DataFrame, epoch: int) -> None:
+        batch.persist()  # read twice, computed once
+        try:
+            whole(batch, epoch)
+            latest = batch.groupBy("run_id").agg(
+                F.max_by(F.struct("stage_index", "stage_count", "stage_successful", "stage_failed",
+                                  "target_rps", "active_users", "last_ts"),
+                         F.struct("last_ts", "stage_index")).alias("s"))
+            newest(latest.select("run_id", "s.*", (F.unix_micros(F.current_timestamp()) - F.unix_micros("s.last_ts"))
+                                 .cast("double").__truediv__(1e6).alias("age_s")), epoch)
+        finally:
+            batch.unpersist()
 
     w = counters.writeStream.outputMode("complete").option("checkpointLocation", checkpoint) \
         .foreachBatch(publish)
@@ -125,22 +132,55 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def run_available_now(df: DataFrame, mode: str, out_dir: str, ckpt_dir: str, timeout_s: int = 600):
-    """Run a streaming query over everything available, then stop. Complete
-    mode rewrites the result table per batch (foreachBatch); append mode
-    uses the file sink."""
+def run_available_now(df: DataFrame, mode: str, out_dir: str, ckpt_dir: str):
+    """Run a streaming query over everything available, to its end, and leave the
+    result in ``out_dir``; a query that fails raises. Complete mode publishes each
+    batch beside ``out_dir`` (``publisher``) and writes the last one there, so
+    ``out_dir`` is whole from the moment it exists; append mode uses the file sink."""
     w = df.writeStream.option("checkpointLocation", ckpt_dir).trigger(availableNow=True)
     if mode == "complete":
-        def write_batch(batch: DataFrame, _epoch: int):
-            batch.write.mode("overwrite").parquet(out_dir)
-        q = w.outputMode("complete").foreachBatch(write_batch).start()
+        q = w.outputMode("complete").foreachBatch(publisher(f"{out_dir}-batches")).start()
     else:
         q = w.outputMode("append").format("parquet").option("path", out_dir).start()
-    q.awaitTermination(timeout_s)
-    q.stop()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    if mode == "complete":
+        latest_result(df.sparkSession, f"{out_dir}-batches").write.mode("overwrite").parquet(out_dir)
     return q
 
 
+#: Published results that stay for readers of an older one.
+KEPT_BATCHES = 10
+
+
+def _folder(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def publisher(out_dir: str):
+    """A ``foreachBatch`` writer of whole results. A batch writes a folder of its own,
+    so readers never see an older result empty or half written; a batch that runs
+    again after a restart replaces its own folder only. Old folders go."""
+    def publish(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch={epoch:012d}")
+        if epoch >= KEPT_BATCHES:
+            at, fs = _folder(batch.sparkSession, f"{out_dir}/batch={epoch - KEPT_BATCHES:012d}")
+            fs.delete(at, True)
+    return publish
+
+
+def latest_result(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The newest whole result that a ``publisher`` has left under ``out_dir``."""
+    at, fs = _folder(spark, f"{out_dir}/batch=*/_SUCCESS")
+    whole = sorted(s.getPath().getParent().toString() for s in fs.globStatus(at) or [])
+    if not whole:
+        raise FileNotFoundError(f"no finished batch under {out_dir}")
+    return spark.read.parquet(whole[-1])
+
+
 def _event_runs(spark: SparkSession, sf_dir: str):
     events = fx.table(spark, sf_dir, "events")
     runs = fx.event_runs(events)
@@ -152,7 +192,7 @@ def stream_progress_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     counters table."""
     prepare(spark)
     runs, schedule = _event_runs(spark, sf_dir)
-    stream = read_event_stream(spark, sf_dir, glob="events.parquet")
+    stream = read_event_stream(spark, sf_dir, "events.parquet", None)
     counters = live_counters(live_requests(stream, runs, schedule))
     out, ck = _scratch(spark, "stream-progress"), _scratch(spark, "stream-progress-ckpt")
     run_available_now(counters, "complete", out, ck)
@@ -165,7 +205,7 @@ def stream_latest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2 over the events file as a stream (complete mode, one row per run)."""
     prepare(spark)
     runs, schedule = _event_runs(spark, sf_dir)
-    stream = read_event_stream(spark, sf_dir, glob="events.parquet")
+    stream = read_event_stream(spark, sf_dir, "events.parquet", None)
     latest = latest_state(live_requests(stream, runs, schedule))
     out, ck = _scratch(spark, "stream-latest"), _scratch(spark, "stream-latest-ckpt")
     run_available_now(latest, "complete", out, ck)
@@ -176,7 +216,7 @@ def stream_stage_final_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed stage windows appended by the stream."""
     prepare(spark)
     runs, schedule = _event_runs(spark, sf_dir)
-    stream = read_event_stream(spark, sf_dir, glob="events.parquet")
+    stream = read_event_stream(spark, sf_dir, "events.parquet", None)
     req = normalize_requests(fx.raw_outcomes(stream))
     # 2024-01-01 is day 19723 = 1 (mod 3): 3-day windows start 1 day after epoch multiples
     wins = stage_windows(req, int(fx.EVENT_RUN_STAGE_S), "1 day")

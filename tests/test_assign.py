@@ -93,3 +93,46 @@ def test_stage_lookup_is_a_broadcast_hash_join(spark):
         .executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "BatchEvalPython" not in plan
     assert F  # imported for callers
+
+
+def test_requests_at_stage_boundaries(spark):
+    """Microseconds decide: a request at a boundary is the next stage's."""
+    for step in (10.1, 0.07, 1 / 3):
+        sch = schedule_df(spark, [(k, 1.0, 1, step) for k in range(40)]).selectExpr(
+            "run_id", "stage_index", "target_rps", "active_users", "duration",
+            f"stage_index * {step!r}D AS t0_offset_s", f"(stage_index + 1) * {step!r}D AS t1_offset_s")
+        at = [round(k * step * 1e6) for k in range(41)]
+        req = request_df(spark, [{"ts": T0 + dt.timedelta(microseconds=us + d), "seq": 3 * i + d + 1}
+                                 for i, us in enumerate(at) for d in (-1, 0, 1)]).drop("stage_index", "target_rps", "active_users")
+        got = {r.seq: r.stage_index for r in assign_stage(req, sch, runs_df(spark, [("a", 100.0)])).collect()}
+        for i in range(41):
+            assert [got[3 * i + d] for d in (0, 1, 2)] == [i - 1 if i else None, i if i < 40 else None, i if i < 40 else None]
+
+
+def test_many_stages_in_one_bucket_and_gaps(spark):
+    sch = schedule_df(spark, [(0, 1.0, 1, 100.0), (1, 2.0, 2, 0.01), (2, 3.0, 3, 0.02), (3, 4.0, 4, 0.07), (4, 5.0, 5, 100.0)])
+    secs = [0, 99.999999, 100, 100.009999, 100.01, 100.03, 100.099999, 100.1, 200.099999, 200.1]
+    req = request_df(spark, [{"ts": T0 + dt.timedelta(seconds=s), "seq": i} for i, s in enumerate(secs)]).drop(
+        "stage_index", "target_rps", "active_users")
+    got = {r.seq: r.stage_index for r in assign_stage(req, sch, runs_df(spark, [("a", 1.0)])).collect()}
+    assert [got[i] for i in range(len(secs))] == [0, 0, 1, 1, 2, 3, 3, 4, 4, None]
+    gap = sch.where("stage_index <> 0")
+    got = {r.seq: r.stage_index for r in assign_stage(req, gap, runs_df(spark, [("a", 1.0)])).collect()}
+    assert [got[i] for i in range(len(secs))] == [None, None, 1, 1, 2, 3, 3, 4, 4, None]
+
+
+def test_weighted_split_beyond_100_and_fractions(spark):
+    req = request_df(spark, [{"seq": s} for s in range(20000)])
+    for models, want in (([("a", 100.0), ("b", 100.0)], {"a": 10000, "b": 10000}), ([("a", 0.5), ("b", 99.5)], {"a": 100, "b": 19900}),
+                         ([("a", 30.0), ("b", 20.0)], {"a": 12000, "b": 8000}), ([("a", 0.0)], {None: 20000}), ([], {None: 20000})):
+        out = assign_weighted(req, runs_df(spark, models))
+        assert {r.assigned_model: r["count"] for r in out.groupBy("assigned_model").count().collect()} == want
+
+
+def test_users_are_capped_by_credentials(spark):
+    from rampstat.operators.assign import cap_users
+    sch = schedule_df(spark, [(0, 1.0, 2, 10.0), (1, 2.0, 9, 10.0)])
+    tokens = spark.createDataFrame([(0, i) for i in range(3)], "run_id long, token_pos long")
+    for public, toks, want in ((False, tokens, [2, 3]), (True, tokens, [2, 9]), (False, tokens.limit(0), [2, 9])):
+        runs = spark.createDataFrame([(0, public)], "run_id long, is_public boolean")
+        assert [r.active_users for r in cap_users(sch, runs, toks).orderBy("stage_index").collect()] == want

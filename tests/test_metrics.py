@@ -83,3 +83,19 @@ def test_latency_profile_methods_agree(spark):
     a = sorted(map(tuple, latency_profile(req, ["run_id", "stage_index"], "histogram").collect()))
     b = sorted(map(tuple, latency_profile(req, ["run_id", "stage_index"], "disc").collect()))
     assert a == b
+
+
+def test_success_only_profiles(spark):
+    from rampstat.operators.aggregate import latency_profile
+    df = spark.createDataFrame([(0, "success", 10.0), (0, "timeout", 0.0), (0, "success", 30.0), (1, "error", 0.0)],
+                               "run_id long, status string, latency_ms double")
+    got = {r.run_id: tuple(r)[1:6] for r in latency_profile(df, ["run_id"], success_only=True).collect()}
+    assert got == {0: (3, 2, 1, 20.0, 30.0), 1: (1, 0, 1, 0.0, 0.0)}
+
+
+def test_prompt_id_of_another_column(spark):
+    from pyspark.sql import functions as F
+    from rampstat.functions.text import parse_prompt_id
+    row = spark.sql("SELECT 'zzz-9' AS prompt_id, 'math-3' AS own, 'plain' AS bare, 'x-y' AS bad")
+    got = row.select(*[parse_prompt_id(F.col(c)).alias(c) for c in row.columns]).first()
+    assert [(v.suite, v["index"]) for v in got] == [("zzz", 8), ("math", 2), ("plain", 0), ("x", None)]

@@ -102,3 +102,25 @@ def test_range_rules(spark, configs):
     rules = {r.rule for r in audit_ranges(configs).select("rule").distinct().collect()}
     assert {"initial_rate_range", "scaling_factor_range", "time_increment_range",
             "percentage_range"} <= rules
+
+
+def test_names_of_any_white_space_are_blank_and_rows_are_checked(spark):
+    from rampstat.operators.quality import audit_ranges, model_rules
+    df = spark.sql("SELECT array(named_struct('model', '\\t\\n', 'percentage', 5D)) AS models")
+    assert [m.rule for m in df.select(model_rules().alias("m")).first().m] == ["blank_model_name"]
+    cfg = ("SELECT {0} AS run_id, 5D AS initial_display, 9D AS max_display, 2D AS scaling_factor, 60D AS time_increment, "
+           "array(named_struct('model', 'a', 'percentage', 5D)) AS models, 60D AS timeout, array('t') AS tokens, 1 AS max_users, {1} AS num_rows")
+    rows = spark.sql(" UNION ALL ".join(cfg.format(i, n) for i, n in enumerate((9, 10, 10000, 10001))))
+    assert sorted((r.run_id, r.rule, r.value) for r in audit_ranges(rows).collect()) == [(0, "rows_range", "9"), (3, "rows_range", "10001")]
+
+
+def test_how_a_run_ended_decides(spark):
+    from rampstat.operators.quality import run_status
+    sch = spark.createDataFrame([(r, s) for r in range(5) for s in range(2)], "run_id long, stage_index int")
+    req = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (3, 1)], "run_id long, stage_index int")
+    ends = spark.createDataFrame([(1, "completed", None), (3, "error", "Test cancelled"), (4, "completed", None)],
+                                 "run_id long, end_status string, end_message string")
+    blocked = spark.createDataFrame([(4,)], "run_id long")
+    got = {r.run_id: (r.run_status, r.error_message) for r in run_status(sch, req, blocked, ends=ends).collect()}
+    assert got == {0: ("completed", ""), 1: ("completed", ""), 2: ("running", ""), 3: ("error", "Test cancelled"),
+                   4: ("error", "no credential configured for a private endpoint")}

@@ -56,3 +56,37 @@ def test_aqe_coalesced_ranges_stay_in_order(spark):
         assert sorted(map(tuple, rn.collect())) == ref
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_null_keys_and_nullable_longs_across_small_batches(spark):
+    """Groups with null and NaN keys run on over Arrow batches, and BIGINTs beside nulls
+    keep every digit."""
+    big = 9007199254740993
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(0, 300).select(
+            F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"),
+            F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).otherwise(1.5).alias("f"), "id",
+            F.when(F.col("id") % 5 > 0, F.col("id") + big).alias("payload"),
+            F.when(F.col("id") % 4 > 0, F.col("id") + big).alias("v"))
+        w = Window.partitionBy("g", "f").orderBy("id")
+        rows = w.rowsBetween(Window.unboundedPreceding, 0)
+        want = df.select("*", F.count("*").over(rows).alias("c"), F.coalesce(F.sum("v").over(rows), F.lit(0)).alias("s"),
+                         F.count("*").over(Window.partitionBy("g", "f")).alias("c_total"))
+        for parts in (1, 4):
+            got = running_sums(df, ["g", "f"], ["id"], {"c": F.lit(1), "s": "v"}, parts, with_totals=True)
+            assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_fractional_weights_are_refused(spark):
+    import pytest
+    with pytest.raises(TypeError):
+        running_sums(spark.range(3).withColumn("x", F.lit(0.5)), [], ["id"], {"s": "x"})
+
+
+def test_written_tables_are_released(spark):
+    from rampstat.session import release
+    row_number_in_group(spark.range(10).withColumn("g", F.lit(1)), ["g"], ["id"]).collect()
+    assert release(spark) >= 1 and release(spark) == 0
