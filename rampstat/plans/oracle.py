@@ -629,3 +629,82 @@ SELECT s.run_id, s.stage_index, COALESCE(e.el, s.duration) AS elapsed_seconds, s
             ELSE CAST(0.0 AS DOUBLE) END AS error_rate
 FROM sched s LEFT JOIN agg a ON a.run_id = s.run_id AND a.stage_index = s.stage_index
 LEFT JOIN el e ON e.run_id = s.run_id AND e.stage_index = s.stage_index""")
+
+
+# Runs configured by customers, with their orders as requests.
+ORDER_BASE = "WITH RECURSIVE " + CONFIG_BASE + f""",
+gate AS (SELECT * FROM cfg WHERE initial_rate > 0 AND max_rate >= initial_rate AND scaling_factor >= 1.1 AND time_increment > 0),
+ramp_o(run_id, stage_index, raw_rate) AS (
+  SELECT run_id, 0, initial_rate FROM gate
+  UNION ALL
+  SELECT r.run_id, r.stage_index + 1, r.raw_rate * c.scaling_factor
+  FROM ramp_o r JOIN gate c ON c.run_id = r.run_id
+  WHERE r.raw_rate < c.max_rate AND r.raw_rate * c.scaling_factor > r.raw_rate),
+sched AS (
+  SELECT r.run_id, CAST(r.stage_index AS INTEGER) AS stage_index, LEAST(r.raw_rate, c.max_rate) AS target_rps,
+         CAST(CASE WHEN NOT c.is_public AND c.token_count > 0
+                   THEN LEAST(c.min_users + r.stage_index * c.users_increment, c.max_users, c.token_count)
+                   ELSE LEAST(c.min_users + r.stage_index * c.users_increment, c.max_users) END AS INTEGER) AS active_users,
+         c.time_increment AS duration, CAST(c.time_increment AS BIGINT) * 1000000 AS dur_us
+  FROM ramp_o r JOIN gate c ON c.run_id = r.run_id),
+spans AS (SELECT run_id, CAST(SUM(dur_us) AS BIGINT) AS span FROM sched GROUP BY run_id),
+hit AS (
+  SELECT p.run_id, o.o_orderkey AS k, (o.o_orderkey % 101) * p.span // 96 AS off_us, o.o_totalprice AS price
+  FROM orders o JOIN spans p ON p.run_id = o.o_custkey),
+req AS (
+  SELECT h.run_id, row_number() OVER (PARTITION BY h.run_id ORDER BY h.off_us, h.k) AS seq, h.k AS event_id,
+         s.stage_index, s.target_rps, s.active_users,
+         CASE WHEN h.k % 14 = 1 THEN 'error' WHEN h.k % 7 = 1 THEN 'timeout' WHEN h.k % 7 = 0 THEN 'failure' ELSE 'success' END AS status,
+         CASE WHEN h.k % 7 = 1 THEN CAST(0.0 AS DOUBLE) ELSE h.price END AS latency_ms
+  FROM hit h LEFT JOIN sched s
+    ON s.run_id = h.run_id AND h.off_us >= s.stage_index * s.dur_us AND h.off_us < (s.stage_index + 1) * s.dur_us),
+""" + BASE[BASE.index("agg AS ("):]
+
+
+def _o(tail: str) -> str:
+    return ORDER_BASE + tail
+
+
+ORACLE["order_requests"] = _o("SELECT run_id, seq, event_id, stage_index, target_rps, active_users, status, latency_ms FROM req")
+ORACLE["order_stage_metrics"] = _o("SELECT * FROM sm")
+ORACLE["order_scale_decision"] = _o(ORACLE["scale_decision"][len(BASE):])
+_ACTIVE = """,
+act AS (
+  SELECT run_id, model, percentage, row_number() OVER (PARTITION BY run_id ORDER BY model_pos) - 1 AS pos,
+         COUNT(*) OVER (PARTITION BY run_id) AS n
+  FROM cfg_models m
+  WHERE percentage > 0 OR (model_pos = 1 AND NOT EXISTS (SELECT 1 FROM cfg_models x WHERE x.run_id = m.run_id AND x.percentage > 0))),
+rr AS (
+  SELECT q.run_id, q.seq, a.model AS assigned_model, a.percentage AS assigned_percentage
+  FROM req q LEFT JOIN act a ON a.run_id = q.run_id AND a.pos = q.seq % a.n)
+"""
+ORACLE["order_round_robin"] = _o(_ACTIVE + "SELECT * FROM rr")
+ORACLE["order_duplicate"] = _o(_ACTIVE + """
+SELECT q.run_id, q.seq, m.model AS assigned_model, m.percentage AS assigned_percentage
+FROM req q JOIN cfg_models m ON m.run_id = q.run_id AND m.percentage = 100
+UNION ALL
+SELECT * FROM rr WHERE run_id NOT IN (SELECT run_id FROM cfg_models WHERE percentage = 100)""")
+ORACLE["order_weighted"] = _o(""",
+band AS (
+  SELECT run_id, model, percentage, SUM(percentage) OVER (PARTITION BY run_id) AS cycle,
+         SUM(percentage) OVER (PARTITION BY run_id ORDER BY model_pos) AS hi
+  FROM cfg_models WHERE percentage > 0)
+SELECT q.run_id, q.seq, b.model AS assigned_model, b.percentage AS assigned_percentage
+FROM req q LEFT JOIN band b ON b.run_id = q.run_id AND q.seq % CAST(b.cycle AS BIGINT) < b.hi
+  AND q.seq % CAST(b.cycle AS BIGINT) >= b.hi - b.percentage""")
+ORACLE["order_credentials"] = _o(""",
+pick AS (
+  SELECT q.run_id, q.seq, c.token_count, CAST(CASE WHEN c.token_count > 0 THEN q.seq % c.token_count ELSE 0 END AS BIGINT) AS token_idx
+  FROM req q JOIN cfg c ON c.run_id = q.run_id)
+SELECT p.run_id, p.seq, p.token_idx,
+       CASE WHEN p.token_count = 0 THEN 'public' ELSE COALESCE(NULLIF(t.label, ''), 'user-' || CAST(p.token_idx AS VARCHAR)) END AS assigned_label
+FROM pick p LEFT JOIN cfg_tokens t ON t.run_id = p.run_id AND t.token_pos = p.token_idx + 1""")
+ORACLE["order_run_status"] = _o(""",
+plan AS (SELECT run_id, COUNT(*) AS planned, MAX(stage_index) AS last FROM sched GROUP BY run_id),
+seen AS (SELECT run_id, COUNT(DISTINCT stage_index) AS observed, MAX(stage_index) AS last FROM req WHERE stage_index IS NOT NULL GROUP BY run_id)
+SELECT p.run_id, CAST(p.planned AS BIGINT) AS planned_stages, CAST(COALESCE(s.observed, 0) AS BIGINT) AS observed_stages,
+       CASE WHEN NOT c.is_public AND c.token_count = 0 THEN 'error' WHEN p.run_id % 13 = 0 THEN 'error' WHEN p.run_id % 13 = 1 THEN 'completed'
+            WHEN s.last = p.last THEN 'completed' ELSE 'running' END AS run_status,
+       CASE WHEN NOT c.is_public AND c.token_count = 0 THEN 'no credential configured for a private endpoint'
+            WHEN p.run_id % 13 = 0 THEN 'Test cancelled' ELSE '' END AS error_message
+FROM plan p JOIN cfg c ON c.run_id = p.run_id LEFT JOIN seen s ON s.run_id = p.run_id""")

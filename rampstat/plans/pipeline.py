@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampstat.operators.assign import assign_stage, with_sequence
+from rampstat.operators.assign import assign_stage, cap_users, with_sequence
 from rampstat.operators.normalize import normalize_requests
 from rampstat.operators.schedule import build_schedule
 from rampstat.session import prepare
@@ -27,9 +27,15 @@ class EventRuns:
         self.events = fx.table(spark, sf_dir, "events")
         self.raw = fx.raw_outcomes(self.events)
         self.runs = fx.event_runs(self.events)
-        self.schedule = build_schedule(self.runs)
         self._memo: dict = {}
 
+    @property
+    def schedule(self) -> DataFrame:
+        """I1 with B17: no more users at a time than a private run has credentials."""
+        if "schedule" not in self._memo:
+            self._memo["schedule"] = cap_users(build_schedule(self.runs), self.runs, self.tokens())
+        return self._memo["schedule"]
+
     def requests(self, with_seq: bool = True) -> DataFrame:
         key = ("requests", with_seq)
         if key not in self._memo:
@@ -57,6 +63,23 @@ class EventRuns:
         return fx.prompts_from_benchmark(fx.table(self.spark, self.sf_dir, "benchmark"))
 
 
+class OrderRuns:
+    """Tables of the runs that customers configure and orders are the requests of."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        prepare(spark)
+        self.runs = fx.order_runs(fx.table(spark, sf_dir, "customer"))
+        self.tokens = self.runs.select("run_id", F.posexplode("tokens").alias("token_pos", "t")).select(
+            "run_id", F.col("token_pos").cast("long").alias("token_pos"), "t.token", "t.label")
+        self.schedule = cap_users(build_schedule(self.runs), self.runs, self.tokens)
+        norm = normalize_requests(fx.order_outcomes(fx.table(spark, sf_dir, "orders"), self.schedule))
+        self.staged = assign_stage(norm, self.schedule, self.runs)
+        self.ends = fx.order_run_ends(self.runs)
+
+    def requests(self) -> DataFrame:
+        return with_sequence(self.staged)
+
+
 def with_ntz(df: DataFrame, cols=("ts",)) -> DataFrame:
     """Driver outputs carry wall-clock timestamps without zone (like the
     source Parquet)."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rampstat.functions.rates import format_rate_value, report_round, rps_to_display
@@ -21,7 +21,7 @@ from rampstat.operators import quality as dq
 from rampstat.operators import report as rep
 from rampstat.operators.percentiles import PCTS, approx_rank_error, floor_rank_percentiles
 from rampstat.operators.schedule import build_schedule, schedule_offsets, stage_counts
-from rampstat.plans.pipeline import EventRuns, with_ntz
+from rampstat.plans.pipeline import EventRuns, OrderRuns, with_ntz
 from rampstat.session import prepare
 from rampstat.sources import catalogue as cat
 from rampstat.sources import credentials as cred
@@ -111,7 +111,11 @@ def q_raw_report(spark, sf_dir):
 
 
 def q_raw_report_head(spark, sf_dir):
-    return rep.head_rows(_raw_report(spark, sf_dir), HEAD_ROWS)
+    """The first rows in arrival order - a top-k of the log; only those are numbered."""
+    er = _runs(spark, sf_dir)
+    head = er.requests(with_seq=False).orderBy("run_id", "ts", "event_id").limit(HEAD_ROWS)
+    numbered = head.withColumn("seq", F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "event_id")).cast("long"))
+    return rep.head_rows(rep.raw_report(numbered, _stage_metrics(er), unit="rps"), HEAD_ROWS)
 
 
 def q_error_report(spark, sf_dir):
@@ -322,6 +326,47 @@ def q_stage_report(spark, sf_dir):
     return stage_report(_stage_metrics(_runs(spark, sf_dir)), "rps")
 
 
+def q_order_requests(spark, sf_dir):
+    """D3 at boundaries and outside every slot, B17, F5 over runs of many kinds."""
+    return OrderRuns(spark, sf_dir).requests().select(
+        "run_id", "seq", "event_id", "stage_index", "target_rps", "active_users", "status", "latency_ms")
+
+
+def _order_stages(spark, sf_dir):
+    o = OrderRuns(spark, sf_dir)
+    return agg.stage_metrics(o.staged, o.schedule)
+
+
+def q_order_stage_metrics(spark, sf_dir):
+    return _order_stages(spark, sf_dir)
+
+
+def q_order_scale_decision(spark, sf_dir):
+    return agg.scale_info(_order_stages(spark, sf_dir))
+
+
+def _order_assign(fn):
+    def q(spark, sf_dir):
+        o = OrderRuns(spark, sf_dir)
+        return fn(o.requests(), o.runs).select("run_id", "seq", "assigned_model", "assigned_percentage")
+    return q
+
+
+q_order_round_robin = _order_assign(asg.assign_round_robin)
+q_order_weighted = _order_assign(asg.assign_weighted)
+q_order_duplicate = _order_assign(asg.assign_duplicate)
+
+
+def q_order_credentials(spark, sf_dir):
+    o = OrderRuns(spark, sf_dir)
+    return asg.assign_credential(o.requests(), o.tokens).select("run_id", "seq", "token_idx", "assigned_label")
+
+
+def q_order_run_status(spark, sf_dir):
+    o = OrderRuns(spark, sf_dir)
+    return dq.run_status(o.schedule, o.staged, dq.configs_without_credentials(o.runs, o.tokens), ends=o.ends)
+
+
 def q_stream_stage_final(spark, sf_dir):
     from rampstat.streaming.live import stream_stage_final_table
     return with_ntz(stream_stage_final_table(spark, sf_dir), ("window_start", "window_end"))
@@ -377,4 +422,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "config_json": q_config_json,
     "stage_report": q_stage_report,
     "approx_percentiles": q_approx_percentiles,
+    "order_requests": q_order_requests,
+    "order_stage_metrics": q_order_stage_metrics,
+    "order_scale_decision": q_order_scale_decision,
+    "order_round_robin": q_order_round_robin,
+    "order_weighted": q_order_weighted,
+    "order_duplicate": q_order_duplicate,
+    "order_credentials": q_order_credentials,
+    "order_run_status": q_order_run_status,
 }

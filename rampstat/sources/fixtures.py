@@ -148,3 +148,34 @@ def prompts_from_benchmark(benchmark: DataFrame) -> DataFrame:
     to suite ``i % 6`` at position ``i div 6``; the seventh suite is empty."""
     return benchmark.selectExpr(f"{suite_of_sql('item_id % 6')} AS suite_id",
                                 "item_id div 6 AS prompt_index", "text")
+
+
+def order_runs(customer: DataFrame) -> DataFrame:
+    """The customers' configurations that pass the rate rules (C7, and the smallest
+    factor of C9), as runs: ramps, lengths, models, credentials and access all vary."""
+    return run_configs(customer).where(
+        "initial_rate > 0 AND max_rate >= initial_rate AND scaling_factor >= 1.1D AND time_increment > 0"
+    ).withColumn("started_at", F.expr(f"TIMESTAMP '{EVENT_RUN_START}'"))
+
+
+def order_outcomes(orders: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Raw outcomes of those runs: one per order of the customer. Requests come at 96ths of
+    the run's length, some exactly at a stage's first microsecond, some beyond the end."""
+    from rampstat.operators.joins import broadcast_if_small
+    spans = broadcast_if_small(schedule.groupBy("run_id").agg(
+        F.expr("sum(CAST(round(duration * 1e6D) AS BIGINT))").alias("_span")))
+    k = "o_orderkey"
+    return orders.join(spans, orders.o_custkey == spans.run_id).selectExpr(
+        "run_id", f"{k} AS event_id",
+        f"timestamp_micros(unix_micros(TIMESTAMP '{EVENT_RUN_START}') + ({k} % 101) * _span div 96) AS ts",
+        "'model_1' AS model", "0D AS model_percentage", f"{k} % 3 AS token_index", "'' AS raw_label",
+        f"{suite_of_sql(f'{k} % 7')} AS suite_id",
+        f"CASE {k} % 7 WHEN 0 THEN 500 WHEN 1 THEN NULL ELSE 200 END AS raw_code",
+        f"CASE WHEN {k} % 14 = 1 THEN 'ConnectError' WHEN {k} % 7 = 1 THEN 'timeout' END AS raw_exception",
+        "o_totalprice AS raw_latency")
+
+
+def order_run_ends(runs: DataFrame) -> DataFrame:
+    """How some of those runs ended: cancelled, or reported complete."""
+    return runs.where("run_id % 13 < 2").selectExpr(
+        "run_id", "IF(run_id % 13 = 0, 'error', 'completed') AS end_status", "IF(run_id % 13 = 0, 'Test cancelled', NULL) AS end_message")
