@@ -8,7 +8,7 @@ from that much smaller table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rampstat.operators.percentiles import PCTS, disc_or_approx, percentile_aggs
@@ -116,22 +116,26 @@ def model_summary(requests: DataFrame, run_col: str = "run_id", method: str = "h
     (models are listed in first-seen order).
 
     Without a ``seq`` column, ``first_seq`` = 1 + requests of the run before
-    the model's first one: each request meets the few first-request keys of
-    its run's models (at most the configured model count), so no global
-    numbering is needed."""
+    the model's first one: each request is placed among the sorted first keys of
+    its run's models (one array per run, joined once), the places are counted,
+    and the counts of earlier places add up. No request is multiplied and no
+    global numbering is needed."""
     prof = latency_profile(requests, [run_col, "model"], method)
     if use_seq:
         first = requests.groupBy(run_col, "model").agg(F.min("seq").cast("long").alias("first_seq"))
     else:
         key = F.struct(*order_cols)
-        firsts = requests.groupBy(run_col, "model").agg(F.min(key).alias("_first"))
-        f = broadcast_if_small(
-            firsts.select(F.col(run_col).alias("_r"), F.col("model").alias("_m"), "_first"))
-        keyed = requests.select(F.col(run_col), key.alias("_k"))
-        first = (keyed.join(f, keyed[run_col] == f["_r"])
-                 .where(F.col("_k") <= F.col("_first"))
-                 .groupBy("_r", "_m").agg(F.count("*").cast("long").alias("first_seq"))
-                 .select(F.col("_r").alias(run_col), F.col("_m").alias("model"), "first_seq"))
+        firsts = requests.groupBy(run_col, "model").agg(F.min(key).alias("k"))
+        per_run = broadcast_if_small(firsts.groupBy(run_col).agg(
+            F.array_sort(F.collect_list(F.struct("k", "model"))).alias("_firsts")))
+        placed = requests.select(run_col, key.alias("_k")).join(per_run.select(run_col, F.col("_firsts.k").alias("_ks")), run_col)
+        counts = placed.select(run_col, F.expr("size(filter(_ks, k -> k <= _k))").alias("_place")).groupBy(run_col, "_place").agg(
+            F.count("*").alias("_c"))
+        w = Window.partitionBy(run_col).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)  # a row per model
+        starts = counts.select(run_col, "_place", (F.coalesce(F.sum("_c").over(w), F.lit(0)) + 1).cast("long").alias("first_seq"))
+        models = per_run.select(run_col, F.posexplode("_firsts").alias("_pos", "_f")).select(
+            run_col, (F.col("_pos") + 1).alias("_place"), F.col("_f.model").alias("model"))
+        first = models.join(starts, [run_col, "_place"]).select(run_col, "model", "first_seq")
     j = prof.join(first, [run_col, "model"])
     return j.select(run_col, "model", "first_seq", "total_requests", "successful", "failed",
                     F.when(F.col("total_requests") > 0,

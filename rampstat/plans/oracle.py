@@ -35,7 +35,7 @@ raw AS (
               WHEN event_type = 'error' AND k % 3 = 1 THEN 'ConnectError' END AS raw_exception,
          value AS raw_latency
   FROM ev),
-runs AS (SELECT DISTINCT user_id % 4 AS run_id FROM events),
+runs AS (SELECT user_id % 4 AS run_id, COUNT(DISTINCT user_id) AS n_tokens FROM events GROUP BY 1),
 ramp(stage_index, raw_rate) AS (
   SELECT 0, CAST(0.001 AS DOUBLE)
   UNION ALL
@@ -44,7 +44,7 @@ ramp(stage_index, raw_rate) AS (
 sched AS (
   SELECT r.run_id, CAST(p.stage_index AS INTEGER) AS stage_index,
          LEAST(p.raw_rate, CAST(0.512 AS DOUBLE)) AS target_rps,
-         CAST(LEAST(1 + p.stage_index * 1, 5) AS INTEGER) AS active_users,
+         CAST(LEAST(1 + p.stage_index * 1, 5, r.n_tokens) AS INTEGER) AS active_users,
          CAST(259200.0 AS DOUBLE) AS duration,
          CAST(p.stage_index AS DOUBLE) * CAST(259200.0 AS DOUBLE) AS t0_offset_s
   FROM runs r CROSS JOIN ramp p),

@@ -8,11 +8,12 @@ Rules (one text per file):
   row too short for it gets ``user-{i}``; without a header the second column
   is ignored and the label is ``token-{i}``;
 * a blank token rejects the row: ``Row {i}: missing token value``;
-* ``i`` is the 1-based physical line number, the header included.
+* ``i`` is the 1-based record number, the header included; a line end inside
+  quotes does not end a record.
 
 Spark's CSV reader skips blank lines, while the rules count them (a blank
-line is a rejected row), so files are read as whole texts and numbered
-line by line. Only a SHA-256 of each token is kept.
+line is a rejected row), so files are read as whole texts and their records
+numbered. Only a SHA-256 of each token is kept.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# comma outside double quotes
-_CSV_SPLIT = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# One cell: quoted (doubled quotes and line ends inside belong to it, text after the
+# closing quote too) or plain. Possessive, so matching takes linear time.
+_CELL = r'(?:"(?:[^"]++|"")*+(?:"[^,\r\n]*+)?+|[^,\r\n]*+)'
+_RECORD = rf"({_CELL}(?:,{_CELL})*+)(?:\r?\n|\r|\z)"
 
 
 def _strip(col: Column) -> Column:
@@ -29,22 +32,30 @@ def _strip(col: Column) -> Column:
     return F.regexp_replace(col, r"^\s+|\s+$", "")
 
 
-def csv_cells(line: Column) -> Column:
-    """Split one CSV line into cells; quoted cells lose their quotes and
-    doubled quotes collapse."""
-    raw = F.split(line, _CSV_SPLIT, -1)
-    return F.transform(raw, lambda c: F.when(
-        c.rlike(r'^".*"$'), F.regexp_replace(F.regexp_extract(c, r'^"(.*)"$', 1), '""', '"'))
-        .otherwise(c))
+def csv_records(text: Column) -> Column:
+    """The records of a CSV text without trailing line ends: a line end inside quotes
+    does not end a record, blank lines are records."""
+    found = F.regexp_extract_all(text, F.lit(_RECORD), F.lit(1))
+    return F.slice(found, 1, F.size(found) - 1)  # the last match is the empty end
+
+
+def csv_cells(record: Column) -> Column:
+    """The cells of one CSV record; quoted cells lose their quotes and doubled
+    quotes collapse."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f",({_CELL})"), F.lit(1))
+    quoted = r'(?s)\A"((?:[^"]++|"")*+)"?+(.*)\z'
+    return F.transform(raw, lambda c: F.when(c.startswith('"'), F.concat(
+        F.regexp_replace(F.regexp_extract(c, quoted, 1), '""', '"'), F.regexp_extract(c, quoted, 2))).otherwise(c))
 
 
 def read_credential_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per physical line: (file, line_no 1-based, line). Each file is
-    one record (whole text), stripped, then split into lines."""
+    """One row per record: (file, line_no 1-based, line). Each file is one whole text
+    (what was pasted or uploaded for one run, so a task's memory holds it), stripped,
+    then cut into records."""
     texts = spark.read.text(paths, wholetext=True).select(
         F.input_file_name().alias("file"), _strip(F.col("value")).alias("text"))
     texts = texts.where(F.length("text") > 0)
-    return texts.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line")).select(
+    return texts.select("file", F.posexplode(csv_records(F.col("text"))).alias("pos", "line")).select(
         "file", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
