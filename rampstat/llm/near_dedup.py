@@ -11,9 +11,11 @@ others are linked or not by their full sets.
 
 No bucket's pairs are all formed. First each member of a bucket is paired with
 the bucket's smallest member alone (a row each); the links give components.
-Pairs are then formed in buckets that still hold different components, between
-those only; so a group of thousands of alike texts costs a star, and no link
-between different components is lost. A class's members are never paired.
+Buckets that still hold different components are looked through once more: small
+ones by pairs between different components, larger ones in tasks that compare
+sketches block by block, then full sets, and give back links alone. So no link
+between different components is lost, and no group is turned into pairs of rows. A
+class's members are never paired.
 
 Defined cases: no words or a null text is an empty set, linked with nothing;
 fewer words than a shingle are one shingle together; a null id ranks as the
@@ -42,6 +44,10 @@ BANDS, ROWS = 40, 8
 SKETCH_BITS = 1024
 #: Similarity by the sketch under which a pair goes no further.
 SKETCH_LEAST = 0.70
+#: In buckets of more members than this, different components are compared in tasks,
+#: by blocks of so many members.
+SMALL = 8
+BLOCK = 4096
 #: Ids of documents to be compared in full that are broadcast at most.
 BROADCAST_IDS = 1 << 18
 
@@ -154,6 +160,60 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id
     return save(both.where(100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared"))).select("a", "b"), "links")
 
 
+def block_links(t: pa.Table, percent: int, limit: int) -> pa.Table:
+    """Links between different labels of the members of a bucket's block, or of two
+    blocks of it; of links that join the same labels, one. A pair is looked at only in
+    the first band that it shares."""
+    side = t.column("side").to_numpy()
+    node, label, key = t.column("node").to_numpy(), t.column("label").to_numpy(), t.column("key")[0].as_py()
+    sketch = np.array(t.column("sketch").to_pylist(), np.int64).view(np.uint64)
+    bands = np.array(t.column("bands").to_pylist(), np.int64)
+    sets = [np.asarray(x.values) for x in t.column("s")]
+    size = np.array([len(x) for x in sets])
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    here, there = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(side)),) * 2
+    for i in range(0, len(here), 16):
+        rows = here[i:i + 16]
+        apart = np.bitwise_count(sketch[rows, None] ^ sketch[None, there]).sum(2, dtype=np.int64)
+        x, y = np.nonzero((apart <= limit) & (label[rows, None] != label[None, there]))
+        x, y = rows[x], there[y]
+        keep = (node[x] < node[y]) | side.any()
+        keep &= 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+        x, y = x[keep], y[keep]
+        agree = bands[x] == bands[y]
+        first = agree.argmax(1) == (bands[x] == key).argmax(1)
+        for a, b in zip(x[first].tolist(), y[first].tolist(), strict=True):
+            p, q = top(int(label[a])), top(int(label[b]))
+            if p != q:
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * both >= percent * (size[a] + size[b] - both):
+                    up[p] = q
+                    out.append((node[a], node[b]))
+    return pa.table({"a": pa.array([int(a) for a, _ in out], pa.int64()), "b": pa.array([int(b) for _, b in out], pa.int64())})
+
+
+def linked_in_blocks(members: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links between the labels in large buckets. Members are dealt into blocks of
+    about ``BLOCK``; each block, and each two blocks of a bucket, are compared in a task
+    that gives back links alone, never pairs."""
+    members = save(members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long")), "large")
+    ends = members.select("node").distinct()
+    chosen = save(nodes.join(ends, "node").select("node", "did", "set_id", "sketch", "bands"), "chosen")
+    sets = full_sets(docs, chosen, id_col, text_col).dropDuplicates(["set_id"]).join(chosen, "set_id").select("node", "s", "sketch", "bands")
+    own = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    own = own.select("key", "node", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    limit = sketch_limit(SKETCH_LEAST)
+    found = own.join(sets, "node").groupBy("key", "i", "j").applyInArrow(lambda t: block_links(t, percent, limit), "a long, b long")
+    return save(found.distinct(), "block-links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and the smallest node it reaches, ``label``, for the ends of the links.
     Labels spread over links and then jump to their label's label, so chains of
@@ -186,15 +246,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     labels = components(links)
 
     # buckets that hold different components still: the pairs between those
-    marked = members.join(labels, "node", "left").select("key", "node", "least", F.coalesce("label", "node").alias("label"))
-    marked = save(marked, "marked")
-    mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    marked = marked.join(mixed, "key", "left_semi")
-    left = marked.select("key", F.col("node").alias("a"), F.col("label").alias("la"), "least")
-    right = marked.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
+    marked = save(members.join(labels, "node", "left").select("key", "node", "least", F.coalesce("label", "node").alias("label")), "marked")
+    mixed = save(marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x < y").select("key", "size"), "mixed")
+    small = marked.join(mixed.where(F.col("size") <= SMALL), "key")
+    left = small.select("key", F.col("node").alias("a"), F.col("label").alias("la"), "least")
+    right = small.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
     rest = left.join(right, "key").where("a < b AND la <> lb AND a <> least").select("a", "b").distinct()
     more = linked(rest, nodes, docs, percent, id_col, text_col)
-    labels = components(links.union(more))
+    large = linked_in_blocks(marked.join(mixed.where(F.col("size") > SMALL), "key"), nodes, docs, percent, id_col, text_col)
+    labels = components(links.union(more).union(large))
 
     of = nodes.join(labels, "node", "left").select("set_id", "did", F.coalesce("label", "node").alias("label"))
     smallest = of.groupBy("label").agg(F.min("did").alias("component_id"))
