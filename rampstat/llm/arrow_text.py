@@ -12,8 +12,16 @@ import pyarrow.compute as pc
 SLICE_BYTES = 2 << 20
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+#: What operators keep in a Python worker between batches. A worker serves one operator
+#: after the other; the next one frees it.
+CACHES: list[dict] = []
+
+
+def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES, keep_caches: bool = False) -> Iterator[pa.RecordBatch]:
     """Runs of whole rows of about ``limit`` bytes of text; a longer text comes alone."""
+    for cache in CACHES if not keep_caches else ():
+        cache.clear()
+    pa.default_memory_pool().release_unused()
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(size):

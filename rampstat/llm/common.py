@@ -41,12 +41,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch that Spark hands to Python, about.
+BATCH_BYTES = "8m"
+
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once per application: they
-    need not share the driver's folders or start in the same one."""
+    need not share the driver's folders or start in the same one. Also bounds the
+    batches that Python gets: long texts would make them large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m") in ("64m", "64MB", str(64 << 20), f"{64 << 20}b"):  # not set by the user
+        spark.conf.set(key, BATCH_BYTES)
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         _SHIPPED.add(sc.applicationId)

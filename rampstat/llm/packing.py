@@ -27,10 +27,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampstat.llm.arrow_text import slices, words
+from rampstat.llm.arrow_text import CACHES, slices, whole, word_hash, words
 from rampstat.llm.common import given_id, known_id, save, ship, table
 
 MAX_LEN = 4096
@@ -39,18 +40,17 @@ END_ID = 1
 GROUP_BINS = 1500
 #: A bin with this part of a sequence free, or more, is packed again.
 LOOSE = 16
-#: Words whose ids a Python worker keeps; beyond that it starts anew.
-CACHE_WORDS = 1_000_000
-LONGEST_CACHED = 64
+#: Words whose ids a Python worker keeps (some 40 bytes each); beyond that it forgets rare ones.
+CACHE_WORDS = 700_000
 #: Bytes of text that are tokenised at a time: more, and more words repeat.
-TOKEN_SLICE = 6 << 20
+TOKEN_SLICE = 4 << 20
 
 PIECE = "did long, piece int, start long, length long, ids_crc32 long"
 
 
 #: Words of printable ASCII and Latin-1 letters: lower-casing them is the same
 #: everywhere and they compose with nothing, so they can be cut into runs here.
-PLAIN = re.compile("[\\x21-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PLAIN = "^[\\x21-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 RUN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 #: The steps of the tokenizer for which RUN does what its own steps do.
 STEPS_KNOWN = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
@@ -85,27 +85,33 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.ends = [0]
-        self.hits = np.zeros(CACHE_WORDS, np.int32)
+        """Known words with their hashes (sorted, with each one's number), where their ids
+        begin, how many they are, and in how many slices the word came."""
+        self.words = pa.array([], pa.large_string())
+        self.hashes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.start, self.size, self.hits = np.zeros(0, np.uint32), *(np.zeros(0, np.int32) for _ in range(3))
 
     def shrink(self) -> None:
         """Forget the words that came in one slice only, or all if most came again."""
-        ends = np.array(self.ends, np.int64)
-        kept = {w: i for w, i in self.place.items() if self.hits[i] > 1}
-        at = np.unique(np.fromiter(kept.values(), np.int64, len(kept)))
-        if len(at) > CACHE_WORDS // 2:
-            at, kept = at[:0], {}
-        size = ends[at + 1] - ends[at]
-        to = np.cumsum(size)
-        flat = self.ids[np.repeat(ends[at] - (to - size), size) + np.arange(to[-1] if len(to) else 0)]
-        now = dict(zip(at.tolist(), range(len(at)), strict=True))
+        kept = np.flatnonzero(self.hits > 1)
+        if len(kept) > CACHE_WORDS // 2:
+            kept = kept[:0]
+        words, hits, hashes = self.words.take(pa.array(kept)), np.ones(len(kept), np.int32), np.empty(len(self.words), np.uint64)
+        hashes[self.number] = self.hashes
+        ids, size = gathered(self.ids, self.start[kept], self.size[kept]), self.size[kept]
         self.clear()
-        self.place = {w: now[i] for w, i in kept.items()}
-        self.ids = np.concatenate([flat, self.ids])
-        self.ends = [0, *to.tolist()]
-        self.hits[:len(at)] = 1
+        self.add(words, hashes[kept], ids, size)
+        self.hits = hits
+
+    def add(self, words: pa.Array, hashes: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.number = np.insert(self.number, at, (len(self.words) + order).astype(np.int32))
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.words = pa.concat_arrays([self.words, words])
+        self.start = np.append(self.start, (len(self.ids) + np.cumsum(size) - size).astype(np.int32))
+        self.size, self.hits = np.append(self.size, size.astype(np.int32)), np.append(self.hits, np.zeros(len(size), np.int32))
+        self.ids = np.append(self.ids, ids)
 
     def encode_plain(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = [[w] if w.isalpha() else RUN.findall(w) for w in plain]
@@ -120,63 +126,69 @@ class WordIds:
         mark = ids == self.mark_id
         return ids[~mark], np.diff(np.flatnonzero(mark), prepend=-1) - 1
 
-    def is_plain(self, w: str) -> bool:
-        return w != "" and (w.isprintable() if w.isascii() else PLAIN.fullmatch(w) is not None) and self.opens not in w
-
-    def encode(self, plain: list[str], rest: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The words in the order of their ids, the ids one after the other, and
-        how many each word has. A word that may hold a special token goes alone."""
-        odd = [w for w in rest if self.opens in w]
-        others = [w for w in rest if self.opens not in w]
-        done = [self.encode_plain(plain)] if plain else []
-        done += [self.encode_others(others[i:i + 10_000]) for i in range(0, len(others), 10_000)]
-        for w in odd:
-            ids = np.array(self.tok.encode(w, add_special_tokens=False).ids, np.uint32)
+    def encode(self, words: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' order of encoding, their ids one after the other in that order, and
+        how many each has. A word that may hold a special token goes alone."""
+        odd = np.array([self.opens in w for w in words], bool)
+        places = [np.flatnonzero(plain), np.flatnonzero(~plain & ~odd), np.flatnonzero(odd)]
+        done = [self.encode_plain([words[i] for i in places[0]])] if len(places[0]) else []
+        for k in range(0, len(places[1]), 10_000):
+            done.append(self.encode_others([words[i] for i in places[1][k:k + 10_000]]))
+        for i in places[2]:
+            ids = np.array(self.tok.encode(words[i], add_special_tokens=False).ids, np.uint32)
             done.append((ids, np.array([len(ids)])))
-        return plain + others + odd, np.concatenate([x for x, _ in done]), np.concatenate([n for _, n in done])
+        return np.concatenate(places), np.concatenate([x for x, _ in done]), np.concatenate([n for _, n in done])
 
-    def lookup(self, u: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of each word's ids within ``self.ids``."""
-        if len(self.ends) + len(u) > CACHE_WORDS:
-            self.shrink()
-        place = self.place
-        missing = [w for w in u if w not in place]
+    def lookup(self, u: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``self.ids`` the ids of each distinct word begin, and how many they are."""
+        plain = pc.and_(pc.match_substring_regex(u, PLAIN), pc.invert(pc.match_substring(u, self.opens)))
         # lower-casing a plain word before the tokenizer does changes nothing
-        lowered = [w.lower() if self.is_plain(w) else w for w in missing]
-        new = [w for w in dict.fromkeys(lowered) if w not in place]
-        if new:
-            plain = [w for w in new if self.is_plain(w)]
-            new, add, sizes = self.encode(plain, [w for w in new if not self.is_plain(w)] if len(plain) < len(new) else [])
-            have, known = self.ends[-1], len(self.ends) - 1
-            if have + len(add) > len(self.ids):
-                self.ids = np.concatenate([self.ids[:have], np.empty(max(len(add), have), np.uint32)])
-            self.ids[have:have + len(add)] = add
-            place.update(zip(new, range(known, known + len(new)), strict=True))
-            self.ends.extend((have + np.cumsum(sizes)).tolist())
-            if len(self.hits) < len(self.ends):
-                self.hits = np.concatenate([self.hits, np.zeros(len(self.ends), np.int32)])
-        place.update([(w, place[x]) for w, x in zip(missing, lowered, strict=True) if w is not x and w != x])
-        at = np.array([place[w] for w in u], np.int64)
-        self.hits[at] += 1
-        for w in {w for w in (*new, *missing) if len(w) > LONGEST_CACHED}:
-            del place[w]
-        ends = np.array(self.ends, np.int64)
-        return ends[at], ends[at + 1]
+        lowered = pc.if_else(plain, pc.utf8_lower(whole(u)), u).dictionary_encode()
+        u, back = lowered.dictionary, lowered.indices.to_numpy(zero_copy_only=False)
+        is_plain = np.zeros(len(u), bool)
+        is_plain[back] = plain.to_numpy(zero_copy_only=False)
+        if len(self.words) + len(u) > CACHE_WORDS:
+            self.shrink()
+        hashes = word_hash(u)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(u), bool)
+        number = np.where(known, self.number[at], 0) if len(self.hashes) else np.zeros(len(u), np.int32)
+        here = np.flatnonzero(known)
+        clash = here[~pc.equal(self.words.take(pa.array(number[here])), u.take(pa.array(here))).to_numpy(zero_copy_only=False)]
+        known[clash] = False
+        self.hits[number[known]] += 1
+        new = np.flatnonzero(~known)
+        if len(new):
+            order, ids, size = self.encode(u.take(pa.array(new)).to_pylist(), is_plain[new])
+            new = new[order]
+            number[new] = len(self.words) + np.arange(len(new))
+            self.add(u.take(pa.array(new)), hashes[new], ids, size)
+            self.hits[number[new]] = 1
+            if len(clash):  # two words of one hash: neither can be told by it
+                self.hashes, self.number = self.hashes[~np.isin(self.hashes, hashes[clash])], self.number[~np.isin(self.hashes, hashes[clash])]
+        return self.start[number][back], self.size[number][back]
+
+
+def gathered(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``ids`` that begin at ``start``, one after the other."""
+    to = np.cumsum(size, dtype=np.int32)
+    at = np.repeat(start - (to - size), size)
+    at += np.arange(len(at), dtype=np.int32)
+    return ids[at]
 
 
 _LOADED: dict[str, WordIds] = {}
+CACHES.append(_LOADED)
 
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All texts' ids one after the other, and where each text's ids begin and end."""
     enc = _LOADED.get(path) or _LOADED.setdefault(path, WordIds(path))
     row, u, ix = words(texts, lower=False)
-    start, end = enc.lookup(u.to_pylist())
-    start, size = start[ix], (end - start)[ix]
-    to = np.cumsum(size)
-    flat = enc.ids[np.repeat(start - (to - size), size) + np.arange(to[-1] if len(to) else 0)]
+    start, size = enc.lookup(u)
+    size = size[ix]
     per_row = np.bincount(row, weights=size, minlength=len(texts)).astype(np.int64)
-    return flat, np.concatenate([[0], np.cumsum(per_row)])
+    return gathered(enc.ids, start[ix], size), np.concatenate([[0], np.cumsum(per_row)])
 
 
 def piece_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN,
@@ -186,7 +198,7 @@ def piece_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t", TOKEN_SLICE):
+            for part in slices(batch, "t", TOKEN_SLICE, keep_caches=True):
                 flat, at = token_ids(part.column("t"), path)
                 out: list[list] = [[] for _ in range(6 if keep_ids else 5)]
                 for i, d in enumerate(part.column("did").to_pylist()):

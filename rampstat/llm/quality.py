@@ -37,7 +37,7 @@ REPEAT_WINDOW = 8
 KEEP_PROBABILITY = 0.5
 
 #: Labelled rows that the classifier is fitted and calibrated on, at most.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 3000
 HELD_OUT = 5
 #: Buckets of each kind of feature.
 BUCKETS = 1 << 16
@@ -193,17 +193,26 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str,
     return both.select("t", "label", "h").mapInArrow(run, "label int, h long, at binary, value binary")
 
 
-def logistic(at: np.ndarray, value: np.ndarray, row: np.ndarray, y: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression by Adam over the whole sample at once;
-    both classes weigh the same."""
+def logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """L2-penalised logistic regression by Adam over the whole sample at each step;
+    both classes weigh the same. ``rows``: buckets and values of each text."""
     n, d = len(y), KINDS * BUCKETS
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))
+    parts = []  # a few hundred texts at a time, to bound what a step holds
+    for i in range(0, n, 200):
+        own = rows[i:i + 200]
+        parts.append((slice(i, i + len(own)), np.concatenate([a for a, _ in own]), np.concatenate([v for _, v in own]),
+                      np.repeat(np.arange(len(own), dtype=np.int32), [len(a) for a, _ in own])))
+    rows.clear()
     w, b = np.zeros(d), 0.0
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     for k in range(1, steps + 1):
-        z = np.bincount(row, weights=value * w[at], minlength=n) + b
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
-        g = np.append(np.bincount(at, weights=value * error[row], minlength=d) + PENALTY / d * w, error.sum())
+        g = np.append(PENALTY / d * w, 0.0)
+        for here, at, value, row in parts:
+            z = np.bincount(row, weights=value * w[at], minlength=here.stop - here.start) + b
+            error = weight[here] * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[here])
+            g[:-1] += np.bincount(at, weights=value * error[row], minlength=d)
+            g[-1] += error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.5 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-10)
         w, b = w - step[:-1], b - step[-1]
@@ -230,20 +239,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
         label_col: str = "quality") -> Model | None:
     """The fitted classifier, or None when the sample has not both classes."""
     ship(docs.sparkSession)
-    sample = training_sample(docs, labels, rows, id_col, text_col, label_col).toPandas().sort_values("h", kind="stable")
+    sample = training_sample(docs, labels, rows, id_col, text_col, label_col).toArrow().sort_by("h")
     y = sample["label"].to_numpy()
     if len(y) < 2 * HELD_OUT or y.min() == y.max():
         return None
-    at = [np.frombuffer(x, np.int32) for x in sample["at"]]
-    value = [np.frombuffer(x, np.float32) for x in sample["value"]]
+    texts = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(sample["at"].to_pylist(), sample["value"].to_pylist(), strict=True)]
+    del sample
     held = np.arange(len(y)) % HELD_OUT == 0
     if y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
         held = np.zeros(len(y), bool)
-    use = np.flatnonzero(~held)
-    row = np.repeat(np.arange(len(use)), [len(at[i]) for i in use])
-    w, b = logistic(np.concatenate([at[i] for i in use]), np.concatenate([value[i] for i in use]), row, y[use])
-    held = np.flatnonzero(held) if held.any() else use
-    z = np.array([w[at[i]] @ value[i] + b for i in held])
+    out = [texts[i] for i in np.flatnonzero(held if held.any() else ~held)]
+    use = [texts[i] for i in np.flatnonzero(~held)]
+    del texts
+    w, b = logistic(use, y[~held])
+    held = held if held.any() else ~held
+    z = np.array([w[at] @ value + b for at, value in out])
     slope, shift = platt(z, y[held])
     return Model(w.reshape(KINDS, BUCKETS).astype(np.float32), float(b), slope, shift)
 

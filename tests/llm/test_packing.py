@@ -36,8 +36,17 @@ def test_cache_that_overflows(tok, monkeypatch):
     enc = p.WordIds(PATH)
     for k in range(30):
         u = [f"Word{k % 7}x{i}" for i in range(20)] + [f"same{i}" for i in range(5)] + ["L" * 200]
-        a, b = enc.lookup(u)
-        assert [enc.ids[x:y].tolist() for x, y in zip(a, b, strict=True)] == [tok.encode(w, add_special_tokens=False).ids for w in u]
+        a, n = enc.lookup(pa.array(u, pa.large_string()))
+        assert len(enc.words) <= 50 + len(u) and len(set(enc.hashes)) == len(enc.hashes)
+        assert [enc.ids[x:x + y].tolist() for x, y in zip(a, n, strict=True)] == [tok.encode(w, add_special_tokens=False).ids for w in u]
+
+
+def test_words_of_one_hash(tok, monkeypatch):
+    monkeypatch.setattr(p, "word_hash", lambda u: np.array([len(w) for w in u.to_pylist()], np.uint64))
+    enc = p.WordIds(PATH)
+    for u in (["cat", "house"], ["dog", "house"], ["cat", "mouse", "a"], ["dog"], ["cat"]):
+        a, n = enc.lookup(pa.array(u, pa.large_string()))
+        assert [enc.ids[x:x + y].tolist() for x, y in zip(a, n, strict=True)] == [tok.encode(w, add_special_tokens=False).ids for w in u]
 
 
 def check(spark, rows, tok, max_len):
