@@ -708,3 +708,16 @@ SELECT p.run_id, CAST(p.planned AS BIGINT) AS planned_stages, CAST(COALESCE(s.ob
        CASE WHEN NOT c.is_public AND c.token_count = 0 THEN 'no credential configured for a private endpoint'
             WHEN p.run_id % 13 = 0 THEN 'Test cancelled' ELSE '' END AS error_message
 FROM plan p JOIN cfg c ON c.run_id = p.run_id LEFT JOIN seen s ON s.run_id = p.run_id""")
+
+ORACLE["bundle_stage_summary"] = ORACLE["stage_report"]
+ORACLE["bundle_model_summary"] = ORACLE["model_summary"]
+ORACLE["bundle_raw_requests"] = ORACLE["raw_report"]
+ORACLE["bundle_errors"] = ORACLE["error_report"]
+ORACLE["bundle_config"] = _q("""
+SELECT run_id, CAST(i AS INTEGER) AS ordinal,
+       ['base_url', 'api_path', 'rate_unit', 'initial_rate_rps', 'max_rate_rps', 'scaling_factor', 'time_increment_s', 'min_users',
+        'max_users', 'users_increment', 'benchmark_suite', 'timeout_s', 'model_count', 'token_count'][i] AS key,
+       ['http://inference.local/', '/v1/chat/completions', 'rps', '0.001000', '0.512000', '2.000000', '259200.000000', '1', '5', '1',
+        'coding', '60.000000', '3', CAST(n_tokens AS VARCHAR)][i] AS value
+FROM runs, range(1, 15) t(i)""")
+ORACLE["credential_file_tokens"] = ORACLE["credential_tokens"]

@@ -7,6 +7,7 @@ source Parquet.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,8 +22,9 @@ from rampstat.operators import quality as dq
 from rampstat.operators import report as rep
 from rampstat.operators.percentiles import PCTS, approx_rank_error, floor_rank_percentiles
 from rampstat.operators.schedule import build_schedule, schedule_offsets, stage_counts
+from rampstat.plans.bundle import bundle_part
 from rampstat.plans.pipeline import EventRuns, OrderRuns, with_ntz
-from rampstat.session import prepare
+from rampstat.session import checkpoint_dir, prepare
 from rampstat.sources import catalogue as cat
 from rampstat.sources import credentials as cred
 from rampstat.sources import fixtures as fx
@@ -326,6 +328,24 @@ def q_stage_report(spark, sf_dir):
     return stage_report(_stage_metrics(_runs(spark, sf_dir)), "rps")
 
 
+def _bundle(part):
+    def q(spark, sf_dir):
+        return bundle_part(_runs(spark, sf_dir), part)
+    return q
+
+
+def q_credential_file_tokens(spark, sf_dir):
+    """A3 over real files: the customers' credential files are written as text and read back."""
+    prepare(spark)
+    lines = cred.credential_lines_from_customers(fx.table(spark, sf_dir, "customer"))
+    texts = lines.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l")).select(
+        "file", F.array_join("l.line", "\n").alias("value"))  # a nation's customers: a file of one run
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rampstat/credentials-{uuid.uuid4().hex}"
+    texts.write.partitionBy("file").text(path)
+    good = cred.parse_credential_lines(cred.read_credential_files(spark, f"{path}/*/*.txt"))[0]
+    return good.withColumn("file", F.regexp_extract("file", r"/file=(-?\d+)/", 1).cast("int"))
+
+
 def q_order_requests(spark, sf_dir):
     """D3 at boundaries and outside every slot, B17, F5 over runs of many kinds."""
     return OrderRuns(spark, sf_dir).requests().select(
@@ -422,6 +442,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "config_json": q_config_json,
     "stage_report": q_stage_report,
     "approx_percentiles": q_approx_percentiles,
+    "bundle_config": _bundle("config"),
+    "bundle_stage_summary": _bundle("stage_summary"),
+    "bundle_model_summary": _bundle("model_summary"),
+    "bundle_raw_requests": _bundle("raw_requests"),
+    "bundle_errors": _bundle("errors"),
+    "credential_file_tokens": q_credential_file_tokens,
     "order_requests": q_order_requests,
     "order_stage_metrics": q_order_stage_metrics,
     "order_scale_decision": q_order_scale_decision,
