@@ -720,4 +720,9 @@ SELECT run_id, CAST(i AS INTEGER) AS ordinal,
        ['http://inference.local/', '/v1/chat/completions', 'rps', '0.001000', '0.512000', '2.000000', '259200.000000', '1', '5', '1',
         'coding', '60.000000', '3', CAST(n_tokens AS VARCHAR)][i] AS value
 FROM runs, range(1, 15) t(i)""")
-ORACLE["credential_file_tokens"] = ORACLE["credential_tokens"]
+# a file's text is stripped first: blank lines before the first other one don't count
+ORACLE["credential_file_tokens"] = _CRED + """,
+first AS (SELECT file, MIN(line_no) - 1 AS lead FROM body WHERE kind = 2 AND NOT (token = '' AND short) GROUP BY file)
+SELECT CAST(p.file AS INTEGER) AS file, CAST(p.line_no - COALESCE(f.lead, 0) AS BIGINT) AS line_no, sha256(p.tok) AS token_sha256,
+       CASE WHEN f.lead IS NULL THEN p.label ELSE 'token-' || CAST(p.line_no - f.lead AS VARCHAR) END AS label
+FROM parsed p LEFT JOIN first f ON f.file = p.file WHERE p.tok <> ''"""
