@@ -1,9 +1,7 @@
 """Column expressions. Every function returns a Spark Column
 built from built-in expressions, so it stays inside whole-stage codegen."""
 
-from rampstat.functions.outcome import (  # noqa: F401
-    classify_status, error_type_of, label_or_default, latency_of, null_to_empty, status_code_of,
-)
+from rampstat.functions.outcome import null_to_empty  # noqa: F401
 from rampstat.functions.rates import (  # noqa: F401
     allocated_rps, at_least_elapsed, column_suffix, display_to_rps, format_rate_conversion,
     format_rate_value, planned_interval_s, progress_fraction, rate_delta, report_round,

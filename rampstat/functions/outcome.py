@@ -21,38 +21,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def classify_status(code="raw_code", exception="raw_exception") -> Column:
-    code, exception = _c(code), _c(exception)
-    return (F.when(exception == F.lit("timeout"), F.lit("timeout"))
-            .when(exception.isNotNull(), F.lit("error"))
-            .when(code.between(200, 399), F.lit("success"))
-            .otherwise(F.lit("failure")))
-
-
-def status_code_of(code="raw_code", exception="raw_exception") -> Column:
-    return F.when(_c(exception).isNull(), _c(code).cast("int"))
-
-
-def latency_of(latency="raw_latency", exception="raw_exception") -> Column:
-    return F.when(_c(exception).isNull(), _c(latency).cast("double")).otherwise(F.lit(0.0))
-
-
-def error_type_of(exception="raw_exception") -> Column:
-    # timeouts are recorded as 'timeout'; other exceptions by class name
-    return F.when(_c(exception).isNotNull(), _c(exception))
-
-
-def label_or_default(label="raw_label", index="token_index", prefix: str = "user-") -> Column:
-    """Blank label falls back to ``user-{index}``."""
-    return F.coalesce(F.nullif(_c(label), F.lit("")),
-                      F.concat(F.lit(prefix), _c(index).cast("string")))
-
-
 def null_to_empty(col="error_type") -> Column:
     return F.coalesce(_c(col), F.lit(""))
 
 
-# SQL text of the same rules, for plans built from expression strings.
+# The rules as SQL text: plans are built from expression strings.
 def classify_status_sql(code: str = "raw_code", exception: str = "raw_exception") -> str:
     return (f"CASE WHEN {exception} = 'timeout' THEN 'timeout' WHEN {exception} IS NOT NULL THEN 'error' "
             f"WHEN {code} BETWEEN 200 AND 399 THEN 'success' ELSE 'failure' END")

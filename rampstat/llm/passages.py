@@ -43,7 +43,7 @@ ANCHOR = 24
 RUN = 64
 PACK_BYTES = 2 << 20
 #: Bytes of text whose minimizers one bucket takes on average.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 5 << 20
 #: Bytes that are sorted at a time: small enough for the processor's cache.
 SORT_BYTES = 96 << 10
 

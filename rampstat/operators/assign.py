@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rampstat.functions.rates import allocated_rps
 from rampstat.operators.joins import broadcast_if_small
 from rampstat.operators.ranking import row_number_in_group
 
@@ -174,4 +175,4 @@ def allocated_rates(schedule: DataFrame, runs: DataFrame, run_col: str = "run_id
         run_col, F.col("_m.model").alias("model"), F.col("_m.percentage").alias("percentage"))
     return schedule.join(m, run_col).select(
         run_col, "stage_index", "model", "percentage", "target_rps",
-        (F.col("target_rps") * F.col("percentage") / F.lit(100.0)).alias("allocated_rps"))
+        allocated_rps().alias("allocated_rps"))

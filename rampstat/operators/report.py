@@ -14,10 +14,6 @@ from rampstat.functions.rates import column_suffix, report_round, rps_to_display
 from rampstat.functions.text import off_scale_note
 from rampstat.operators.joins import broadcast_if_small
 
-RAW_COLUMNS = ["stage", "model", "token_idx", "token_label", "active_users", "target", "achieved",
-               "status", "status_code", "latency_ms", "error_type", "suite_id", "prompt_id"]
-
-
 def raw_report(requests: DataFrame, stages: DataFrame, unit: str = "rps",
                run_col: str = "run_id") -> DataFrame:
     """Every request with its stage's achieved rate (missing -> 0.0),
@@ -109,6 +105,7 @@ def model_scatter(models: DataFrame, run_col: str = "run_id") -> DataFrame:
                          "success_rate")
 
 
+# The keys of the configuration table, in its order.
 CONFIG_KEYS = ["base_url", "api_path", "rate_unit", "initial_rate_rps", "max_rate_rps",
                "scaling_factor", "time_increment_s", "min_users", "max_users", "users_increment",
                "benchmark_suite", "timeout_s", "model_count", "token_count"]

@@ -726,3 +726,10 @@ first AS (SELECT file, MIN(line_no) - 1 AS lead FROM body WHERE kind = 2 AND NOT
 SELECT CAST(p.file AS INTEGER) AS file, CAST(p.line_no - COALESCE(f.lead, 0) AS BIGINT) AS line_no, sha256(p.tok) AS token_sha256,
        CASE WHEN f.lead IS NULL THEN p.label ELSE 'token-' || CAST(p.line_no - f.lead AS VARCHAR) END AS label
 FROM parsed p LEFT JOIN first f ON f.file = p.file WHERE p.tok <> ''"""
+ORACLE["rate_texts"] = _c("""
+SELECT run_id, initial_rate AS initial_rps,
+       CAST(round_even(CASE WHEN rate_unit = 'rpm' THEN initial_rate * CAST(60.0 AS DOUBLE) ELSE initial_rate END, 0) AS INTEGER) AS initial_shown,
+       CASE WHEN rate_unit = 'rpm' THEN printf('%d RPM = %.2f RPS', CAST(initial_display AS BIGINT), round_even(initial_display / CAST(60.0 AS DOUBLE), 2))
+            ELSE printf('%d RPS = %.2f RPS', CAST(initial_display AS BIGINT), round_even(initial_display, 2)) END AS conversion,
+       rtrim(base_url, '/') || '/' || ltrim(api_path, '/') AS endpoint_view
+FROM cfg""")

@@ -13,8 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rampstat.functions.rates import format_rate_value, report_round, rps_to_display
-from rampstat.functions.text import endpoint_url, request_payload
+from rampstat.functions.rates import (
+    display_to_rps, format_rate_conversion, format_rate_value, report_round, rps_to_display, rps_to_display_int,
+)
+from rampstat.functions.text import endpoint_url, endpoint_url_view, request_payload
 from rampstat.operators import aggregate as agg
 from rampstat.operators import assign as asg
 from rampstat.operators import progress as prog
@@ -255,6 +257,15 @@ def q_config_overview(spark, sf_dir):
     return cat.suite_lookup(base, cat.descriptions(spark), "benchmark_suite")
 
 
+def q_rate_texts(spark, sf_dir):
+    """B3, B4, B6 and B10's view form of every configuration."""
+    c = _configs(spark, sf_dir)
+    rps = display_to_rps("initial_display", "rate_unit")
+    return c.select("run_id", rps.alias("initial_rps"), rps_to_display_int(rps, "rate_unit").alias("initial_shown"),
+                    format_rate_conversion("initial_display", "rate_unit").alias("conversion"),
+                    endpoint_url_view("base_url", "api_path").alias("endpoint_view"))
+
+
 def q_run_status(spark, sf_dir):
     er = _runs(spark, sf_dir)
     tokens = er.tokens()
@@ -429,6 +440,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "config_key_values": q_config_key_values,
     "configs_without_credentials": q_configs_without_credentials,
     "config_overview": q_config_overview,
+    "rate_texts": q_rate_texts,
     "run_status": q_run_status,
     "prompt_catalogue": q_prompt_catalogue,
     "suite_coverage": q_suite_coverage,

@@ -26,12 +26,6 @@ SUITE_DESCRIPTIONS = {
     "long_context": ("Long Context", "8K-20K+ word documents"),
     "text_processing": ("Text Processing", "Summarization, extraction, classification"),
 }
-# Request outcome values.
-STATUSES = ["success", "failure", "timeout", "error"]
-RATE_UNITS = ["rps", "rpm"]
-# Default per-request timeout (s) and the API path used when none is given.
-DEFAULT_TIMEOUT_S = 60.0
-DEFAULT_API_PATH = "v1/chat/completions"
 # Guards used by the rate arithmetic.
 MIN_ELAPSED_S = 0.001
 MIN_RATE_RPS = 1e-6
@@ -47,20 +41,6 @@ MAX_USERS_CAP = 100
 # ---------------------------------------------------------------------------
 # Table schemas
 # ---------------------------------------------------------------------------
-RAW_OUTCOME = T.StructType([
-    T.StructField("run_id", T.LongType()),
-    T.StructField("event_id", T.LongType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("model", T.StringType()),
-    T.StructField("model_percentage", T.DoubleType()),
-    T.StructField("token_index", T.LongType()),
-    T.StructField("raw_label", T.StringType()),
-    T.StructField("suite_id", T.StringType()),
-    T.StructField("raw_code", T.IntegerType()),
-    T.StructField("raw_exception", T.StringType()),
-    T.StructField("raw_latency", T.DoubleType()),
-])
-
 REQUEST = T.StructType([
     T.StructField("run_id", T.LongType()),
     T.StructField("seq", T.LongType()),
@@ -79,32 +59,3 @@ REQUEST = T.StructType([
     T.StructField("suite_id", T.StringType()),
     T.StructField("prompt_id", T.StringType()),
 ])
-
-MODEL_ENTRY = T.StructType([
-    T.StructField("model", T.StringType()),
-    T.StructField("percentage", T.DoubleType()),
-])
-TOKEN_ENTRY = T.StructType([
-    T.StructField("token", T.StringType()),
-    T.StructField("label", T.StringType()),
-])
-
-RUN_CONFIG = T.StructType([
-    T.StructField("run_id", T.LongType()),
-    T.StructField("base_url", T.StringType()),
-    T.StructField("api_path", T.StringType()),
-    T.StructField("tokens", T.ArrayType(TOKEN_ENTRY)),
-    T.StructField("models", T.ArrayType(MODEL_ENTRY)),
-    T.StructField("rate_unit", T.StringType()),
-    T.StructField("initial_rate", T.DoubleType()),   # canonical RPS
-    T.StructField("max_rate", T.DoubleType()),       # canonical RPS
-    T.StructField("min_users", T.IntegerType()),
-    T.StructField("max_users", T.IntegerType()),
-    T.StructField("users_increment", T.IntegerType()),
-    T.StructField("scaling_factor", T.DoubleType()),
-    T.StructField("time_increment", T.DoubleType()),
-    T.StructField("benchmark_suite", T.StringType()),
-    T.StructField("timeout", T.DoubleType()),
-    T.StructField("is_public", T.BooleanType()),
-    T.StructField("started_at", T.TimestampType()),
-])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rampstat.schema import REQUEST
 
+# The bundle's tables, in their order.
 BUNDLE_PARTS = ["config", "stage_summary", "model_summary", "raw_requests", "errors"]
 
 

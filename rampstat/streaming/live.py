@@ -92,38 +92,58 @@ def stage_windows(requests: DataFrame, stage_seconds: int, start_offset: str,
 
 
 def start_live_progress(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
-                        runs: DataFrame, schedule: DataFrame, trigger: str | None = "2 seconds",
-                        glob: str = "*.parquet"):
+                        runs, schedule, trigger: str | None = "2 seconds", glob: str = "*.parquet"):
     """Start the live progress query.
 
-    Every trigger (2 s by default, like the dashboard refresh) folds new
-    request files into the per-stage counters; ``foreachBatch`` then writes
-    two tables under ``out_dir``, a new folder each per batch (``latest_result``
-    reads the newest whole one): ``counters`` (one row per run and stage) and
-    ``latest`` (one row per run: the stage with the newest request - last
-    write wins - and the age of that request at the batch's processing
-    time). ``trigger=None`` processes what is available and stops (tests).
-    The query resumes from ``checkpoint`` after a restart or a stop."""
-    stream = read_event_stream(spark, source_dir, glob, None)
-    counters = live_counters(live_requests(stream, runs, schedule))
-
-    whole, newest = publisher(f"{out_dir}/counters"), publisher(f"{out_dir}/latest")
-
-    def publish(batch: DataFrame, epoch: int) -> None:
-        batch.persist()  # read twice, computed once
+    ``runs`` and ``schedule`` are DataFrames, or functions without arguments that
+    give them and are asked anew for every batch, so runs that begin while the
+    query is up are known as soon as their configuration is.
+
+    Every trigger (2 s by default, like the dashboard refresh) takes all new request
+    files, assigns stages, adds the batch's counts to those published by the batch
+    before, and writes three tables under ``out_dir``, a new folder each per
+    batch (``latest_result`` reads the newest whole one): ``counters`` (one row per run and
+    stage), ``latest`` (one row per run: the stage with the newest request - last
+    write wins - and the age of that request at the batch's processing time) and
+    ``unassigned`` (requests per run that no known stage holds). A batch that runs
+    again after a restart starts from the same folder as before, so nothing counts
+    twice. ``trigger=None`` processes what is available and stops (tests)."""
+    stream = normalize_requests(fx.raw_outcomes(read_event_stream(spark, source_dir, glob, None)))
+    now = lambda x: x() if callable(x) else x
+    publish = {name: publisher(f"{out_dir}/{name}") for name in ("counters", "latest", "unassigned")}
+
+    def before(name: str, epoch: int) -> DataFrame | None:
+        at, fs = _folder(spark, f"{out_dir}/{name}/batch={epoch - 1:012d}")
+        return spark.read.parquet(at.toString()) if epoch and fs.exists(at) else None
+
+    def added(name: str, new: DataFrame, epoch: int, keys: list[str], sums: list[str], newest: list[str]) -> DataFrame:
+        old = before(name, epoch)
+        both = new if old is None else old.unionByName(new)
+        merged = both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in newest]).select(new.columns)
+        publish[name](merged, epoch)
+        return latest_result(spark, f"{out_dir}/{name}")
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        staged = assign_stage(batch, now(schedule), now(runs)).persist()  # read twice, computed once
         try:
-            whole(batch, epoch)
-            latest = batch.groupBy("run_id").agg(
-                F.max_by(F.struct("stage_index", "stage_count", "stage_successful", "stage_failed",
-                                  "target_rps", "active_users", "last_ts"),
-                         F.struct("last_ts", "stage_index")).alias("s"))
-            newest(latest.select("run_id", "s.*", (F.unix_micros(F.current_timestamp()) - F.unix_micros("s.last_ts"))
-                                 .cast("double").__truediv__(1e6).alias("age_s")), epoch)
+            ok = (F.col("status") == "success").cast("long")
+            counts = staged.where("stage_index IS NOT NULL").groupBy("run_id", "stage_index").agg(
+                F.count("*").alias("stage_count"), F.sum(ok).alias("stage_successful"), F.sum(1 - ok).alias("stage_failed"),
+                F.max("target_rps").alias("target_rps"), F.max("active_users").alias("active_users"),
+                F.max("ts").alias("last_ts"), F.sum("latency_ms").alias("latency_sum"))
+            counters = added("counters", counts, epoch, ["run_id", "stage_index"], ["stage_count", "stage_successful", "stage_failed", "latency_sum"],
+                             ["target_rps", "active_users", "last_ts"])
+            lost = staged.where("stage_index IS NULL").groupBy("run_id").agg(F.count("*").alias("requests"))
+            added("unassigned", lost, epoch, ["run_id"], ["requests"], [])
+            last = counters.groupBy("run_id").agg(F.max_by(
+                F.struct("stage_index", "stage_count", "stage_successful", "stage_failed", "target_rps", "active_users", "last_ts"),
+                F.struct("last_ts", "stage_index")).alias("s"))
+            age = (F.unix_micros(F.current_timestamp()) - F.unix_micros("s.last_ts")).cast("double") / F.lit(1e6)
+            publish["latest"](last.select("run_id", "s.*", age.alias("age_s")), epoch)
         finally:
-            batch.unpersist()
+            staged.unpersist()
 
-    w = counters.writeStream.outputMode("complete").option("checkpointLocation", checkpoint) \
-        .foreachBatch(publish)
+    w = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(run)
     w = w.trigger(availableNow=True) if trigger is None else w.trigger(processingTime=trigger)
     return w.start()
 

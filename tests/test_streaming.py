@@ -101,3 +101,60 @@ def test_late_rows_after_the_watermark_do_not_reopen_a_stage(spark):
     # the late file's rows (Jan 5-6) arrived after the watermark passed the stage: dropped
     assert stage1 == early
     assert res.groupBy("run_id", "window_start").count().where("count > 1").count() == 0
+
+
+def test_runs_that_begin_later_and_restarts(spark):
+    """A run whose configuration comes after the query's start is counted from its batch on;
+    a restart from the checkpoint adds new files only and leaves a readable table."""
+    from rampstat.streaming.live import latest_result
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    d, out, ck = (tempfile.mkdtemp(prefix=p, dir="/tmp") for p in ("src-", "live-", "ck-"))
+    er = EventRuns(spark, SF001)
+    known = [0, 1]
+
+    def put(i, part):
+        tmp = os.path.join(d, f"_f{i}")
+        part.coalesce(1).write.parquet(tmp)
+        f = next(x for x in os.listdir(tmp) if x.endswith(".parquet"))
+        os.rename(os.path.join(tmp, f), os.path.join(d, f"events-{i}.parquet"))
+
+    def go():
+        q = start_live_progress(spark, d, out, ck, lambda: er.runs.where(F.col("run_id").isin(known)),
+                                lambda: er.schedule.where(F.col("run_id").isin(known)), trigger=None, glob="events-*.parquet")
+        q.awaitTermination()
+        return {r.run_id: r.n for r in latest_result(spark, f"{out}/counters").groupBy("run_id").agg(F.sum("stage_count").alias("n")).collect()}
+
+    first, second = ev.where("event_id % 2 = 0"), ev.where("event_id % 2 = 1")
+    count = lambda df, runs: {r: df.where(f"user_id % 4 = {r}").count() for r in runs}
+    put(0, first)
+    assert go() == count(first, [0, 1])
+    lost = {r.run_id: r.requests for r in latest_result(spark, f"{out}/unassigned").collect()}
+    assert lost == count(first, [2, 3])
+    known.append(2)
+    put(1, second)
+    got = go()
+    assert got == {**count(ev, [0, 1]), **count(second, [2])}
+    assert go() == got  # nothing new: nothing counted twice
+
+
+def test_a_failing_stream_raises(spark):
+    import pytest
+    src = _split_events(spark)
+    stream = read_event_stream(spark, src, glob="*.parquet")
+    bad = stream.selectExpr("raise_error('broken row') AS x", "event_id")
+    with pytest.raises(Exception, match="broken row"):
+        run_available_now(bad, "append", tempfile.mkdtemp(dir="/tmp"), tempfile.mkdtemp(dir="/tmp"))
+
+
+def test_many_files_give_what_the_batch_gives(spark):
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    d = tempfile.mkdtemp(prefix="many-", dir="/tmp")
+    ev.repartition(12).write.mode("overwrite").parquet(d)
+    er = EventRuns(spark, SF001)
+    want = sorted((r.run_id, r.stage_index, r.n) for r in er.requests(False).where("stage_index IS NOT NULL")
+                  .groupBy("run_id", "stage_index").agg(F.count("*").alias("n")).collect())
+    for limit in (1, None):
+        out, ck = (tempfile.mkdtemp(prefix=p, dir="/tmp") for p in ("out-", "ck-"))
+        counters = live_counters(live_requests(read_event_stream(spark, d, "*.parquet", limit), er.runs, er.schedule))
+        run_available_now(counters, "complete", out, ck)
+        assert sorted((r.run_id, r.stage_index, r.stage_count) for r in spark.read.parquet(out).collect()) == want
