@@ -67,7 +67,7 @@ def cap_users(schedule: DataFrame, runs: DataFrame, tokens: DataFrame, run_col:
     """A private run with credentials has no more users at a time than those.
     ``runs`` has ``is_public``; ``tokens`` one row per run and credential."""
     n = tokens.groupBy(run_col).agg(F.count("*").alias("_n"))
-    limits = broadcast_if_small(runs.where(~F.col("is_public")).select(run_col).join(n, run_col))
+    limits = runs.where(~F.col("is_public")).select(run_col).join(n, run_col)
     j = schedule.join(limits, run_col, "left")
     users = F.least(F.col("active_users"), F.col("_n")).cast("int")  # no credentials: null, which least() skips
     return j.select(*[users.alias(c) if c == "active_users" else F.col(c) for c in schedule.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rampstat.operators.assign import assign_stage, cap_users, with_sequence
 from rampstat.operators.normalize import normalize_requests
 from rampstat.operators.schedule import build_schedule
-from rampstat.session import prepare
+from rampstat.session import materialize, prepare
 from rampstat.sources import fixtures as fx
 
 REQUEST_COLS = ["run_id", "seq", "event_id", "ts", "stage_index", "model", "model_percentage",
@@ -26,15 +26,26 @@ class EventRuns:
         self.sf_dir = sf_dir
         self.events = fx.table(spark, sf_dir, "events")
         self.raw = fx.raw_outcomes(self.events)
-        self.runs = fx.event_runs(self.events)
         self._memo: dict = {}
 
+    def _once(self, name: str, make) -> DataFrame:
+        if name not in self._memo:
+            self._memo[name] = materialize(make(), name)
+        return self._memo[name]
+
+    @property
+    def users(self) -> DataFrame:
+        """Each run's users: the one pass over the log that runs and credentials take."""
+        return self._once("users", lambda: fx.run_users(self.raw))
+
+    @property
+    def runs(self) -> DataFrame:
+        return self._once("runs", lambda: fx.configured_runs(self.users.select("run_id").distinct()))
+
     @property
     def schedule(self) -> DataFrame:
         """I1 with B17: no more users at a time than a private run has credentials."""
-        if "schedule" not in self._memo:
-            self._memo["schedule"] = cap_users(build_schedule(self.runs), self.runs, self.tokens())
-        return self._memo["schedule"]
+        return self._once("schedule", lambda: cap_users(build_schedule(self.runs), self.runs, self.users))
 
     def requests(self, with_seq: bool = True) -> DataFrame:
         key = ("requests", with_seq)
@@ -57,7 +68,7 @@ class EventRuns:
         return staged.select(*REQUEST_COLS)
 
     def tokens(self) -> DataFrame:
-        return fx.run_tokens(self.raw)
+        return fx.run_tokens(self.users)
 
     def prompts(self) -> DataFrame:
         return fx.prompts_from_benchmark(fx.table(self.spark, self.sf_dir, "benchmark"))
@@ -71,7 +82,7 @@ class OrderRuns:
         self.runs = fx.order_runs(fx.table(spark, sf_dir, "customer"))
         self.tokens = self.runs.select("run_id", F.posexplode("tokens").alias("token_pos", "t")).select(
             "run_id", F.col("token_pos").cast("long").alias("token_pos"), "t.token", "t.label")
-        self.schedule = cap_users(build_schedule(self.runs), self.runs, self.tokens)
+        self.schedule = materialize(cap_users(build_schedule(self.runs), self.runs, self.tokens), "schedule")
         norm = normalize_requests(fx.order_outcomes(fx.table(spark, sf_dir, "orders"), self.schedule))
         self.staged = assign_stage(norm, self.schedule, self.runs)
         self.ends = fx.order_run_ends(self.runs)

@@ -71,7 +71,11 @@ def raw_outcomes(events: DataFrame) -> DataFrame:
 
 def event_runs(events: DataFrame) -> DataFrame:
     """Configuration of the runs found in ``events`` (one row per run)."""
-    runs = events.selectExpr(f"user_id % {N_RUNS} AS run_id").distinct()
+    return configured_runs(events.selectExpr(f"user_id % {N_RUNS} AS run_id").distinct())
+
+
+def configured_runs(runs: DataFrame) -> DataFrame:
+    """The event runs' configuration for each ``run_id``."""
     mn, mx, inc = EVENT_RUN_USERS
     models = "array(" + ", ".join(
         f"named_struct('model', '{m}', 'percentage', {p!r}D)" for m, p in EVENT_RUN_MODELS) + ")"
@@ -91,16 +95,17 @@ def event_runs(events: DataFrame) -> DataFrame:
     )
 
 
-def run_tokens(raw: DataFrame) -> DataFrame:
-    """Credential list of each event run: its distinct users, by user id.
-    Returns (run_id, token_pos 0-based, token, label). One row per (run,
-    user): the window per run is bounded by the user count."""
-    users = raw.select("run_id", "token_index", "raw_label").distinct()
-    return users.selectExpr(
-        "run_id",
-        "CAST(row_number() OVER (PARTITION BY run_id ORDER BY token_index) - 1 AS BIGINT) AS token_pos",
-        "concat('sk-', CAST(token_index AS STRING)) AS token",
-        "raw_label AS label")
+def run_users(raw: DataFrame) -> DataFrame:
+    """The distinct users of each event run, its credentials."""
+    return raw.select("run_id", "token_index", "raw_label").distinct()
+
+
+def run_tokens(users: DataFrame) -> DataFrame:
+    """Credential list of each event run: its users, by user id.
+    Returns (run_id, token_pos 0-based, token, label)."""
+    from rampstat.operators.ranking import row_number_in_group
+    return row_number_in_group(users, ["run_id"], ["token_index"], name="_n").selectExpr(
+        "run_id", "_n - 1 AS token_pos", "concat('sk-', CAST(token_index AS STRING)) AS token", "raw_label AS label")
 
 
 def run_configs(customer: DataFrame) -> DataFrame:
