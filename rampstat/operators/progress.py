@@ -16,7 +16,7 @@ from rampstat.functions.rates import (
     at_least_elapsed, planned_interval_s, progress_fraction, rate_delta, stage_number,
 )
 from rampstat.operators.joins import broadcast_if_small
-from rampstat.operators.ranking import row_number_in_group, running_sums
+from rampstat.operators.ranking import previous_in_group, running_sums
 
 US_PER_S = 1000000.0
 
@@ -94,18 +94,14 @@ def running_progress(requests: DataFrame, schedule: DataFrame, runs: DataFrame,
 def pacing_gaps(requests: DataFrame, run_col: str = "run_id", order_cols=("ts", "event_id")) -> DataFrame:
     """gap to the previous request of the same stage vs the planned
     interval (B16); slack <= 0 means the run fell behind its target rate.
-    The previous request is found by an equi-join on the in-stage position
-    (unique keys - the join is evenly spread, even for a dominant run)."""
-    r = requests.where(F.col("stage_index").isNotNull())
-    pos = row_number_in_group(r, [run_col, "stage_index"], list(order_cols), name="_pos")
-    cur = pos.select(run_col, "seq", "stage_index", "ts", "target_rps", "_pos")
-    prv = pos.select(F.col(run_col).alias("_r"), F.col("stage_index").alias("_s"),
-                     (F.col("_pos") + 1).alias("_p"), F.col("ts").alias("_prev_ts"))
-    cond = (cur[run_col] == prv["_r"]) & (cur["stage_index"] == prv["_s"]) & (cur["_pos"] == prv["_p"])
-    j = cur.join(prv, cond, "left")
+    The previous request comes from the same range-partitioned pass over the log
+    (``previous_in_group``): one shuffle, no join of the log with itself."""
+    r = requests.where(F.col("stage_index").isNotNull()).select(
+        run_col, "seq", "stage_index", "target_rps", *order_cols)
+    j = previous_in_group(r, [run_col, "stage_index"], list(order_cols), "ts", "_prev_ts")
     gap = (F.unix_micros(F.col("ts")) - F.unix_micros(F.col("_prev_ts"))).cast("double") / _us()
     planned = planned_interval_s(F.col("target_rps"))
-    return j.select(cur[run_col], "seq", cur["stage_index"], gap.alias("gap_s"),
+    return j.select(run_col, "seq", "stage_index", gap.alias("gap_s"),
                     planned.alias("planned_interval_s"), (planned - gap).alias("slack_s"))
 
 

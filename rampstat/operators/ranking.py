@@ -184,3 +184,54 @@ def row_number_in_group(df: DataFrame, group_cols: list[str], order_cols: list[s
     j = rows.join(offsets, cond, "left")
     return j.select(*[rows[c] for c in df.columns],
                     (F.col("__off") + F.col("__mid") - F.col("__first") + 1).cast("long").alias(name))
+
+
+def previous_in_group(df: DataFrame, group_cols: list[str], order_cols: list[str], value: str,
+                      name: str = "previous", num_partitions: int | None = None) -> DataFrame:
+    """``df`` plus the ``value`` of the row before in the group (``lag``), null for the first
+    row of a group. The rows are range-partitioned and sorted once; what lies in
+    the partition before is patched from one row per (partition, group)."""
+    keys = group_cols + order_cols
+    staged = df.withColumns({"__prev": F.col(value), "__head": F.lit(False)})
+    ranged = _range_partition(staged, keys, num_partitions).sortWithinPartitions(*keys)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in staged.schema.fields]
+                          + [T.StructField(_PID, T.IntegerType()), T.StructField(_KIND, T.IntegerType())])
+
+    def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        last, ends_of = None, []
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            change = np.zeros(n, dtype=bool)
+            for c in group_cols:
+                change[1:] |= ~_same_as_before(batch.column(c))
+            goes_on = last is not None and _same_key(tuple(batch.column(c)[0].as_py() for c in group_cols),
+                                                     tuple(last.column(c)[0].as_py() for c in group_cols))
+            change[0] = not goes_on
+            own = batch.column(value)
+            before = last.column(value) if goes_on else pa.nulls(1, own.type)
+            prev = pc.if_else(pa.array(~change), pa.concat_arrays([before, own.slice(0, n - 1)]), pa.scalar(None, own.type))
+            names = batch.schema.names
+            done = batch.set_column(names.index("__prev"), "__prev", prev).set_column(names.index("__head"), "__head", pa.array(change))
+            starts = np.flatnonzero(change)
+            ends = np.unique(np.r_[starts[starts > 0] - 1, n - 1])
+            if goes_on:
+                ends_of.pop()
+            ends_of += [batch.slice(int(i), 1) for i in ends]
+            last = batch.slice(n - 1, 1)
+            yield _tagged(done, pid, 0)
+        for row in ends_of:
+            cols = [row.column(f) if f in group_cols or f == value else pa.nulls(1, row.schema.field(f).type) for f in row.schema.names]
+            yield _tagged(pa.RecordBatch.from_arrays(cols, names=row.schema.names), pid, 1)
+
+    local = materialize(ranged.mapInArrow(shift, schema), "previous")
+    w = Window.partitionBy(*group_cols).orderBy(_PID)
+    patch = broadcast_if_small(local.where(F.col(_KIND) == 1).select(
+        *[F.col(c).alias(f"__o_{c}") for c in [_PID, *group_cols]], F.lag(value).over(w).alias("__from")))
+    rows = local.where(F.col(_KIND) == 0)
+    on = [rows["__head"]] + [rows[c].eqNullSafe(patch[f"__o_{c}"]) for c in [_PID, *group_cols]]
+    return rows.join(patch, on, "left").select(
+        *[rows[c] for c in df.columns], F.when(rows["__head"], F.col("__from")).otherwise(rows["__prev"]).alias(name))

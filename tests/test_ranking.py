@@ -90,3 +90,18 @@ def test_written_tables_are_released(spark):
     from rampstat.session import release
     row_number_in_group(spark.range(10).withColumn("g", F.lit(1)), ["g"], ["id"]).collect()
     assert release(spark) >= 1 and release(spark) == 0
+
+
+def test_previous_in_group_equals_lag(spark):
+    from rampstat.operators.ranking import previous_in_group
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(0, 400).select(F.when(F.col("id") % 9 > 0, F.col("id") % 3).alias("g"), "id",
+                                        F.when(F.col("id") % 4 > 0, F.concat(F.lit("v"), "id")).alias("v"), F.expr("timestamp_seconds(id)").alias("ts"))
+        for value in ("v", "ts", "id"):
+            want = df.withColumn("p", F.lag(value).over(Window.partitionBy("g").orderBy("id")))
+            for parts in (1, 5, 40):
+                got = previous_in_group(df, ["g"], ["id"], value, "p", parts)
+                assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
