@@ -733,3 +733,4 @@ SELECT run_id, initial_rate AS initial_rps,
             ELSE printf('%d RPS = %.2f RPS', CAST(initial_display AS BIGINT), round_even(initial_display, 2)) END AS conversion,
        rtrim(base_url, '/') || '/' || ltrim(api_path, '/') AS endpoint_view
 FROM cfg""")
+ORACLE["stored_run_summary"] = ORACLE["run_summary"]

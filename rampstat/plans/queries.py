@@ -30,6 +30,7 @@ from rampstat.session import checkpoint_dir, prepare
 from rampstat.sources import catalogue as cat
 from rampstat.sources import credentials as cred
 from rampstat.sources import fixtures as fx
+from rampstat.sources.request_log import read_request_log, stage_report, write_request_log
 
 PASS_THRESHOLD = 0.8
 HEAD_ROWS = 100
@@ -101,6 +102,13 @@ def q_run_summary(spark, sf_dir):
     return agg.run_summary(_runs(spark, sf_dir).requests(with_seq=False))
 
 
+def q_stored_run_summary(spark, sf_dir):
+    """A1: the normalised log is written by run and the summary reads it back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rampstat/request-log-{uuid.uuid4().hex}"
+    write_request_log(_runs(spark, sf_dir).requests(), path)
+    return agg.run_summary(read_request_log(spark, path))
+
+
 def q_multi_grain_rollup(spark, sf_dir):
     return agg.multi_grain_rollup(_runs(spark, sf_dir).requests(with_seq=False))
 
@@ -335,7 +343,6 @@ def q_config_json(spark, sf_dir):
 
 def q_stage_report(spark, sf_dir):
     """The stage sheet in the run's unit (RPS here)."""
-    from rampstat.sources.request_log import stage_report
     return stage_report(_stage_metrics(_runs(spark, sf_dir)), "rps")
 
 
@@ -412,6 +419,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "percentiles_disc": q_percentiles_disc,
     "model_summary": q_model_summary,
     "run_summary": q_run_summary,
+    "stored_run_summary": q_stored_run_summary,
     "multi_grain_rollup": q_multi_grain_rollup,
     "raw_report": q_raw_report,
     "raw_report_head": q_raw_report_head,
