@@ -37,8 +37,26 @@ def scratch_root(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    """A new path under the scratch folder; ``release`` deletes what lies there."""
+    path = f"{scratch_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete this session's intermediate tables and archives, once the results that
+    read them have been written elsewhere; returns how many."""
+    own = [path for s, path in _WRITTEN if s is spark]
+    _WRITTEN[:] = [x for x in _WRITTEN if x[0] is not spark]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in own:
+        at = hadoop.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(own)
 
 
 #: Bytes of a batch that Spark hands to Python, about.
