@@ -32,27 +32,38 @@ WINDOW = 10
 BROADCAST_ROWS = 1 << 20
 #: What lies between words, once A-Z are lowered.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same in a text as it came.
+GAP_RAW = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ROW = ["did", "th"]
 
 
-def words_of(text: Column) -> Column:
-    """Maximal runs of 0-9, a-z and characters beyond ASCII of a lowered text. The
-    last element may be empty (after a trailing gap)."""
-    return F.split(F.regexp_replace(text, rf"\A{GAP}", ""), GAP, -1)
+def pieces(text: Column, gap: str = GAP) -> Column:
+    """Maximal runs of 0-9, letters a-z and characters beyond ASCII; the first piece is
+    empty after a leading gap, the last one after a trailing gap."""
+    return F.split(text, gap, -1)
+
+
+def word_count(text: Column) -> Column:
+    p = pieces(text, GAP_RAW)
+    ends = (F.get(p, F.lit(0)) == "").cast("long") + ((F.size(p) > 1) & (F.element_at(p, -1) == "")).cast("long")
+    return F.size(p).cast("long") - ends
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``did`` and ``th`` (hash of the text) name a document, ``t`` is its lowered text."""
+    return named(docs, id_col, text_col).withColumn("t", ascii_lower(F.col("t")))
+
+
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = docs.select(known_id(F.col(id_col)).alias("did"), text_of(F.col(text_col).cast("string")).alias("t"))
-    return d.select("did", F.hash("t").alias("th"), ascii_lower(F.col("t")).alias("t"))
+    return d.select("did", F.hash("t").alias("th"), "t")
 
 
 def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Distinct windows as rows of their words (``win``, ``len``, ``off``, ``word``), and
     which items hold which window (``item``, ``win``)."""
     i = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"),
-                     F.filter(words_of(ascii_lower(text_of(F.col(text_col).cast("string")))), lambda w: w != "").alias("w"))
+                     F.filter(pieces(ascii_lower(text_of(F.col(text_col).cast("string")))), lambda w: w != "").alias("w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     held = i.where(F.size("w") > 0).select("item", F.explode(F.transform(starts, lambda k: F.slice("w", k, size))).alias("words"))
     held = save(held.select("item", F.xxhash64(F.array_join("words", " ")).alias("win"), "words").distinct(), "windows")
@@ -63,7 +74,9 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", s
 def index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The positional index of ``terms`` (``word``, ``term``), a saved table of postings:
     ``term``, ``did``, ``th``, ``pos``."""
-    d = rows_of(docs, id_col, text_col).select(*ROW, F.posexplode(words_of(F.col("t"))).alias("pos", "word"))
+    d = rows_of(docs, id_col, text_col).select(*ROW, pieces(F.col("t")).alias("p"))
+    d = d.select(*ROW, (F.get("p", F.lit(0)) == "").cast("int").alias("lead"), F.posexplode("p").alias("at", "word")).select(
+        *ROW, (F.col("at") - F.col("lead")).alias("pos"), "word")
     return save(d.join(broadcast_below(terms, BROADCAST_ROWS), "word").select("term", *ROW, "pos"), "postings")
 
 
@@ -129,7 +142,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
     own = found.select(*ROW, "win").distinct().join(broadcast_below(held, BROADCAST_ROWS), "win").groupBy(*ROW).agg(
         F.array_sort(F.collect_set("item")).alias("items"))
     dirty = hit.join(own, ROW)
-    d = rows_of(docs, id_col, text_col).select(*ROW, F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"))
+    d = named(docs, id_col, text_col).select(*ROW, word_count(F.col("t")).alias("n_words"))
     return d.join(dirty, ROW, "left").select(*ROW, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                                              F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -139,8 +152,8 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """The rows without any occurrence of a window, all their columns as they are."""
     found = save(find(docs, items, WINDOW, 0, id_col, text_col, item_col, item_text_col)[0].select(*ROW).distinct(), "dirty")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    named = docs.select(row, known_id(F.col(id_col)).alias("did"), F.hash(text_of(F.col(text_col).cast("string"))).alias("th"))
-    return named.join(broadcast_below(found, BROADCAST_ROWS), ROW, "left_anti").select("row.*")
+    keyed = docs.select(row, known_id(F.col(id_col)).alias("did"), F.hash(text_of(F.col(text_col).cast("string"))).alias("th"))
+    return keyed.join(broadcast_below(found, BROADCAST_ROWS), ROW, "left_anti").select("row.*")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
