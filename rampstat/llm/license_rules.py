@@ -52,10 +52,13 @@ SENTENCES = [
     ("Copyright", "copyright( c)? [12][0-9]{3}"),
 ]
 
-#: Every pattern holds one of these, so a text without any holds no known sentence.
+#: Words of licence sentences; some branches of the Gpl*Ref and Cc* patterns hold none of them.
 STEMS = ("licen", "copyright", "permission", "warrant", "liable", "redistribut", "endorse", "advertising", "cc0", "cc zero",
          "public domain", "rights reserved")
 
+#: Every branch of every pattern holds one of these, so a text without any holds no known sentence.
+ALL_STEMS = (*STEMS, "gpl", "creative commons", "cc by", "cc attribution")
+
 # Ordered rules. The first rule whose identifiers occur one after
 # the other takes them; later rules see what is left.
 RULES = [

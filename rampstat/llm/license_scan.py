@@ -21,12 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rampstat.llm.common import table, text_of
-from rampstat.llm.license_rules import RULES, SENTENCES, STEMS
+from rampstat.llm.license_rules import ALL_STEMS, RULES, SENTENCES, STEMS
 
 #: The most restrictive kind found is the verdict.
 KINDS = ["restricted", "noncommercial", "noderivatives", "copyleft", "permissive"]
 
+#: The SQL below keeps its own, narrower filter.
 STEM = "|".join(STEMS).replace(" ", "[^a-z0-9]+")
+ANY_STEM = "|".join(ALL_STEMS).replace(" ", "[^a-z0-9]+")
 #: Line ends with the comment marks of the next line; sentence ends.
 SPACES = r"[\x09-\x0D\x20]*"
 BLANK = rf"{SPACES}\n{SPACES}\n{SPACES}"
@@ -44,7 +46,7 @@ def normalised(text: Column) -> Column:
 def sentence_id(s: Column) -> Column:
     """The identifier of a normalised sentence; ``Unknown`` if it only sounds like
     one of a licence, else null."""
-    found = F.when(~F.rlike(s, F.lit(STEM.replace("[^a-z0-9]+", " "))), F.lit(None))
+    found = F.when(~F.rlike(s, F.lit(ANY_STEM.replace("[^a-z0-9]+", " "))), F.lit(None))
     for name, pattern in SENTENCES:
         found = found.when(F.rlike(s, F.lit(rf"\b(?:{pattern})\b")), F.lit(name))
     return found.when(F.rlike(s, F.lit(r"\blicensed? ")), F.lit("Unknown"))
@@ -68,7 +70,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Per row: the id, ``n_sentences`` (known or unknown licence sentences),
     ``sentence_ids`` (in text order), ``licenses`` (sorted names) and ``verdict``."""
     d = docs.select(F.col(id_col).alias("doc_id"), text_of(F.col(text_col).cast("string")).alias("t"))
-    likely = F.rlike(F.lower("t"), F.lit(STEM))
+    likely = F.rlike(F.lower("t"), F.lit(ANY_STEM))
     ids = F.when(likely, F.filter(F.transform(normalised(F.col("t")), sentence_id), lambda x: x.isNotNull()))
     d = d.select("doc_id", F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
     found = F.when(F.size("ids") > 0, match_rules(F.col("ids"))).otherwise(F.array().cast("array<string>"))

@@ -1,3 +1,6 @@
+import itertools
+import re
+
 import brute
 import duckdb
 import pytest
@@ -60,3 +63,26 @@ def test_empty_and_null_ids(spark):
 def test_rules_use_known_identifiers(name):
     known = {n for n, _ in s.SENTENCES}
     assert all(set(ids) <= known for n, _, ids in s.RULES if n == name)
+
+
+def branches(pattern):
+    """One text for every choice of the groups of a pattern; gaps are of one word."""
+    parts = re.split(r"(\([^()]*\)[?*]?)", re.sub(r"\.\{1,\d+\}", "x", pattern).replace("[12][0-9]{3}", "2020").replace("[1-4]", "4"))
+    choices = [[x] if not x.startswith("(") else x.strip("()?*").split("|") + [""] * (x[-1] in "?*") for x in parts]
+    return {re.sub(" +", " ", "".join(c)).strip() for c in itertools.product(*choices)}
+
+
+def test_filter_passes_every_branch(spark):
+    """Each branch of each pattern, by a plain version without any filter."""
+    texts = sorted(set().union(*[branches(p) for _, p in s.SENTENCES]))
+    texts += ["Released under CC BY 4.0.", "Available under CC BY-NC 4.0.", "Distributed under the GNU GPL v2.", "Available under the\n * Creative\n * Commons Attribution 4.0"]
+    want = {}
+    for i, x in enumerate(texts):
+        norm = re.sub("[^a-z0-9]+", " ", x.lower()).strip().replace("licence", "license")
+        want[i] = next((n for n, p in s.SENTENCES if re.search(rf"\b(?:{p})\b", norm)), "Unknown" if re.search(r"\blicensed? ", norm) else "")
+    assert set(want.values()) >= {n for n, _ in s.SENTENCES}
+    # alone, and beside a line that lets the text through the filter
+    rows = [(i, x) for i, x in enumerate(texts)] + [(len(texts) + i, f"All rights reserved.\n\n{x}") for i, x in enumerate(texts)]
+    got = {r.doc_id: r.sentence_ids for r in s.scan(brute.frame(spark, rows)).collect()}
+    assert {i: got[i] for i in want} == want
+    assert {i: got[len(texts) + i] for i in want} == {i: f"AllRights,{x}".rstrip(",") for i, x in want.items()}
