@@ -26,7 +26,7 @@ from rampstat.llm.license_rules import ALL_STEMS, RULES, SENTENCES, STEMS
 #: The most restrictive kind found is the verdict.
 KINDS = ["restricted", "noncommercial", "noderivatives", "copyleft", "permissive"]
 
-#: The SQL below keeps its own, narrower filter.
+#: The SQL below keeps its own, narrower filter, and cuts at ``END``.
 STEM = "|".join(STEMS).replace(" ", "[^a-z0-9]+")
 ANY_STEM = "|".join(ALL_STEMS).replace(" ", "[^a-z0-9]+")
 #: Line ends with the comment marks of the next line; sentence ends.
@@ -34,12 +34,14 @@ SPACES = r"[\x09-\x0D\x20]*"
 BLANK = rf"{SPACES}\n{SPACES}\n{SPACES}"
 LINE = rf"{SPACES}\n[\x09-\x0D\x20*#/;%-]*"
 END = r"[.!?;:][\x09-\x0D\x20]+"
+#: As ``END``, but the GNU notices' "...; either version" is one sentence.
+END_OF_SENTENCE = r"(?:[.!?:]|;(?![\x09-\x0D\x20]+either[\x09-\x0D\x20]+version\b))[\x09-\x0D\x20]+"
 
 
 def normalised(text: Column) -> Column:
     """The sentences of a text, as an array."""
     s = F.regexp_replace(F.lower(text), BLANK, ". ")
-    s = F.split(F.regexp_replace(s, LINE, " "), END, -1)
+    s = F.split(F.regexp_replace(s, LINE, " "), END_OF_SENTENCE, -1)
     return F.transform(s, lambda x: F.replace(F.btrim(F.regexp_replace(x, "[^a-z0-9]+", F.lit(" "))), F.lit("licence"), F.lit("license")))
 
 

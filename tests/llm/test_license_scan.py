@@ -86,3 +86,31 @@ def test_filter_passes_every_branch(spark):
     got = {r.doc_id: r.sentence_ids for r in s.scan(brute.frame(spark, rows)).collect()}
     assert {i: got[i] for i in want} == want
     assert {i: got[len(texts) + i] for i in want} == {i: f"AllRights,{x}".rstrip(",") for i, x in want.items()}
+
+
+# The notices as the licences' own texts word them.
+NOTICE = """ * This {what} is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU {name}
+ * as published by the Free Software Foundation{cut} either
+ * version {version} of the License, or (at your option) any later version.
+ *
+ * It is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.
+ *
+ * You should have received a copy of the GNU {name}
+ * along with this {what}; if not, write to the Free Software Foundation."""
+NOTICES = [
+    ("program", "General Public License", ";", "2", "Gpl2Any", "GPL-2.0-or-later"), ("program", "General Public License", ",", "3", "Gpl3Any", "GPL-3.0-or-later"),
+    ("program", "General Public License", ";", "3", "Gpl3Any", "GPL-3.0-or-later"), ("library", "Lesser General Public License", ";", "2.1", "LgplAny", "LGPL-2.1-or-later"),
+    ("library", "Library General Public License", ";", "2", "LgplAny", "LGPL-2.1-or-later"), ("program", "Affero General Public License", ";", "3", "AgplAny", "AGPL-3.0-or-later"),
+]
+
+
+def test_gnu_notices_as_worded(spark):
+    rows = [(i, NOTICE.format(what=n[0], name=n[1], cut=n[2], version=n[3])) for i, n in enumerate(NOTICES)]
+    got = {r.doc_id: (r.sentence_ids, r.licenses, r.verdict) for r in s.scan(brute.frame(spark, rows)).collect()}
+    assert got == {i: (f"{n[4]},GplCopy", n[5], "copyleft") for i, n in enumerate(NOTICES)}
+
+
+def test_other_semicolons_still_cut(spark):
+    text = "All rights reserved; copyright 2020 x; either way, released under the MIT license; nothing else"
+    assert [r.sentence_ids for r in s.scan(brute.frame(spark, [(1, text)])).collect()] == ["AllRights,Copyright,MitRef"]
