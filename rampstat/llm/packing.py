@@ -7,8 +7,9 @@ are dealt at random into groups of about ``GROUP_BINS`` sequences' worth of toke
 order, and improved by local search: a piece of the emptiest bin moves to, or one
 or two pieces are exchanged one-for-one, two-for-one or one-for-two with, an
 underfull bin, whenever the sum of squared fills rises; bins that end empty go.
-What lies in bins that still have much room is dealt again into fewer groups,
-until one group is left, so grouping costs next to no sequences.
+What lies in bins that still have much room is dealt again, into groups of the
+same size, until one group is left or a turn empties next to no bins, so grouping
+costs next to no sequences.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed
 each by itself; a null id stays null; an empty table gives no rows. Very long
@@ -40,6 +41,9 @@ END_ID = 1
 GROUP_BINS = 1500
 #: A bin with this part of a sequence free, or more, is packed again.
 LOOSE = 16
+#: Bins are dealt again while a turn empties at least one in so many of them, for so many turns at most.
+LEAST_EMPTIED = 100
+TURNS = 99
 #: Words whose ids a Python worker keeps (some 40 bytes each); beyond that it forgets rare ones.
 CACHE_WORDS = 700_000
 #: Bytes of text that are tokenised at a time: more, and more words repeat.
@@ -341,23 +345,26 @@ def pack_pieces(pieces: DataFrame, cap: int = MAX_LEN, group_bins: int = GROUP_B
     done = pieces.where(F.col("length") >= cap).select(*cols, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = pieces.where(F.col("length") < cap)
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long").add("room", "long")
-    before = None
-    for turn in range(1, 100):
+    rest, bins = None, None  # what the turn before left in loose bins, and their number
+    for turn in range(1, TURNS + 1):
         total = left.agg(F.sum("length")).first()[0] or 0
         if not total:
             return done
-        groups = max(1, round(total / (cap * group_bins)))
-        if before is not None and groups >= before:
-            groups = max(1, before // 2)
+        groups = -(-total // (cap * group_bins))
         dealt = left.withColumn("g", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(groups)).cast("long"))
 
         packed = save(dealt.groupBy("g").applyInPandas(packer(cap, turn), schema), "packed")
-        if groups == 1:
-            return done.unionByName(packed.drop("room"))
-        # bins with much room go through again with those of other groups
+        loose = packed.where(F.col("room") >= cap // LOOSE)
+        now = packed.where(F.col("offset") == 0).agg(F.count("*").alias("all"), F.count_if(F.col("room") >= cap // LOOSE).alias("loose")).first()
+        if bins is not None and now["all"] >= bins:
+            return done.unionByName(rest)  # the bins of the turn before were as few
         done = done.unionByName(packed.where(F.col("room") < cap // LOOSE).drop("room"))
-        left, before = packed.where(F.col("room") >= cap // LOOSE).select(cols), groups
-    return done
+        rest = loose.drop("room")
+        if groups == 1 or (bins is not None and (bins - now["all"]) * LEAST_EMPTIED < bins):
+            break
+        # bins with much room go through again with those of other groups
+        left, bins = loose.select(cols), now["loose"]
+    return done.unionByName(rest)
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN,

@@ -92,6 +92,35 @@ def test_groups_are_joined(spark, monkeypatch):
     assert len(got) <= 1.08 * math.ceil(sum(sizes) / 64)
 
 
+def loose_pieces(spark, n=600):
+    """Pieces of which no two fit one sequence of 64 and none fills one."""
+    return spark.createDataFrame([(i, 33 + i % 28) for i in range(n)], "uid long, length long")
+
+
+def test_groups_stay_bounded_when_no_bin_fills(spark):
+    got = p.pack_pieces(loose_pieces(spark), 64, 5).collect()
+    assert sorted(r.uid for r in got) == list(range(600)) and len({r.sequence_id for r in got}) == 600
+    of_group = {}
+    for r in got:  # a sequence's number begins with its turn and group
+        of_group[r.sequence_id >> 24] = of_group.get(r.sequence_id >> 24, 0) + r.length
+    assert len(of_group) > 40 and max(of_group.values()) <= 3 * 5 * 64
+
+
+@pytest.mark.parametrize("turns", [1, 2])
+def test_last_turn_drops_nothing(spark, monkeypatch, turns):
+    monkeypatch.setattr(p, "TURNS", turns)
+    r = random.Random(1)
+    sizes = [r.randrange(1, 65) for _ in range(600)]
+    pieces = spark.createDataFrame(list(enumerate(sizes)), "uid long, length long")
+    got = p.pack_pieces(pieces, 64, 3).collect()
+    assert sorted((x.uid, x.length) for x in got) == list(enumerate(sizes))
+    ends = {}
+    for x in sorted(got, key=lambda x: (x.sequence_id, x.offset)):
+        assert x.offset == ends.get(x.sequence_id, 0)
+        ends[x.sequence_id] = x.offset + x.length
+    assert max(ends.values()) <= 64
+
+
 def test_empty(spark):
     assert p.pack_documents(brute.frame(spark, []), PATH).collect() == []
 
