@@ -38,9 +38,8 @@ ARCHIVE_BYTES = 32 << 20
 #: Tasks that archives are dealt to, at most.
 MOST_TASKS = 1 << 15
 MIN_REVISIT = 0
-#: Bytes read at a time, and the most that a header block may take.
+#: Bytes read at a time.
 CHUNK = 1 << 20
-HEADER_LIMIT = 64 << 10
 #: A length beyond this is taken for damage, not read into memory.
 MAX_RECORD = 1 << 30
 MEMBER = b"\x1f\x8b\x08"
@@ -204,14 +203,25 @@ def checked(head: dict[str, str], block: bytes) -> tuple[dict[str, str], bytes]:
     return head, block
 
 
+def header_end(w: Window, at: int) -> int:
+    """Offset of the end of the header block that begins at ``at``, however long its fields
+    are; a line that begins another record is damage."""
+    seen = at
+    while True:
+        end = w.data.find(b"\r\n\r\n", seen - w.start)
+        if w.data.find(b"\r\n" + VERSION, seen - w.start, end if end >= 0 else len(w.data)) >= 0:
+            raise ValueError("header block")
+        if end >= 0:
+            return w.start + end
+        read = w.start + len(w.data)
+        if read - at > MAX_RECORD or not w.upto(read + 1):
+            raise ValueError("header block")
+        seen = max(at, read - len(VERSION) - 1)
+
+
 def plain_record(w: Window, at: int) -> tuple[dict[str, str], bytes, int]:
     """Header fields and block of the record at ``at``, and where it ends."""
-    n = HEADER_LIMIT
-    w.upto(at + n)
-    end = w.data.find(b"\r\n\r\n", at - w.start, at - w.start + n)
-    if end < 0:
-        raise ValueError("header block")
-    end += w.start
+    end = header_end(w, at)
     head = parsed(w.bytes(at, end))
     size = int(head["content-length"])
     if not 0 <= size <= MAX_RECORD or not w.upto(end + 4 + size + 4):
@@ -233,7 +243,7 @@ def gzip_record(w: Window, at: int) -> tuple[dict[str, str], bytes, int]:
             raise ValueError(f"member: {e}") from e
         pos += len(part)
     pos -= len(z.unused_data)
-    cut = out.find(b"\r\n\r\n", 0, HEADER_LIMIT)
+    cut = out.find(b"\r\n\r\n")
     if cut < 0:
         raise ValueError("header block")
     head = parsed(bytes(out[:cut]))

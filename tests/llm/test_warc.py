@@ -118,3 +118,24 @@ def test_gaps_are_logged_through_spark(spark, tmp_path):
     rows = w.read_archives(index, str(folder)).collect()
     assert sum(r.record_type == "gap" for r in rows) == 1 and sum(r.length for r in rows) == len(data)
     assert sum(r.record_type != "gap" for r in rows) == len(PAGES) - 1
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_long_urls_are_read_back(spark, tmp_path, compress):
+    long = [(1, "data:text/html," + "a" * 100_000, "<p>same</p>"), (2, "http://b/", "<p>same</p>"), (3, "http://c/" + "é\r\n" * 1_000_000, "own"),
+            (4, "http://d/" + "d" * ((1 << 20) - 300), "<p>same</p>")]
+    index = w.write_archives(frame(spark, long).coalesce(1), str(tmp_path / "w"), compress=compress)
+    back = w.read_archives(index, str(tmp_path / "w"))
+    got = back.select(w.page_of("record_id"), "payload_bytes", "payload_digest", "record_type", w.page_of("refers_to")).collect()
+    brute.same(got, expected(long))
+    assert {r.target_uri for r in back.collect()} == {u.replace("\r\n", "%0A") for _, u, _ in long}
+
+
+def test_header_ends_on_any_chunk_bound(monkeypatch):
+    for size in range(60, 120):
+        monkeypatch.setattr(w, "CHUNK", size)
+        parts = records(False, 5)
+        assert [x[0] for x in salvaged(b"".join(parts))] == ["record"] * 5
+        head = parts[0][:parts[0].index(b"\r\n\r\n")]  # cut in its header: only it is lost
+        got = salvaged(head + b"\r\n" + b"".join(parts[1:]))
+        assert [x[0] for x in got] == ["gap"] + ["record"] * 4
