@@ -118,13 +118,15 @@ def _num_text(col):
 
 def config_key_values(configs: DataFrame, run_col: str = "run_id") -> DataFrame:
     """H2: 14 key/value rows per run configuration, in a fixed order
-    (``ordinal``); values as text, counts E8 via ``size``."""
+    (``ordinal``); values as text, counts E8 via ``size``. Configurations without
+    a list of ``tokens`` have their number as ``token_count``."""
+    n_tokens = F.col("token_count") if "token_count" in configs.columns else F.size("tokens")
     vals = [F.col("base_url"), F.col("api_path"), F.col("rate_unit"),
             _num_text("initial_rate"), _num_text("max_rate"), _num_text("scaling_factor"),
             _num_text("time_increment"), F.col("min_users").cast("string"),
             F.col("max_users").cast("string"), F.col("users_increment").cast("string"),
             F.col("benchmark_suite"), _num_text("timeout"),
-            F.size("models").cast("string"), F.size("tokens").cast("string")]
+            F.size("models").cast("string"), n_tokens.cast("string")]
     kv = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value"))
                    for k, v in zip(CONFIG_KEYS, vals)])
     return configs.select(run_col, F.posexplode(kv).alias("ordinal", "kv")).select(

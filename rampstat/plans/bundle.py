@@ -16,7 +16,7 @@ from rampstat.sources.request_log import stage_report, write_report_bundle
 
 def run_configurations(er: EventRuns) -> DataFrame:
     """The event runs' configurations with all that the config table lists."""
-    tokens = er.tokens().groupBy("run_id").agg(F.collect_list(F.struct("token", "label")).alias("tokens"))
+    tokens = er.users.groupBy("run_id").agg(F.count("*").alias("token_count"))  # a credential for each user
     return er.runs.join(tokens, "run_id").withColumns({"benchmark_suite": F.lit("coding"), "timeout": F.lit(60.0)})
 
 

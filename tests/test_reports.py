@@ -64,3 +64,18 @@ def test_config_key_values_fixed_order(spark):
     assert len(kv) == 14 and kv[0] == (1, "base_url", "http://x")
     assert kv[3] == (4, "initial_rate_rps", "0.016667") and kv[-2:] == [(13, "model_count", "1"),
                                                                         (14, "token_count", "0")]
+
+
+def test_bundle_counts_credentials_without_lists(spark):
+    from types import SimpleNamespace
+
+    from rampstat.plans.bundle import run_configurations
+    from rampstat.sources import fixtures as fx
+
+    users = spark.createDataFrame([(k % 2, k, f"user-{k}") for k in range(7)], "run_id long, token_index long, raw_label string")
+    runs = fx.configured_runs(users.select("run_id").distinct())
+    configs = run_configurations(SimpleNamespace(users=users, runs=runs, tokens=lambda: fx.run_tokens(users)))
+    plan = configs._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "partial_count" in configs._jdf.queryExecution().executedPlan().toString()
+    got = {r.run_id: r.value for r in config_key_values(configs).where("key = 'token_count'").collect()}
+    assert got == {0: "4", 1: "3"}
