@@ -356,12 +356,9 @@ def q_credential_file_tokens(spark, sf_dir):
     """A3 over real files: the customers' credential files are written as text and read back."""
     prepare(spark)
     lines = cred.credential_lines_from_customers(fx.table(spark, sf_dir, "customer"))
-    texts = lines.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l")).select(
-        "file", F.array_join("l.line", "\n").alias("value"))  # a nation's customers: a file of one run
     path = f"{checkpoint_dir(spark).rstrip('/')}/rampstat/credentials-{uuid.uuid4().hex}"
-    texts.write.partitionBy("file").text(path)
-    good = cred.parse_credential_lines(cred.read_credential_files(spark, f"{path}/*/*.txt"))[0]
-    return good.withColumn("file", F.regexp_extract("file", r"/file=(-?\d+)/", 1).cast("int"))
+    cred.write_credential_runs(lines, path)  # a nation's customers: a file of many runs
+    return cred.parse_credential_lines(cred.read_credential_runs(spark, path))[0]
 
 
 def q_order_requests(spark, sf_dir):

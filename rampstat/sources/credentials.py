@@ -21,6 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Records in one text file of a credential file that is stored in runs.
+RUN_LINES = 20_000
+
 # One cell: quoted (doubled quotes and line ends inside belong to it, text after the
 # closing quote too) or plain. Possessive, so matching takes linear time.
 _CELL = r'(?:"(?:[^"]++|"")*+(?:"[^,\r\n]*+)?+|[^,\r\n]*+)'
@@ -59,6 +62,33 @@ def read_credential_files(spark: SparkSession, paths: str | list[str]) -> DataFr
         "file", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
+def write_credential_runs(lines: DataFrame, root: str, run_lines: int = RUN_LINES) -> None:
+    """Store numbered lines (file, line_no from 1 without gaps, line: a whole record) as
+    text files of at most ``run_lines`` records: files grow in number, not in length."""
+    run = F.expr(f"(line_no - 1) div {run_lines}").alias("run")
+    texts = lines.select("file", run, "line_no", "line").groupBy("file", "run").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l")).select(
+        "file", "run", F.array_join("l.line", "\n", "").alias("value"))
+    texts.write.partitionBy("file", "run").text(root)
+
+
+def read_credential_runs(spark: SparkSession, root: str, run_lines: int = RUN_LINES) -> DataFrame:
+    """What ``write_credential_runs`` stored, as ``read_credential_files`` gives it of whole
+    files: (file, line_no, line), each file stripped as if it were one text."""
+    path, n = F.input_file_name(), F.col("line_no")
+    texts = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(
+        F.regexp_extract(path, r"/file=(-?\d+)/", 1).cast("int").alias("file"),
+        F.regexp_extract(path, r"/run=(\d+)/", 1).cast("long").alias("run"), "value")
+    rows = texts.select("file", "run", F.posexplode(csv_records(F.col("value"))).alias("pos", "line")).select(
+        "file", (F.col("run") * run_lines + F.col("pos") + 1).alias("line_no"), "line")
+    # blank lines before the first other one, and after the last, don't count
+    ends = rows.where(_strip(F.col("line")) != "").groupBy("file").agg(F.min(n).alias("_first"), F.max(n).alias("_last"))
+    line = F.when(n == F.col("_first"), F.regexp_replace("line", r"^\s+", "")).otherwise(F.col("line"))
+    return rows.join(ends, "file").where(n.between(F.col("_first"), F.col("_last"))).select(
+        "file", (n - F.col("_first") + 1).alias("line_no"),
+        F.when(n == F.col("_last"), F.regexp_replace(line, r"\s+$", "")).otherwise(line).alias("line"))
+
+
 def parse_credential_lines(lines: DataFrame, file_col: str = "file") -> tuple[DataFrame, DataFrame]:
     """(good, rejects) from numbered lines (file, line_no, line).
 
