@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from rampstat.llm import class_lm, decontamination, license_scan, line_dedup, near_dedup, packing, passages, quality, sharding, warc
+from rampstat.llm import (class_lm, decontamination, exact_dedup, fill_in_middle, license_scan, line_dedup, near_dedup, packing, passages, quality, sharding,
+                          vector_codes, warc)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+    "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
 ORACLE = {
@@ -23,4 +27,7 @@ ORACLE = {
     "op3_warc_salvage": warc.ORACLE,
     "op5_extendible_sharding": sharding.ORACLE,
     "op8_license_scan": license_scan.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op12_exact_dedup": exact_dedup.ORACLE,
+    "op13_fill_in_middle": fill_in_middle.ORACLE,
 }

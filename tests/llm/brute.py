@@ -1,6 +1,7 @@
 """Plain versions of the operators, and documents with every odd case."""
 
 import hashlib
+import math
 import re
 import string
 from collections import Counter, defaultdict
@@ -136,3 +137,60 @@ def same(got, want):
     """Equal rows in any order, nulls and all."""
     sort = lambda rows: sorted(map(tuple, rows), key=lambda r: tuple((x is None, str(x)) for x in r))
     assert sort(got) == sort(want)
+
+
+def exact_copies(rows):
+    """(id, keep id, group size, kept, digest): of rows that tie on the smallest id the first stays."""
+    norm = [re.sub(r"[\x20\x09-\x0D]+", " ", x or "") for _, x in rows]
+    groups = defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        groups[norm[k]].append((known(i), k))
+    out = []
+    for k, (i, _) in enumerate(rows):
+        least, first = min(groups[norm[k]])
+        out.append((i, None if least == NONE else least, len(groups[norm[k]]), first == k, hashlib.sha256(norm[k].encode()).hexdigest()))
+    return out
+
+
+def fill_in_middle(rows, seed=1):
+    """(id, n, form, prefix and middle code points, digests of output and text), and the outputs."""
+    out, texts = [], []
+    for i, x in rows:
+        x = x or ""
+        units = re.findall(r"[A-Za-z]+|[^A-Za-z]", x)
+        h = hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()
+        h1, h2, h3, h4 = (int(h[8 * k:8 * k + 8], 16) for k in range(4))
+        a, b = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+        p, m, s = ("".join(y) for y in (units[:a], units[a:b], units[b:]))
+        plain = not x or any(y in x for y in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90
+        form = "plain" if plain else "spm" if h4 % 100 < 20 else "psm"
+        texts.append({"plain": x, "psm": f"<P>{p}<S>{s}<M>{m}", "spm": f"<S>{s}<P>{p}<M>{m}"}[form])
+        digest = lambda y: hashlib.sha256(y.encode()).hexdigest()
+        out.append((i, len(units), form, None if plain else len(p), None if plain else len(m), digest(texts[-1]), digest(x)))
+    return out, texts
+
+
+def vector_codes(rows, parts=16, entries=64, rounds=2):
+    """(id, code, error, label error) of (id, vector, label) rows, and the codebooks."""
+    fine = lambda v: v is not None and all(x is not None and math.isfinite(x) for x in v)
+    kept = sorted((known(i), [math.floor(256 * x) for x in v], (lab is None, lab)) for i, v, lab in rows if fine(v))
+    dims = next((len(v) for _, v, _ in kept if v and len(v) % parts == 0), 0)
+    kept = [r for r in kept if dims and len(r[1]) == dims]
+    w = dims // parts
+    cut = [[tuple(v[p * w:(p + 1) * w]) for _, v, _ in kept] for p in range(parts)]
+    books = [list(c[:entries]) for c in cut]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    near = lambda p: [min((far(x, e), k) for k, e in enumerate(books[p])) for x in cut[p]]
+    for _ in range(rounds):
+        for p in range(parts):
+            own = defaultdict(list)
+            for x, (_, k) in zip(cut[p], near(p), strict=True):
+                own[k].append(x)
+            books[p] = [tuple(sum(c) // len(c) for c in zip(*own[k], strict=True)) if k in own else e for k, e in enumerate(books[p])]
+    last = [near(p) for p in range(parts)]
+    error = [sum(last[p][j][0] for p in range(parts)) for j in range(len(kept))]
+    by = Counter()
+    for (_, _, lab), e in zip(kept, error, strict=True):
+        by[lab] += e
+    return [(None if i == NONE else i, "".join(f"{last[p][j][1]:02x}" for p in range(parts)), error[j], by[lab])
+            for j, (i, _, lab) in enumerate(kept)], books
