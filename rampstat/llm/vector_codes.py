@@ -443,8 +443,8 @@ def _oracle() -> str:
     """Two rounds in SQL: every part against every entry."""
     sql = """
 WITH kept AS (SELECT vec_id, label, embedding AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR isnan(c) OR isinf(c))) = 0),
-parts AS (SELECT vec_id, label, p, list_transform(range(1, 5), k -> floor(x[4 * p + k]::DOUBLE * 256)::BIGINT) AS v
+  WHERE embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR isnan(c) OR isinf(c)]) = 0),
+parts AS (SELECT vec_id, label, p, [floor(c::DOUBLE * 256)::BIGINT FOR c IN x[4 * p + 1:4 * p + 4]] AS v
   FROM kept, (SELECT unnest(range(0, 16)) AS p)),
 b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM parts QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 64)"""
     for r in range(3):
