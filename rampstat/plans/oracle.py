@@ -568,19 +568,14 @@ SELECT run_id, stage_index, CAST(COUNT(*) AS BIGINT) AS stage_count,
        round_even(AVG(latency_ms), 6) AS avg_latency_ms
 FROM req WHERE stage_index IS NOT NULL GROUP BY run_id, stage_index""")
 
-ORACLE["stream_stage_final"] = _q(""",
-bounds AS (SELECT MAX(ts) - INTERVAL 1 HOUR AS wm FROM req),
-w AS (
-  SELECT run_id,
-         TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(slot AS BIGINT) * 259200) AS window_start,
-         TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(slot + 1 AS BIGINT) * 259200) AS window_end,
-         status, latency_ms
-  FROM norm WHERE after_start)
-SELECT run_id, window_start, window_end, CAST(COUNT(*) AS BIGINT) AS total_requests,
-       CAST(COUNT(*) FILTER (WHERE status = 'success') AS BIGINT) AS successful,
-       round_even(AVG(latency_ms), 6) AS avg_latency_ms
-FROM w, bounds WHERE window_end <= bounds.wm
-GROUP BY run_id, window_start, window_end""")
+ORACLE["stream_stage_final"] = _q("""
+SELECT s.run_id, s.stage_index, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(s.stage_index AS BIGINT) * 259200) AS window_start,
+       TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(s.stage_index + 1 AS BIGINT) * 259200) AS window_end,
+       s.target_rps, s.active_users, CAST(COUNT(q.run_id) AS BIGINT) AS total_requests,
+       CAST(COUNT(*) FILTER (WHERE q.status = 'success') AS BIGINT) AS successful,
+       COALESCE(round_even(AVG(q.latency_ms), 6), CAST(0 AS DOUBLE)) AS avg_latency_ms
+FROM sched s LEFT JOIN req q ON q.run_id = s.run_id AND q.stage_index = s.stage_index
+GROUP BY s.run_id, s.stage_index, s.target_rps, s.active_users""")
 
 ORACLE["stream_latest_snapshot"] = _q("""
 SELECT run_id, arg_max(stage_index, (ts, event_id)) AS stage_index, MAX(ts) AS last_ts,

@@ -5,7 +5,7 @@ the static stage plan (stream-static join, D12) and folded into per-stage
 state:
 
 * ``live_counters`` (J1/J7): running counts, successes, failures, mean
-  latency per (run, stage) - update/complete mode;
+  latency per (run, stage) - update mode into a ``KeyedTable``, or complete mode;
 * ``stage_windows`` (J5/J6): stages as tumbling event-time windows; with a
   watermark the final row of a stage is appended once its slot has closed.
   ``dropDuplicatesWithinWatermark`` discards replayed requests.
@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rampstat.functions.rates import report_round
-from rampstat.operators.assign import assign_stage
+from rampstat.operators.assign import assign_stage, cap_users
 from rampstat.operators.normalize import normalize_requests
 from rampstat.operators.schedule import build_schedule
-from rampstat.session import checkpoint_dir, prepare
+from rampstat.session import checkpoint_dir, materialize, prepare
 from rampstat.sources import fixtures as fx
+from rampstat.streaming import stages
+from rampstat.streaming.keyed_table import KeyedTable
 
 EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
                  "value double, props string")
@@ -91,57 +93,61 @@ def stage_windows(requests: DataFrame, stage_seconds: int, start_offset: str,
                     report_round(F.col("_avg"), 6).alias("avg_latency_ms")))
 
 
+#: The tables of a live query: their keys, and how rows of a key become one.
+LIVE_TABLES = {
+    "counters": {"keys": ["run_id", "stage_index"], "sums": ["stage_count", "stage_successful", "stage_failed", "latency_sum"],
+                 "newest": ["target_rps", "active_users", "last_ts"]},
+    "latest": {"keys": ["run_id"], "ordered_by": ["last_ts", "stage_index"]},
+    "unassigned": {"keys": ["run_id"], "sums": ["requests"]},
+}
+
+
+def live_table(spark: SparkSession, out_dir: str, name: str, stream: str = "") -> KeyedTable:
+    return KeyedTable(spark, f"{out_dir.rstrip('/')}/{name}", stream=stream, **LIVE_TABLES[name])
+
+
+def live_latest(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Per run the stage with the newest request - last write wins -, its counts, and the
+    age of that request now."""
+    counts = live_table(spark, out_dir, "counters").read().select("run_id", "stage_index", "stage_count", "stage_successful", "stage_failed")
+    age = (F.unix_micros(F.current_timestamp()) - F.unix_micros("last_ts")).cast("double") / F.lit(1e6)
+    return live_table(spark, out_dir, "latest").read().join(counts, ["run_id", "stage_index"]).withColumn("age_s", age)
+
+
 def start_live_progress(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
                         runs, schedule, trigger: str | None = "2 seconds", glob: str = "*.parquet"):
     """Start the live progress query.
 
     ``runs`` and ``schedule`` are DataFrames, or functions without arguments that
     give them and are asked anew for every batch, so runs that begin while the
-    query is up are known as soon as their configuration is.
+    query is up are known as soon as their configuration is. Users are those of the
+    schedule (``cap_users`` holds a private run's to its credentials).
 
     Every trigger (2 s by default, like the dashboard refresh) takes all new request
-    files, assigns stages, adds the batch's counts to those published by the batch
-    before, and writes three tables under ``out_dir``, a new folder each per
-    batch (``latest_result`` reads the newest whole one): ``counters`` (one row per run and
-    stage), ``latest`` (one row per run: the stage with the newest request - last
-    write wins - and the age of that request at the batch's processing time) and
-    ``unassigned`` (requests per run that no known stage holds). A batch that runs
-    again after a restart starts from the same folder as before, so nothing counts
-    twice. ``trigger=None`` processes what is available and stops (tests)."""
+    files, assigns stages, and writes what the batch adds to three ``KeyedTable``s under
+    ``out_dir``: ``counters`` (a row per run and stage), ``latest`` (a row per run) and
+    ``unassigned`` (requests per run that no known stage holds). A batch writes rows of the
+    keys it holds and no others; one that runs again after a restart adds nothing
+    twice; a lost folder is an error. ``trigger=None`` processes what is available and stops."""
     stream = normalize_requests(fx.raw_outcomes(read_event_stream(spark, source_dir, glob, None)))
     now = lambda x: x() if callable(x) else x
-    publish = {name: publisher(f"{out_dir}/{name}") for name in ("counters", "latest", "unassigned")}
-
-    def before(name: str, epoch: int) -> DataFrame | None:
-        at, fs = _folder(spark, f"{out_dir}/{name}/batch={epoch - 1:012d}")
-        return spark.read.parquet(at.toString()) if epoch and fs.exists(at) else None
-
-    def added(name: str, new: DataFrame, epoch: int, keys: list[str], sums: list[str], newest: list[str]) -> DataFrame:
-        old = before(name, epoch)
-        both = new if old is None else old.unionByName(new)
-        merged = both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in newest]).select(new.columns)
-        publish[name](merged, epoch)
-        return latest_result(spark, f"{out_dir}/{name}")
+    tables = {name: live_table(spark, out_dir, name, checkpoint) for name in LIVE_TABLES}
 
     def run(batch: DataFrame, epoch: int) -> None:
-        staged = assign_stage(batch, now(schedule), now(runs)).persist()  # read twice, computed once
+        staged = assign_stage(batch, now(schedule), now(runs))
+        ok = (F.col("status") == "success").cast("long")
+        added = staged.groupBy("run_id", "stage_index").agg(
+            F.count("*").alias("stage_count"), F.sum(ok).alias("stage_successful"), F.sum(1 - ok).alias("stage_failed"),
+            F.max("target_rps").alias("target_rps"), F.max("active_users").alias("active_users"),
+            F.max("ts").alias("last_ts"), F.sum("latency_ms").alias("latency_sum")).persist()  # a row per run and stage, read three times
         try:
-            ok = (F.col("status") == "success").cast("long")
-            counts = staged.where("stage_index IS NOT NULL").groupBy("run_id", "stage_index").agg(
-                F.count("*").alias("stage_count"), F.sum(ok).alias("stage_successful"), F.sum(1 - ok).alias("stage_failed"),
-                F.max("target_rps").alias("target_rps"), F.max("active_users").alias("active_users"),
-                F.max("ts").alias("last_ts"), F.sum("latency_ms").alias("latency_sum"))
-            counters = added("counters", counts, epoch, ["run_id", "stage_index"], ["stage_count", "stage_successful", "stage_failed", "latency_sum"],
-                             ["target_rps", "active_users", "last_ts"])
-            lost = staged.where("stage_index IS NULL").groupBy("run_id").agg(F.count("*").alias("requests"))
-            added("unassigned", lost, epoch, ["run_id"], ["requests"], [])
-            last = counters.groupBy("run_id").agg(F.max_by(
-                F.struct("stage_index", "stage_count", "stage_successful", "stage_failed", "target_rps", "active_users", "last_ts"),
-                F.struct("last_ts", "stage_index")).alias("s"))
-            age = (F.unix_micros(F.current_timestamp()) - F.unix_micros("s.last_ts")).cast("double") / F.lit(1e6)
-            publish["latest"](last.select("run_id", "s.*", age.alias("age_s")), epoch)
+            held = added.where("stage_index IS NOT NULL")
+            tables["counters"].publish(held, epoch)
+            last = F.max_by(F.struct("stage_index", "last_ts", "target_rps", "active_users"), F.struct("last_ts", "stage_index"))
+            tables["latest"].publish(held.groupBy("run_id").agg(last.alias("s")).select("run_id", "s.*"), epoch)
+            tables["unassigned"].publish(added.where("stage_index IS NULL").select("run_id", F.col("stage_count").alias("requests")), epoch)
         finally:
-            staged.unpersist()
+            added.unpersist()
 
     w = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(run)
     w = w.trigger(availableNow=True) if trigger is None else w.trigger(processingTime=trigger)
@@ -152,14 +158,17 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def run_available_now(df: DataFrame, mode: str, out_dir: str, ckpt_dir: str):
+def run_available_now(df: DataFrame, mode: str, out_dir: str, ckpt_dir: str, table: KeyedTable | None = None):
     """Run a streaming query over everything available, to its end, and leave the
     result in ``out_dir``; a query that fails raises. Complete mode publishes each
     batch beside ``out_dir`` (``publisher``) and writes the last one there, so
-    ``out_dir`` is whole from the moment it exists; append mode uses the file sink."""
+    ``out_dir`` is whole from the moment it exists; update mode writes the changed rows to
+    ``table``; append mode uses the file sink."""
     w = df.writeStream.option("checkpointLocation", ckpt_dir).trigger(availableNow=True)
     if mode == "complete":
         q = w.outputMode("complete").foreachBatch(publisher(f"{out_dir}-batches")).start()
+    elif mode == "update":
+        q = w.outputMode("update").foreachBatch(table.publish).start()
     else:
         q = w.outputMode("append").format("parquet").option("path", out_dir).start()
     q.awaitTermination()
@@ -202,23 +211,24 @@ def latest_result(spark: SparkSession, out_dir: str) -> DataFrame:
 
 
 def _event_runs(spark: SparkSession, sf_dir: str):
+    """Runs and schedule of the events; B17 holds a private run's users to its credentials."""
     events = fx.table(spark, sf_dir, "events")
     runs = fx.event_runs(events)
-    return runs, build_schedule(runs)
+    return runs, cap_users(build_schedule(runs), runs, fx.run_users(fx.raw_outcomes(events)))
 
 
 def stream_progress_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J1 over the events file of ``sf_dir`` as a stream; returns the final
-    counters table."""
+    """J1 over the events file of ``sf_dir`` as a stream, in update mode: each batch
+    writes the counters it has changed; returns the table at the end."""
     prepare(spark)
     runs, schedule = _event_runs(spark, sf_dir)
     stream = read_event_stream(spark, sf_dir, "events.parquet", None)
     counters = live_counters(live_requests(stream, runs, schedule))
     out, ck = _scratch(spark, "stream-progress"), _scratch(spark, "stream-progress-ckpt")
-    run_available_now(counters, "complete", out, ck)
-    res = spark.read.parquet(out)
-    return res.select("run_id", "stage_index", "stage_count", "stage_successful", "stage_failed",
-                      "target_rps", "active_users", report_round(F.col("_avg"), 6).alias("avg_latency_ms"))
+    table = KeyedTable(spark, out, ["run_id", "stage_index"], stream=ck)
+    run_available_now(counters, "update", out, ck, table)
+    return table.read().select("run_id", "stage_index", "stage_count", "stage_successful", "stage_failed",
+                               "target_rps", "active_users", report_round(F.col("_avg"), 6).alias("avg_latency_ms"))
 
 
 def stream_latest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,14 +242,35 @@ def stream_latest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+#: The driver query's stream arrives in so many parts, cut by time; runs with an odd id are
+#: announced so late.
+ARRIVALS = ["2024-01-01 00:00:00", "2024-01-16 00:00:00", "2024-02-01 00:00:00"]
+ANNOUNCED_LATE = "1 day"
+
+
 def stream_stage_final_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed stage windows appended by the stream."""
+    """Stages closed by timers and run ends. Requests and the runs' plans arrive
+    part by part; some runs are announced after their first requests; the query
+    stops after each part and resumes from its checkpoint."""
     prepare(spark)
-    runs, schedule = _event_runs(spark, sf_dir)
-    stream = read_event_stream(spark, sf_dir, "events.parquet", None)
-    req = normalize_requests(fx.raw_outcomes(stream))
-    # 2024-01-01 is day 19723 = 1 (mod 3): 3-day windows start 1 day after epoch multiples
-    wins = stage_windows(req, int(fx.EVENT_RUN_STAGE_S), "1 day")
-    out, ck = _scratch(spark, "stream-stages"), _scratch(spark, "stream-stages-ckpt")
-    run_available_now(wins, "append", out, ck)
-    return spark.read.parquet(out)
+    events = fx.table(spark, sf_dir, "events")
+    runs = materialize(fx.event_runs(events), "runs")
+    users = fx.run_users(fx.raw_outcomes(events))
+    schedule = cap_users(build_schedule(runs), runs, users)
+    plans = materialize(stages.plan_rows(schedule, runs, f"started_at + CASE WHEN run_id % 2 = 1 THEN INTERVAL {ANNOUNCED_LATE} ELSE INTERVAL 0 DAYS END"), "plans")
+    own = stages.stateful_session(spark)
+    d = _scratch(spark, "stream-stages")
+    for k, (since, until) in enumerate(zip(ARRIVALS[:-1], ARRIVALS[1:])):
+        last = k == len(ARRIVALS) - 2
+        within = lambda c: f"{c} < TIMESTAMP '{until}'" if k == 0 else f"{c} >= TIMESTAMP '{since}'" + ("" if last else f" AND {c} < TIMESTAMP '{until}'")  # noqa: B023, E731
+        events.where(within("ts")).write.mode("append").parquet(f"{d}/requests")
+        told = plans.where(within("at")).unionByName(stages.tick_rows(spark, until))
+        (told.unionByName(stages.end_rows(plans)) if last else told).write.mode("append").parquet(f"{d}/control")
+        requests = normalize_requests(fx.raw_outcomes(read_event_stream(own, f"{d}/requests", "*.parquet", None)))
+        control = stages.read_control_stream(own, f"{d}/control")
+        run_available_now(stages.with_plan(requests, control, late=ANNOUNCED_LATE), "append", f"{d}/staged", f"{d}/staged-checkpoint")
+        closed = stages.close_stages(stages.read_staged_stream(own, f"{d}/staged"), control, delay=f"{ANNOUNCED_LATE} 1 hour")
+        run_available_now(closed, "append", f"{d}/closed", f"{d}/closed-checkpoint")
+    return stages.closed_stages(spark.read.parquet(f"{d}/closed")).select(
+        "run_id", "stage_index", F.col("starts").alias("window_start"), F.col("ends").alias("window_end"), "target_rps", "active_users",
+        "total_requests", "successful", "avg_latency_ms")

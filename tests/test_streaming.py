@@ -9,8 +9,8 @@ from rampstat.operators.normalize import normalize_requests
 from rampstat.plans.pipeline import EventRuns
 from rampstat.sources import fixtures as fx
 from rampstat.streaming.live import (
-    live_counters, live_requests, read_event_stream, run_available_now, stage_windows,
-    start_live_progress,
+    live_counters, live_latest, live_requests, live_table, read_event_stream, run_available_now,
+    stage_windows, start_live_progress,
 )
 from tests.conftest import SF001
 
@@ -69,9 +69,11 @@ def test_live_progress_publishes_counters_and_latest(spark):
     ck = tempfile.mkdtemp(prefix="ck-", dir="/tmp")
     q = start_live_progress(spark, src, out, ck, er.runs, er.schedule, trigger=None)
     q.awaitTermination(300)
-    latest = spark.read.parquet(f"{out}/latest").collect()
+    latest = live_latest(spark, out).collect()
     assert len(latest) == 4 and all(r.stage_index == 9 and r.age_s > 0 for r in latest)
-    assert spark.read.parquet(f"{out}/counters").count() == 40
+    counters = live_table(spark, out, "counters").read()
+    assert counters.count() == 40
+    assert sum(r.stage_count for r in counters.collect()) == spark.read.parquet(src).count()
 
 
 def test_late_rows_after_the_watermark_do_not_reopen_a_stage(spark):
@@ -106,7 +108,6 @@ def test_late_rows_after_the_watermark_do_not_reopen_a_stage(spark):
 def test_runs_that_begin_later_and_restarts(spark):
     """A run whose configuration comes after the query's start is counted from its batch on;
     a restart from the checkpoint adds new files only and leaves a readable table."""
-    from rampstat.streaming.live import latest_result
     ev = spark.read.parquet(f"{SF001}/events.parquet")
     d, out, ck = (tempfile.mkdtemp(prefix=p, dir="/tmp") for p in ("src-", "live-", "ck-"))
     er = EventRuns(spark, SF001)
@@ -122,13 +123,13 @@ def test_runs_that_begin_later_and_restarts(spark):
         q = start_live_progress(spark, d, out, ck, lambda: er.runs.where(F.col("run_id").isin(known)),
                                 lambda: er.schedule.where(F.col("run_id").isin(known)), trigger=None, glob="events-*.parquet")
         q.awaitTermination()
-        return {r.run_id: r.n for r in latest_result(spark, f"{out}/counters").groupBy("run_id").agg(F.sum("stage_count").alias("n")).collect()}
+        return {r.run_id: r.n for r in live_table(spark, out, "counters").read().groupBy("run_id").agg(F.sum("stage_count").alias("n")).collect()}
 
     first, second = ev.where("event_id % 2 = 0"), ev.where("event_id % 2 = 1")
     count = lambda df, runs: {r: df.where(f"user_id % 4 = {r}").count() for r in runs}
     put(0, first)
     assert go() == count(first, [0, 1])
-    lost = {r.run_id: r.requests for r in latest_result(spark, f"{out}/unassigned").collect()}
+    lost = {r.run_id: r.requests for r in live_table(spark, out, "unassigned").read().collect()}
     assert lost == count(first, [2, 3])
     known.append(2)
     put(1, second)
@@ -158,3 +159,14 @@ def test_many_files_give_what_the_batch_gives(spark):
         counters = live_counters(live_requests(read_event_stream(spark, d, "*.parquet", limit), er.runs, er.schedule))
         run_available_now(counters, "complete", out, ck)
         assert sorted((r.run_id, r.stage_index, r.stage_count) for r in spark.read.parquet(out).collect()) == want
+
+
+def test_a_new_folder_under_an_old_checkpoint_is_an_error(spark):
+    """Counting on from zero would lose what earlier batches have counted."""
+    import pytest
+    src, er = _split_events(spark), EventRuns(spark, SF001)
+    out, other, ck = (tempfile.mkdtemp(prefix=p, dir="/tmp") for p in ("live-", "live-", "ck-"))
+    start_live_progress(spark, src, out, ck, er.runs, er.schedule, trigger=None).awaitTermination(300)
+    spark.read.parquet(src).limit(5).coalesce(1).write.mode("append").parquet(src)
+    with pytest.raises(Exception, match="lacks what batch"):
+        start_live_progress(spark, src, other, ck, er.runs, er.schedule, trigger=None).awaitTermination(300)
