@@ -154,31 +154,26 @@ def run_summary(requests: DataFrame, run_col: str = "run_id") -> DataFrame:
         F.coalesce(report_round(F.avg("latency_ms"), AVG_DIGITS), F.lit(0.0)).alias("avg_latency_ms"))
 
 
+#: ``grouping_id`` of (run, stage, model, latency) in each grain's grouping set.
+GRAINS = {6: "run", 2: "stage", 4: "model"}
+
+
 def multi_grain_rollup(requests: DataFrame, run_col: str = "run_id") -> DataFrame:
     """(run), (run, stage) and (run, model) profiles in one pass - the
-    GROUPING SETS of the three report loops. One histogram over
-    (run, stage, model, latency) feeds all three grains."""
+    GROUPING SETS of the three report loops. One scan gives a histogram over
+    (run, stage, model, latency); its rows, not the requests, are expanded to the three
+    grains, and one running count over all of them picks the percentiles."""
     ok = (F.col("status") == "success").cast("long")
-    base = requests.groupBy(run_col, "stage_index", "model", "latency_ms").agg(
-        F.count("*").alias("c"), F.sum(ok).alias("_ok"))
-    grains = {
-        "run": [run_col],
-        "stage": [run_col, "stage_index"],
-        "model": [run_col, "model"],
-    }
-    parts = []
-    for g, cols in grains.items():
-        parts.append(base.groupBy(*cols, "latency_ms").agg(F.sum("c").alias("c"),
-                                                           F.sum("_ok").alias("_ok"))
-                     .select(F.lit(g).alias("grain"), F.col(run_col),
-                             (F.col("stage_index") if "stage_index" in cols
-                              else F.lit(None).cast("int")).alias("stage_index"),
-                             (F.col("model") if "model" in cols
-                              else F.lit(None).cast("string")).alias("model"),
-                             "latency_ms", "c", "_ok"))
-    hist = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    keys = ["grain", run_col, "stage_index", "model"]
-    return profile_from_histogram(hist, keys, "latency_ms")
+    cols = [run_col, "stage_index", "model", "latency_ms"]
+    base = requests.groupBy(*cols).agg(F.count("*").alias("c"), F.sum(ok).alias("_ok"))
+    # the grain is part of the key: a null stage or model is a group of its own, not a total
+    hist = base.groupingSets([[run_col, "latency_ms"], [run_col, "stage_index", "latency_ms"], [run_col, "model", "latency_ms"]], *cols).agg(
+        F.grouping_id().alias("_set"), F.sum("c").alias("c"), F.sum("_ok").alias("_ok"))
+    grain = F.lit(None).cast("string")
+    for number, name in GRAINS.items():
+        grain = F.when(F.col("_set") == number, F.lit(name)).otherwise(grain)
+    hist = hist.select(grain.alias("grain"), *cols, "c", "_ok")
+    return profile_from_histogram(hist, ["grain", run_col, "stage_index", "model"], "latency_ms")
 
 
 def scale_info(stages: DataFrame, run_col: str = "run_id") -> DataFrame:

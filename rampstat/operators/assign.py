@@ -2,9 +2,8 @@
 D9-D11, C4, F5).
 
 Request -> stage is a range condition (``t0 <= ts < t1``). A plain range join
-plans as a nested loop, so each stage is keyed by the time buckets it covers
-(bucket width = the run's mean stage length) and the request joins on the run -
-an equi-join - and looks its bucket up before the range is checked. All times
+plans as a nested loop, so the request joins its run - an equi-join - and is looked up
+by binary search among the run's sorted stage boundaries. All times
 are whole microseconds.
 
 Round-robin picks (model, credential, prompt) are ``list[seq % n]`` with the
@@ -13,7 +12,7 @@ Round-robin picks (model, credential, prompt) are ``list[seq % n]`` with the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rampstat.functions.rates import allocated_rps
@@ -22,25 +21,32 @@ from rampstat.operators.ranking import row_number_in_group
 
 
 def run_slots(schedule: DataFrame, runs: DataFrame, run_col: str = "run_id") -> DataFrame:
-    """One row per run: start, bucket width ``_w`` (the run's mean stage length) and
-    ``_slots``: for each bucket all stages that overlap it. Times are whole
-    microseconds, so a request exactly at a boundary falls into the stage that
-    begins there. Size: a few entries per stage, whatever the request volume."""
+    """One row per run: ``_t_start``, its start, ``_from``, the sorted offsets at which its stages
+    begin, ``_held``, the stages in that order with their ends, and ``_turns``, the halvings a
+    search takes. Times are whole microseconds, so a request exactly at a boundary falls into the
+    stage that begins there. Of overlapping stages the earliest one counts: a stage that begins while an
+    earlier one lasts begins for the search when that one ends. Size: an entry per stage,
+    whatever the request volume and the stages' lengths."""
     s = schedule.selectExpr(run_col, "stage_index", "target_rps", "active_users",
                             "CAST(round(t0_offset_s * 1e6D) AS BIGINT) AS t0", "CAST(round(t1_offset_s * 1e6D) AS BIGINT) AS t1"
                             ).where("t1 > t0")
-    width = s.groupBy(run_col).agg(F.expr("greatest(max(t1) div count(*), 1)").alias("_w"), F.max("t1").alias("_end"))
-    every = width.selectExpr(run_col, "_w", "explode(sequence(0L, (_end - 1) div _w)) AS _b")
-    held = (s.join(width, run_col)
-            .selectExpr(run_col, "explode(sequence(t0 div _w, (t1 - 1) div _w)) AS _b",
-                        "struct(t0, t1, stage_index, target_rps, active_users) AS _s")
-            .groupBy(run_col, "_b").agg(F.array_sort(F.collect_list("_s")).alias("_c")))
-    slots = (every.join(held, [run_col, "_b"], "left").groupBy(run_col, "_w")
-             .agg(F.expr("transform(array_sort(collect_list(struct(_b, _c))), e -> e._c)").alias("_slots")))
+    # a run's plan, not its log
+    w = Window.partitionBy(run_col).orderBy("t0", "t1", "stage_index").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_before", F.max("t1").over(w)).withColumn("_begin", F.expr("greatest(t0, _before)")).where("_begin < t1")
+    slots = s.groupBy(run_col).agg(F.expr(
+        "array_sort(collect_list(struct(_begin, t1, stage_index, target_rps, active_users)))").alias("_held"))
+    slots = slots.selectExpr(run_col, "transform(_held, s -> s._begin) AS _from", "_held",
+                             "sequence(1, CAST(ceil(log2(size(_held))) AS INT) + 1) AS _turns")
     starts = runs.selectExpr(run_col, "unix_micros(started_at) AS _t_start")
     return slots.join(starts, run_col)
 
 
+# halves [lo, hi) until one place is left: the last stage that begins at or before the offset
+_SEARCH_SQL = ("aggregate(_turns, named_struct('lo', 0, 'hi', size(_from)), (a, i) -> IF(a.hi - a.lo <= 1, a, "
+               "IF(get(_from, (a.lo + a.hi) div 2) <= _off, named_struct('lo', CAST((a.lo + a.hi) div 2 AS INT), 'hi', a.hi), "
+               "named_struct('lo', a.lo, 'hi', CAST((a.lo + a.hi) div 2 AS INT)))), a -> a.lo)")
+
+
 def assign_stage(requests: DataFrame, schedule: DataFrame, runs: DataFrame,
                  run_col: str = "run_id", ts_col: str = "ts") -> DataFrame:
     """D3: attach ``stage_index, active_users, target_rps`` of the stage whose
@@ -49,18 +55,17 @@ def assign_stage(requests: DataFrame, schedule: DataFrame, runs: DataFrame,
 
     A single equi-join on the run against ``run_slots`` (one row per run,
     broadcast when its measured size is small - a dominant run then never
-    concentrates in one shuffle partition); the request's time bucket indexes
-    the run's slots and the range is checked on every stage that overlaps the
-    bucket. Requests outside every slot keep null stage columns; of overlapping
+    concentrates in one shuffle partition), then a binary search among the run's
+    stages: as many steps as the logarithm of their number, however unequal
+    their lengths. Requests outside every slot keep null stage columns; of overlapping
     stages the earliest one counts."""
     rs = broadcast_if_small(run_slots(schedule, runs, run_col))
     j = requests.join(rs, run_col, "left")
     j = j.withColumn("_off", F.expr(f"unix_micros({ts_col}) - _t_start"))
-    j = j.withColumn("_k", F.expr("CASE WHEN _off >= 0 THEN get(filter(get(_slots, CAST(_off div _w AS INT)), "
-                                  "c -> c.t0 <= _off AND _off < c.t1), 0) END"))
-    return j.selectExpr(*[f"`{c}`" for c in requests.columns],
-                        "CAST(_k.stage_index AS INT) AS stage_index", "_k.target_rps AS target_rps",
-                        "CAST(_k.active_users AS INT) AS active_users")
+    j = j.withColumn("_k", F.expr(f"CASE WHEN _off >= get(_from, 0) THEN get(_held, {_SEARCH_SQL}) END"))
+    held = lambda c: F.expr(f"IF(_off < _k.t1, _k.{c}, NULL)")
+    return j.select(*[F.col(f"`{c}`") for c in requests.columns], held("stage_index").cast("int").alias("stage_index"),
+                    held("target_rps").alias("target_rps"), held("active_users").cast("int").alias("active_users"))
 
 
 def cap_users(schedule: DataFrame, runs: DataFrame, tokens: DataFrame, run_col: str = "run_id") -> DataFrame:

@@ -97,10 +97,10 @@ def audit_run_config(configs: DataFrame, run_col: str = "run_id") -> DataFrame:
         F.col("m.rule").alias("rule"), F.col("m.message").alias("message"))
 
 
-def audit_ranges(configs: DataFrame, run_col: str = "run_id") -> DataFrame:
-    """Settings outside the ranges the configuration form allows.
-    Expects ``initial_display, max_display`` (slider values); ``num_rows`` (rows
-    shown of the raw table) is checked where the configurations have it."""
+def range_checks(columns: list[str]) -> Column:
+    """The settings outside the ranges the configuration form allows, as an array of (rule,
+    value). Expects ``initial_display, max_display`` (slider values); ``num_rows`` (rows
+    shown of the raw table) is checked where ``columns`` has it."""
     lo_r, hi_r = RATE_RANGE
     lo_f, hi_f = FACTOR_RANGE
     lo_s, hi_s = STAGE_SECONDS_RANGE
@@ -110,7 +110,7 @@ def audit_ranges(configs: DataFrame, run_col: str = "run_id") -> DataFrame:
 
     def out(cond, rule, value):
         return F.when(cond, F.struct(F.lit(rule).alias("rule"), value.cast("string").alias("value")))
-    checks = F.filter(F.array(
+    return F.filter(F.array(
         out(~F.col("initial_display").between(lo_r, hi_r), "initial_rate_range", F.col("initial_display")),
         out(~F.col("max_display").between(lo_r, hi_r), "max_rate_range", F.col("max_display")),
         out(F.col("max_display") < F.col("initial_display"), "max_below_initial", F.col("max_display")),
@@ -122,9 +122,13 @@ def audit_ranges(configs: DataFrame, run_col: str = "run_id") -> DataFrame:
                                                  | (m["percentage"] > 100)))),
         out(~F.col("timeout").between(lo_t, hi_t), "timeout_range", F.col("timeout")),
         out((n_tok > 0) & (F.col("max_users") > cap), "users_over_token_cap", F.col("max_users")),
-        *([out(~F.col("num_rows").between(*ROWS_RANGE), "rows_range", F.col("num_rows"))] if "num_rows" in configs.columns else []),
+        *([out(~F.col("num_rows").between(*ROWS_RANGE), "rows_range", F.col("num_rows"))] if "num_rows" in columns else []),
     ), lambda x: x.isNotNull())
-    return configs.select(run_col, F.explode(checks).alias("c")).select(
+
+
+def audit_ranges(configs: DataFrame, run_col: str = "run_id") -> DataFrame:
+    """(run_id, rule, value), one row per setting outside its range."""
+    return configs.select(run_col, F.explode(range_checks(configs.columns)).alias("c")).select(
         run_col, F.col("c.rule").alias("rule"), F.col("c.value").alias("value"))
 
 

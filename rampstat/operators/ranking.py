@@ -22,11 +22,13 @@ must make the order total within a group (e.g. ``ts, event_id``).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,9 @@ from pyspark.sql import types as T
 from rampstat.operators.joins import broadcast_if_small
 from rampstat.session import materialize
 
+# the functions that tasks run travel with the plan: executors need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _PID = "__pid"
 _KIND = "__kind"  # 0 = data row, 1 = per-(partition, group) total row
 

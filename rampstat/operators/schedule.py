@@ -2,10 +2,14 @@
 
 The stage rates come from an array fold, not ``initial * factor ** k``: the
 fold multiplies exactly like the loop it mirrors, so rates agree bit for bit.
+It goes block by block: within a block of ``BLOCK`` stages rates are appended one by one,
+then the whole block is, and its last rate is carried to the next, so the copying of
+arrays grows with the number of stages (and blocks), not with its square.
 The fold length is an upper bound on the number of stages; the stop test
 (next rate no longer below the cap, or not growing) leaves the surplus
 iterations idle. Each configuration is one row, so the work is spread over
-runs; a run's stage list is its own output size.
+runs; a run's stage list is its own output size. ``schedulable`` keeps the configurations
+that the rate and range rules accept (C7, C9): at most some 80 stages each.
 """
 
 from __future__ import annotations
@@ -13,17 +17,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rampstat.operators.quality import range_checks, rate_rules
 
+#: Stages that are appended one by one before a block is.
+BLOCK = 64
 
 _BOUND_SQL = ("CASE WHEN scaling_factor > 1.0D AND initial_rate > 0.0D AND initial_rate < max_rate "
               "THEN CAST(ceil(ln(max_rate / initial_rate) / ln(scaling_factor)) + 2 AS INT) ELSE 1 END")
-# acc holds the uncapped rate of every stage; append while the last stage is
-# below the cap and multiplying still grows the rate.
-_FOLD_SQL = (f"slice(aggregate(sequence(1, {_BOUND_SQL}), array(initial_rate), "
-             "(acc, i) -> CASE WHEN element_at(acc, -1) < max_rate "
-             "AND element_at(acc, -1) * scaling_factor > element_at(acc, -1) "
-             "THEN concat(acc, array(element_at(acc, -1) * scaling_factor)) ELSE acc END), "
-             f"1, {_BOUND_SQL})")
+# one block: the carried rate, then the uncapped rate of every stage; append while the last
+# stage is below the cap and multiplying still grows the rate
+_BLOCK_SQL = (f"aggregate(sequence(1, {BLOCK}), array(acc.last), (a, j) -> "
+              "CASE WHEN element_at(a, -1) < max_rate AND element_at(a, -1) * scaling_factor > element_at(a, -1) "
+              "THEN concat(a, array(element_at(a, -1) * scaling_factor)) ELSE a END)")
+_FOLD_SQL = (f"slice(flatten(aggregate(sequence(1, ({_BOUND_SQL}) div {BLOCK} + 1), "
+             "named_struct('last', initial_rate, 'blocks', array(array(initial_rate))), "
+             f"(acc, i) -> element_at(transform(array({_BLOCK_SQL}), b -> named_struct("
+             "'last', element_at(b, -1), 'blocks', IF(size(b) > 1, concat(acc.blocks, array(slice(b, 2, size(b) - 1))), acc.blocks))), 1), "
+             f"acc -> acc.blocks)), 1, {_BOUND_SQL})")
+
+
+def schedulable(configs: DataFrame) -> DataFrame:
+    """The configurations that break no rate rule (C7) and lie within the allowed ranges (C9):
+    only those get a schedule. A filter on each row; needs the columns of both."""
+    return configs.where((F.size(rate_rules()) == 0) & (F.size(range_checks(configs.columns)) == 0))
 
 
 def build_schedule(configs: DataFrame, run_col: str = "run_id") -> DataFrame:

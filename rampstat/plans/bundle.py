@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rampstat.operators import aggregate as agg
 from rampstat.operators import report as rep
 from rampstat.plans.pipeline import EventRuns
-from rampstat.session import checkpoint_dir, materialize
+from rampstat.session import materialize, scratch_path
 from rampstat.sources.request_log import stage_report, write_report_bundle
 
 
@@ -36,7 +34,7 @@ def write_bundle(er: EventRuns, root: str, unit: str = "rps") -> list[str]:
 
 def bundle_part(er: EventRuns, part: str) -> DataFrame:
     """Write the whole bundle and read one of its tables back."""
-    root = f"{checkpoint_dir(er.spark).rstrip('/')}/rampstat/bundle-{uuid.uuid4().hex}"
+    root = scratch_path(er.spark, "bundle")
     path = next(p for p in write_bundle(er, root) if p.endswith(f"/{part}"))
     # a partition column comes back as the type its names suggest
     return er.spark.read.parquet(path).withColumn("run_id", F.col("run_id").cast("long"))

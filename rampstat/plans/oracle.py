@@ -277,9 +277,28 @@ SELECT run_id, model, CAST(total_requests AS BIGINT) AS total_requests, avg_late
        CAST(successful AS DOUBLE) / CAST(total_requests AS DOUBLE) AS success_rate
 FROM ms""")
 
-_RAMP = """,
+_RANGES = """,
+pct_bad AS (SELECT run_id, COUNT(*) AS n FROM cfg_models WHERE percentage < 0 OR percentage > 100 GROUP BY run_id),
+ranges AS (
+SELECT run_id, 'initial_rate_range' AS rule, CAST(initial_display AS VARCHAR) AS value FROM cfg
+  WHERE NOT (initial_display BETWEEN 1 AND 2000)
+UNION ALL SELECT run_id, 'max_rate_range', CAST(max_display AS VARCHAR) FROM cfg WHERE NOT (max_display BETWEEN 1 AND 2000)
+UNION ALL SELECT run_id, 'max_below_initial', CAST(max_display AS VARCHAR) FROM cfg WHERE max_display < initial_display
+UNION ALL SELECT run_id, 'scaling_factor_range', CAST(scaling_factor AS VARCHAR) FROM cfg
+  WHERE NOT (scaling_factor BETWEEN 1.1 AND 10.0)
+UNION ALL SELECT run_id, 'time_increment_range', CAST(time_increment AS VARCHAR) FROM cfg
+  WHERE NOT (time_increment BETWEEN 5 AND 300)
+UNION ALL SELECT run_id, 'model_count_range', CAST(model_count AS VARCHAR) FROM cfg WHERE model_count > 10
+UNION ALL SELECT run_id, 'percentage_range', CAST(n AS VARCHAR) FROM pct_bad
+UNION ALL SELECT run_id, 'timeout_range', CAST(timeout AS VARCHAR) FROM cfg WHERE NOT (timeout BETWEEN 1 AND 600)
+UNION ALL SELECT run_id, 'users_over_token_cap', CAST(max_users AS VARCHAR) FROM cfg
+  WHERE token_count > 0 AND max_users > LEAST(token_count, 100))
+"""
+_RAMP = _RANGES.rstrip() + """,
 ramp_c(run_id, stage_index, raw_rate) AS (
   SELECT run_id, 0, initial_rate FROM cfg
+  WHERE initial_rate > 0 AND max_rate >= initial_rate AND scaling_factor > 1 AND time_increment > 0
+    AND run_id NOT IN (SELECT run_id FROM ranges)
   UNION ALL
   SELECT r.run_id, r.stage_index + 1, r.raw_rate * c.scaling_factor
   FROM ramp_c r JOIN cfg c ON c.run_id = r.run_id
@@ -452,21 +471,7 @@ SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY grp, pos) -
        rule, message
 FROM msgs""")
 
-ORACLE["config_range_audit"] = _c(""",
-pct_bad AS (SELECT run_id, COUNT(*) AS n FROM cfg_models WHERE percentage < 0 OR percentage > 100 GROUP BY run_id)
-SELECT run_id, 'initial_rate_range' AS rule, CAST(initial_display AS VARCHAR) AS value FROM cfg
-  WHERE NOT (initial_display BETWEEN 1 AND 2000)
-UNION ALL SELECT run_id, 'max_rate_range', CAST(max_display AS VARCHAR) FROM cfg WHERE NOT (max_display BETWEEN 1 AND 2000)
-UNION ALL SELECT run_id, 'max_below_initial', CAST(max_display AS VARCHAR) FROM cfg WHERE max_display < initial_display
-UNION ALL SELECT run_id, 'scaling_factor_range', CAST(scaling_factor AS VARCHAR) FROM cfg
-  WHERE NOT (scaling_factor BETWEEN 1.1 AND 10.0)
-UNION ALL SELECT run_id, 'time_increment_range', CAST(time_increment AS VARCHAR) FROM cfg
-  WHERE NOT (time_increment BETWEEN 5 AND 300)
-UNION ALL SELECT run_id, 'model_count_range', CAST(model_count AS VARCHAR) FROM cfg WHERE model_count > 10
-UNION ALL SELECT run_id, 'percentage_range', CAST(n AS VARCHAR) FROM pct_bad
-UNION ALL SELECT run_id, 'timeout_range', CAST(timeout AS VARCHAR) FROM cfg WHERE NOT (timeout BETWEEN 1 AND 600)
-UNION ALL SELECT run_id, 'users_over_token_cap', CAST(max_users AS VARCHAR) FROM cfg
-  WHERE token_count > 0 AND max_users > LEAST(token_count, 100)""")
+ORACLE["config_range_audit"] = _c(_RANGES + "SELECT * FROM ranges")
 
 ORACLE["config_key_values"] = _c(""",
 kv AS (

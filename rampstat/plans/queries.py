@@ -1,13 +1,14 @@
 """Driver queries: name -> (spark, sf_dir) -> DataFrame.
 
-Each query reads the driver tables of ``sf_dir`` in full and returns a lazy
-DataFrame (the caller collects). Timestamps leave as TIMESTAMP_NTZ, like the
+Each query reads the driver tables of ``sf_dir`` in full and returns a
+DataFrame (the caller collects). Reports of the event runs read one stored log
+(``pipeline.event_runs``), which the first of them builds; small side tables are computed
+when the DataFrame is built. Timestamps leave as TIMESTAMP_NTZ, like the
 source Parquet.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,10 +24,10 @@ from rampstat.operators import progress as prog
 from rampstat.operators import quality as dq
 from rampstat.operators import report as rep
 from rampstat.operators.percentiles import PCTS, approx_rank_error, floor_rank_percentiles
-from rampstat.operators.schedule import build_schedule, schedule_offsets, stage_counts
+from rampstat.operators.schedule import build_schedule, schedulable, schedule_offsets, stage_counts
 from rampstat.plans.bundle import bundle_part
-from rampstat.plans.pipeline import EventRuns, OrderRuns, with_ntz
-from rampstat.session import checkpoint_dir, prepare
+from rampstat.plans.pipeline import EventRuns, OrderRuns, event_runs, with_ntz
+from rampstat.session import prepare, scratch_path
 from rampstat.sources import catalogue as cat
 from rampstat.sources import credentials as cred
 from rampstat.sources import fixtures as fx
@@ -39,7 +40,7 @@ PCT_COLS = agg.PCT_COLS
 
 
 def _runs(spark, sf_dir) -> EventRuns:
-    return EventRuns(spark, sf_dir)
+    return event_runs(spark, sf_dir)
 
 
 def q_normalized_requests(spark, sf_dir):
@@ -95,7 +96,7 @@ def q_approx_percentiles(spark, sf_dir):
 
 
 def q_model_summary(spark, sf_dir):
-    return agg.model_summary(_runs(spark, sf_dir).requests(with_seq=False))
+    return agg.model_summary(_runs(spark, sf_dir).requests(), use_seq=True)
 
 
 def q_run_summary(spark, sf_dir):
@@ -104,7 +105,7 @@ def q_run_summary(spark, sf_dir):
 
 def q_stored_run_summary(spark, sf_dir):
     """A1: the normalised log is written by run and the summary reads it back."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/rampstat/request-log-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "request-log")
     write_request_log(_runs(spark, sf_dir).requests(), path)
     return agg.run_summary(read_request_log(spark, path))
 
@@ -163,7 +164,7 @@ def q_stage_pass_flags(spark, sf_dir):
 
 
 def q_model_scatter(spark, sf_dir):
-    return rep.model_scatter(agg.model_summary(_runs(spark, sf_dir).requests(with_seq=False)))
+    return rep.model_scatter(agg.model_summary(_runs(spark, sf_dir).requests(), use_seq=True))
 
 
 def _configs(spark, sf_dir) -> DataFrame:
@@ -172,12 +173,12 @@ def _configs(spark, sf_dir) -> DataFrame:
 
 
 def q_ramp_schedule(spark, sf_dir):
-    return build_schedule(_configs(spark, sf_dir)).select(
+    return build_schedule(schedulable(_configs(spark, sf_dir))).select(
         "run_id", "stage_index", "target_rps", "active_users", "duration")
 
 
 def q_schedule_offsets(spark, sf_dir):
-    sch = build_schedule(_configs(spark, sf_dir))
+    sch = build_schedule(schedulable(_configs(spark, sf_dir)))
     off = schedule_offsets(sch)
     return off.join(stage_counts(sch), "run_id").select(
         "run_id", "stage_index", "t0_offset_s", "t1_offset_s", "total_stages")
@@ -356,7 +357,7 @@ def q_credential_file_tokens(spark, sf_dir):
     """A3 over real files: the customers' credential files are written as text and read back."""
     prepare(spark)
     lines = cred.credential_lines_from_customers(fx.table(spark, sf_dir, "customer"))
-    path = f"{checkpoint_dir(spark).rstrip('/')}/rampstat/credentials-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "credentials")
     cred.write_credential_runs(lines, path)  # a nation's customers: a file of many runs
     return cred.parse_credential_lines(cred.read_credential_runs(spark, path))[0]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -72,24 +73,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_ON_RELEASE: list[Callable[[SparkSession], None]] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the session's shared checkpoint directory; ``release`` deletes what lies there."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rampstat/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
 
 
 def materialize(df, name: str = "stage"):
     """Compute ``df`` once: written as a Parquet table in the session's shared
     checkpoint directory and read back, so the lineage is cut, lost executors
     cost nothing, and the rows are stored once. ``release`` deletes the tables."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/rampstat/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def on_release(forget: Callable[[SparkSession], None]) -> Callable[[SparkSession], None]:
+    """Register what must forget a session's tables when they are released."""
+    _ON_RELEASE.append(forget)
+    return forget
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables that ``materialize`` has written for this session (call it
-    when their results have been used); returns how many."""
+    """Delete what this session has stored - tables, logs, bundles, stream folders (call
+    it when their results have been used); returns how many."""
     own = [path for s, path in _WRITTEN if s is spark]
     _WRITTEN[:] = [x for x in _WRITTEN if x[0] is not spark]
+    for forget in _ON_RELEASE:
+        forget(spark)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for path in own:
         at = hadoop.Path(path)

@@ -16,8 +16,6 @@ cluster), so a restarted query resumes from its checkpoint (J8).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +23,7 @@ from rampstat.functions.rates import report_round
 from rampstat.operators.assign import assign_stage, cap_users
 from rampstat.operators.normalize import normalize_requests
 from rampstat.operators.schedule import build_schedule
-from rampstat.session import checkpoint_dir, materialize, prepare
+from rampstat.session import materialize, prepare, scratch_path
 from rampstat.sources import fixtures as fx
 from rampstat.streaming import stages
 from rampstat.streaming.keyed_table import KeyedTable
@@ -154,8 +152,7 @@ def start_live_progress(spark: SparkSession, source_dir: str, out_dir: str, chec
     return w.start()
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_scratch = scratch_path
 
 
 def run_available_now(df: DataFrame, mode: str, out_dir: str, ckpt_dir: str, table: KeyedTable | None = None):

@@ -20,15 +20,20 @@ a hash of the request; a part gives a row, and ``closed_stages`` adds the parts
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rampstat.functions.rates import report_round
 
+# the processor travels with the plan: executors need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CONTROL_SCHEMA = ("run_id bigint, kind string, at timestamp, stage_index int, target_rps double, active_users int, "
                   "starts timestamp, ends timestamp")
 
