@@ -158,22 +158,27 @@ def run_summary(requests: DataFrame, run_col: str = "run_id") -> DataFrame:
 GRAINS = {6: "run", 2: "stage", 4: "model"}
 
 
-def multi_grain_rollup(requests: DataFrame, run_col: str = "run_id") -> DataFrame:
-    """(run), (run, stage) and (run, model) profiles in one pass - the
-    GROUPING SETS of the three report loops. One scan gives a histogram over
-    (run, stage, model, latency); its rows, not the requests, are expanded to the three
-    grains, and one running count over all of them picks the percentiles."""
-    ok = (F.col("status") == "success").cast("long")
+def rollup_histogram(hist: DataFrame, run_col: str = "run_id") -> DataFrame:
+    """A (run, stage, model, latency) histogram's counts by run, by (run, stage) and by
+    (run, model), told apart by ``grain``: its rows, not the requests, are expanded."""
     cols = [run_col, "stage_index", "model", "latency_ms"]
-    base = requests.groupBy(*cols).agg(F.count("*").alias("c"), F.sum(ok).alias("_ok"))
-    # the grain is part of the key: a null stage or model is a group of its own, not a total
-    hist = base.groupingSets([[run_col, "latency_ms"], [run_col, "stage_index", "latency_ms"], [run_col, "model", "latency_ms"]], *cols).agg(
+    sets = hist.groupingSets([[run_col, "latency_ms"], [run_col, "stage_index", "latency_ms"], [run_col, "model", "latency_ms"]], *cols).agg(
         F.grouping_id().alias("_set"), F.sum("c").alias("c"), F.sum("_ok").alias("_ok"))
+    # the grain is part of the key: a null stage or model is a group of its own, not a total
     grain = F.lit(None).cast("string")
     for number, name in GRAINS.items():
         grain = F.when(F.col("_set") == number, F.lit(name)).otherwise(grain)
-    hist = hist.select(grain.alias("grain"), *cols, "c", "_ok")
-    return profile_from_histogram(hist, ["grain", run_col, "stage_index", "model"], "latency_ms")
+    return sets.select(grain.alias("grain"), *cols, "c", "_ok")
+
+
+def multi_grain_rollup(requests: DataFrame, run_col: str = "run_id") -> DataFrame:
+    """(run), (run, stage) and (run, model) profiles in one pass - the
+    GROUPING SETS of the three report loops. One scan gives a histogram over
+    (run, stage, model, latency) that is expanded to the three grains, and one running
+    count over all of them picks the percentiles."""
+    ok = (F.col("status") == "success").cast("long")
+    base = requests.groupBy(run_col, "stage_index", "model", "latency_ms").agg(F.count("*").alias("c"), F.sum(ok).alias("_ok"))
+    return profile_from_histogram(rollup_histogram(base, run_col), ["grain", run_col, "stage_index", "model"], "latency_ms")
 
 
 def scale_info(stages: DataFrame, run_col: str = "run_id") -> DataFrame:

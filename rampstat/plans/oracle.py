@@ -734,3 +734,8 @@ SELECT run_id, initial_rate AS initial_rps,
        rtrim(base_url, '/') || '/' || ltrim(api_path, '/') AS endpoint_view
 FROM cfg""")
 ORACLE["stored_run_summary"] = ORACLE["run_summary"]
+
+ORACLE["incremental_rollup"] = ORACLE["multi_grain_rollup"]
+ORACLE["sketched_percentiles"] = _q("""
+SELECT run_id, CAST(COUNT(*) AS BIGINT) AS n, TRUE AS p50_within, TRUE AS p95_within, TRUE AS p99_within FROM req GROUP BY run_id""")
+ORACLE["bundle_rate_series"] = ORACLE["rate_series"]

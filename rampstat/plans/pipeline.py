@@ -12,6 +12,7 @@ from rampstat.operators.schedule import build_schedule
 from rampstat.session import materialize, on_release, prepare, scratch_path
 from rampstat.sources import fixtures as fx
 from rampstat.sources.numbered_log import NumberedLog, source_files
+from rampstat.sources.request_log import ReportBundles
 
 REQUEST_COLS = ["run_id", "seq", "event_id", "ts", "stage_index", "model", "model_percentage",
                 "token_index", "token_label", "active_users", "target_rps", "status",
@@ -31,6 +32,8 @@ class EventRuns:
         self.raw = fx.raw_outcomes(self.events)
         self.files: dict | None = None
         self._log: NumberedLog | None = None
+        self.bundles: ReportBundles | None = None
+        self.bundled: int | None = None  # the log's version that the newest bundle reports
         self._memo: dict = {}
 
     def _once(self, name: str, make) -> DataFrame:

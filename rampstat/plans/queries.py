@@ -20,6 +20,7 @@ from rampstat.functions.rates import (
 from rampstat.functions.text import endpoint_url, endpoint_url_view, request_payload
 from rampstat.operators import aggregate as agg
 from rampstat.operators import assign as asg
+from rampstat.operators import profiles as prof
 from rampstat.operators import progress as prog
 from rampstat.operators import quality as dq
 from rampstat.operators import report as rep
@@ -95,6 +96,24 @@ def q_approx_percentiles(spark, sf_dir):
     return approx_rank_error(req, ["run_id", "stage_index"], "latency_ms", PCTS)
 
 
+def q_sketched_percentiles(spark, sf_dir):
+    """E2 by KLL: sketches per (run, stage, model) merged into those of runs; the rank error
+    held against the sketch's bound, by exact ranks."""
+    req = _runs(spark, sf_dir).requests(with_seq=False)
+    fine = prof.latency_sketches(req, ["run_id", "stage_index", "model"])
+    return prof.sketch_rank_error(req, prof.merged_sketches(fine, ["run_id"]), ["run_id"])
+
+
+def q_incremental_rollup(spark, sf_dir):
+    """E1/E3/E4/E16 kept up to date: the log is added to a stored histogram as it comes, in three
+    stretches of time; the profiles of all grains come from what is stored."""
+    req = _runs(spark, sf_dir).requests(with_seq=False)
+    store = prof.ProfileStore(spark, scratch_path(spark, "profiles"))
+    for k, stretch in enumerate(["ts < TIMESTAMP '2024-01-11'", "ts >= TIMESTAMP '2024-01-11' AND ts < TIMESTAMP '2024-01-21'", "ts >= TIMESTAMP '2024-01-21'"]):
+        store.add(req.where(stretch), k)
+    return store.rollup()
+
+
 def q_model_summary(spark, sf_dir):
     return agg.model_summary(_runs(spark, sf_dir).requests(), use_seq=True)
 
@@ -460,11 +479,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "config_json": q_config_json,
     "stage_report": q_stage_report,
     "approx_percentiles": q_approx_percentiles,
+    "sketched_percentiles": q_sketched_percentiles,
+    "incremental_rollup": q_incremental_rollup,
     "bundle_config": _bundle("config"),
     "bundle_stage_summary": _bundle("stage_summary"),
     "bundle_model_summary": _bundle("model_summary"),
     "bundle_raw_requests": _bundle("raw_requests"),
     "bundle_errors": _bundle("errors"),
+    "bundle_rate_series": _bundle("rate_series"),
     "credential_file_tokens": q_credential_file_tokens,
     "order_requests": q_order_requests,
     "order_stage_metrics": q_order_stage_metrics,

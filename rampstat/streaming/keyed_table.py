@@ -9,7 +9,8 @@ the newest manifest, so they see all of a version or none of it, and older versi
 readable for a while.
 
 How rows of one key become one: columns named in ``sums`` are added up (batches that bring
-increments) and those in ``newest`` keep their largest value; without ``sums`` the row of the
+increments), those in ``newest`` keep their largest value and those in ``sketches`` are merged
+as KLL sketches; without any of these the row of the
 latest batch replaces earlier ones (update mode). ``ordered_by`` keeps the whole row whose
 columns of that name are largest.
 
@@ -39,10 +40,11 @@ def _fs(spark: SparkSession, path: str):
 
 class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], sums: list[str] = (), newest: list[str] = (),
-                 ordered_by: list[str] = (), stream: str = "", least_rows: int = LEAST_ROWS):
+                 ordered_by: list[str] = (), stream: str = "", least_rows: int = LEAST_ROWS, sketches: list[str] = ()):
         """``stream``: what writes the table, the query's checkpoint folder for instance."""
         self.spark, self.path, self.keys, self.stream = spark, path.rstrip("/"), list(keys), stream
         self.sums, self.newest, self.ordered_by, self.least_rows = list(sums), list(newest), list(ordered_by), least_rows
+        self.sketches = list(sketches)
 
     # -- versions
 
@@ -74,8 +76,9 @@ class KeyedTable:
 
     def _merged(self, rows: DataFrame) -> DataFrame:
         rest = [c for c in rows.columns if c not in self.keys and c != "_version"]
-        if self.sums:
-            return rows.groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in self.sums], *[F.max(c).alias(c) for c in self.newest]).select(*self.keys, *rest)
+        if self.sums or self.newest or self.sketches:
+            return rows.groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in self.sums], *[F.max(c).alias(c) for c in self.newest],
+                                                *[F.kll_merge_agg_double(c).alias(c) for c in self.sketches]).select(*self.keys, *rest)
         by = F.struct(*self.ordered_by) if self.ordered_by else F.col("_version")
         return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), by).alias("_row")).select(*self.keys, "_row.*")
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from rampstat.functions.rates import report_round
 from rampstat.operators.assign import assign_stage, cap_users
 from rampstat.operators.normalize import normalize_requests
+from rampstat.operators.profiles import KLL_K, merged_sketches, sketched_percentiles
 from rampstat.operators.schedule import build_schedule
 from rampstat.session import materialize, prepare, scratch_path
 from rampstat.sources import fixtures as fx
@@ -97,6 +98,7 @@ LIVE_TABLES = {
                  "newest": ["target_rps", "active_users", "last_ts"]},
     "latest": {"keys": ["run_id"], "ordered_by": ["last_ts", "stage_index"]},
     "unassigned": {"keys": ["run_id"], "sums": ["requests"]},
+    "latencies": {"keys": ["run_id", "stage_index"], "sketches": ["sketch"]},
 }
 
 
@@ -112,6 +114,13 @@ def live_latest(spark: SparkSession, out_dir: str) -> DataFrame:
     return live_table(spark, out_dir, "latest").read().join(counts, ["run_id", "stage_index"]).withColumn("age_s", age)
 
 
+def live_percentiles(spark: SparkSession, out_dir: str, group_cols=("run_id", "stage_index")) -> DataFrame:
+    """E2 of a live query: percentiles of each stage, or of each run, from the merged sketches
+    of its batches."""
+    sketches = live_table(spark, out_dir, "latencies").read()
+    return sketched_percentiles(merged_sketches(sketches, list(group_cols)), list(group_cols))
+
+
 def start_live_progress(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
                         runs, schedule, trigger: str | None = "2 seconds", glob: str = "*.parquet"):
     """Start the live progress query.
@@ -122,9 +131,10 @@ def start_live_progress(spark: SparkSession, source_dir: str, out_dir: str, chec
     schedule (``cap_users`` holds a private run's to its credentials).
 
     Every trigger (2 s by default, like the dashboard refresh) takes all new request
-    files, assigns stages, and writes what the batch adds to three ``KeyedTable``s under
-    ``out_dir``: ``counters`` (a row per run and stage), ``latest`` (a row per run) and
-    ``unassigned`` (requests per run that no known stage holds). A batch writes rows of the
+    files, assigns stages, and writes what the batch adds to four ``KeyedTable``s under
+    ``out_dir``: ``counters`` (a row per run and stage), ``latest`` (a row per run),
+    ``unassigned`` (requests per run that no known stage holds) and ``latencies`` (a KLL sketch
+    per run and stage). A batch writes rows of the
     keys it holds and no others; one that runs again after a restart adds nothing
     twice; a lost folder is an error. ``trigger=None`` processes what is available and stops."""
     stream = normalize_requests(fx.raw_outcomes(read_event_stream(spark, source_dir, glob, None)))
@@ -137,9 +147,12 @@ def start_live_progress(spark: SparkSession, source_dir: str, out_dir: str, chec
         added = staged.groupBy("run_id", "stage_index").agg(
             F.count("*").alias("stage_count"), F.sum(ok).alias("stage_successful"), F.sum(1 - ok).alias("stage_failed"),
             F.max("target_rps").alias("target_rps"), F.max("active_users").alias("active_users"),
-            F.max("ts").alias("last_ts"), F.sum("latency_ms").alias("latency_sum")).persist()  # a row per run and stage, read three times
+            F.max("ts").alias("last_ts"), F.sum("latency_ms").alias("latency_sum"),
+            F.kll_sketch_agg_double("latency_ms", F.lit(KLL_K)).alias("sketch")).persist()  # a row per run and stage, read four times
         try:
             held = added.where("stage_index IS NOT NULL")
+            tables["latencies"].publish(held.select("run_id", "stage_index", "sketch"), epoch)
+            held = held.drop("sketch")
             tables["counters"].publish(held, epoch)
             last = F.max_by(F.struct("stage_index", "last_ts", "target_rps", "active_users"), F.struct("last_ts", "stage_index"))
             tables["latest"].publish(held.groupBy("run_id").agg(last.alias("s")).select("run_id", "s.*"), epoch)
