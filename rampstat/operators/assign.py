@@ -100,26 +100,39 @@ def assign_round_robin(requests: DataFrame, runs: DataFrame, run_col: str = "run
                     pick["percentage"].alias("assigned_percentage"))
 
 
+#: Decimals of a share that count; finer shares get one unit of this size.
+SHARE_DECIMALS = 6
+
+_GCD_SQL = ("aggregate(sequence(1, 64), named_struct('a', s, 'b', _cycle), (g, i) -> IF(g.b = 0L, g, "
+            "named_struct('a', g.b, 'b', g.a % g.b)), g -> g.a)")
+
+
 def weighted_bands(runs: DataFrame, run_col: str = "run_id") -> DataFrame:
     """One row per run: ``_bands``, the models with a share and where their
-    bands of the cycle end, and ``_cycle``, its length. Whole percentages give a
-    cycle as long as their sum (100 for a full split); with fractions the unit is a
-    hundredth of a percent. The cycle always covers every band and nothing else."""
+    bands of the cycle end, ``_cycle``, its length, and ``_step``, by which requests walk
+    around it. Whole percentages give a cycle as long as their sum (100 for a full split) that
+    is walked in order; fractions a unit as fine as the finest share needs, so each
+    share has its exact part of a cycle and none is empty. Such a cycle is long, so it is
+    walked in steps of about 0.618 of its length (with no common divisor, so
+    that each place is met once): every stretch of requests then has its shares, nearly."""
     active = "filter(models, m -> m.percentage > 0)"
-    unit = f"IF(exists({active}, m -> m.percentage <> rint(m.percentage)), 100D, 1D)"
+    whole = "abs(m.percentage * power(10D, d) - rint(m.percentage * power(10D, d))) < 1e-6D"
+    unit = f"power(10D, coalesce(get(filter(sequence(0, {SHARE_DECIMALS}), d -> forall(_active, m -> {whole})), 0), {SHARE_DECIMALS}))"
     ends = ("aggregate(_active, CAST(array() AS array<struct<hi: bigint, model: string, percentage: double>>), (acc, m) -> concat(acc, array("
-            "named_struct('hi', coalesce(element_at(acc, -1).hi, 0L) + CAST(round(m.percentage * _unit) AS BIGINT), "
+            "named_struct('hi', coalesce(try_element_at(acc, -1).hi, 0L) + greatest(CAST(round(m.percentage * _unit) AS BIGINT), 1L), "
             "'model', m.model, 'percentage', m.percentage))))")
-    ends = ends.replace("coalesce(element_at(acc, -1).hi, 0L)", "coalesce(try_element_at(acc, -1).hi, 0L)")
-    return (runs.selectExpr(run_col, f"{active} AS _active", f"{unit} AS _unit")
-            .selectExpr(run_col, f"{ends} AS _bands").selectExpr(run_col, "_bands", "try_element_at(_bands, -1).hi AS _cycle"))
+    step = (f"CASE WHEN _unit > 1D THEN get(filter(transform(sequence(0, 200), k -> CAST(_cycle * 0.6180339887D AS BIGINT) + k), s -> {_GCD_SQL} = 1L), 0) "
+            "ELSE 1L END")
+    return (runs.selectExpr(run_col, f"{active} AS _active").selectExpr(run_col, "_active", f"{unit} AS _unit")
+            .selectExpr(run_col, "_unit", f"{ends} AS _bands").selectExpr(run_col, "_unit", "_bands", "try_element_at(_bands, -1).hi AS _cycle")
+            .selectExpr(run_col, "_bands", "_cycle", f"coalesce({step}, 1L) AS _step"))
 
 
 def assign_weighted(requests: DataFrame, runs: DataFrame, run_col: str = "run_id") -> DataFrame:
-    """Weighted split by ``seq`` modulo the run's cycle, looked up in its bands; a
+    """Weighted split by the request's place in the run's cycle, looked up in its bands; a
     run without any share leaves the model null."""
     j = requests.join(broadcast_if_small(weighted_bands(runs, run_col)), run_col, "left")
-    pick = F.expr("get(filter(_bands, b -> pmod(seq, _cycle) < b.hi), 0)")
+    pick = F.expr("get(filter(_bands, b -> pmod(pmod(seq, _cycle) * _step, _cycle) < b.hi), 0)")
     return j.select(*requests.columns, pick.alias("_p")).select(
         *requests.columns, F.col("_p.model").alias("assigned_model"), F.col("_p.percentage").alias("assigned_percentage"))
 

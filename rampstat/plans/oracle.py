@@ -739,3 +739,26 @@ ORACLE["incremental_rollup"] = ORACLE["multi_grain_rollup"]
 ORACLE["sketched_percentiles"] = _q("""
 SELECT run_id, CAST(COUNT(*) AS BIGINT) AS n, TRUE AS p50_within, TRUE AS p95_within, TRUE AS p99_within FROM req GROUP BY run_id""")
 ORACLE["bundle_rate_series"] = ORACLE["rate_series"]
+
+ORACLE["suite_coverage_segments"] = _CAT + """,
+own AS (SELECT DISTINCT 'segment-' || lower(c_mktsegment) AS suite_id, length(c_mktsegment) % 2 = 0 AS told FROM customer),
+dim AS (SELECT suite_id FROM suites UNION ALL SELECT suite_id FROM own),
+descs AS (SELECT suite_id FROM suites UNION ALL SELECT suite_id FROM own WHERE told UNION ALL SELECT 'nation-' || lower(n_name) FROM nation)
+SELECT suite_id, 'no_prompts' AS issue FROM dim WHERE suite_id NOT IN (SELECT suite_id FROM prompts)
+UNION ALL SELECT suite_id, 'no_description' FROM dim WHERE suite_id NOT IN (SELECT suite_id FROM descs)
+UNION ALL SELECT suite_id, 'not_a_suite' FROM descs WHERE suite_id NOT IN (SELECT suite_id FROM dim)"""
+ORACLE["suite_prompts"] = _CAT + """
+SELECT suite_id, CAST(row_number() OVER (ORDER BY prompt_index) - 1 AS BIGINT) AS prompt_index, text FROM prompts WHERE suite_id = 'coding'"""
+_WIDE = CONFIG_BASE.replace("CAST(c % 4 AS INTEGER) AS model_count", "CAST(c % 13 AS INTEGER) AS model_count").replace(
+    "CAST(60.0 AS DOUBLE) AS timeout", "CAST(c % 700 AS DOUBLE) AS timeout, CAST(c * 7 % 13000 AS INTEGER) AS num_rows").replace(
+    "CAST(CASE WHEN (run_id + i) % 17 = 0 THEN 150.0 WHEN", "CAST(CASE WHEN true THEN 50.0 WHEN")
+ORACLE["config_range_audit_wide"] = "WITH RECURSIVE " + _WIDE + _RANGES + """
+SELECT * FROM ranges
+UNION ALL SELECT run_id, 'rows_range', CAST(num_rows AS VARCHAR) FROM cfg WHERE NOT (num_rows BETWEEN 10 AND 10000)"""
+ORACLE["live_progress"] = _q(""",
+c AS (
+  SELECT run_id, stage_index, CAST(COUNT(*) AS BIGINT) AS stage_count, CAST(COUNT(*) FILTER (WHERE status = 'success') AS BIGINT) AS stage_successful,
+         CAST(COUNT(*) - COUNT(*) FILTER (WHERE status = 'success') AS BIGINT) AS stage_failed,
+         MAX(target_rps) AS target_rps, MAX(active_users) AS active_users, MAX(ts) AS last_ts
+  FROM req WHERE stage_index IS NOT NULL GROUP BY run_id, stage_index)
+SELECT *, last_ts = MAX(last_ts) OVER (PARTITION BY run_id) AS shown FROM c""")

@@ -311,6 +311,35 @@ def q_suite_coverage(spark, sf_dir):
     return cat.suite_coverage(cat.suites(spark), cat.descriptions(spark), er.prompts())
 
 
+def q_suite_coverage_segments(spark, sf_dir):
+    """D8 with suites of the users' own: all three findings."""
+    prepare(spark)
+    customer = fx.table(spark, sf_dir, "customer")
+    return cat.suite_coverage(fx.segment_suites(customer), fx.segment_descriptions(customer, fx.table(spark, sf_dir, "nation")),
+                              _runs(spark, sf_dir).prompts())
+
+
+def q_suite_prompts(spark, sf_dir):
+    """Each suite's prompts as one list, the lists flattened again, and one suite looked up."""
+    prompts = _runs(spark, sf_dir).prompts()
+    lists = prompts.groupBy("suite_id").agg(F.map_from_entries(F.collect_list(F.struct("prompt_index", "text"))).alias("by_index"))
+    flat = cat.flattened(lists.select("suite_id", F.transform(F.array_sort(F.map_keys("by_index")), lambda i: F.col("by_index")[i]).alias("texts")))
+    return cat.get_suite(flat, "coding").select("suite_id", "prompt_index", "text")
+
+
+def q_config_range_audit_wide(spark, sf_dir):
+    """C9 over configurations that break every range."""
+    prepare(spark)
+    return dq.audit_ranges(fx.wide_configs(fx.table(spark, sf_dir, "customer")))
+
+
+def q_live_progress(spark, sf_dir):
+    """The dashboard's live query over the events, stopped after its first files and
+    resumed from its checkpoint when more have come."""
+    from rampstat.streaming.live import live_progress_table
+    return with_ntz(live_progress_table(spark, sf_dir), ("last_ts",))
+
+
 def q_suite_counts(spark, sf_dir):
     er = _runs(spark, sf_dir)
     return cat.suite_counts(cat.suites(spark), er.prompts())
@@ -470,6 +499,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prompt_catalogue": q_prompt_catalogue,
     "suite_coverage": q_suite_coverage,
     "suite_counts": q_suite_counts,
+    "suite_coverage_segments": q_suite_coverage_segments,
+    "suite_prompts": q_suite_prompts,
+    "config_range_audit_wide": q_config_range_audit_wide,
+    "live_progress": q_live_progress,
     "request_payloads": q_request_payloads,
     "credential_tokens": q_credential_tokens,
     "credential_rejects": q_credential_rejects,

@@ -26,8 +26,12 @@ def from_map(spark: SparkSession, prompts_by_suite: dict[str, list[str]]) -> Dat
     """A4/H4: a suite -> prompts map flattened to (suite_id, prompt_index, text)
     with ``explode`` + ``posexplode``."""
     m = spark.createDataFrame([(prompts_by_suite,)], "m map<string,array<string>>")
-    return (m.select(F.explode("m").alias("suite_id", "texts"))
-            .select("suite_id", F.posexplode("texts").alias("prompt_index", "text"))
+    return flattened(m.select(F.explode("m").alias("suite_id", "texts")))
+
+
+def flattened(lists: DataFrame) -> DataFrame:
+    """H4: (suite_id, texts), a list per suite, to (suite_id, prompt_index, text)."""
+    return (lists.select("suite_id", F.posexplode("texts").alias("prompt_index", "text"))
             .select("suite_id", F.col("prompt_index").cast("long").alias("prompt_index"), "text"))
 
 

@@ -143,6 +143,34 @@ def run_configs(customer: DataFrame) -> DataFrame:
     )
 
 
+def wide_configs(customer: DataFrame) -> DataFrame:
+    """The customers' configurations with other settings: up to 12 models, timeouts from 0 to 699 s and
+    up to 12,999 rows shown, so that every range rule (C9) has something to find."""
+    c = "c_custkey"
+    return run_configs(customer).drop("models", "timeout").join(customer.selectExpr(
+        f"{c} AS run_id", f"CAST({c} % 700 AS DOUBLE) AS timeout", f"CAST({c} * 7 % 13000 AS INT) AS num_rows",
+        f"""CASE WHEN {c} % 13 > 0 THEN transform(sequence(1, CAST({c} % 13 AS INT)), i -> named_struct(
+                'model', concat('model_', CAST(i AS STRING)), 'percentage', 50.0D))
+            ELSE CAST(array() AS array<struct<model:string,percentage:double>>) END AS models"""), "run_id")
+
+
+def segment_suites(customer: DataFrame) -> DataFrame:
+    """A suite dimension with suites of the users' own: the fixed ones and one per market segment."""
+    spark = customer.sparkSession
+    from rampstat.sources.catalogue import suites
+    own = customer.selectExpr("concat('segment-', lower(c_mktsegment)) AS suite_id").distinct()
+    return suites(spark).select("suite_id").unionByName(own)
+
+
+def segment_descriptions(customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """Descriptions of some of those suites (the fixed ones, and segments with an even number of
+    letters), and of nations, which are no suites."""
+    spark = customer.sparkSession
+    from rampstat.sources.catalogue import descriptions
+    own = customer.where("length(c_mktsegment) % 2 = 0").selectExpr("concat('segment-', lower(c_mktsegment)) AS suite_id").distinct()
+    return descriptions(spark).select("suite_id").unionByName(own).unionByName(nation.selectExpr("concat('nation-', lower(n_name)) AS suite_id"))
+
+
 def prompts_from_benchmark(benchmark: DataFrame) -> DataFrame:
     """Prompt catalogue rows (suite_id, prompt_index 0-based, text): item i goes
     to suite ``i % 6`` at position ``i div 6``; the seventh suite is empty."""

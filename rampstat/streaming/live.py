@@ -241,6 +241,27 @@ def stream_progress_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                                "target_rps", "active_users", report_round(F.col("_avg"), 6).alias("avg_latency_ms"))
 
 
+def live_progress_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live query over events that arrive in two parts; it stops after the first and
+    resumes. Per stage: counts, and whether it is the one its run shows last."""
+    prepare(spark)
+    events = fx.table(spark, sf_dir, "events")
+    runs, schedule = (materialize(x, "live") for x in _event_runs(spark, sf_dir))
+    d = _scratch(spark, "live-progress")
+    for since, until in zip(ARRIVALS[:-1], ARRIVALS[1:]):
+        last = until == ARRIVALS[-1]
+        events.where(f"ts >= TIMESTAMP '{since}'" + ("" if last else f" AND ts < TIMESTAMP '{until}'")).write.mode("append").parquet(f"{d}/events")
+        q = start_live_progress(spark, f"{d}/events", f"{d}/live", f"{d}/checkpoint", runs, schedule, trigger=None)
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+    shown = live_latest(spark, f"{d}/live").select("run_id", "stage_index", F.col("stage_count").alias("_shown"))
+    counters = live_table(spark, f"{d}/live", "counters").read()
+    return counters.join(shown, ["run_id", "stage_index"], "left").select(
+        "run_id", "stage_index", "stage_count", "stage_successful", "stage_failed", "target_rps", "active_users", "last_ts",
+        (F.coalesce(F.col("_shown"), F.lit(-1)) == F.col("stage_count")).alias("shown"))
+
+
 def stream_latest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2 over the events file as a stream (complete mode, one row per run)."""
     prepare(spark)

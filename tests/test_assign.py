@@ -124,6 +124,7 @@ def test_many_stages_in_one_bucket_and_gaps(spark):
 def test_weighted_split_beyond_100_and_fractions(spark):
     req = request_df(spark, [{"seq": s} for s in range(20000)])
     for models, want in (([("a", 100.0), ("b", 100.0)], {"a": 10000, "b": 10000}), ([("a", 0.5), ("b", 99.5)], {"a": 100, "b": 19900}),
+                         ([("a", 0.005), ("b", 99.995)], {"a": 1, "b": 19999}), ([("a", 33.25), ("b", 66.75)], {"a": 6650, "b": 13350}), ([("a", 1 / 3), ("b", 1e-12)], {"a": 20000}),
                          ([("a", 30.0), ("b", 20.0)], {"a": 12000, "b": 8000}), ([("a", 0.0)], {None: 20000}), ([], {None: 20000})):
         out = assign_weighted(req, runs_df(spark, models))
         assert {r.assigned_model: r["count"] for r in out.groupBy("assigned_model").count().collect()} == want
@@ -136,3 +137,29 @@ def test_users_are_capped_by_credentials(spark):
     for public, toks, want in ((False, tokens, [2, 3]), (True, tokens, [2, 9]), (False, tokens.limit(0), [2, 9])):
         runs = spark.createDataFrame([(0, public)], "run_id long, is_public boolean")
         assert [r.active_users for r in cap_users(sch, runs, toks).orderBy("stage_index").collect()] == want
+
+
+def test_a_share_of_three_in_a_hundred_thousand(spark):
+    req = spark.range(200_000).select(F.lit(0).cast("long").alias("run_id"), F.col("id").alias("seq"))
+    out = assign_weighted(req, runs_df(spark, [("a", 99.997), ("b", 0.003)]))
+    assert {r.assigned_model: r["count"] for r in out.groupBy("assigned_model").count().collect()} == {"a": 199_994, "b": 6}
+
+
+def test_stages_of_very_unequal_length_and_overlapping_ones(spark):
+    """A long stage and thousands of short ones, gaps and overlaps: as looked up one by one."""
+    import random
+    r = random.Random(3)
+    rows, t = [], 0.0
+    for i in range(1500):
+        length = 5e6 if i == 700 else r.choice([0.000001, 0.5, 2.0, 0.0])
+        begin = t + r.choice([0.0, 0.0, 0.25, -0.4])
+        rows.append((0, i, float(i), i, length, max(begin, 0.0), max(begin, 0.0) + length))
+        t = max(begin, 0.0) + length
+    sch = spark.createDataFrame(rows, "run_id bigint, stage_index int, target_rps double, active_users int, duration double, t0_offset_s double, t1_offset_s double")
+    runs = spark.createDataFrame([(0, T0)], "run_id bigint, started_at timestamp")
+    us = lambda x: round(x * 1e6)
+    at = sorted({us(x[5]) + d for x in rows for d in (-1, 0, 1)} | {us(x[6]) + d for x in rows for d in (-1, 0)} | {r.randrange(us(t)) for _ in range(300)})
+    req = spark.createDataFrame([(0, x) for x in at], "run_id long, off long").withColumn("ts", F.expr(f"timestamp_micros(unix_micros(TIMESTAMP '{T0}') + off)"))
+    got = {q.off: q.stage_index for q in assign_stage(req, sch, runs).collect()}
+    slots = sorted((us(x[5]), us(x[6]), x[1]) for x in rows if us(x[6]) > us(x[5]))
+    assert got == {x: next((i for a, b, i in slots if a <= x < b), None) for x in at}

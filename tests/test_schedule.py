@@ -65,3 +65,27 @@ def test_offsets_and_counts(spark):
     off = {r.stage_index: (r.t0_offset_s, r.t1_offset_s) for r in schedule_offsets(sch).collect()}
     assert off == {0: (0.0, 60.0), 1: (60.0, 120.0), 2: (120.0, 180.0), 3: (180.0, 240.0)}
     assert stage_counts(sch).first().total_stages == 4
+
+
+def test_a_factor_barely_above_one_equals_the_loop(spark):
+    """Many blocks of stages: every rate as the loop multiplies it, bit for bit."""
+    for initial, cap, factor in ((1.0, 2000.0, 1.0001), (0.3, 7.7, 1.01), (1.0, 2.0, 1.0 + 2 ** -14)):
+        want, x = [initial], initial
+        while x < cap and x * factor > x:
+            x *= factor
+            want.append(x)
+        got = [r.target_rps for r in build_schedule(cfg(spark, initial, cap, 1, 9, 1, factor, 60)).orderBy("stage_index").collect()]
+        assert got == [min(w, cap) for w in want]
+
+
+def test_rejected_configurations_get_no_schedule(spark):
+    from rampstat.operators.quality import audit_ranges, audit_run_config
+    from rampstat.operators.schedule import schedulable
+    from rampstat.sources import fixtures as fx
+    from tests.conftest import SF01
+    configs = fx.run_configs(fx.table(spark, SF01, "customer"))
+    bad = {r.run_id for r in audit_ranges(configs).select("run_id").distinct().collect()}
+    rate = audit_run_config(configs).where("rule IN ('initial_rate', 'max_rate', 'scaling_factor', 'time_increment')")
+    bad |= {r.run_id for r in rate.select("run_id").distinct().collect()}
+    kept = {r.run_id for r in build_schedule(schedulable(configs)).select("run_id").distinct().collect()}
+    assert kept == {r.run_id for r in configs.select("run_id").collect()} - bad and kept
