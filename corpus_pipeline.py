@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rampstat.llm import decontamination, line_dedup, near_dedup, packing, quality
-from rampstat.llm.common import save, table
+from rampstat.llm.common import known_id, save, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,15 +22,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; a text may end empty."""
+    """Lines that an earlier document holds go, and documents that have lost lines and
+    have no word left."""
+    done = line_dedup.dedup_lines(docs).where((F.col("n_dropped") == 0) | F.rlike("kept", F.lit(r"[^\x20\x09-\x0D]")))
     changed = {"text": F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("row.text")).alias("text"),
                "n_chars": F.when(F.col("n_dropped") > 0, F.char_length("kept").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars")}
-    return line_dedup.dedup_lines(docs).select(*[changed.get(c, F.col(f"row.`{c}`")) for c in docs.columns])
+    return done.select(*[changed.get(c, F.col(f"row.`{c}`")) for c in docs.columns])
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    return near_dedup.keep_first(docs)
+    """One document of each group of near-duplicates stays: the one with the smallest id.
+
+    A near copy shares most lines with its original, so line dedup leaves it only what differs.
+    Documents are compared as the corpus has them, before their lines went, and those that
+    stay once more by the texts that they come with."""
+    did = lambda d: d.select(known_id(F.col("doc_id")).alias("did"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    whole = table(spark, sf_dir, "documents").select("doc_id", "text", known_id(F.col("doc_id")).alias("did"))
+    whole = whole.join(did(docs).distinct(), "did", "left_semi").select("doc_id", "text")
+    found = save(near_dedup.near_duplicates(whole).groupBy("did").agg(F.max("kept").alias("kept")), "near-as-given")
+    gone = found.where("NOT kept").select("did")
+    left = docs.select(row, known_id(F.col("doc_id")).alias("did")).join(gone, "did", "left_anti").select("row.*")
+    return near_dedup.keep_first(save(left, "near-left"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
