@@ -41,15 +41,38 @@ def test_line_dedup(stages):
     import hashlib
 
     docs, done = stages[1]
-    want = {r[0]: r[3] for r in brute.line_dedup(rows_of(docs))}
-    assert {i: hashlib.sha256(x.encode()).hexdigest() for i, x in rows_of(done)} == want
+    got = {i: hashlib.sha256(x.encode()).hexdigest() for i, x in rows_of(done)}
+    want = {r[0]: r for r in brute.line_dedup(rows_of(docs))}
+    assert {i: want[i][3] for i in got} == got
     assert all(r.n_chars == len(r.text) for r in done.collect())
+    # what is not there has lost all its words, and nothing that is there has
+    gone = {i: x for i, x in rows_of(docs) if i not in got}
+    assert all(want[i][2] > 0 for i in gone) and all(brute.words(x) for _, x in rows_of(done))
+    assert gone and len(set(got) | set(gone)) == docs.count()
 
 
-def test_near_dedup(stages):
+def test_near_dedup(spark, stages):
+    """Compared as the corpus has the texts, then as they come."""
     docs, done = stages[2]
-    want = {i for i, _, first in brute.components(rows_of(docs)) if i == first}
+    ids = {i for i, _ in rows_of(docs)}
+    whole = [r for r in rows_of(spark.read.parquet(f"{SF}/documents.parquet")) if r[0] in ids]
+    left = {i for i, _, first in brute.components(whole) if i == first}
+    want = {i for i, _, first in brute.components([r for r in rows_of(docs) if r[0] in left]) if i == first}
     assert {i for i, _ in rows_of(done)} == want
+    assert all(brute.words(x) for _, x in rows_of(done))
+
+
+def test_near_copies_that_line_dedup_has_shortened_go(spark, tmp_path):
+    """Two texts that differ in one line: the second keeps that line alone, and is found all the same."""
+    lines = [f"this is line number {k} of a longer text with words of its own {k * k}" for k in range(40)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join([*lines[:-1], "and another last line than the first one has"])), (3, "nothing like it at all " * 3)]
+    rows = [(i, x, "en", "s", len(x)) for i, x in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    shorter = c.line_deduplication(spark, docs, str(tmp_path))
+    assert dict(rows_of(shorter))[2] == "and another last line than the first one has"
+    assert {i for i, _ in rows_of(c.near_deduplication(spark, shorter, str(tmp_path)))} == {1, 3}
 
 
 def test_decontamination(spark, stages):
