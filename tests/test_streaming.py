@@ -9,7 +9,7 @@ from rampstat.operators.normalize import normalize_requests
 from rampstat.plans.pipeline import EventRuns
 from rampstat.sources import fixtures as fx
 from rampstat.streaming.live import (
-    live_counters, live_latest, live_requests, live_table, read_event_stream, run_available_now,
+    live_counters, live_latest, live_percentiles, live_requests, live_table, read_event_stream, run_available_now,
     stage_windows, start_live_progress,
 )
 from tests.conftest import SF001
@@ -74,6 +74,10 @@ def test_live_progress_publishes_counters_and_latest(spark):
     counters = live_table(spark, out, "counters").read()
     assert counters.count() == 40
     assert sum(r.stage_count for r in counters.collect()) == spark.read.parquet(src).count()
+    req, each = er.requests(with_seq=False), {r.run_id: r for r in live_percentiles(spark, out, ["run_id"]).collect()}
+    for r in req.groupBy("run_id").agg(F.count("*").alias("n"), F.max("latency_ms").alias("top")).collect():
+        assert each[r.run_id].n == r.n and 0 <= each[r.run_id].p50_latency_ms <= each[r.run_id].p99_latency_ms <= r.top
+    assert live_percentiles(spark, out).count() == 40
 
 
 def test_late_rows_after_the_watermark_do_not_reopen_a_stage(spark):
