@@ -21,34 +21,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rampstat.llm.common import table, text_of
-from rampstat.llm.license_rules import ALL_STEMS, RULES, SENTENCES, STEMS
+from rampstat.llm.license_rules import RULES, SENTENCES, STEMS
 
 #: The most restrictive kind found is the verdict.
 KINDS = ["restricted", "noncommercial", "noderivatives", "copyleft", "permissive"]
 
-#: The SQL below keeps its own, narrower filter, and cuts at ``END``.
 STEM = "|".join(STEMS).replace(" ", "[^a-z0-9]+")
-ANY_STEM = "|".join(ALL_STEMS).replace(" ", "[^a-z0-9]+")
 #: Line ends with the comment marks of the next line; sentence ends.
 SPACES = r"[\x09-\x0D\x20]*"
 BLANK = rf"{SPACES}\n{SPACES}\n{SPACES}"
 LINE = rf"{SPACES}\n[\x09-\x0D\x20*#/;%-]*"
 END = r"[.!?;:][\x09-\x0D\x20]+"
-#: As ``END``, but the GNU notices' "...; either version" is one sentence.
-END_OF_SENTENCE = r"(?:[.!?:]|;(?![\x09-\x0D\x20]+either[\x09-\x0D\x20]+version\b))[\x09-\x0D\x20]+"
+#: No sentence ends after "v." before a number, nor in the GNU notices' "...; either version".
+VERSION = r"(^|[^a-z0-9])(v|ver|vers)\.[\x09-\x0D\x20]+([0-9])"
+EITHER = r";[\x09-\x0D\x20]+either[\x09-\x0D\x20]+version"
 
 
 def normalised(text: Column) -> Column:
     """The sentences of a text, as an array."""
     s = F.regexp_replace(F.lower(text), BLANK, ". ")
-    s = F.split(F.regexp_replace(s, LINE, " "), END_OF_SENTENCE, -1)
+    s = F.regexp_replace(F.regexp_replace(s, LINE, " "), VERSION, "$1v $3")
+    s = F.split(F.regexp_replace(s, EITHER, ", either version"), END, -1)
     return F.transform(s, lambda x: F.replace(F.btrim(F.regexp_replace(x, "[^a-z0-9]+", F.lit(" "))), F.lit("licence"), F.lit("license")))
 
 
 def sentence_id(s: Column) -> Column:
     """The identifier of a normalised sentence; ``Unknown`` if it only sounds like
     one of a licence, else null."""
-    found = F.when(~F.rlike(s, F.lit(ANY_STEM.replace("[^a-z0-9]+", " "))), F.lit(None))
+    found = F.when(~F.rlike(s, F.lit(STEM.replace("[^a-z0-9]+", " "))), F.lit(None))
     for name, pattern in SENTENCES:
         found = found.when(F.rlike(s, F.lit(rf"\b(?:{pattern})\b")), F.lit(name))
     return found.when(F.rlike(s, F.lit(r"\blicensed? ")), F.lit("Unknown"))
@@ -72,7 +72,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Per row: the id, ``n_sentences`` (known or unknown licence sentences),
     ``sentence_ids`` (in text order), ``licenses`` (sorted names) and ``verdict``."""
     d = docs.select(F.col(id_col).alias("doc_id"), text_of(F.col(text_col).cast("string")).alias("t"))
-    likely = F.rlike(F.lower("t"), F.lit(ANY_STEM))
+    likely = F.rlike(F.lower("t"), F.lit(STEM))
     ids = F.when(likely, F.filter(F.transform(normalised(F.col("t")), sentence_id), lambda x: x.isNotNull()))
     d = d.select("doc_id", F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
     found = F.when(F.size("ids") > 0, match_rules(F.col("ids"))).otherwise(F.array().cast("array<string>"))
@@ -102,7 +102,8 @@ def oracle() -> str:
     return f"""
 WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
 s AS (SELECT doc_id, CASE WHEN regexp_matches(t, {q(STEM)}) THEN list_transform(string_split_regex(
-        regexp_replace(regexp_replace(t, {q(BLANK)}, '. ', 'g'), {q(LINE)}, ' ', 'g'), {q(END)}),
+        regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, {q(BLANK)}, '. ', 'g'), {q(LINE)}, ' ', 'g'),
+          {q(VERSION)}, '\\1v \\3', 'g'), {q(EITHER)}, ', either version', 'g'), {q(END)}),
         lambda x: replace(trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g')), 'licence', 'license')) ELSE [] END AS ss FROM d),
 i AS (SELECT doc_id, list_filter(list_transform(ss, lambda s: CASE WHEN NOT regexp_matches(s, {q(STEM.replace("[^a-z0-9]+", " "))}) THEN NULL
         {arms} WHEN regexp_matches(s, '\\blicensed? ') THEN 'Unknown' END), lambda x: x IS NOT NULL) AS ids FROM s),
