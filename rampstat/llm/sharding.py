@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from rampstat.llm.common import broadcast_below, save, table, text_of
 
 LIMIT_BYTES = 64 << 20
+#: The query's limit is the lesser of ``LIMIT_BYTES`` and this part of all bytes, so that it splits at every size.
+SHARES = 64
 #: Bits of one hash; a second hash, of the row number, follows.
 BITS = 60
 #: Directory cells for each shard that the bytes need at least.
@@ -78,11 +80,14 @@ def cells_under(rows: DataFrame, start: int, deep: int, limit: int) -> DataFrame
 
 
 def shard(docs: DataFrame, limit: int = LIMIT_BYTES, id_col: str = "doc_id", text_col: str = "text",
-          carry: bool = False) -> DataFrame:
+          carry: bool = False, shares: int = 1) -> DataFrame:
     """Per row: ``id``, ``uid``, ``bytes``, ``shard`` (its bits; empty where one shard
     holds all), ``depth``, ``shard_bytes``, ``shard_docs``, ``oversized`` (``carry``: and ``row``,
-    a struct of its own columns)."""
+    a struct of its own columns). No shard but an oversized one is over ``limit`` nor, with
+    ``shares`` over 1, over that part of all bytes."""
     rows, start, done = hash_table(docs, id_col, text_col, carry), 0, None
+    if shares > 1:
+        limit = max(1, min(limit, (rows.agg(F.sum("bytes").alias("b")).first()["b"] or 0) // shares))
     lead = ["id", "uid", "bytes"] + ["row"] * carry
     while True:
         total = rows.agg(F.sum("bytes").alias("b")).first()["b"] or 0
@@ -111,18 +116,19 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES, id_col: s
 
 
 def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = shard(table(spark, sf_dir, "documents"))
+    placed = shard(table(spark, sf_dir, "documents"), shares=SHARES)
     return placed.select(F.col("id").alias("doc_id"), F.col("bytes").alias("n_bytes"), "shard", "depth", "shard_bytes", "shard_docs", "oversized")
 
 
 ORACLE = f"""
 WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes,
              ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
+most AS (SELECT greatest(1, least({LIMIT_BYTES}, coalesce(sum(n_bytes), 0)::BIGINT // {SHARES})) AS bytes FROM d),
 b AS (SELECT *, lpad(ltrim(bin(h), '0'), {BITS}, '0') AS bits FROM d),
 u AS (SELECT doc_id, n_bytes, depth, substr(bits, 1, depth::INT) AS shard FROM b, unnest(range(0, {BITS} + 1)) AS x(depth)),
 s AS (SELECT depth, shard, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM u GROUP BY depth, shard
-      HAVING sum(n_bytes) <= {LIMIT_BYTES} OR count(*) = 1)
+      HAVING sum(n_bytes) <= (SELECT bytes FROM most) OR count(*) = 1)
 SELECT u.doc_id, u.n_bytes, min_by(s.shard, s.depth) AS shard, min(s.depth) AS depth, min_by(s.shard_bytes, s.depth) AS shard_bytes,
-       min_by(s.shard_docs, s.depth) AS shard_docs, min_by(s.shard_bytes, s.depth) > {LIMIT_BYTES} AS oversized
+       min_by(s.shard_docs, s.depth) AS shard_docs, min_by(s.shard_bytes, s.depth) > (SELECT bytes FROM most) AS oversized
 FROM u JOIN s ON u.depth = s.depth AND u.shard = s.shard GROUP BY u.doc_id, u.n_bytes
 """

@@ -1,4 +1,5 @@
 import brute
+import duckdb
 import pytest
 
 from rampstat.llm import sharding as s
@@ -31,6 +32,19 @@ def test_repeats_of_one_document_are_spread(spark):
     assert len(got) == 301 and max(sizes.values()) <= 1000 and not any(r.oversized for r in got)
 
 
+def test_query_splits_as_its_sql(spark, tmp_path):
+    rows = [(i, f"filler text {i} " * (i % 9)) for i in range(600)] + [(600, "long " * 9000), (601, None), (602, "")]
+    brute.frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = s.op5_extendible_sharding(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    brute.same(got.collect(), con.execute(s.ORACLE).fetchall())
+    shards = got.groupBy("shard", "depth", "shard_bytes", "shard_docs", "oversized").count().collect()
+    assert len(shards) > 32 and len({r.depth for r in shards}) > 1 and [r.shard_docs for r in shards if r.oversized] == [1]
+    assert all(r.shard_docs == r["count"] for r in shards)
+
+
 def test_empty(spark):
     assert s.shard(brute.frame(spark, [])).collect() == []
 
