@@ -4,19 +4,24 @@ P(text) is the product over its tokens (words, then one end) of
 P(class | class before) * P(token | class). Every word has a class:
 
 * words that make up at least ``SHARE`` of the training tokens (so at most 1/SHARE of
-  them, whatever the corpus' size) are clustered one by one;
-* all other words, known or not, are tied by their last three characters into
-  ``BUCKETS`` groups that are clustered like words.
+  them, whatever the corpus' size), and groups of all other words by their last three
+  characters (``BUCKETS``), are clustered with each other by exchange;
+* of these other words, each with ``MIN_COUNT`` or more occurrences (an absolute count, so
+  their number grows with the corpus) then moves to the class that suits its own
+  neighbours best; the rarer and the unknown ones stay with their group.
 
 Exchange clustering: from counts of neighbouring types, each type's best move to
 another class is found in Spark tasks against the current class-transition
 counts, and of the moves that raise the training likelihood a part is applied
-each turn. Only classes, class counts and the clustered types' counts, all of
-fixed bounds, meet at the driver.
+each turn, until none is left or after ``TURNS`` turns. The move of a rarer word is the one of
+greatest gain to first order, as it is a small part of any class; its neighbours' class
+counts are summed by word in one shuffle. Only classes, class counts and the first
+step's types, all of fixed bounds, meet at the driver.
 
-Word counts, bigram counts and scores cover all documents and whole texts. Counts of
-words of at least ``LOCAL_SHARE`` of the tokens (a million at most) are broadcast for
-scoring; the rest of each document's words meet their counts in a shuffle join.
+The lexicon (each training word's count and class) is a table. Its words of at least
+``LOCAL_SHARE`` of the tokens (a million at most) are broadcast; neighbouring tokens of which
+one is rarer meet their classes and counts in shuffle joins. Counts, class transitions and
+scores cover all documents and whole texts.
 
 Defined cases: a null or empty text is the end alone; a null id has the id text
 '' (crc32 0: training); repeated rows each train and score; without training
@@ -40,6 +45,7 @@ from rampstat.llm.common import save, ship, table
 CLASSES = 64
 SHARE = 1e-4
 LOCAL_SHARE = 1e-6
+MIN_COUNT = 10
 BUCKETS = 512
 SUFFIX = 3
 TURNS = 30
@@ -74,16 +80,73 @@ class Types:
 
 
 @dataclass
-class Model:
+class Lexicon:
+    """What scoring tasks share: the frequent words, their classes and counts."""
+
     types: Types
     cls: np.ndarray  # class of each type
+    known: pa.Array  # words of LOCAL_SHARE
+    known_cls: np.ndarray
+    known_counts: np.ndarray
+
+    def stream(self, texts: pa.Array) -> Stream:
+        row, u, ix = words(texts)
+        place = pc.fill_null(pc.index_in(u, self.known.cast(u.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        of = self.cls[self.types.of(u)]
+        if len(self.known):
+            of = np.where(place >= 0, self.known_cls[place], of)
+        n = len(texts)
+        prev, now = neighbours(row, np.arange(1, len(u) + 1)[ix], n)  # a word's place, 0: an end
+        of, rare = np.concatenate([[0], of]), np.concatenate([[False], place < 0])
+        hashes = np.concatenate([[0], word_hash(u).view(np.int64)]) if len(u) else np.zeros(1, np.int64)
+        counts = np.concatenate([[0], self.known_counts[place] if len(self.known) else np.zeros(len(u))])
+        at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n) + 1)])
+        return Stream(at, of[prev], of[now], rare[prev], rare[now], hashes[prev], hashes[now], counts[now], now == 0)
+
+
+@dataclass
+class Stream:
+    """The tokens of some texts in order, each with the one before it. ``at``: where each
+    text begins; the class of a rare word is that of its group, until it meets the lexicon."""
+
+    at: np.ndarray
+    prev: np.ndarray
+    now: np.ndarray
+    rare_prev: np.ndarray
+    rare_now: np.ndarray
+    hash_prev: np.ndarray
+    hash_now: np.ndarray
+    counts: np.ndarray
+    end: np.ndarray
+
+    def pairs(self) -> pa.Array:
+        """For each text, its pairs with a rare word (hashes of frequent ones are null)."""
+        rare = self.rare_prev | self.rare_now
+        to = np.concatenate([[0], np.cumsum(rare)])[self.at]
+        given = [pa.array(self.hash_prev[rare], mask=~self.rare_prev[rare]), pa.array(self.prev[rare].astype(np.int32)),
+                 pa.array(self.hash_now[rare], mask=~self.rare_now[rare]), pa.array(self.now[rare].astype(np.int32))]
+        return pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.StructArray.from_arrays(given, ["hp", "cp", "hn", "cn"]))
+
+
+PAIRS = "array<struct<hp:long,cp:int,hn:long,cn:int>>"
+
+
+@dataclass
+class Model:
+    lexicon: Lexicon
     log_move: np.ndarray  # log10 P(class | class before)
     log_size: np.ndarray  # log10 of each class's emission denominator
     end_count: int
     n: int
     v: int
-    known: pa.Array  # words of LOCAL_SHARE
-    known_counts: np.ndarray
+
+    @property
+    def types(self) -> Types:
+        return self.lexicon.types
+
+    @property
+    def cls(self) -> np.ndarray:
+        return self.lexicon.cls
 
 
 # -- counts ------------------------------------------------------------------
@@ -238,96 +301,203 @@ def cluster(bigrams: DataFrame, n_types: int, classes: int = CLASSES, turns: int
     return (cls, m) if likelihood(m) > best_l else (best, best_m)
 
 
+# -- classes of rarer words ----------------------------------------------------
+
+
+def profiles(train: DataFrame, types: Types, cls: np.ndarray, classes: int) -> DataFrame:
+    """For words that are no heads: ``h`` (hash), and counts by slot, the classes of the
+    words after and, from ``classes`` on, before; a row for each word of a slice."""
+    width = 2 * classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t", COUNT_SLICE):
+                row, u, ix = words(part.column("t"))
+                if not len(u):
+                    continue
+                of = types.of(u)
+                prev, now = neighbours(row, of[ix], part.num_rows)
+                mine = of[ix] > len(types.heads)
+                place = (np.arange(len(ix)) + row)[mine]  # an end follows each text, so there is a next one
+                w = ix[mine] * width
+                codes, n = np.unique(np.concatenate([w + cls[now[place + 1]], w + classes + cls[prev[place]]]), return_counts=True)
+                own, first = np.unique(codes // width, return_index=True)
+                to = pa.array(np.append(first, len(codes)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(word_hash(u).view(np.int64)[own]), pa.ListArray.from_arrays(to, pa.array((codes % width).astype(np.int16))),
+                     pa.ListArray.from_arrays(to, pa.array(n.astype(np.int32)))], ["h", "slots", "times"])
+
+    return train.select("t").mapInArrow(run, "h long, slots array<smallint>, times array<int>")
+
+
+def best_classes(found: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The class of greatest gain to first order for each row of neighbour counts (classes
+    after, then before): the likelihood's slope in each class-transition count."""
+    k = len(m)
+    p = m + ADDED
+    after, before = np.log(p / p.sum(1, keepdims=True)), np.log(p / p.sum(0, keepdims=True))
+    gain = found[:, :k] @ after.T + found[:, k:] @ before
+    gain[:, 0] = -np.inf  # the end's class is its own
+    return gain.argmax(1)
+
+
+def rarer_classes(train: DataFrame, types: Types, cls: np.ndarray, m: np.ndarray) -> DataFrame:
+    """``h``, ``own``: the class of each word of ``MIN_COUNT`` that is no head."""
+    classes, least = len(m), MIN_COUNT
+    width = 2 * classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, np.zeros(width)  # the word that the next batch may go on with
+
+        def rows(h: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+            enough = found[:, :classes].sum(1) >= least
+            return pa.RecordBatch.from_arrays([pa.array(h[enough]), pa.array(best_classes(found[enough], m).astype(np.int32))], ["h", "own"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column("h").to_numpy()
+            starts = np.concatenate([[True], h[1:] != h[:-1]])
+            word = np.cumsum(starts) - 1
+            at = word[pc.list_parent_indices(batch.column("slots")).to_numpy()] * width + pc.list_flatten(batch.column("slots")).to_numpy()
+            found = np.bincount(at, weights=pc.list_flatten(batch.column("times")).to_numpy(), minlength=(word[-1] + 1) * width).reshape(-1, width)
+            names = h[starts]
+            if last is not None and names[0] == last:
+                found[0] += left
+            elif last is not None:
+                yield rows(np.array([last]), left[None])
+            last, left = names[-1], found[-1].copy()
+            yield rows(names[:-1], found[:-1])
+        if last is not None:
+            yield rows(np.array([last]), left[None])
+
+    by_word = profiles(train, types, cls, classes).repartition("h").sortWithinPartitions("h")
+    return save(by_word.mapInArrow(run, "h long, own int"), "classes")
+
+
+def lexicon_table(counts: DataFrame, rarer: DataFrame, types: Types, cls: np.ndarray) -> DataFrame:
+    """``word``, ``c``, ``h``, ``cls`` of all training words, a saved table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = batch.column("word").cast(pa.large_string())
+            h = word_hash(u).view(np.int64) if len(u) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.select(["word", "c"]).columns, pa.array(h), pa.array(cls[types.of(u)].astype(np.int32))], ["word", "c", "h", "tied"])
+
+    found = counts.select("word", "c").mapInArrow(run, "word string, c long, h long, tied int")
+    return save(found.join(rarer, "h", "left").select("word", "c", "h", F.coalesce("own", "tied").alias("cls")), "lexicon")
+
+
 # -- the model ---------------------------------------------------------------
 
 
+def with_lexicon(pairs: DataFrame, lexicon: DataFrame, model_n: int) -> DataFrame:
+    """Pairs with their rare words' classes, ``cp`` and ``cn``, and the second one's count ``c``
+    (null: not rare). A pair's frequent word has no hash; such keys are spread and match nothing."""
+    few = lexicon.where(F.col("c") < max(1, LOCAL_SHARE * model_n)).groupBy("h").agg(F.min("cls").alias("cls"), F.sum("c").alias("c"))  # words of equal hash as one
+    at = F.xxhash64("uid", "cp", "cn", "hp", "hn")
+    for h, c in (("hp", "cp"), ("hn", "cn")):
+        own = few.select(F.col("h").alias("key"), F.lit(True).alias("rare"), F.col("cls").alias("found"), F.col("c").alias("times"))
+        pairs = pairs.withColumns({"key": F.coalesce(h, at), "rare": F.isnotnull(h)}).join(own, ["key", "rare"], "left")
+        times = {"c": F.when(F.col("rare"), F.coalesce("times", F.lit(0)))} if h == "hn" else {}
+        pairs = pairs.withColumns({c: F.coalesce("found", c), **times}).drop("key", "rare", "found", "times")
+    return pairs
+
+
+def class_moves(train: DataFrame, own: Lexicon, lexicon: DataFrame, n: int, classes: int) -> np.ndarray:
+    """Class-transition counts of the training texts under the lexicon's classes."""
+    shared = train.sparkSession.sparkContext.broadcast(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t", COUNT_SLICE):
+                s = shared.value.stream(part.column("t"))
+                sure = ~(s.rare_prev | s.rare_now)
+                code, times = np.unique(s.prev[sure] * classes + s.now[sure], return_counts=True)
+                pairs = s.pairs().flatten()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([pa.nulls(len(code), pa.int64()), pairs.field("hp")]), pa.concat_arrays([pa.array((code // classes).astype(np.int32)), pairs.field("cp")]),
+                     pa.concat_arrays([pa.nulls(len(code), pa.int64()), pairs.field("hn")]), pa.concat_arrays([pa.array((code % classes).astype(np.int32)), pairs.field("cn")]),
+                     pa.array(np.concatenate([times, np.ones(len(pairs), np.int64)]))], ["hp", "cp", "hn", "cn", "n"])
+
+    pairs = train.select("t").mapInArrow(run, "hp long, cp int, hn long, cn int, n long").withColumn("uid", F.lit(0))
+    pairs = pairs.groupBy("uid", "hp", "cp", "hn", "cn").agg(F.sum("n").alias("n"))
+    m = np.zeros((classes, classes))
+    for r in with_lexicon(pairs, lexicon, n).groupBy("cp", "cn").agg(F.sum("n").alias("n")).collect():  # classes squared
+        m[r.cp, r.cn] = r.n
+    return m
+
+
 def train_model(train: DataFrame, classes: int = CLASSES) -> tuple[Model, DataFrame]:
-    """The model, and the saved table of all word counts."""
+    """The model, and the saved lexicon: ``word``, ``c``, ``h``, ``cls``."""
     ship(train.sparkSession)
     counts = word_counts(train)
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = train.count()
     n, v = (sums.n or 0) + ends, sums.v + (ends > 0)
     heads = counts.where(F.col("c") >= max(1, SHARE * n)).orderBy(F.desc("c"), "word").toArrow()  # at most 1 / SHARE words
-    known = counts.where(F.col("c") >= max(1, LOCAL_SHARE * n)).toArrow()  # at most 1 / LOCAL_SHARE
     types = Types(heads["word"].combine_chunks())
     cls, m = cluster(bigram_counts(train, types), len(types), classes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = types.of(batch.column("word").cast(pa.large_string()))
-            c = batch.column("c").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.bincount(cls[at], minlength=classes)), pa.array(np.bincount(cls[at], weights=c, minlength=classes)),
-                                              pa.array(np.arange(classes))], ["kinds", "tokens", "class"])
-
-    sizes = counts.mapInArrow(run, "kinds long, tokens double, class long").groupBy("class").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).collect()
+    lexicon = lexicon_table(counts, rarer_classes(train, types, cls, m), types, cls)
+    known = lexicon.where(F.col("c") >= max(1, LOCAL_SHARE * n)).select("word", "c", "cls").toArrow()  # at most 1 / LOCAL_SHARE
+    own = Lexicon(types, cls, known["word"].combine_chunks(), known["cls"].to_numpy(), known["c"].to_numpy())
+    m = class_moves(train, own, lexicon, n, classes)
     size = np.full(classes, ADDED)
-    for r in sizes:
-        size[r["class"]] += r.tokens + ADDED * r.kinds
+    for r in lexicon.groupBy("cls").agg(F.sum("c").alias("tokens"), F.count("*").alias("kinds")).collect():  # classes
+        size[r.cls] += r.tokens + ADDED * r.kinds
     if ends:
         size[0] += ends + ADDED
     log_move = np.log10((m + ADDED) / (m.sum(1, keepdims=True) + ADDED * classes))
-    return Model(types, cls, log_move, np.log10(size), ends, n, v, known["word"].combine_chunks(), known["c"].to_numpy()), counts
+    return Model(own, log_move, np.log10(size), ends, n, v), lexicon
 
 
 def local_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """What a document's own task can tell: sums over its tokens, and the words (with
-    how often they occur) whose counts are not broadcast."""
+    """What a document's own task can tell: sums over its frequent words, and the pairs
+    with a word whose class and count are not broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = [pa.int64(), *[pa.float64()] * 2, pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        end_log = np.log10(m.end_count + ADDED)
         for batch in batches:
             for part in slices(batch, "t"):
-                n = part.num_rows
-                row, u, ix = words(part.column("t"))
-                types = m.types.of(u)[ix]
-                prev, now = neighbours(row, types, n)
-                at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n) + 1)])
-                per_token = m.log_move[m.cls[prev], m.cls[now]] - m.log_size[m.cls[now]]
-                model_part = np.add.reduceat(per_token, at[:-1]) if n else np.zeros(0)
-                place = pc.fill_null(pc.index_in(u, m.known.cast(u.type)), -1).to_numpy(zero_copy_only=False)
-                here = place[ix] >= 0
-                logs = np.log10(m.known_counts + ADDED)
-                count_part = np.bincount(row[here], weights=logs[place[ix[here]]], minlength=n) + end_log
-                n_here = np.bincount(row[here], minlength=n) + (m.end_count > 0)
-                rare, times = np.unique(row[~here] * len(u) + ix[~here], return_counts=True)
-                bounds = np.searchsorted(rare, np.arange(n + 1) * len(u))
-                names = u.take(pa.array(rare % max(1, len(u)))).cast(pa.string())
-                offsets = pa.array(bounds.astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), *(pa.array(x, k) for x, k in zip((np.diff(at), model_part, count_part, n_here), kinds[:4], strict=True)),
-                     pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))],
-                    ["id", "n_tokens", "model_part", "count_part", "n_here", "rare", "times"])
+                s = m.lexicon.stream(part.column("t"))
+                sure = ~(s.rare_prev | s.rare_now)
+                move = np.where(sure, m.log_move[s.prev, s.now] - m.log_size[s.now], 0.0)
+                count = np.where(s.end, m.end_count, s.counts)
+                logs = np.where(s.rare_now, 0.0, np.log10(np.where(s.rare_now, 0, count) + ADDED))
+                seen = ~s.rare_now & (count > 0)
+                sums = [np.add.reduceat(x, s.at[:-1]) if part.num_rows else x for x in (move, logs, seen.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(s.at)), *map(pa.array, sums), s.pairs()],
+                                                 ["id", "n_tokens", "model_part", "count_part", "n_here", "pairs"])
 
     id_type = docs.schema["id"].dataType.simpleString()
-    scored = docs.select("id", "t").mapInArrow(run, f"id {id_type}, n_tokens long, model_part double, count_part double, n_here long, rare array<string>, times array<long>")
+    scored = docs.select("id", "t").mapInArrow(run, f"id {id_type}, n_tokens long, model_part double, count_part double, n_here long, pairs {PAIRS}")
     return save(scored.withColumn("uid", F.monotonically_increasing_id()), "scores")
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id``, ``n_tokens``, ``n_known``, ``base_score`` (unigrams), ``score`` and ``perplexity``."""
     ship(docs.sparkSession)
     local = local_scores(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")), model)
-    rare = local.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.xxhash64("x.rare").alias("h"), F.col("x.times").alias("times"))
-    few = counts.where(F.col("c") < max(1, LOCAL_SHARE * model.n)).groupBy(F.xxhash64("word").alias("h")).agg(F.sum("c").alias("c"))
-    c = F.coalesce("c", F.lit(0))
-    rest = rare.join(few, "h", "left").groupBy("uid").agg(F.sum(F.col("times") * F.log10(c + ADDED)).alias("rare_part"),
-                                                          F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_rare"))
-    all_parts = F.col("count_part") + F.coalesce("rare_part", F.lit(0.0))
+    pairs = local.select("uid", F.explode("pairs").alias("p")).select("uid", "p.*").groupBy("uid", "hp", "cp", "hn", "cn").agg(F.count("*").alias("n"))
+    classes = len(model.log_size)
+    steps = model.log_move - model.log_size  # classes squared numbers
+    step = F.element_at(F.lit([float(x) for x in steps.ravel()]), F.col("cp") * classes + F.col("cn") + 1)
+    rest = with_lexicon(pairs, lexicon, model.n).groupBy("uid").agg(
+        F.sum(F.col("n") * step).alias("rare_moves"), F.sum(F.col("n") * F.log10(F.col("c") + ADDED)).alias("rare_counts"),
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_rare"))
+    counted = F.col("count_part") + F.coalesce("rare_counts", F.lit(0.0))
     total = float(np.log10(model.n + ADDED * (model.v + 1)))
     out = local.join(rest, "uid", "left").select(
-        "id", "n_tokens", (F.col("n_here") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), (all_parts - F.col("n_tokens") * F.lit(total)).alias("base_score"),
-        (all_parts + F.col("model_part")).alias("score"))
+        "id", "n_tokens", (F.col("n_here") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), (counted - F.col("n_tokens") * F.lit(total)).alias("base_score"),
+        (counted + F.col("model_part") + F.coalesce("rare_moves", F.lit(0.0))).alias("score"))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def op6_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     train = docs.where(fold(F.col("doc_id")) != HELD_OUT).select(F.col("text").alias("t"))
-    model, counts = train_model(train)
-    done = score(docs, model, counts)
+    model, lexicon = train_model(train)
+    done = score(docs, model, lexicon)
     return done.select(F.col("id").alias("doc_id"), (fold(F.col("id")) == HELD_OUT).alias("held_out"), "n_tokens", "n_known",
                        F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

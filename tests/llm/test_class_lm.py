@@ -11,8 +11,8 @@ from rampstat.llm import class_lm as m
 
 def scored(spark, train_rows, rows, **more):
     train = brute.frame(spark, train_rows).select(F.col("text").alias("t"))
-    model, counts = m.train_model(train, **more)
-    return model, m.score(brute.frame(spark, rows), model, counts).collect()
+    model, lexicon = m.train_model(train, **more)
+    return model, m.score(brute.frame(spark, rows), model, lexicon).collect()
 
 
 def base(train_rows, rows):
@@ -33,6 +33,59 @@ def test_odd_cases(spark, monkeypatch, local):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+@pytest.mark.parametrize("local", [1e-6, 0.004, 1.0])
+def test_score_is_the_plain_models(spark, monkeypatch, local):
+    """Scores from the lexicon's classes, counted again in plain Python, however many words are broadcast."""
+    monkeypatch.setattr(m, "LOCAL_SHARE", local)
+    monkeypatch.setattr(m, "SHARE", 0.02)
+    monkeypatch.setattr(m, "MIN_COUNT", 3)
+    r = np.random.default_rng(1)
+    train = [(i, " ".join(f"w{int(k)}{'aeiou'[int(k) % 5]}" for k in r.zipf(1.3, 25) % 300)) for i in range(60)] + [(90, None), (91, "")]
+    rows = train[:20] + [(200, "never seen words w1e w1e"), (201, None), (202, "w1e " * 3000)]
+    frame = brute.frame(spark, train).select(F.col("text").alias("t"))
+    model, lexicon = m.train_model(frame, classes=6)
+    lex = {x.word: (x.cls, x.c) for x in lexicon.collect()}
+    c = Counter(w for _, x in train for w in brute.words(x))
+    assert {w: n for w, (_, n) in lex.items()} == dict(c)
+    heads = set(model.types.heads.to_pylist())
+    tied = {w: int(k) for w, k in zip(lex, model.cls[model.types.of(m.pa.array(list(lex), m.pa.large_string()))], strict=True)}
+    assert all(lex[w][0] == k for w, k in tied.items() if w in heads or c[w] < 3)
+    assert any(lex[w][0] != k for w, k in tied.items())
+    unseen = lambda w: int(model.cls[model.types.of(m.pa.array([w], m.pa.large_string()))[0]])
+    of = lambda w: 0 if w is None else lex[w][0] if w in lex else unseen(w)
+    chain = lambda x: [*brute.words(x), None]
+    moves, size = np.zeros((6, 6)), np.full(6, 0.5)
+    for _, x in train:
+        for a, b in zip([None, *chain(x)], chain(x), strict=False):
+            moves[of(a), of(b)] += 1
+    size[0] += len(train) + 0.5
+    for k, n in lex.values():
+        size[k] += n + 0.5
+    p = (moves + 0.5) / (moves.sum(1, keepdims=True) + 0.5 * 6)
+    count = {None: len(train), **c}
+    want = {i: sum(math.log10(p[of(a), of(b)] * (count.get(b, 0) + 0.5) / size[of(b)]) for a, b in zip([None, *chain(x)], chain(x), strict=False)) for i, x in rows}
+    got = {x.id: x.score for x in m.score(brute.frame(spark, rows), model, lexicon).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+
+
+def test_rarer_words_go_where_their_neighbours_are(spark):
+    """To first order the gain is the likelihood's, for a word that is a small part of its classes."""
+    r = np.random.default_rng(5)
+    k = 6
+    now = r.integers(2000, 90000, (k, k)).astype(float)
+    found = r.integers(0, 4, (40, 2 * k)).astype(float)
+    got = m.best_classes(found, now)
+    for row, b in zip(found, got, strict=True):
+        gains = []
+        for c in range(1, k):
+            with_it = now.copy()
+            with_it[c] += row[:k]
+            with_it[:, c] += row[k:]
+            flat = m.f(with_it).sum() - m.f(with_it.sum(1)).sum() - m.f(with_it.sum(0)).sum()
+            gains.append(flat)
+        assert max(gains) - gains[b - 1] < 0.05
+
+
 def test_no_training(spark):
     _, got = scored(spark, [], [(1, "a b"), (2, None)])
     assert {(r.id, r.n_tokens, r.n_known) for r in got} == {(1, 3, 0), (2, 1, 0)}
