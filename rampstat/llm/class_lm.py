@@ -18,9 +18,9 @@ greatest gain to first order, as it is a small part of any class; its neighbours
 counts are summed by word in one shuffle. Only classes, class counts and the first
 step's types, all of fixed bounds, meet at the driver.
 
-The lexicon (each training word's count and class) is a table. Its words of at least
-``LOCAL_SHARE`` of the tokens (a million at most) are broadcast; neighbouring tokens of which
-one is rarer meet their classes and counts in shuffle joins. Counts, class transitions and
+The lexicon (each training word's count and class) is a table. Its most frequent words,
+``KNOWN_WORDS`` at most, are broadcast; neighbouring tokens of which one is rarer meet their
+classes and counts in shuffle joins. Counts, class transitions and
 scores cover all documents and whole texts.
 
 Defined cases: a null or empty text is the end alone; a null id has the id text
@@ -44,15 +44,16 @@ from rampstat.llm.common import save, ship, table
 
 CLASSES = 64
 SHARE = 1e-4
-LOCAL_SHARE = 1e-6
+KNOWN_WORDS = 1 << 19
 MIN_COUNT = 10
 BUCKETS = 512
 SUFFIX = 3
 TURNS = 30
 #: Added to every count.
 ADDED = 0.5
-#: Bytes of text counted at a time.
+#: Bytes of text counted, and scored, at a time.
 COUNT_SLICE = 12 << 20
+SCORE_SLICE = 6 << 20
 #: Distinct bigrams that a task holds before it hands them on.
 HELD = 3_000_000
 
@@ -85,47 +86,51 @@ class Lexicon:
 
     types: Types
     cls: np.ndarray  # class of each type
-    known: pa.Array  # words of LOCAL_SHARE
+    known: pa.Array  # the most frequent words
     known_cls: np.ndarray
     known_counts: np.ndarray
+    least: int  # all words of so many occurrences are known
 
     def stream(self, texts: pa.Array) -> Stream:
         row, u, ix = words(texts)
         place = pc.fill_null(pc.index_in(u, self.known.cast(u.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        of = self.cls[self.types.of(u)]
-        if len(self.known):
-            of = np.where(place >= 0, self.known_cls[place], of)
+        rare = place < 0
+        names = u.filter(pa.array(rare))
+        cls, counts, hashes = np.zeros(len(u) + 1, np.int16), np.zeros(len(u) + 1, np.int64), np.zeros(len(u) + 1, np.int64)
+        cls[1:][~rare], counts[1:][~rare] = self.known_cls[place[~rare]], self.known_counts[place[~rare]]
+        if len(names):
+            cls[1:][rare], hashes[1:][rare] = self.cls[self.types.of(names)], word_hash(names).view(np.int64)
         n = len(texts)
-        prev, now = neighbours(row, np.arange(1, len(u) + 1)[ix], n)  # a word's place, 0: an end
-        of, rare = np.concatenate([[0], of]), np.concatenate([[False], place < 0])
-        hashes = np.concatenate([[0], word_hash(u).view(np.int64)]) if len(u) else np.zeros(1, np.int64)
-        counts = np.concatenate([[0], self.known_counts[place] if len(self.known) else np.zeros(len(u))])
+        prev, now = neighbours(row, 1 + ix, n)  # a word's place, 0: an end
         at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n) + 1)])
-        return Stream(at, of[prev], of[now], rare[prev], rare[now], hashes[prev], hashes[now], counts[now], now == 0)
+        return Stream(at, prev, now, cls, np.concatenate([[False], rare]), hashes, counts)
 
 
 @dataclass
 class Stream:
-    """The tokens of some texts in order, each with the one before it. ``at``: where each
-    text begins; the class of a rare word is that of its group, until it meets the lexicon."""
+    """The tokens of some texts in order, each with the one before it, as numbers of distinct
+    words (0: an end). ``at``: where each text begins. Of each number the class (of a rare
+    word that of its group, until it meets the lexicon), whether it is rare, hash and count."""
 
     at: np.ndarray
     prev: np.ndarray
     now: np.ndarray
-    rare_prev: np.ndarray
-    rare_now: np.ndarray
-    hash_prev: np.ndarray
-    hash_now: np.ndarray
+    cls: np.ndarray
+    rare: np.ndarray
+    hashes: np.ndarray
     counts: np.ndarray
-    end: np.ndarray
+
+    def sure(self) -> np.ndarray:
+        return ~(self.rare[self.prev] | self.rare[self.now])
 
     def pairs(self) -> pa.Array:
         """For each text, its pairs with a rare word (hashes of frequent ones are null)."""
-        rare = self.rare_prev | self.rare_now
-        to = np.concatenate([[0], np.cumsum(rare)])[self.at]
-        given = [pa.array(self.hash_prev[rare], mask=~self.rare_prev[rare]), pa.array(self.prev[rare].astype(np.int32)),
-                 pa.array(self.hash_now[rare], mask=~self.rare_now[rare]), pa.array(self.now[rare].astype(np.int32))]
-        return pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.StructArray.from_arrays(given, ["hp", "cp", "hn", "cn"]))
+        there = np.flatnonzero(~self.sure())
+        to = pa.array(np.searchsorted(there, self.at).astype(np.int32))
+        given = []
+        for x in (self.prev[there], self.now[there]):
+            given += [pa.array(self.hashes[x], mask=~self.rare[x]), pa.array(self.cls[x].astype(np.int32))]
+        return pa.ListArray.from_arrays(to, pa.StructArray.from_arrays(given, ["hp", "cp", "hn", "cn"]))
 
 
 PAIRS = "array<struct<hp:long,cp:int,hn:long,cn:int>>"
@@ -391,39 +396,51 @@ def lexicon_table(counts: DataFrame, rarer: DataFrame, types: Types, cls: np.nda
 # -- the model ---------------------------------------------------------------
 
 
-def with_lexicon(pairs: DataFrame, lexicon: DataFrame, model_n: int) -> DataFrame:
+def least_known(counts: DataFrame) -> int:
+    """The least count of which there are at most ``KNOWN_WORDS`` words of it or more."""
+    sizes = counts.groupBy(F.floor(F.log2("c") * 8).alias("size")).agg(F.min("c").alias("least"), F.count("*").alias("n")).collect()  # 8 a doubling
+    least, words_so_far = 2**62, 0
+    for r in sorted(sizes, key=lambda r: -r.least):
+        words_so_far += r.n
+        if words_so_far > KNOWN_WORDS:
+            break
+        least = r.least
+    return least
+
+
+def with_lexicon(pairs: DataFrame, lexicon: DataFrame, least: int) -> DataFrame:
     """Pairs with their rare words' classes, ``cp`` and ``cn``, and the second one's count ``c``
-    (null: not rare). A pair's frequent word has no hash; such keys are spread and match nothing."""
-    few = lexicon.where(F.col("c") < max(1, LOCAL_SHARE * model_n)).groupBy("h").agg(F.min("cls").alias("cls"), F.sum("c").alias("c"))  # words of equal hash as one
-    at = F.xxhash64("uid", "cp", "cn", "hp", "hn")
+    (null: not rare). A pair's frequent word has no hash; such pairs are spread and take nothing."""
+    few = lexicon.where(F.col("c") < least).groupBy(F.col("h").alias("key")).agg(F.min("cls").alias("found"), F.sum("c").alias("times"))  # words of equal hash as one
     for h, c in (("hp", "cp"), ("hn", "cn")):
-        own = few.select(F.col("h").alias("key"), F.lit(True).alias("rare"), F.col("cls").alias("found"), F.col("c").alias("times"))
-        pairs = pairs.withColumns({"key": F.coalesce(h, at), "rare": F.isnotnull(h)}).join(own, ["key", "rare"], "left")
-        times = {"c": F.when(F.col("rare"), F.coalesce("times", F.lit(0)))} if h == "hn" else {}
-        pairs = pairs.withColumns({c: F.coalesce("found", c), **times}).drop("key", "rare", "found", "times")
+        rare = F.isnotnull(h)
+        pairs = pairs.withColumn("key", F.coalesce(h, F.xxhash64("hp", "cp", "hn", "cn", "spread"))).join(few, "key", "left")
+        times = {"c": F.when(rare, F.coalesce("times", F.lit(0)))} if h == "hn" else {}
+        pairs = pairs.withColumns({c: F.when(rare, F.coalesce("found", c)).otherwise(F.col(c)), **times}).drop("key", "found", "times")
     return pairs
 
 
-def class_moves(train: DataFrame, own: Lexicon, lexicon: DataFrame, n: int, classes: int) -> np.ndarray:
+def class_moves(train: DataFrame, own: Lexicon, lexicon: DataFrame, classes: int) -> np.ndarray:
     """Class-transition counts of the training texts under the lexicon's classes."""
     shared = train.sparkSession.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t", COUNT_SLICE):
+            for part in slices(batch, "t", SCORE_SLICE):
                 s = shared.value.stream(part.column("t"))
-                sure = ~(s.rare_prev | s.rare_now)
-                code, times = np.unique(s.prev[sure] * classes + s.now[sure], return_counts=True)
+                sure = s.sure()
+                times = np.bincount(s.cls[s.prev[sure]].astype(np.int64) * classes + s.cls[s.now[sure]], minlength=classes**2)
+                code = np.flatnonzero(times)
+                times = times[code]
                 pairs = s.pairs().flatten()
                 yield pa.RecordBatch.from_arrays(
                     [pa.concat_arrays([pa.nulls(len(code), pa.int64()), pairs.field("hp")]), pa.concat_arrays([pa.array((code // classes).astype(np.int32)), pairs.field("cp")]),
                      pa.concat_arrays([pa.nulls(len(code), pa.int64()), pairs.field("hn")]), pa.concat_arrays([pa.array((code % classes).astype(np.int32)), pairs.field("cn")]),
                      pa.array(np.concatenate([times, np.ones(len(pairs), np.int64)]))], ["hp", "cp", "hn", "cn", "n"])
 
-    pairs = train.select("t").mapInArrow(run, "hp long, cp int, hn long, cn int, n long").withColumn("uid", F.lit(0))
-    pairs = pairs.groupBy("uid", "hp", "cp", "hn", "cn").agg(F.sum("n").alias("n"))
+    pairs = train.select("t").mapInArrow(run, "hp long, cp int, hn long, cn int, n long").withColumn("spread", F.col("n"))
     m = np.zeros((classes, classes))
-    for r in with_lexicon(pairs, lexicon, n).groupBy("cp", "cn").agg(F.sum("n").alias("n")).collect():  # classes squared
+    for r in with_lexicon(pairs, lexicon, own.least).groupBy("cp", "cn").agg(F.sum("n").alias("n")).collect():  # classes squared
         m[r.cp, r.cn] = r.n
     return m
 
@@ -439,9 +456,10 @@ def train_model(train: DataFrame, classes: int = CLASSES) -> tuple[Model, DataFr
     types = Types(heads["word"].combine_chunks())
     cls, m = cluster(bigram_counts(train, types), len(types), classes)
     lexicon = lexicon_table(counts, rarer_classes(train, types, cls, m), types, cls)
-    known = lexicon.where(F.col("c") >= max(1, LOCAL_SHARE * n)).select("word", "c", "cls").toArrow()  # at most 1 / LOCAL_SHARE
-    own = Lexicon(types, cls, known["word"].combine_chunks(), known["cls"].to_numpy(), known["c"].to_numpy())
-    m = class_moves(train, own, lexicon, n, classes)
+    least = least_known(counts)
+    known = lexicon.where(F.col("c") >= least).select("word", "c", "cls").toArrow()  # at most KNOWN_WORDS
+    own = Lexicon(types, cls, known["word"].combine_chunks(), known["cls"].to_numpy(), known["c"].to_numpy(), least)
+    m = class_moves(train, own, lexicon, classes)
     size = np.full(classes, ADDED)
     for r in lexicon.groupBy("cls").agg(F.sum("c").alias("tokens"), F.count("*").alias("kinds")).collect():  # classes
         size[r.cls] += r.tokens + ADDED * r.kinds
@@ -459,13 +477,14 @@ def local_scores(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", SCORE_SLICE):
                 s = m.lexicon.stream(part.column("t"))
-                sure = ~(s.rare_prev | s.rare_now)
-                move = np.where(sure, m.log_move[s.prev, s.now] - m.log_size[s.now], 0.0)
-                count = np.where(s.end, m.end_count, s.counts)
-                logs = np.where(s.rare_now, 0.0, np.log10(np.where(s.rare_now, 0, count) + ADDED))
-                seen = ~s.rare_now & (count > 0)
+                cp, cn, rare = s.cls[s.prev], s.cls[s.now], s.rare[s.now]
+                move = np.where(s.sure(), m.log_move[cp, cn] - m.log_size[cn], 0.0)
+                own = s.counts.copy()
+                own[0] = m.end_count
+                logs = np.where(s.rare, 0.0, np.log10(own + ADDED))[s.now]
+                seen = ~rare & (own > 0)[s.now]
                 sums = [np.add.reduceat(x, s.at[:-1]) if part.num_rows else x for x in (move, logs, seen.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(s.at)), *map(pa.array, sums), s.pairs()],
                                                  ["id", "n_tokens", "model_part", "count_part", "n_here", "pairs"])
@@ -479,13 +498,13 @@ def score(docs: DataFrame, model: Model, lexicon: DataFrame, id_col: str = "doc_
     """Per row: ``id``, ``n_tokens``, ``n_known``, ``base_score`` (unigrams), ``score`` and ``perplexity``."""
     ship(docs.sparkSession)
     local = local_scores(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")), model)
-    pairs = local.select("uid", F.explode("pairs").alias("p")).select("uid", "p.*").groupBy("uid", "hp", "cp", "hn", "cn").agg(F.count("*").alias("n"))
+    pairs = local.select("uid", F.posexplode("pairs").alias("spread", "p")).select("uid", "spread", "p.*")
     classes = len(model.log_size)
     steps = model.log_move - model.log_size  # classes squared numbers
     step = F.element_at(F.lit([float(x) for x in steps.ravel()]), F.col("cp") * classes + F.col("cn") + 1)
-    rest = with_lexicon(pairs, lexicon, model.n).groupBy("uid").agg(
-        F.sum(F.col("n") * step).alias("rare_moves"), F.sum(F.col("n") * F.log10(F.col("c") + ADDED)).alias("rare_counts"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_rare"))
+    rest = with_lexicon(pairs, lexicon, model.lexicon.least).groupBy("uid").agg(
+        F.sum(step).alias("rare_moves"), F.sum(F.log10(F.col("c") + ADDED)).alias("rare_counts"),
+        F.count_if(F.col("c") > 0).alias("n_rare"))
     counted = F.col("count_part") + F.coalesce("rare_counts", F.lit(0.0))
     total = float(np.log10(model.n + ADDED * (model.v + 1)))
     out = local.join(rest, "uid", "left").select(

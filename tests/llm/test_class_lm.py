@@ -22,9 +22,9 @@ def base(train_rows, rows):
     return [(i, len(tokens(x)), sum(c[t] > 0 for t in tokens(x)), round(sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens(x)), 6)) for i, x in rows]
 
 
-@pytest.mark.parametrize("local", [1e-6, 0.01])
+@pytest.mark.parametrize("local", [1 << 19, 5])
 def test_odd_cases(spark, monkeypatch, local):
-    monkeypatch.setattr(m, "LOCAL_SHARE", local)  # the higher, the more words are joined
+    monkeypatch.setattr(m, "KNOWN_WORDS", local)  # the fewer, the more words are joined
     monkeypatch.setattr(m, "SHARE", 0.005)
     rows = brute.odd_rows()
     train = rows[:9] + rows[12:]
@@ -33,10 +33,10 @@ def test_odd_cases(spark, monkeypatch, local):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
-@pytest.mark.parametrize("local", [1e-6, 0.004, 1.0])
+@pytest.mark.parametrize("local", [1 << 19, 40, 0])
 def test_score_is_the_plain_models(spark, monkeypatch, local):
     """Scores from the lexicon's classes, counted again in plain Python, however many words are broadcast."""
-    monkeypatch.setattr(m, "LOCAL_SHARE", local)
+    monkeypatch.setattr(m, "KNOWN_WORDS", local)
     monkeypatch.setattr(m, "SHARE", 0.02)
     monkeypatch.setattr(m, "MIN_COUNT", 3)
     r = np.random.default_rng(1)
