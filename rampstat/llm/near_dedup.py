@@ -13,9 +13,10 @@ No bucket's pairs are all formed. First each member of a bucket is paired with
 the bucket's smallest member alone (a row each); the links give components.
 Buckets that still hold different components are looked through once more: small
 ones by pairs between different components, larger ones in tasks that compare
-sketches block by block, then full sets, and give back links alone. So no link
-between different components is lost, and no group is turned into pairs of rows. A
-class's members are never paired.
+sketches block by block; the full sets of members that have a likely partner follow,
+and links alone come back. So no link between different components is lost, and no
+group is turned into pairs of rows. A class's members are never paired, and a set that
+many others are compared with is sent once for a long run of them.
 
 Defined cases: no words or a null text is an empty set, linked with nothing;
 fewer words than a shingle are one shingle together; a null id ranks as the
@@ -48,6 +49,9 @@ SKETCH_LEAST = 0.70
 #: by blocks of so many members.
 SMALL = 8
 BLOCK = 4096
+#: Shingles of a block, and of the partners that follow one set, about (8 bytes each).
+BLOCK_SHINGLES = 2 << 20
+RUN_SHINGLES = 4 << 20
 #: Ids of documents to be compared in full that are broadcast at most.
 BROADCAST_IDS = 1 << 18
 
@@ -130,54 +134,74 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def full_sets(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``set_id`` and shingles of the documents whose ids are in ``chosen`` (``did``)."""
+    """``node`` and its sorted shingles ``s`` (longs as bytes) for the ``chosen`` nodes (``node``, ``did``, ``set_id``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
                 sets = list(shingle_sets(part.column("t")))
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()),
-                                                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["set_id", "s"])
+                                                  pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "s"])
 
     d = docs.select(known_id(F.col(id_col)).alias("did"), F.col(text_col).cast("string").alias("t"))
     d = d.join(broadcast_below(chosen.select("did").distinct(), BROADCAST_IDS), "did", "left_semi")
-    return d.select("t").mapInArrow(run, "set_id binary, s array<long>")
+    sets = d.select("t").mapInArrow(run, "set_id binary, s binary").dropDuplicates(["set_id"])
+    return save(sets.join(chosen.select("node", "set_id"), "set_id").select("node", "s"), "sets")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets, sorted, are to be linked."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # merges two sorted runs
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= percent * (len(both) - shared)
+
+
+def confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of runs that come one after the other: the set of ``a`` first, then those of its partners."""
+    held = np.zeros(0, np.uint64)
+    for batch in batches:
+        out = []
+        for a, node, s in zip(batch.column("a").to_pylist(), batch.column("node").to_pylist(), batch.column("s"), strict=True):
+            own = np.frombuffer(s.as_buffer(), np.uint64)
+            if node == a:
+                held = own.copy()
+            elif similar(held, own, percent):
+                out.append((a, node))
+        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
 def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Of the pairs of nodes (``a``, ``b``), those whose full sets are similar enough."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"k{x}"))
+    """Of the pairs of nodes (``a``, ``b``), those whose full sets are similar enough.
+
+    Sketches and sizes are compared first. Then the partners of an ``a`` travel in runs of
+    about ``RUN_SHINGLES``, each led by the set of ``a``, which is sent once a run; a
+    task reads its runs as a stream and holds that one set."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"k{x}"), F.col("n_shingles").alias(f"n{x}"))
     apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    likely = save(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= sketch_limit(SKETCH_LEAST)).select("a", "b"), "likely")
+    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").where((apart <= sketch_limit(SKETCH_LEAST)) & sized)
+    likely = save(likely.select("a", "b", "nb"), "likely")
     ends = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-    chosen = save(nodes.join(ends, "node").select("node", "did", "set_id"), "chosen")
-    sets = full_sets(docs, chosen, id_col, text_col).dropDuplicates(["set_id"]).join(chosen, "set_id").select("node", "s")
-    sets = save(sets, "sets")
-    both = likely.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    both = both.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("sizes"))
-    return save(both.where(100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared"))).select("a", "b"), "links")
-
-
-def block_links(t: pa.Table, percent: int, limit: int) -> pa.Table:
-    """Links between different labels of the members of a bucket's block, or of two
-    blocks of it; of links that join the same labels, one. A pair is looked at only in
-    the first band that it shares."""
-    side = t.column("side").to_numpy()
-    node, label, key = t.column("node").to_numpy(), t.column("label").to_numpy(), t.column("key")[0].as_py()
+    sets = full_sets(docs, save(nodes.join(ends, "node").select("node", "did", "set_id"), "chosen"), id_col, text_col)
+    many = likely.groupBy("a").agg(F.ceil(F.sum("nb") / RUN_SHINGLES).cast("long").alias("runs")).where("runs > 1")
+    runs = likely.join(save(many, "runs"), "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("runs", F.lit(1))).alias("run"), "b")
+    lead = runs.select("a", "run").distinct().join(sets, F.col("a") == F.col("node")).select("a", "run", "node", "s")
+    follow = runs.join(sets, F.col("b") == F.col("node")).select("a", "run", "node", "s")
+    rows = lead.union(follow).repartition("a", "run").sortWithinPartitions("a", "run", F.col("node") != F.col("a"))
+    return save(rows.mapInArrow(lambda x: confirm(x, percent), "a long, b long"), "links")
+
+
+def likely_in_block(t: pa.Table, percent: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different labels, by sketch and size, among the members of a bucket's block
+    or between two blocks of it, as places in ``t``. A pair is given only in the first
+    band that it shares."""
+    side, node, label = (t.column(c).to_numpy() for c in ("side", "node", "label"))
+    size, key = t.column("n_shingles").to_numpy(), t.column("key")[0].as_py()
     sketch = np.array(t.column("sketch").to_pylist(), np.int64).view(np.uint64)
     bands = np.array(t.column("bands").to_pylist(), np.int64)
-    sets = [np.asarray(x.values) for x in t.column("s")]
-    size = np.array([len(x) for x in sets])
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while up.get(x, x) != x:
-            x = up[x]
-        return x
-
-    out = []
     here, there = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(side)),) * 2
     for i in range(0, len(here), 16):
         rows = here[i:i + 16]
@@ -187,30 +211,59 @@ def block_links(t: pa.Table, percent: int, limit: int) -> pa.Table:
         keep = (node[x] < node[y]) | side.any()
         keep &= 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
         x, y = x[keep], y[keep]
-        agree = bands[x] == bands[y]
-        first = agree.argmax(1) == (bands[x] == key).argmax(1)
-        for a, b in zip(x[first].tolist(), y[first].tolist(), strict=True):
-            p, q = top(int(label[a])), top(int(label[b]))
-            if p != q:
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if 100 * both >= percent * (size[a] + size[b] - both):
-                    up[p] = q
-                    out.append((node[a], node[b]))
+        first = (bands[x] == bands[y]).argmax(1) == (bands[x] == key).argmax(1)
+        yield x[first], y[first]
+
+
+def block_members(t: pa.Table, percent: int, limit: int) -> pa.Table:
+    """The members that have a likely partner, all columns as they are."""
+    wanted = np.zeros(t.num_rows, bool)
+    for x, y in likely_in_block(t, percent, limit):
+        wanted[x] = wanted[y] = True
+    return t.filter(pa.array(wanted))
+
+
+def block_links(t: pa.Table, percent: int, limit: int) -> pa.Table:
+    """Links by the full sets; of links that join the same labels, one."""
+    node, label = t.column("node").to_numpy(), t.column("label").to_pylist()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("s")]
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    for x, y in likely_in_block(t, percent, limit):
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            p, q = top(label[a]), top(label[b])
+            if p != q and similar(sets[a], sets[b], percent):
+                up[p] = q
+                out.append((node[a], node[b]))
     return pa.table({"a": pa.array([int(a) for a, _ in out], pa.int64()), "b": pa.array([int(b) for _, b in out], pa.int64())})
 
 
+MEMBER = "key long, i long, j long, side int, node long, label long, n_shingles long, bands array<long>, sketch array<long>"
+
+
 def linked_in_blocks(members: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Links between the labels in large buckets. Members are dealt into blocks of
-    about ``BLOCK``; each block, and each two blocks of a bucket, are compared in a task
-    that gives back links alone, never pairs."""
-    members = save(members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long")), "large")
-    ends = members.select("node").distinct()
-    chosen = save(nodes.join(ends, "node").select("node", "did", "set_id", "sketch", "bands"), "chosen")
-    sets = full_sets(docs, chosen, id_col, text_col).dropDuplicates(["set_id"]).join(chosen, "set_id").select("node", "s", "sketch", "bands")
+    """Links between the labels in large buckets. Members are dealt into blocks of about
+    ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles at most; each block, and each two
+    blocks of a bucket, are compared in tasks, first by sketches alone. Sets are fetched for
+    members that have a likely partner, and sent where they have one. The tasks give back
+    members and links, never pairs."""
+    members = members.join(nodes.select("node", "n_shingles", "bands", "sketch"), "node")
+    blocks = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    members = members.join(save(blocks, "blocks"), "key")
     own = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    own = own.select("key", "node", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    own = own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"),
+                     "node", "label", "n_shingles", "bands", "sketch")
     limit = sketch_limit(SKETCH_LEAST)
-    found = own.join(sets, "node").groupBy("key", "i", "j").applyInArrow(lambda t: block_links(t, percent, limit), "a long, b long")
+    likely = save(own.groupBy("key", "i", "j").applyInArrow(lambda t: block_members(t, percent, limit), MEMBER), "block-members")
+    chosen = save(nodes.join(likely.select("node").distinct(), "node").select("node", "did", "set_id"), "chosen")
+    sets = full_sets(docs, chosen, id_col, text_col)
+    found = likely.join(sets, "node").groupBy("key", "i", "j").applyInArrow(lambda t: block_links(t, percent, limit), "a long, b long")
     return save(found.distinct(), "block-links")
 
 
@@ -236,7 +289,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     filled = sig.where("set_id IS NOT NULL")
     firsts = filled.groupBy("set_id").agg(F.min("did").alias("did"))
     nodes = save(filled.join(firsts, ["set_id", "did"]).dropDuplicates(["set_id"]).select(
-        F.monotonically_increasing_id().alias("node"), "did", "set_id", "bands", "sketch"), "nodes")
+        F.monotonically_increasing_id().alias("node"), "did", "set_id", "n_shingles", "bands", "sketch"), "nodes")
 
     rows = nodes.select("node", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most")
@@ -253,7 +306,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     right = small.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
     rest = left.join(right, "key").where("a < b AND la <> lb AND a <> least").select("a", "b").distinct()
     more = linked(rest, nodes, docs, percent, id_col, text_col)
-    large = linked_in_blocks(marked.join(mixed.where(F.col("size") > SMALL), "key"), nodes, docs, percent, id_col, text_col)
+    large = linked_in_blocks(marked.join(mixed.where(F.col("size") > SMALL), "key").select("key", "node", "label"), nodes, docs, percent, id_col, text_col)
     labels = components(links.union(more).union(large))
 
     of = nodes.join(labels, "node", "left").select("set_id", "did", F.coalesce("label", "node").alias("label"))

@@ -87,3 +87,49 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
     brute.same(run(spark, cloud()), want)
     monkeypatch.setattr(n, "BLOCK", 10)  # several blocks a bucket
     brute.same(run(spark, cloud()), want)
+
+
+def test_long_texts_in_many_blocks_and_runs(spark, monkeypatch):
+    """Blocks and runs of few shingles: every set is compared with all that it may link to."""
+    monkeypatch.setattr(n, "BLOCK_SHINGLES", 2000)
+    monkeypatch.setattr(n, "RUN_SHINGLES", 700)
+    brute.same(run(spark, cloud()), brute.components(cloud()))
+    r = random.Random(3)
+    base = [f"long{r.randrange(5000)}" for _ in range(9000)]
+    rows = [(k, " ".join(w if r.random() > 0.001 * k else f"x{k}y{j}" for j, w in enumerate(base))) for k in range(12)]
+    brute.same(run(spark, rows), brute.components(rows))
+
+
+def test_a_text_longer_than_a_batch(spark):
+    """Some 13 MB, twice with few words changed, next to short texts."""
+    base = [f"w{(i * 7919) % 1000003}" for i in range(1_600_000)]
+    rows = [(1, " ".join(base)), (2, "a short text of some words"), (0, " ".join([*base[:800_000], "other", *base[800_001:]]))]
+    done = {r.did: (r.n_shingles, r.component_id) for r in n.near_duplicates(brute.frame(spark, rows, extra=False)).collect()}
+    assert done == {i: (len(brute.shingles(x)), 2 if i == 2 else 0) for i, x in rows}
+
+
+def test_ties_at_the_threshold(spark):
+    """17 of 20 shingles shared is 0.85 and links; 84 of 100 does not."""
+    w = [f"tie{k}" for k in range(300)]
+    rows = [(0, " ".join(w[:21])), (1, " ".join(w[:24])), (2, " ".join(w[100:188])), (3, " ".join(w[100:204]))]
+    assert [len(brute.shingles(x)) for _, x in rows] == [17, 20, 84, 100]
+    got = run(spark, rows)
+    brute.same(got, brute.components(rows))
+    assert {i: c for i, _, c in got} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_only_members_with_a_likely_partner_go_on():
+    r = np.random.default_rng(4)
+    base = np.unique(r.integers(0, 1 << 63, 400, np.uint64))
+    sets = [base, base[3:], np.unique(r.integers(0, 1 << 63, 400, np.uint64)), base[:200]]
+    samples = [n.minhash(s) for s in sets]
+    key = int(n.band_keys(samples[0])[0])
+    bands = [n.band_keys(x).tolist() for x in samples]
+    for b in bands:
+        b[0] = key  # as if all shared the first band
+    t = n.pa.table({"key": [key] * 4, "i": [0] * 4, "j": [0] * 4, "side": [0] * 4, "node": list(range(4)), "label": list(range(4)),
+                    "n_shingles": [len(s) for s in sets], "bands": bands, "sketch": [n.odd_sketch(x).tolist() for x in samples]})
+    likely = n.block_members(t, 85, n.sketch_limit(n.SKETCH_LEAST))
+    assert likely.column("node").to_pylist() == [0, 1]
+    links = n.block_links(likely.append_column("s", n.pa.array([sets[0].tobytes(), sets[1].tobytes()], n.pa.binary())), 85, n.sketch_limit(n.SKETCH_LEAST))
+    assert links.to_pylist() == [{"a": 0, "b": 1}]
