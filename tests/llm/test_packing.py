@@ -152,3 +152,12 @@ def test_search_never_does_worse():
         done = p.local_search(bins, lengths, 100)
         assert len(done) <= len(bins) and sorted(x for b in done for x in b) == list(range(120))
         assert all(lengths[b].sum() <= 100 for b in done)
+
+
+def test_query_against_the_least_number_of_sequences(spark):
+    rows = p.op4_best_fit_packing(spark, "/root/testdata/sf0.01").collect()
+    fill = {}
+    for r in rows:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    assert max(fill.values()) <= 4096
+    assert len(fill) <= math.ceil(sum(fill.values()) / 4096) + 1
