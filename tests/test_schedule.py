@@ -116,3 +116,13 @@ def test_every_configuration_gets_a_ramp_schedule(spark, tmp_path):
     got = sorted(tuple(r) for r in QUERIES["ramp_schedule"](spark, str(tmp_path)).collect())
     assert got == sorted(s for r in configs for s in loop_of(r))
     assert {r[0] for r in got} == set(range(120))
+
+
+def test_every_configuration_gets_schedule_offsets(spark, tmp_path):
+    """Those that break rate rules or lie outside the form's ranges too."""
+    from rampstat.plans.queries import QUERIES
+    want = []
+    for loop in map(loop_of, customers(spark, tmp_path)):
+        want += [(run, k, k * secs, k * secs + secs, len(loop)) for run, k, _, _, secs in loop]
+    got = sorted(tuple(r) for r in QUERIES["schedule_offsets"](spark, str(tmp_path)).collect())
+    assert got == sorted(want) and {r[0] for r in got} == set(range(120))
